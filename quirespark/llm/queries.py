@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from quirespark.llm import exact_dedup, mixing
+from quirespark.llm import exact_dedup, mixing, near_dedup, packing
 from quirespark.llm.common import documents
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
+
+
+def op8_minhash_near_dedup(spark, sf_dir):
+    return near_dedup.near_groups(documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
