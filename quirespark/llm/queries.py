@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirespark.llm import exact_dedup, mixing, near_dedup, packing
+from quirespark.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from quirespark.llm.common import documents
 
 
@@ -16,6 +16,10 @@ def op3_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
 
 
+def op6_toxicity(spark, sf_dir):
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_groups(documents(spark, sf_dir))
 
