@@ -26,6 +26,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from quirespark.llm.common import prefix_sums, staged, text_of
 LIMIT = 4096
 END_ID = 1
 #: Chunks of text between white space whose ids a Python worker remembers.
-MEMORY = 500_000
+MEMORY = 300_000
 
 
 def pack_ids(ids: list[int]) -> bytes:
@@ -91,6 +92,12 @@ class ChunkIds(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
 
 
+@lru_cache(maxsize=1)
+def chunk_ids(path: str) -> ChunkIds:
+    """One memory for all tasks of a Python worker."""
+    return ChunkIds(path)
+
+
 def pieces_of(ids: bytes, limit: int) -> list[tuple[int, int, int, int]]:
     """(piece, start, length, crc32) of a document's ids."""
     step = 4 * limit
@@ -102,7 +109,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: in
     end = pack_ids([end_id])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = ChunkIds(tokenizer)
+        chunks = chunk_ids(tokenizer)
         for batch in batches:
             rows = [(k, *piece) for k, text in enumerate(batch.column(1)) for piece in pieces_of(chunks.of(text.as_py()) + end, limit)]
             at, *columns = zip(*rows) if rows else [()] * 5
