@@ -10,7 +10,7 @@ Search: the examples' vectors form an inverted index in blocks of examples that
 share their heaviest term. A posting list knows its largest weight in each block,
 so the query's bound of a block is a sum of such maxima; blocks are scored by
 falling bound and the search ends when no bound left exceeds the k-th best cosine.
-That is exact. The neighbours vote with their cosine as weight, smoothed towards
+That is exact. The neighbours vote with their squared cosine as weight, smoothed towards
 the labels' base rate, which a text without any term gets.
 
 Rows: a null or empty text gets the base rate. Labels that are null are left out;
@@ -34,10 +34,10 @@ from quirespark.llm.common import staged, text_of
 
 EXAMPLES = 20_000
 TERMS = 4096
-NEIGHBOURS = 15
+NEIGHBOURS = 7
 BLOCK = 64
-#: Weight of the base rate against the neighbours' cosines.
-PRIOR = 0.25
+#: Weight of the base rate against the neighbours' votes.
+PRIOR = 0.1
 CUT = 0.7
 #: Weight of all other words together, in place of an inverse document frequency.
 REST = 0.1
@@ -160,7 +160,7 @@ def scored(found: DataFrame, index, base: float) -> DataFrame:
                 key = tuple(sorted(zip(terms, counts)))
                 if key not in known:
                     near = own.nearest(*zip(*key)) if key else []
-                    votes, weight = sum(c * own.labels[i] for c, i in near), sum(c for c, _ in near)
+                    votes, weight = sum(c * c * own.labels[i] for c, i in near), sum(c * c for c, _ in near)
                     if len(known) > 50_000:
                         known.clear()
                     known[key] = ((votes + PRIOR * base) / (weight + PRIOR), [own.names[i] for _, i in near])
