@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirespark.llm import exact_dedup, mixing, near_dedup, packing, toxicity
+from quirespark.llm import exact_dedup, mixing, near_dedup, packing, toxicity, warc
 from quirespark.llm.common import documents
 
 
@@ -12,6 +12,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_warc(spark, sf_dir):
+    return warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
 

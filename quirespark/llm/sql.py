@@ -34,5 +34,16 @@ SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM queue
 """
 
 
+OP2 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+q AS (SELECT page_id, octet_length(payload) AS n, sha256(payload) AS d FROM p),
+r AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM q)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
+FROM r
+"""
+
+
 def oracle_sql():
-    return {"op9_exact_dedup": OP9, "op10_mixing": OP10}
+    return {"op2_warc": OP2, "op9_exact_dedup": OP9, "op10_mixing": OP10}
