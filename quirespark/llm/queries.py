@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quirespark.llm import exact_dedup, mixing, near_dedup, packing, toxicity, warc
+from pyspark.sql import functions as F
+
+from quirespark.llm import exact_dedup, fingerprints, licenses, line_dedup, mixing, near_dedup, packing, toxicity, warc
 from quirespark.llm.common import documents
 
 
@@ -12,6 +14,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark, sf_dir):
+    out = line_dedup.drop_common_blocks(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op2_warc(spark, sf_dir):
     return warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -20,10 +27,19 @@ def op3_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
 
 
+def op5_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprints(documents(spark, sf_dir))
+
+
 def op6_toxicity(spark, sf_dir):
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_license_scan(spark, sf_dir):
+    found = licenses.scan(documents(spark, sf_dir))
+    return found.select("doc_id", "sentence_ids", F.array_join("licenses", ",").alias("licenses"), "n_matches")
+
+
 def op8_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_groups(documents(spark, sf_dir))
 
