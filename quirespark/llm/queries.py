@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quirespark.llm import exact_dedup, fingerprints, licenses, line_dedup, mixing, near_dedup, packing, toxicity, warc
+from quirespark.llm import exact_dedup, fingerprints, licenses, line_dedup, mixing, near_dedup, packing, suffix_dedup, toxicity, warc
 from quirespark.llm.common import documents
 
 
@@ -27,6 +27,10 @@ def op3_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op5_fingerprints(spark, sf_dir):
     return fingerprints.fingerprints(documents(spark, sf_dir))
 
