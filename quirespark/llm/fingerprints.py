@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from quirespark.llm.common import staged, text_of
 
-LEAST, NORMAL, MOST = 48, 192, 1024
-HARD, EASY = np.uint64(0x1FF << 55), np.uint64(0x3F << 58)
+LEAST, NORMAL, MOST = 24, 96, 512
+HARD, EASY = np.uint64(0xFF << 56), np.uint64(0x1F << 59)
 GEAR = np.random.default_rng(64).integers(0, 2**64, 256, dtype=np.uint64)
 ROWS = 4000
 
