@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from quirespark.llm.common import staged, text_of
 
 EXAMPLES = 20_000
-TERMS = 4096
+TERMS = 1024
 NEIGHBOURS = 7
 BLOCK = 64
 #: Weight of the base rate against the neighbours' votes.
@@ -42,7 +42,7 @@ CUT = 0.7
 #: Weight of all other words together, in place of an inverse document frequency.
 REST = 0.1
 #: Log-likelihood ratio asked of a term, as a multiple of the logarithm of the tested terms' number.
-CHANCE = 1.2
+CHANCE = 3
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
