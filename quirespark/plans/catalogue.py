@@ -1,8 +1,15 @@
-"""The query catalogue."""
+"""All registered queries but those of the training-data subpackage."""
+
+from __future__ import annotations
+
+from quirespark.plans import page_queries, scalars
+
+MODULES = (scalars, page_queries)
+
 
 def queries():
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
