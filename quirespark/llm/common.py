@@ -4,8 +4,11 @@ single task carries, and the row conventions for nulls and clashing names."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from contextlib import contextmanager, suppress
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +17,9 @@ from pyspark.sql import functions as F
 #: broadcast: at most about 50 MB in an executor. Larger sides are shuffled.
 BROADCAST_ROWS = 200_000
 
+#: Rows of an Arrow batch while a table is staged.
+ARROW_ROWS = 2000
+
 WHITE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -43,10 +49,47 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     by each later use."""
     spark = df.sparkSession
     path = stage_path(spark, name)
-    df.write.parquet(path)
+    with arrow_rows(spark, ARROW_ROWS):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Batches of so many rows to Python meanwhile: texts and sets are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def tidied(run):
+    """A function over batches that returns the memory it freed to the system at its
+    end: Python workers live on from task to task."""
+
+    @wraps(run)
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidy
+
+
+def slices(batch, rows: int):
+    """A batch in parts of so many rows."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether a (staged) table holds at most so many rows. Reads no more than that."""
     return df.limit(rows + 1).count() <= rows

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirespark.llm.common import staged, text_of
+from quirespark.llm.common import staged, text_of, tidied
 
 LEAST, NORMAL, MOST = 24, 96, 512
 HARD, EASY = np.uint64(0xFF << 56), np.uint64(0x1F << 59)
@@ -164,4 +164,4 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield give()
 
     schema = f"doc_id {kind.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return in_ranges(docs, id_col, text_col).mapInArrow(run, schema)
+    return in_ranges(docs, id_col, text_col).mapInArrow(tidied(run), schema)

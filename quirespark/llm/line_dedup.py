@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirespark.llm.common import join_checked, staged, text_of
+from quirespark.llm.common import join_checked, staged, text_of, tidied
 
 LEAST_CHARS = 20
 BLOCK_CHARS = 40
@@ -124,7 +124,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([batch.column("late"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "removed"])
 
     kind = dict(single.dtypes)["doc_id"]
-    cut = pairs.select("late", "early_hashes", "late_hashes", "late_chars").mapInArrow(run, f"doc_id {kind}, removed array<int>")
+    cut = pairs.select("late", "early_hashes", "late_hashes", "late_chars").mapInArrow(tidied(run), f"doc_id {kind}, removed array<int>")
     gone = cut.where("size(removed) > 0").select("doc_id", F.explode("removed").alias("line")).distinct()
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("removed"))
 

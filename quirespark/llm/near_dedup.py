@@ -29,14 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirespark.llm.common import join_checked, staged, text_of
+from quirespark.llm.common import join_checked, slices, staged, text_of, tidied
 from quirespark.llm.components import components
-from quirespark.llm.shingles import Signer, WordHashes, shingle_set
+from quirespark.llm.shingles import Signer, shingle_set, word_hashes
 
 BANDS, ROWS = 32, 4
-#: Signature values compared in verification, by batches of so many.
-VALUES, BATCH = 512, 64
-MISS = 1e-5
+#: Signature values of a byte each compared in verification, by batches of so many.
+VALUES, BATCH = 1024, 128
+MISS = 1e-4
 #: Similarity from which documents are linked, in per cent.
 THRESHOLD = 75
 BLOCK = 1024
@@ -49,8 +49,10 @@ def digest(shingles: np.ndarray) -> bytes:
 def least_matches(threshold: int = THRESHOLD, miss: float = MISS, values: int = VALUES, batch: int = BATCH) -> list[tuple[int, int]]:
     """(values compared, least matches that go on): below, P(similarity >= threshold)
     given the matches, from a uniform prior, is under ``miss``. That posterior is
-    Beta(m + 1, n - m + 1), whose upper tail is the binomial P(X <= m), X of n + 1."""
+    Beta(m + 1, n - m + 1), whose upper tail is the binomial P(X <= m), X of n + 1.
+    Bytes of different values match by chance once in 256."""
     t, out = threshold / 100, []
+    t += (1 - t) / 256
     for n in range(batch, values + 1, batch):
         tail, m = 0.0, 0
         while True:
@@ -86,8 +88,8 @@ def sets_and_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n_shingles, node (null without shingles), keys of the bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, signer = WordHashes(), Signer(BANDS, ROWS)
-        for batch in batches:
+        words, signer = word_hashes(), Signer(BANDS, ROWS)
+        for batch in (part for whole in batches for part in slices(whole, 500)):
             sets = [shingle_set(t.as_py(), words) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -101,27 +103,27 @@ def sets_and_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     kind = docs.schema[id_col].dataType.simpleString()
     chosen = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    return chosen.mapInArrow(run, f"doc_id {kind}, n_shingles long, node binary, keys array<long>")
+    return chosen.mapInArrow(tidied(run), f"doc_id {kind}, n_shingles long, node binary, keys array<long>")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """node, signature, shingles of the documents that represent the nodes (node, doc_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, signer = WordHashes(), Signer(1, VALUES, seed=11)
-        for batch in batches:
+        words, signer = word_hashes(), Signer(1, VALUES, seed=11)
+        for batch in (part for whole in batches for part in slices(whole, 500)):
             out: tuple[list, list, list] = ([], [], [])
             for node, text in zip(batch.column(0), batch.column(1)):
                 found = shingle_set(text.as_py(), words)
                 if digest(found) == node.as_py():  # else another row with this id
-                    for to, x in zip(out, (node.as_py(), signer.sign(found).astype(np.uint16).tobytes(), found.tobytes())):
+                    for to, x in zip(out, (node.as_py(), signer.sign(found).astype(np.uint8).tobytes(), found.tobytes())):
                         to.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], ["node", "signature", "shingles"])
 
     chosen = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     ids = nodes.select(F.col("node"), F.col("doc_id").alias("_rep"))
     both = join_checked(chosen, ids, chosen["_id"].eqNullSafe(ids["_rep"]), "inner")
-    return both.select("node", "_text").mapInArrow(run, "node binary, signature binary, shingles binary")
+    return both.select("node", "_text").mapInArrow(tidied(run), "node binary, signature binary, shingles binary")
 
 
 def attach(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -133,7 +135,7 @@ def attach(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
 
 
 def matrix(column: pa.Array, values: int = VALUES) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(len(column), values)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), values)
 
 
 def survivors(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -145,7 +147,7 @@ def survivors(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 alive = surviving(matrix(batch.column("a_signature")), matrix(batch.column("b_signature")), bounds)
                 yield batch.select(["a", "b"]).take(pa.array(alive))
 
-    return attach(pairs, sets, "signature").mapInArrow(run, "a binary, b binary")
+    return attach(pairs, sets, "signature").mapInArrow(tidied(run), "a binary, b binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -156,7 +158,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             ok = [similar(x.as_py(), y.as_py()) for x, y in zip(batch.column("a_shingles"), batch.column("b_shingles"))]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return attach(pairs, sets, "shingles").mapInArrow(run, "a binary, b binary")
+    return attach(pairs, sets, "shingles").mapInArrow(tidied(run), "a binary, b binary")
 
 
 def star_pairs(members: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -186,7 +188,7 @@ def untried_pairs(members: DataFrame, roots: DataFrame, sets: DataFrame) -> Data
         x, y = [r for r in group if r[4]], [r for r in group if not r[4]]
         if not x or not y:
             return []
-        sx, sy = (np.frombuffer(b"".join(r[5] for r in part), dtype=np.uint16).reshape(-1, VALUES) for part in (x, y))
+        sx, sy = (np.frombuffer(b"".join(r[5] for r in part), dtype=np.uint8).reshape(-1, VALUES) for part in (x, y))
         names = {r: k for k, r in enumerate({r[2] for r in group})}
         rx, ry = (np.array([names[r[2]] for r in part]) for part in (x, y))
         out = []
@@ -202,7 +204,7 @@ def untried_pairs(members: DataFrame, roots: DataFrame, sets: DataFrame) -> Data
             if found := compare(list(group)):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*set(found))], ["a", "b"])
 
-    return dealt.select("key", "node", "root", "block", "asks", "signature").mapInArrow(run, "a binary, b binary").distinct()
+    return dealt.select("key", "node", "root", "block", "asks", "signature").mapInArrow(tidied(run), "a binary, b binary").distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirespark.llm.common import prefix_sums, staged, text_of
+from quirespark.llm.common import prefix_sums, staged, text_of, tidied
 
 LIMIT = 4096
 END_ID = 1
@@ -117,7 +117,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: in
             yield pa.RecordBatch.from_arrays(found, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     chosen = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    return chosen.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return chosen.mapInArrow(tidied(cut), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 class Complements:
@@ -228,7 +228,7 @@ def pack(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array(row[:, 2] + rank - row[:, 1]), pa.array(row[:, 3])], [*own.schema.names, "sequence_id", "offset"])
 
     schema = ", ".join(f"{n} {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
-    return ranked.select(*pieces.columns, "rank").mapInArrow(place, schema)
+    return ranked.select(*pieces.columns, "rank").mapInArrow(tidied(place), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

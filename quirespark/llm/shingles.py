@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import xxhash
 
 WIDTH = 5
-MEMORY = 500_000
+MEMORY = 200_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -22,6 +24,12 @@ class WordHashes(dict):
         return found
 
 
+@lru_cache(maxsize=1)
+def word_hashes() -> WordHashes:
+    """One memory for all tasks of a Python worker."""
+    return WordHashes()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers (the finaliser of the splitmix generator)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirespark.llm.common import join_checked, staged, text_of
+from quirespark.llm.common import join_checked, staged, text_of, tidied
 from quirespark.llm.induced_sort import sorted_suffixes
 from quirespark.llm.shingles import mixed
 
@@ -111,7 +111,7 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
                 at = end
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "digest", "data").mapInArrow(run, f"doc_id {kind}, digest binary, n_bytes long, hashes array<long>, firsts array<int>")
+    return docs.select("doc_id", "digest", "data").mapInArrow(tidied(run), f"doc_id {kind}, digest binary, n_bytes long, hashes array<long>, firsts array<int>")
 
 
 def segments_of(docs: DataFrame, length: int) -> DataFrame:
@@ -129,7 +129,7 @@ def segments_of(docs: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "h", "first", "segment"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "digest", "data", "found").mapInArrow(run, f"doc_id {kind}, digest binary, h long, first long, segment binary")
+    return docs.select("doc_id", "digest", "data", "found").mapInArrow(tidied(run), f"doc_id {kind}, digest binary, h long, first long, segment binary")
 
 
 def shard_spans(rows: list[tuple], length: int) -> list[tuple]:
@@ -186,7 +186,7 @@ def sharded_spans(firsts: DataFrame, length: int) -> DataFrame:
             yield give(held)
 
     kind = dict(firsts.dtypes)["doc_id"]
-    return firsts.select("h", "doc_id", "digest", "first", "segment").mapInArrow(run, f"doc_id {kind}, digest binary, first long, last long")
+    return firsts.select("h", "doc_id", "digest", "first", "segment").mapInArrow(tidied(run), f"doc_id {kind}, digest binary, first long, last long")
 
 
 def windows_of(firsts: DataFrame, length: int) -> DataFrame:
@@ -204,7 +204,7 @@ def windows_of(firsts: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("digest").take(take), pa.array(first, pa.int64()), pa.array(window, pa.binary())], ["doc_id", "digest", "first", "segment"])
 
     kind = dict(firsts.dtypes)["doc_id"]
-    out = firsts.select("doc_id", "digest", "first", "segment").mapInArrow(run, f"doc_id {kind}, digest binary, first long, segment binary")
+    out = firsts.select("doc_id", "digest", "first", "segment").mapInArrow(tidied(run), f"doc_id {kind}, digest binary, first long, segment binary")
     return out.withColumn("h", F.xxhash64("segment"))
 
 
@@ -280,7 +280,7 @@ def cut_texts(texts: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["doc_id", "digest", "n_removed", "n_spans", "kept"])
 
     kind = dict(texts.dtypes)["doc_id"]
-    return texts.mapInArrow(run, f"doc_id {kind}, digest binary, n_removed long, n_spans long, kept binary")
+    return texts.mapInArrow(tidied(run), f"doc_id {kind}, digest binary, n_removed long, n_spans long, kept binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirespark.llm.common import staged, text_of
+from quirespark.llm.common import staged, text_of, tidied
 
 EXAMPLES = 20_000
 TERMS = 1024
@@ -65,7 +65,7 @@ def term_counts(sample: DataFrame) -> DataFrame:
             terms = list(both[0].keys() | both[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in (both[1], both[0]))], ["term", "in_toxic", "in_other"])
 
-    counted = sample.select("text", "toxic").mapInArrow(run, "term string, in_toxic long, in_other long")
+    counted = sample.select("text", "toxic").mapInArrow(tidied(run), "term string, in_toxic long, in_other long")
     return counted.groupBy("term").agg(F.sum("in_toxic").alias("in_toxic"), F.sum("in_other").alias("in_other"))
 
 
@@ -102,7 +102,7 @@ def vectors(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> Da
 
     kind = docs.schema[id_col].dataType.simpleString()
     chosen = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    return chosen.mapInArrow(run, f"doc_id {kind}, terms array<int>, counts array<int>")
+    return chosen.mapInArrow(tidied(run), f"doc_id {kind}, terms array<int>, counts array<int>")
 
 
 class BlockMaxIndex:
@@ -169,7 +169,7 @@ def scored(found: DataFrame, index, base: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
     kind = dict(found.dtypes)["doc_id"]
-    return found.mapInArrow(run, f"doc_id {kind}, score double, evidence array<long>")
+    return found.mapInArrow(tidied(run), f"doc_id {kind}, score double, evidence array<long>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirespark.llm.common import join_checked, stage_path, staged
+from quirespark.llm.common import join_checked, stage_path, staged, tidied
 
 REVISIT = 100
 CHUNK = 1 << 18
@@ -164,7 +164,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             fs.move(f"{name}.part", name)
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name.rpartition('/')[2]}"]), pa.array([n], pa.int64())], ["path", "records"])
 
-    return pages.mapInArrow(run, "path string, records long")
+    return pages.mapInArrow(tidied(run), "path string, records long")
 
 
 def normalise(paths: DataFrame, folder: str) -> DataFrame:
@@ -194,7 +194,7 @@ def normalise(paths: DataFrame, folder: str) -> DataFrame:
                 columns = zip(*offsets) if offsets else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *(pa.array(c, pa.int64()) for c in columns)], ["path", "offset", "length"])
 
-    return paths.select("path").mapInArrow(run, "path string, offset long, length long")
+    return paths.select("path").mapInArrow(tidied(run), "path string, offset long, length long")
 
 
 def read_archives(index: DataFrame) -> DataFrame:
@@ -226,7 +226,7 @@ def read_archives(index: DataFrame) -> DataFrame:
             types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return index.mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    return index.mapInArrow(tidied(run), "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
 
 
 def archived(pages: DataFrame) -> DataFrame:
