@@ -51,12 +51,11 @@ def selected(pages: DataFrame, terms: list[str], strict: bool = True) -> DataFra
         if not t["range"]:
             bad = bad | (at(t["lo"]) > F.col("_n")) | (at(t["lo"]) < 1)
         take, drop = (take, drop | hit) if t["not"] else (take | hit, drop)
-    out = pages.withColumn("_n", total)
+    out, wanted = pages.withColumn("_n", total), take & ~drop
     if strict:
-        out = out.withColumn("_n", F.when(bad, F.raise_error(F.lit("the selection names a page that does not exist")).cast("int")).otherwise(F.col("_n")))
-    else:
-        out = out.where(~bad)
-    return out.where(take & ~drop).drop("_n")
+        refusal = F.raise_error(F.lit("the selection names a page that does not exist")).cast("boolean")
+        return out.where(F.when(bad, refusal).otherwise(wanted)).drop("_n")
+    return out.where(~bad & wanted).drop("_n")
 
 
 def renumbered(pages: DataFrame, *order) -> DataFrame:
