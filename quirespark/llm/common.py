@@ -4,6 +4,7 @@ single task carries, and the row conventions for nulls and clashing names."""
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import tempfile
 import uuid
@@ -39,8 +40,26 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: The folder of this process's tables under the shared one.
+OWN = uuid.uuid4().hex
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/stage/{name}-{uuid.uuid4().hex}"
+    """A new folder for a table; all of them go when this process ends."""
+    root = f"{shared_dir(spark)}/stage/{OWN}"
+    if root not in registered:
+        registered.add(root)
+        atexit.register(forget, spark, root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+registered: set[str] = set()
+
+
+def forget(spark: SparkSession, root: str) -> None:
+    with suppress(Exception):  # the session may be gone already
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
