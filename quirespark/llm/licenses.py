@@ -58,8 +58,11 @@ RULES = (
     ("Proprietary", "w"),
 )
 
-ENDS = r"[.!?;:]+(?=\s|$)|\n+"
+#: A stop counts before white space, so a version's "2.0" is whole.
+ENDS = r"[.!?;:]+(?:[\x{9}-\x{D}\x{20}]|$)|\x{A}+"
 OTHER = r"[^a-z0-9.\-]+"
+#: A sentence that ends in a known one, the longest first.
+KNOWN = "(?:^| )(" + "|".join(s.replace(".", "[.]") for _, s in sorted(SENTENCES, key=lambda e: -len(e[1]))) + ")$"
 
 
 def sentences(text: Column) -> Column:
@@ -72,14 +75,12 @@ def sequence(parts: Column) -> Column:
     """The identifiers of the known sentences: whole sentences, or sentences that end
     in a known one (a name, a year and the like may stand before)."""
     known = F.create_map(*(F.lit(x) for i, s in SENTENCES for x in (s, i)))
-    ends = "(" + "|".join(s.replace(".", "[.]") for _, s in sorted(SENTENCES, key=lambda e: -len(e[1]))) + ")$"
-    one = lambda s: F.coalesce(F.element_at(known, F.regexp_extract(s, rf"(?:^| ){ends}", 1)), F.lit(""))
+    one = lambda s: F.coalesce(F.element_at(known, F.regexp_extract(s, KNOWN, 1)), F.lit(""))
     return F.array_join(F.transform(F.filter(parts, lambda s: F.length(s) > 10), one), "")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, sentence_ids, licenses (in the rules' order), n_matches."""
-    # A version's full stop belongs to it: "2.0." ends in a stop before white space only once.
     found = docs.select(F.col(id_col).alias("doc_id"), sequence(sentences(text_of(text_col))).alias("sentence_ids"))
     rest, names, counts = F.col("sentence_ids"), [], []
     for name, pattern in RULES:  # the matched stretch is replaced, so later rules do not see it

@@ -1,5 +1,7 @@
 """DuckDB SQL for the rows of the queries that SQL can express."""
 
+from quirespark.llm import licenses
+
 OP9 = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
@@ -45,5 +47,17 @@ FROM r
 """
 
 
+def license_sql() -> str:
+    """The sentence map and the rules, each over what the rules before have left."""
+    ids = " ".join(f"WHEN '{s}' THEN '{i}'" for i, s in licenses.SENTENCES)
+    one = f"CASE regexp_extract(trim(regexp_replace(x, '{licenses.OTHER}', ' ', 'g'), ' '), '{licenses.KNOWN}', 1) {ids} ELSE '' END"
+    step = f"SELECT doc_id, array_to_string(list_transform(string_split_regex(lower(coalesce(text, '')), '{licenses.ENDS}'), lambda x: {one}), '') AS sentence_ids FROM documents"
+    step = f"SELECT *, sentence_ids AS rest, []::VARCHAR[] AS names, 0::BIGINT AS n FROM ({step}) s"
+    for name, pattern in licenses.RULES:
+        hits = f"len(regexp_extract_all(rest, '{pattern}'))"
+        step = f"SELECT doc_id, sentence_ids, regexp_replace(rest, '{pattern}', '-', 'g') AS rest, CASE WHEN {hits} > 0 AND NOT list_contains(names, '{name}') THEN list_append(names, '{name}') ELSE names END AS names, n + {hits} AS n FROM ({step}) r"
+    return f"SELECT doc_id, sentence_ids, array_to_string(names, ',') AS licenses, n AS n_matches FROM ({step}) r"
+
+
 def oracle_sql():
-    return {"op2_warc": OP2, "op9_exact_dedup": OP9, "op10_mixing": OP10}
+    return {"op2_warc": OP2, "op7_license_scan": license_sql(), "op9_exact_dedup": OP9, "op10_mixing": OP10}
