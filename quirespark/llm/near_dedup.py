@@ -107,23 +107,23 @@ def sets_and_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node, signature, shingles of the documents that represent the nodes (node, doc_id)."""
+    """node, signature, keys, shingles of the documents that represent the nodes (node, doc_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, signer = word_hashes(), Signer(1, VALUES, seed=11)
+        words, signer, bander = word_hashes(), Signer(1, VALUES, seed=11), Signer(BANDS, ROWS)
         for batch in (part for whole in batches for part in slices(whole, 500)):
-            out: tuple[list, list, list] = ([], [], [])
+            out: tuple[list, ...] = ([], [], [], [])
             for node, text in zip(batch.column(0), batch.column(1)):
                 found = shingle_set(text.as_py(), words)
                 if digest(found) == node.as_py():  # else another row with this id
-                    for to, x in zip(out, (node.as_py(), signer.sign(found).astype(np.uint8).tobytes(), found.tobytes())):
+                    for to, x in zip(out, (node.as_py(), signer.sign(found).astype(np.uint8).tobytes(), bander.keys(bander.sign(found)).tobytes(), found.tobytes())):
                         to.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], ["node", "signature", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], ["node", "signature", "keys", "shingles"])
 
     chosen = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     ids = nodes.select(F.col("node"), F.col("doc_id").alias("_rep"))
     both = join_checked(chosen, ids, chosen["_id"].eqNullSafe(ids["_rep"]), "inner")
-    return both.select("node", "_text").mapInArrow(tidied(run), "node binary, signature binary, shingles binary")
+    return both.select("node", "_text").mapInArrow(tidied(run), "node binary, signature binary, keys binary, shingles binary")
 
 
 def attach(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -180,7 +180,7 @@ def untried_pairs(members: DataFrame, roots: DataFrame, sets: DataFrame) -> Data
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     all_ = here.select("key", "node", "root", block.alias("block"), F.lit(False).alias("asks"))
     asks = here.where("root != main").select("key", "node", "root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"))
-    own = sets.select("node", "signature")
+    own = sets.select("node", "signature", "keys")
     dealt = staged(all_.unionByName(asks).join(own.hint("merge"), "node"), "near-blocks").repartition("key", "block").sortWithinPartitions("key", "block")
     bounds = least_matches()
 
@@ -189,11 +189,15 @@ def untried_pairs(members: DataFrame, roots: DataFrame, sets: DataFrame) -> Data
         if not x or not y:
             return []
         sx, sy = (np.frombuffer(b"".join(r[5] for r in part), dtype=np.uint8).reshape(-1, VALUES) for part in (x, y))
+        kx, ky = (np.frombuffer(b"".join(r[6] for r in part), dtype=np.int64).reshape(-1, BANDS) for part in (x, y))
         names = {r: k for k, r in enumerate({r[2] for r in group})}
         rx, ry = (np.array([names[r[2]] for r in part]) for part in (x, y))
         out = []
         for k in range(len(x)):
-            at = np.flatnonzero(ry != rx[k])
+            # Of the buckets that a pair shares, the first band's has it; all of them compare it,
+            # as of two components at most one is the largest.
+            band = int(np.flatnonzero(kx[k] == group[0][0])[0])
+            at = np.flatnonzero((ry != rx[k]) & ~(ky[:, :band] == kx[k, :band]).any(axis=1))
             alive = surviving(np.broadcast_to(sx[k], (len(at), VALUES)), sy[at], bounds)
             out += [(min(x[k][1], y[j][1]), max(x[k][1], y[j][1])) for j in at[alive]]
         return out
@@ -204,7 +208,7 @@ def untried_pairs(members: DataFrame, roots: DataFrame, sets: DataFrame) -> Data
             if found := compare(list(group)):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*set(found))], ["a", "b"])
 
-    return dealt.select("key", "node", "root", "block", "asks", "signature").mapInArrow(tidied(run), "a binary, b binary").distinct()
+    return dealt.select("key", "node", "root", "block", "asks", "signature", "keys").mapInArrow(tidied(run), "a binary, b binary").distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
