@@ -9,7 +9,8 @@ set of first-in-first-out runs by key, held in memory up to a budget and on disk
 beyond. Text and type flags are memory-mapped files, so a shard may be far larger
 than memory. All steps work on whole runs as arrays.
 
-Common-prefix lengths are capped: beyond ``depth`` they count as ``depth``. A pushed
+Common-prefix lengths are capped: beyond ``depth`` they count as ``depth``, and
+suffixes that share so much are neighbours in any order. A pushed
 suffix shares one character more with the one pushed before into its run than the
 least of the lengths scanned between the two. Where the L and S parts of a bucket
 meet, both begin with a run of one character, and share the shorter run.
@@ -197,19 +198,23 @@ def induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, folder: str,
     return out if len(out) and out[0, 0] == end else np.concatenate((np.array([[end, 0]]), out))
 
 
-def doubled(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string that fits in memory, by doubling ranks."""
+def doubled(names: np.ndarray, depth: int) -> np.ndarray:
+    """Order of the suffixes of a string of names that fits in memory, by doubling
+    ranks. A name stands for two characters at least, so ranks of ``depth`` / 2 names
+    tell apart all that the depth does; what shares more may come in any order."""
     rank, width = names.astype(np.int64), 1
     while True:
-        nxt = np.full(len(rank), -1, dtype=np.int64)
-        nxt[: len(rank) - width] = rank[width:] if width < len(rank) else nxt[:0]
-        order = np.lexsort((nxt, rank))
-        a, b = rank[order], nxt[order]
-        new = np.concatenate(([0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+        after = np.zeros(len(rank), dtype=np.int64)
+        if width < len(rank):
+            after[: len(rank) - width] = rank[width:] + 1
+        key = rank * (len(rank) + 2) + after
+        order = np.argsort(key)
+        found = key[order]
+        new = np.concatenate(([0], np.cumsum(found[1:] != found[:-1])))
         rank[order] = new
-        if new[-1] == len(rank) - 1:
-            return order
         width *= 2
+        if new[-1] == len(rank) - 1 or width * 2 >= depth + 2:
+            return order
 
 
 def shared(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
@@ -250,9 +255,9 @@ def suffix_order(text: np.ndarray, folder: str, depth: int, budget: int = BUDGET
     names[order] = np.concatenate(([0], np.cumsum(~same)))
     if names[order[-1]] < len(lms) - 1:
         if len(names) <= base:
-            order = doubled(names)
+            order = doubled(names, depth)
         else:
-            inner = suffix_order(np.append(names + 1, 0), folder, 1, budget, base)[:, 0]
+            inner = suffix_order(np.append(names + 1, 0), folder, depth, budget, base)[:, 0]
             order = inner[inner < len(names)]
     sorted_ = lms[order]
     lengths = np.concatenate(([0], shared(text, sorted_[:-1], sorted_[1:], depth)))

@@ -37,10 +37,10 @@ from quirespark.llm.common import join_checked, staged, text_of, tidied
 from quirespark.llm.induced_sort import sorted_suffixes
 from quirespark.llm.shingles import mixed
 
-LENGTH, GRAM = 100, 24
+LENGTH, GRAM = 100, 40
 HOT = 2000
 #: Bytes of text gathered for one suffix array, and hashed at once.
-SHARD, CHUNK = 4 << 20, 1 << 20
+SHARD, CHUNK = 1 << 20, 1 << 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -90,42 +90,53 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     return t[new], h[a[new]].view(np.int64), inside[new] - begins[t[new]]
 
 
+def chunks(texts: list[bytes], length: int):
+    """(first text, texts, and for each text its anchors' hashes and first windows), of
+    about CHUNK bytes at a time."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
+            size += len(texts[end])
+            end += 1
+        part = texts[at:end]
+        of, hashes, firsts = anchors(np.frombuffer(b"".join(part), dtype=np.uint8), np.cumsum([len(t) for t in part]), length)
+        yield at, part, np.searchsorted(of, np.arange(len(part) + 1)), hashes, firsts
+        at = end
+
+
 def anchored(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, digest, n_bytes, hashes, firsts: the anchors of each document."""
+    """doc_id, digest, hashes: the anchors of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, at = batch.column("data").to_pylist(), 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
-                    size += len(texts[end])
-                    end += 1
-                part = texts[at:end]
-                ends = np.cumsum([len(t) for t in part])
-                of, hashes, firsts = anchors(np.frombuffer(b"".join(part), dtype=np.uint8), ends, length)
-                offsets = pa.array(np.searchsorted(of, np.arange(len(part) + 1)), pa.int32())
-                own = batch.slice(at, end - at)
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(hashes)), pa.ListArray.from_arrays(offsets, pa.array(firsts, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("digest"), pa.array([len(t) for t in part], pa.int64()), *lists], ["doc_id", "digest", "n_bytes", "hashes", "firsts"])
-                at = end
+            for at, part, offsets, hashes, _ in chunks(batch.column("data").to_pylist(), length):
+                own = batch.slice(at, len(part))
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes))
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("digest"), lists], ["doc_id", "digest", "hashes"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "digest", "data").mapInArrow(tidied(run), f"doc_id {kind}, digest binary, n_bytes long, hashes array<long>, firsts array<int>")
+    return docs.select("doc_id", "digest", "data").mapInArrow(tidied(run), f"doc_id {kind}, digest binary, hashes array<long>")
 
 
 def segments_of(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, digest, h, first, segment: from data, and the repeated anchors as (first, last, h)."""
+    """doc_id, digest, h, first, segment: of the anchors whose numbers are in ``found``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                data, found = batch.column("data")[k].as_py(), batch.column("found")[k].as_py()
-                at = pa.array([k] * len(found), pa.int64())
-                columns = [
-                    batch.column("doc_id").take(at), batch.column("digest").take(at), pa.array([f["h"] for f in found], pa.int64()), pa.array([f["first"] for f in found], pa.int64()),
-                    pa.array([data[f["first"] : f["last"] + length] for f in found], pa.binary()),
-                ]
+            numbers = batch.column("found").to_pylist()
+            for at, part, offsets, hashes, firsts in chunks(batch.column("data").to_pylist(), length):
+                rows, hs, starts, segments = [], [], [], []
+                for k, data in enumerate(part):
+                    ends = [*(firsts[offsets[k] + 1 : offsets[k + 1]] - 1).tolist(), len(data) - length]
+                    for n in numbers[at + k]:
+                        first = int(firsts[offsets[k] + n])
+                        rows.append(at + k)
+                        hs.append(int(hashes[offsets[k] + n]))
+                        starts.append(first)
+                        segments.append(data[first : ends[n] + length])
+                take = pa.array(rows, pa.int64())
+                columns = [batch.column("doc_id").take(take), batch.column("digest").take(take), pa.array(hs, pa.int64()), pa.array(starts, pa.int64()), pa.array(segments, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "h", "first", "segment"])
 
     kind = dict(docs.dtypes)["doc_id"]
@@ -226,13 +237,12 @@ def later(segments: DataFrame, firsts: DataFrame, length: int) -> DataFrame:
 def removed_spans(docs: DataFrame, length: int) -> DataFrame:
     """doc_id, digest, spans (first and last window starts) of the staged docs
     (doc_id, digest, data) that are the first of their text."""
-    marks = staged(anchored(docs, length), "suffix-anchors")
-    flat = marks.select("doc_id", "digest", "n_bytes", "firsts", F.posexplode("hashes").alias("k", "h"))
-    repeated = staged(marks.select(F.explode("hashes").alias("h")).groupBy("h").count().where("count > 1").select("h"), "suffix-repeated")
-    last = F.coalesce(F.get("firsts", F.col("k") + 1) - 1, F.col("n_bytes") - length)
-    flat = flat.select("doc_id", "digest", "h", F.get("firsts", F.col("k")).alias("first"), last.cast("int").alias("last"))
-    found = flat.join(repeated.hint("merge"), "h").groupBy("doc_id", "digest").agg(F.collect_list(F.struct("first", "last", "h")).alias("found"))
-    found = staged(found, "suffix-found")
+    # Only narrow rows are exchanged: a staged row's number, an anchor's, and its hash.
+    marks = staged(anchored(docs, length).withColumn("row", F.monotonically_increasing_id()), "suffix-anchors")
+    flat = marks.select("row", F.posexplode("hashes").alias("k", "h"))
+    repeated = staged(flat.groupBy("h").count().where("count > 1").select("h"), "suffix-repeated")
+    found = flat.join(repeated.hint("merge"), "h").groupBy("row").agg(F.collect_list("k").alias("found"))
+    found = staged(found.join(marks.select("row", "doc_id", "digest").hint("merge"), "row").drop("row"), "suffix-found")
     texts = with_marks(docs, found, "found")
     segments = staged(segments_of(texts, length), "suffix-segments")
     firsts = staged(earliest(segments), "suffix-firsts")
