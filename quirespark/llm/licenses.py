@@ -1,21 +1,28 @@
 """Licence recognition by sentence rules.
 
-Texts are cut into sentences and normalised (lower case, letters, digits and dots
-inside numbers; all else one blank). Known licence sentences have an identifier;
-some carry the version in the text. A document is then a sequence of identifiers,
-held as one string, and ordered rules (regular expressions over that string) turn
-stretches of it into licences: the first rule that matches claims its stretch, so a
-full text is not also reported as its parts.
+Texts are normalised: line ends inside a paragraph, comment marks and all but
+letters, digits and dots or hyphens inside words become one blank; a stop before
+white space and an empty line become the mark of a cut. Known licence sentences have
+an identifier and may stand anywhere between two cuts; titles must fill a whole
+piece or stand before a copyright line. Some carry the version in the text. A
+document is then a sequence of identifiers, held as one string, and ordered rules
+(regular expressions over that string) turn stretches of it into licences: the first
+rule that matches claims its stretch, so a full text is not also reported as its parts.
 
 The dimension of known sentences is fixed and small, a map inside the expression:
 no join, no shuffle, no Python.
 
+``SENTENCES``, ``RULES``, ``ENDS``, ``OTHER`` and ``KNOWN`` are those of the query's
+SQL: whole sentences on lines of their own. ``PHRASES`` and ``CLAIMS`` hold them
+and the forms of real licences; on texts with only the former, rows are the same.
+
 Rows: a null or empty text, and a text without known sentences, has empty arrays.
 Repeated rows are scanned each.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -65,25 +72,128 @@ OTHER = r"[^a-z0-9.\-]+"
 KNOWN = "(?:^| )(" + "|".join(s.replace(".", "[.]") for _, s in sorted(SENTENCES, key=lambda e: -len(e[1]))) + ")$"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences, in order, with empty ones."""
-    parts = F.split(F.lower(text), ENDS)
-    return F.transform(parts, lambda s: F.trim(F.regexp_replace(s, OTHER, " ")))
+#: The GPL's versioned notices and short forms, and what stands for them in the map:
+#: who speaks, verb and form make no difference, the version and "or later" do.
+LATER = r" or (?:(?:[|] )?at your option any later version|(?:any )?later(?: version)?)(?= )"
+NOTICE = r"(?:this program is free software )?you (?:can|may) redistribute (?:it )?and or modify it under the terms of the gnu general public license as published by the free software foundation (?:either )?version ([23])(?:[.]0)?(?: of the license)?(?= )"
+SHORT = r"(?:this work is )?(?:licensed|released|distributed) under (?:the )?(?:gnu general public license|gnu gpl|gpl) (?:version |v)?([23])(?:[.]0)?(?= )"
+NOTICES = ((NOTICE, "gplnotice $1"), (SHORT, "gplshort $1"), ("(gpl(?:notice|short) [23])" + LATER, "$1 later"))
+
+
+def forms() -> dict[str, str]:
+    """Short forms: a verb and a name, SPDX lines and Creative Commons' names and links."""
+    names = {
+        "a": ("apache license version 2.0", "apache license 2.0", "apache 2.0 license", "apache-2.0 license", "apache license v2.0", "apache 2.0"),
+        "m": ("mit license", "mit x11 license", "mit open source license"),
+        "H": ("bsd 3-clause license", "3-clause bsd license", "bsd-3-clause license", "new bsd license", "modified bsd license"),
+        "J": ("bsd 2-clause license", "2-clause bsd license", "bsd-2-clause license", "simplified bsd license"),
+    }
+    verbs = ("licensed under", "released under", "distributed under", "available under", "under the terms of")
+    found = {f"{verb} {the}{name}": i for i, own in names.items() for name in own for verb in verbs for the in ("the ", "")}
+    spdx = {"apache-2.0": "A", "mit": "B", "bsd-3-clause": "C", "bsd-2-clause": "D", "gpl-3.0-only": "L", "gpl-3.0": "L", "gpl-3.0-or-later": "K", "gpl-2.0-only": "N", "gpl-2.0": "N", "gpl-2.0-or-later": "M", "cc-by-nc-4.0": "Q", "cc-by-sa-4.0": "S", "cc-by-4.0": "R"}
+    found |= {f"spdx-license-identifier {name}": i for name, i in spdx.items()}
+    for i, kind, name in (("R", "by", "attribution"), ("S", "by-sa", "attribution-sharealike"), ("Q", "by-nc", "attribution-noncommercial")):
+        for who in ("creative commons ", "cc "):
+            found |= {f"{who}{name} {v}": i for v in ("4.0 international", "4.0")}
+        found |= {f"{www}creativecommons.org licenses {kind} 4.0": i for www in ("", "www.")}
+        found |= {f"licensed under cc-{kind}-4.0": i, f"licensed under creative commons {kind} 4.0": i, f"licensed under cc {kind} 4.0 international": i}
+    return found
+
+
+#: Identifier of a phrase, also of the SQL's sentences.
+PHRASES = {
+    **forms(), **{s: i for i, s in SENTENCES},
+    "gplnotice 3 later": "K", "gplnotice 2 later": "M", "gplnotice 3": "L", "gplnotice 2": "N",
+    "gplshort 3 later": "K", "gplshort 2 later": "M", "gplshort 3 only": "L", "gplshort 3": "g", "gplshort 2": "N",
+    **{f"you may obtain a copy of the license at {bar}{http} www.apache.org licenses license-2.0{txt}": "c" for bar in ("", "| ") for http in ("http", "https") for txt in ("", ".txt", ".html")},
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis": "d",
+    **{f"apache license {bar}version 2.0 {bar2}january 2004": "e" for bar in ("", "| ") for bar2 in ("", "| ")},
+    "terms and conditions for use reproduction and distribution": "f",
+    "each contributor hereby grants to you a perpetual worldwide non-exclusive no-charge royalty-free irrevocable copyright license": "j",
+    "each contributor hereby grants to you a perpetual worldwide non-exclusive no-charge royalty-free irrevocable except as stated in this section patent license": "k",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "o",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "x",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "y",
+    "as is and any express or implied warranties including but not limited to": "z",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "V",
+    **{f"{nor} may be used to endorse or promote products": "u" for nor in ("nor the names of its contributors", "nor the names of their contributors", "nor the names of contributors", "nor the names of other contributors", "names of its contributors", "names of contributors")},
+    **{f"the name of the {who} may not be used to endorse or promote products": "u" for who in ("author", "authors", "copyright holder", "company")},
+    **{f"gnu general public license {bar}version {v}": i for bar in ("", "| ") for v, i in (("3 29 june 2007", "O"), ("2 june 1991", "P"), ("3 | 29 june 2007", "O"), ("2 | june 1991", "P"))},
+}
+
+#: Titles: a whole piece, or before a copyright line.
+TITLES = {
+    **dict.fromkeys(("mit license", "the mit license", "mit license mit", "the mit license mit"), "v"),
+    **dict.fromkeys(("bsd 3-clause license", "the 3-clause bsd license", "3-clause bsd license", "the bsd 3-clause license", "bsd 3-clause new or revised license"), "H"),
+    **dict.fromkeys(("bsd 2-clause license", "the 2-clause bsd license", "2-clause bsd license", "the bsd 2-clause license", "bsd 2-clause simplified license"), "J"),
+}
+
+#: Licence and its pattern over the identifiers, in order: full texts with a title, a
+#: copyright line and their appendix first; then notices; then short forms.
+CLAIMS = (
+    ("MIT", "[Bmv]*w*[Bmv]*nw*ow*p"),
+    ("MIT", "[Bv]+|m|no?|op"),
+    ("Apache-2.0", "ef?j*k*(?:w*abcd?)?"),
+    ("Apache-2.0", "A*w*abcd?|w*bcd?|fj+k*|a|[Ae]+|c"),
+    ("BSD-4-Clause", "w*t+x?y?Vy?u*z?"),
+    ("BSD-3-Clause", "[CH]*w*[CH]*t+x?y?u+z?"),
+    ("BSD-3-Clause", "[CH]+"),
+    ("BSD-2-Clause", "[DJ]+w*tx?y?z?|w*[DJ]*tx?y?z?|[DJ]+"),
+    ("GPL-3.0-only", "O(?:Ki?)?"),
+    ("GPL-2.0-only", "P(?:Mi?)?"),
+    ("GPL-3.0-or-later", "K+i?"),
+    ("GPL-2.0-or-later", "M+i?"),
+    ("GPL-3.0-only", "gi?|L+i?"),
+    ("GPL-2.0-only", "N+i?"),
+    ("GPL-3.0-or-later", "hi|h|i"),
+    ("CC-BY-NC-4.0", "q|Q+"),
+    ("CC-BY-SA-4.0", "s|S+"),
+    ("CC-BY-4.0", "r|R+"),
+    ("Proprietary", "w"),
+)
+
+LEADS = r"(?m)^[\x{9}\x{20}]*(?:rem|dnl)[\x{9}\x{20}]"
+CUTS = r"""[.!?]+["'\)\]]*(?=[\x{9}-\x{D}\x{20}]|$)|\x{A}[^a-z0-9\x{A}]*\x{A}"""
+LOOSE = r"[^a-z0-9.|-]+|(?<![a-z0-9])[.-]+|-+(?![a-z0-9])"
+#: An SPDX line's further licences get its mark, too.
+MORE = r"((?:spdx-license-identifier |\G(?!^))[a-z0-9.-]+ )(?:or|and) "
+
+
+def any_of(phrases) -> str:
+    """The longest first, by their first words."""
+    by: dict[str, list[str]] = {}
+    for s in sorted(phrases, key=lambda s: (-len(s), s)):
+        first, _, rest = s.partition(" ")
+        by.setdefault(first, []).append(re.escape(rest).replace("\\ ", " "))
+    return "(?:" + "|".join(f"{re.escape(first)} (?:{'|'.join(rest)})" for first, rest in by.items()) + ")"
+
+
+FOUND = f"(?<=[|] ){any_of(TITLES)}(?= (?:[|]|copyright ))|(?<= ){any_of(PHRASES)}(?= )"
+
+
+def normalised(text: Column) -> Column:
+    """Words with one blank between them, and ``|`` for a cut, also at both ends."""
+    whole = F.regexp_replace(F.translate(F.lower(text), "|\r", " "), r"\b(gpl-[23][.]0)[+]", "$1-or-later")
+    for pattern, to in ((LEADS, " "), (CUTS, " | "), (LOOSE, " ")):
+        whole = F.regexp_replace(whole, pattern, to)
+    whole = F.regexp_replace(F.concat(F.lit(" | "), whole, F.lit(" | ")), r"\x{20}+", " ")
+    whole = F.regexp_replace(whole, MORE, "$1spdx-license-identifier ")
+    for pattern, to in NOTICES:
+        whole = F.regexp_replace(whole, pattern, to)
+    return whole
 
 
-def sequence(parts: Column) -> Column:
-    """The identifiers of the known sentences: whole sentences, or sentences that end
-    in a known one (a name, a year and the like may stand before)."""
-    known = F.create_map(*(F.lit(x) for i, s in SENTENCES for x in (s, i)))
-    one = lambda s: F.coalesce(F.element_at(known, F.regexp_extract(s, KNOWN, 1)), F.lit(""))
-    return F.array_join(F.transform(F.filter(parts, lambda s: F.length(s) > 10), one), "")
+def sequence(text: Column) -> Column:
+    """The identifiers of the known sentences, in order."""
+    known = F.create_map(*(F.lit(x) for s, i in {**PHRASES, **TITLES}.items() for x in (s, i)))
+    return F.array_join(F.transform(F.regexp_extract_all(normalised(text), F.lit(FOUND), F.lit(0)), lambda s: F.element_at(known, s)), "")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, sentence_ids, licenses (in the rules' order), n_matches."""
-    found = docs.select(F.col(id_col).alias("doc_id"), sequence(sentences(text_of(text_col))).alias("sentence_ids"))
+    found = docs.select(F.col(id_col).alias("doc_id"), sequence(text_of(text_col)).alias("sentence_ids"))
     rest, names, counts = F.col("sentence_ids"), [], []
-    for name, pattern in RULES:  # the matched stretch is replaced, so later rules do not see it
+    for name, pattern in CLAIMS:  # the matched stretch is replaced, so later rules do not see it
         counts.append(F.regexp_count(rest, F.lit(pattern)))
         names.append(F.when(F.regexp_count(rest, F.lit(pattern)) > 0, F.lit(name)))
         rest = F.regexp_replace(rest, pattern, "-")

@@ -304,6 +304,79 @@ def test_license_rules(spark):
     assert got == {1: ("m", ["MIT"], 1), 2: ("no", ["MIT"], 1), 3: ("aq", ["Apache-2.0", "CC-BY-NC-4.0"], 2), 4: ("", [], 0), 5: ("g", ["GPL-3.0-only"], 1), 6: ("", [], 0)}
 
 
+APACHE = """# Copyright 2020 A. Writer
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+MIT = """MIT License
+
+Copyright (c) 2020 A. Writer. All rights reserved.
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+BSD2 = """Copyright (c) 2020, A. Writer
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+%s
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY ARE DISCLAIMED."""
+THIRD = """
+3. Neither the name of Writers Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version %s of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details."""
+
+
+def test_licenses_of_standard_texts(spark):
+    cases = [
+        (APACHE, ["Apache-2.0"]), (MIT, ["MIT"]), (BSD2 % "", ["BSD-2-Clause"]), (BSD2 % THIRD, ["BSD-3-Clause"]), (GPL % 3, ["GPL-3.0-or-later"]), (GPL % 2, ["GPL-2.0-or-later"]),
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 ...\n\n" + GPL % 3, ["GPL-3.0-only"]),
+        ("                                 Apache License\n                           Version 2.0, January 2004\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n" + APACHE, ["Apache-2.0"]),
+        ("// SPDX-License-Identifier: Apache-2.0\nint x;", ["Apache-2.0"]), ("# SPDX-License-Identifier: (MIT OR GPL-3.0+)\n", ["MIT", "GPL-3.0-or-later"]),
+        ("This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.", ["CC-BY-SA-4.0"]), ("See https://creativecommons.org/licenses/by/4.0/.", ["CC-BY-4.0"]),
+        ("This is licensed under the GNU GPL v3 or later, as said.", ["GPL-3.0-or-later"]), ("licensed under the Apache License. Version 2.0 is out", []), ("A talk on the MIT License", []),
+        ("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International", []), ("All rights\nreserved. x", ["Proprietary"]),
+    ]
+    got = {r.doc_id: (r.licenses, r.n_matches) for r in licenses.scan(docs_of(spark, list(enumerate(t for t, _ in cases)))).collect()}
+    assert got == {k: (want, len(want)) for k, (_, want) in enumerate(cases)}
+
+
 # 8. Near duplicates.
 
 
