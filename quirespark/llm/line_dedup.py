@@ -8,7 +8,9 @@
    and a line that a third of all documents hold loses no document.
 3. Each pair is aligned by patience diff: the lines that are unique in both
    documents and common to them, in longest increasing order, are anchors, grown
-   over equal neighbours. A block of at least ``BLOCK_CHARS`` characters is common.
+   over equal neighbours; gaps between anchors are aligned in the same way, and a gap
+   without anchors by a longest common subsequence. A block of at least
+   ``BLOCK_CHARS`` characters is common.
 4. Common blocks are deleted from the later document (the larger id). Decisions are
    made on the input, so they do not depend on an order of pairs.
 
@@ -74,10 +76,62 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+def longest_common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """A longest common subsequence, bit-parallel; equal heads and tails first."""
+    both = set(a) & set(b)
+    x, y = [i for i, h in enumerate(a) if h in both], [j for j, h in enumerate(b) if h in both]
+    lo, hi = 0, 0
+    while lo < min(len(x), len(y)) and a[x[lo]] == b[y[lo]]:
+        lo += 1
+    while hi < min(len(x), len(y)) - lo and a[x[-1 - hi]] == b[y[-1 - hi]]:
+        hi += 1
+    head, tail = list(zip(x[:lo], y[:lo])), list(zip(x[len(x) - hi :], y[len(y) - hi :]))
+    x, y = x[lo : len(x) - hi], y[lo : len(y) - hi]
+    places: dict[int, int] = {}
+    for k, j in enumerate(y):
+        places[b[j]] = places.get(b[j], 0) | 1 << k
+    full = state = (1 << len(y)) - 1
+    states = []
+    for i in x:
+        found = state & places.get(a[i], 0)
+        state = ((state + found) | (state - found)) & full
+        states.append(state)
+    middle, row, col = [], len(x), len(y)
+    while row and col:
+        if states[row - 1] >> (col - 1) & 1:
+            col -= 1
+        else:
+            row -= 1
+            if not row or states[row - 1] >> (col - 1) & 1:
+                col -= 1
+                middle.append((x[row], y[col]))
+    return [*head, *reversed(middle), *tail]
+
+
+def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Patience diff: between neighbouring anchors again, with what is unique in the
+    gap; a gap without anchors is aligned by a longest common subsequence."""
+    out, gaps = [], [(0, len(a), 0, len(b))]
+    while gaps:
+        i, m, j, n = gaps.pop()
+        left, right = a[i:m], b[j:n]
+        if not left or not right or set(left).isdisjoint(right):
+            continue
+        found = [(i + x, j + y) for x, y in patience(left, right)]
+        if not found:
+            out += [(i + x, j + y) for x, y in longest_common(left, right)]
+            continue
+        out += found
+        for (x, y), (u, v) in zip([(i - 1, j - 1), *found], [*found, (m, n)]):
+            if u - x > 1 and v - y > 1:
+                gaps.append((x + 1, u, y + 1, v))
+    return sorted(out)
+
+
 def common_lines(early: list[int], late: list[int], chars: list[int], least: int = BLOCK_CHARS) -> list[int]:
     """Lines of the later document inside common blocks: runs adjacent in both."""
     out, run = [], []
-    for pair in [*patience(early, late), (-9, -9)]:
+    for pair in [*aligned(early, late), (-9, -9)]:
         if run and pair != (run[-1][0] + 1, run[-1][1] + 1):
             if sum(chars[j] for _, j in run) >= least:
                 out += [j for _, j in run]

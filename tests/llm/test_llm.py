@@ -74,6 +74,20 @@ def test_patience_aligns_unique_lines():
     assert line_dedup.common_lines([1, 2, 3], [3, 1, 2], [30, 30, 30]) == [1, 2]
 
 
+def test_alignment_goes_on_between_anchors():
+    assert line_dedup.common_lines([1, 1], [1, 1], [60, 60]) == [0, 1]
+    assert line_dedup.aligned([5, 1, 1, 6, 7, 1], [1, 5, 1, 1, 6, 1]) == [(0, 1), (1, 2), (2, 3), (3, 4), (5, 5)]
+    r = random.Random(7)
+    for _ in range(300):
+        a, b = ([r.randrange(4) for _ in range(r.randrange(14))] for _ in range(2))
+        least = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            least[i + 1][j + 1] = least[i][j] + 1 if a[i] == b[j] else max(least[i][j + 1], least[i + 1][j])
+        assert len(line_dedup.longest_common(a, b)) == least[-1][-1]
+        for found in (line_dedup.longest_common(a, b), line_dedup.aligned(a, b)):
+            assert all(a[i] == b[j] for i, j in found) and all(p[0] < q[0] and p[1] < q[1] for p, q in itertools.pairwise(found))
+
+
 def naive_lines(texts):
     lines = {i: [x.strip(" \t\n\x0b\x0c\r") for x in t.split("\n")] for i, t in texts}
     gone = defaultdict(set)
