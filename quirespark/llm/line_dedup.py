@@ -3,9 +3,12 @@
 1. Each document becomes the array of its lines' 64-bit hashes (lines trimmed of
    white space; lines under ``LEAST_CHARS`` are no anchors).
 2. Documents that share a rare line (in at most ``RARE`` documents) are paired with
-   each other. A more frequent line pairs each of its documents with the first of
-   them only, so any line makes a number of pairs in proportion to its documents,
-   and a line that a third of all documents hold loses no document.
+   each other. Two that share frequent lines only do to each other what their
+   frequent lines say, whatever else they hold: documents with the same ones, up to
+   the length of gaps, are one class, and classes are paired. A run of lines of
+   ``BLOCK_CHARS`` goes to the first class that holds it and, where that leaves some
+   of it, to all that do. The result is that of all pairs of documents that share a
+   line of ``LEAST_CHARS``.
 3. Each pair is aligned by patience diff: the lines that are unique in both
    documents and common to them, in longest increasing order, are anchors, grown
    over equal neighbours; gaps between anchors are aligned in the same way, and a gap
@@ -17,22 +20,25 @@
 Alignment sees arrays of hashes and lengths, never texts. Joins are on exchanged
 sides, so AQE splits a document with very many partners.
 
-Rows: a null text has no lines. Repeated rows and null ids count as documents of
-their own (a null id comes last); of the same id and lines the later in row-hash
-order is the later document.
+Rows: a null text has no lines. Rows with one id and different texts and rows with
+null ids are documents of their own (null ids come last; of one id the order is that
+of the texts' MD5). Rows with the same id, or none, and the same text are one document.
 """
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import md5
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from quirespark.llm.common import join_checked, staged, text_of, tidied
+from quirespark.llm.common import join_checked, slices, staged, text_of, tidied
 
 LEAST_CHARS = 20
 BLOCK_CHARS = 40
@@ -140,54 +146,152 @@ def common_lines(early: list[int], late: list[int], chars: list[int], least: int
     return out
 
 
+def windows_of(hashes: list[int | None], chars: list[int], least: int = BLOCK_CHARS) -> list[tuple[int, int]]:
+    """From each line on, and up to each line, the least run of ``least`` characters
+    without a gap (None). Every line of a block of so many characters is in such a run
+    inside the block."""
+    out = set()
+    for step in (1, -1):
+        for i in range(len(hashes)):
+            j, n = i, 0
+            while 0 <= j < len(hashes) and hashes[j] is not None:
+                n += chars[j]
+                if n >= least:
+                    out.add((min(i, j), max(i, j) + 1))
+                    break
+                j += step
+    return sorted(out)
+
+
+def named(hashes: list[int], at: tuple[int, int]) -> bytes:
+    return md5(array("q", hashes[slice(*at)]).tobytes()).digest()
+
+
+def projected(hashes: list[int], chars: list[int], frequent: set[int]) -> tuple[list[int | None], list[int], list[int]]:
+    """The frequent lines, their characters and numbers; a gap of any length is one None."""
+    out, n, at = [], [], []
+    for k, h in enumerate(hashes):
+        if h in frequent:
+            out.append(h), n.append(chars[k]), at.append(k)
+        elif out and out[-1] is not None:
+            out.append(None), n.append(0), at.append(-1)
+    if out and out[-1] is None:
+        out.pop(), n.pop(), at.pop()
+    return out, n, at
+
+
+def pair_lines(early: list[int | None], late: list[int | None], chars: list[int]) -> list[int]:
+    """Lines of ``late`` in common blocks, if the two share a line of ``LEAST_CHARS``."""
+    held = set(early)
+    if not any(h in held and n >= LEAST_CHARS for h, n in zip(late, chars)):
+        return []
+    left, right = ([-2 * k - side if h is None else h for k, h in enumerate(x)] for side, x in ((1, early), (2, late)))
+    return common_lines(left, right, chars)
+
+
+def doc_of(id_col: str, text_col: str, kind: str) -> Column:
+    """Order of documents: null ids last, of one id by the text's hash."""
+    own = F.coalesce(F.col(id_col), F.lit("0").cast(kind))
+    return F.struct(F.col(id_col).isNull().alias("nul"), own.alias("id"), F.md5(text_of(text_col)).alias("text"))
+
+
 def lined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, doc_id, hashes, chars: doc orders documents by id and tells repeated rows apart."""
+    """doc, hashes, chars: doc orders documents by id and tells texts of one id apart."""
     lines = F.transform(F.split(text_of(text_col), "\n"), lambda s: F.regexp_replace(s, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
-    out = docs.select(F.col(id_col).alias("doc_id"), lines.alias("lines"))
-    return out.select("doc_id", F.transform("lines", lambda s: F.xxhash64(s)).alias("hashes"), F.transform("lines", lambda s: F.length(s)).alias("chars"))
-
-
-def pairs_of(lines: DataFrame) -> DataFrame:
-    """early, late: documents to align."""
-    own = lines.select("doc_id", F.explode(F.arrays_zip("hashes", "chars")).alias("line")).where(F.col("line.chars") >= LEAST_CHARS)
-    own = staged(own.select("doc_id", F.col("line.hashes").alias("h")).where("doc_id IS NOT NULL").distinct(), "line-own")
-    seen = staged(own.groupBy("h").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "line-seen")
-    near = own.withColumnRenamed("h", "_h").join(seen.hint("merge"), F.col("_h") == F.col("h"))
-    near = staged(near.select("doc_id", "h", "first", "n"), "line-near")
-    stars = near.where("doc_id != first").select(F.col("first").alias("early"), F.col("doc_id").alias("late"))
-    few = near.where(F.col("n") <= RARE).groupBy("h").agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))  # at most RARE each
-    late = few.select("docs", F.posexplode("docs").alias("k", "late")).where("k > 0")
-    rare = late.select(F.explode(F.slice("docs", 1, F.col("k"))).alias("early"), "late")
-    return stars.unionByName(rare).distinct()
+    out = docs.select(doc_of(id_col, text_col, dict(docs.dtypes)[id_col]).alias("doc"), lines.alias("lines"))
+    return out.select("doc", F.transform("lines", lambda s: F.xxhash64(s)).alias("hashes"), F.transform("lines", lambda s: F.length(s)).alias("chars"))
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, removed (sorted line numbers), of the documents that lose lines."""
-    lines = staged(lined(docs, id_col, text_col), "line-lines")
-    single = lines.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by("hashes", F.xxhash64("hashes")).alias("hashes"), F.min_by("chars", F.xxhash64("hashes")).alias("chars"))
-    single = staged(single, "line-single")
-    pairs = staged(pairs_of(single), "line-pairs")
+def over(rows: DataFrame, columns: list[str], schema: str, make) -> DataFrame:
+    """``make`` gives the output rows of one input row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 500):
+                found = [x for row in zip(*(part.column(c).to_pylist() for c in columns)) for x in make(*row)]
+                yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in found], schema=arrow)
+
+    arrow = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
+    names = arrow.names
+    return rows.select(*columns).mapInArrow(tidied(run), schema)
+
+
+def rare_cuts(single: DataFrame, near: DataFrame) -> DataFrame:
+    """doc, line: removed by documents that share a rare line, in all their pairs."""
+    few = near.where(F.col("n") <= RARE).groupBy("h").agg(F.sort_array(F.collect_list("doc")).alias("docs"))  # at most RARE each
+    late = few.select("docs", F.posexplode("docs").alias("k", "late")).where("k > 0")
+    pairs = staged(late.select(F.explode(F.slice("docs", 1, F.col("k"))).alias("early"), "late").distinct(), "line-pairs")
     for side in ("early", "late"):
-        table = single.select(F.col("doc_id").alias(side), F.col("hashes").alias(f"{side}_hashes"), F.col("chars").alias(f"{side}_chars"))
+        table = single.select(F.col("doc").alias(side), F.col("hashes").alias(f"{side}_hashes"), F.col("chars").alias(f"{side}_chars"))
         pairs = pairs.join(table.hint("merge"), side)
+    kind = single.schema["doc"].dataType.simpleString()
+    rows = pairs.select(F.col("late").alias("doc"), "early_hashes", "late_hashes", "late_chars")
+    return over(rows, rows.columns, f"doc {kind}, line int", lambda doc, a, b, n: ((doc, k) for k in pair_lines(a, b, n)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("early_hashes", "late_hashes", "late_chars")))
-            found = [common_lines(*r) for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("late"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "removed"])
 
-    kind = dict(single.dtypes)["doc_id"]
-    cut = pairs.select("late", "early_hashes", "late_hashes", "late_chars").mapInArrow(tidied(run), f"doc_id {kind}, removed array<int>")
-    gone = cut.where("size(removed) > 0").select("doc_id", F.explode("removed").alias("line")).distinct()
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("removed"))
+def frequent_cuts(single: DataFrame, near: DataFrame) -> DataFrame:
+    """doc, line: removed by documents that share frequent lines only. What two of them
+    do depends on their frequent lines alone, so it is decided between classes of
+    documents with the same ones, and holds for the documents after a class's first."""
+    some = near.where(F.col("n") > RARE).groupBy("doc").agg(F.collect_set("h").alias("own"), F.max("size").alias("size")).where(F.col("size") >= LEAST_CHARS)
+    both = single.join(some.hint("merge"), "doc")
+    kind = single.schema["doc"].dataType.simpleString()
+
+    def member(doc, hashes, chars, own):
+        proj, n, at = projected(hashes, chars, set(own))
+        yield doc, md5(repr(proj).encode()).digest(), proj, n, at
+
+    members = staged(over(both, ["doc", "hashes", "chars", "own"], f"doc {kind}, cls binary, hashes array<bigint>, chars array<int>, at array<int>", member), "line-members")
+    classes = staged(members.groupBy("cls").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.first("hashes").alias("hashes"), F.first("chars").alias("chars")), "line-classes")
+    keys = over(classes, ["cls", "hashes", "chars"], "cls binary, w binary", lambda cls, h, n: ((cls, w) for w in {named(h, x) for x in windows_of(h, n)}))
+    keys = staged(keys, "line-keys")
+    order = classes.select("cls", "first", "last")
+    held = staged(keys.join(order.hint("merge"), "cls"), "line-held")
+    firsts = staged(held.groupBy("w").agg(F.min_by("cls", "first").alias("a"), F.max("last").alias("most"), F.min("first").alias("least")).where("most > least"), "line-firsts")
+
+    def cuts(pairs: DataFrame, name: str) -> DataFrame:
+        """b, first (of a), found (numbers in b's lines), a, open (windows of b not all found)."""
+        left = classes.select(F.col("cls").alias("a"), "first", F.col("hashes").alias("x"))
+        right = classes.select(F.col("cls").alias("b"), F.col("hashes").alias("y"), "chars")
+        rows = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+
+        def make(a, b, first, x, y, n):
+            found = pair_lines(x, y, n)
+            gone = set(found)
+            yield a, b, first, found, list({named(y, w) for w in windows_of(y, n) if not gone.issuperset(range(*w))})
+
+        return staged(over(rows, ["a", "b", "first", "x", "y", "chars"], f"a binary, b binary, first {kind}, found array<int>, open array<binary>", make), name)
+
+    # A run goes to the class that holds it first; where that leaves some of it, to all that hold it.
+    one = held.join(firsts.hint("merge"), "w").where("last > least").select("a", F.col("cls").alias("b")).distinct()
+    done = cuts(staged(one, "line-one"), "line-done")
+    rest = done.select("a", "b", F.explode("open").alias("w")).join(firsts.select("w", "a").hint("merge"), ["w", "a"])
+    rest = staged(rest.join(order.select(F.col("cls").alias("b"), "last").hint("merge"), "b"), "line-open")
+    others = rest.withColumnRenamed("a", "tried").join(held.select("w", F.col("cls").alias("a"), "first").hint("merge"), "w")
+    others = others.where("first < last AND a != tried").select("a", "b").distinct()
+    every = done.unionByName(cuts(staged(others, "line-others"), "line-rest"))
+    least = every.select("b", "first", F.explode("found").alias("k")).groupBy("b", "k").agg(F.min("first").alias("first"))
+    cover = staged(least.groupBy("b").agg(F.collect_list(F.struct("k", "first")).alias("cover")), "line-cover")
+    out = members.select("doc", F.col("cls").alias("b"), "at").join(cover.hint("merge"), "b")
+    return out.select("doc", F.explode(F.expr("transform(filter(cover, c -> c.first < doc), c -> at[c.k])")).alias("line"))
+
+
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc, removed (sorted line numbers), of the documents that lose lines."""
+    lines = lined(docs, id_col, text_col)
+    single = staged(lines.groupBy("doc").agg(F.first("hashes").alias("hashes"), F.first("chars").alias("chars")), "line-single")
+    own = single.select("doc", F.explode(F.arrays_zip("hashes", "chars")).alias("line"))
+    own = staged(own.select("doc", F.col("line.hashes").alias("h"), F.col("line.chars").alias("size")).distinct(), "line-own")
+    seen = staged(own.groupBy(F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "line-seen")
+    near = staged(own.join(seen.hint("merge"), F.col("_h") == F.col("h")).select("doc", "h", "size", "n"), "line-near")
+    gone = rare_cuts(single, near).unionByName(frequent_cuts(single, near)).distinct()
+    return gone.groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("removed"))
 
 
 def drop_common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_lines, n_removed, text (lines left)."""
-    gone = staged(removed_lines(docs, id_col, text_col), "line-gone").withColumnRenamed("doc_id", "_id")
-    own = docs.select(F.col(id_col).alias("doc_id"), F.split(text_of(text_col), "\n").alias("lines"))
-    both = join_checked(own, gone, own["doc_id"] == gone["_id"], "left")
+    gone = staged(removed_lines(docs, id_col, text_col), "line-gone").withColumnRenamed("doc", "_doc")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.split(text_of(text_col), "\n").alias("lines"), doc_of(id_col, text_col, dict(docs.dtypes)[id_col]).alias("doc"))
+    both = join_checked(own, gone, own["doc"] == gone["_doc"], "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     kept = F.filter("lines", lambda s, k: ~F.array_contains(removed, k))
     n = F.when(F.array_join("lines", "") == "", F.lit(0)).otherwise(F.size("lines"))

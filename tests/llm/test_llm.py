@@ -107,6 +107,18 @@ def test_line_dedup_against_all_pairs(spark):
     assert got == naive_lines(texts)
 
 
+def test_frequent_lines_against_all_pairs(spark):
+    p, q, z = ("a passage that stands in most of these texts, of some length", "another passage that most of them hold, and long enough", "a third one, which is there more than once in some of them")
+    short = ["first half, 25 characters", "other half, 25 characters", "menu", "home", ""]
+    own = lambda i, k: f"own line {i} {k}"
+    r = random.Random(11)
+    parts = [[p, own(0, 0), q], *([q, own(i, 0), p] for i in range(1, 7)), [p, own(7, 0), p], [short[0]], [short[1]], *([short[0], short[1]] for _ in range(8))]
+    parts += [[r.choice((p, q, z, *short, own(len(parts) + k, j))) for j in range(r.randrange(1, 9))] for k in range(60)]
+    texts = [(i, "\n".join(x)) for i, x in enumerate(parts)]
+    got = {x.doc_id: x.text for x in line_dedup.drop_common_blocks(docs_of(spark, texts)).collect()}
+    assert got == naive_lines(texts)
+
+
 def test_line_dedup_rows(odd):
     got = line_dedup.drop_common_blocks(odd).collect()
     assert len(got) == len(odd_texts())
