@@ -119,6 +119,13 @@ def test_frequent_lines_against_all_pairs(spark):
     assert got == naive_lines(texts)
 
 
+def test_line_dedup_keeps_rows_of_one_id_apart(spark):
+    block = "a block of one line that several of these rows hold, long enough"
+    texts = [(1, block + "\nfirst"), (5, "clean\nrows\nof five"), (5, "own\n" + block), (None, block + "\nnull one"), (None, "null two\n" + block), (None, "clean null")]
+    got = Counter((x.doc_id, x.n_removed, x.text) for x in line_dedup.drop_common_blocks(docs_of(spark, texts)).collect())
+    assert got == Counter([(1, 0, block + "\nfirst"), (5, 0, "clean\nrows\nof five"), (5, 1, "own"), (None, 1, "null one"), (None, 1, "null two"), (None, 0, "clean null")])
+
+
 def test_line_dedup_rows(odd):
     got = line_dedup.drop_common_blocks(odd).collect()
     assert len(got) == len(odd_texts())
