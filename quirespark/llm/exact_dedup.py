@@ -56,8 +56,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns."""
     groups = exact_groups(docs, id_col, text_col)
-    dropped = staged(groups.where("NOT kept").select(F.col("doc_id").alias("_dropped")), "exact-dropped").distinct()
-    kept = join_checked(docs, dropped, docs[id_col].eqNullSafe(dropped["_dropped"]), "left_anti")
+    # By id and text: another row of a copy's id may have a text of its own.
+    dropped = staged(groups.where("NOT kept").select(F.col("doc_id").alias("_dropped"), F.col("text_sha256").alias("_sha256")).distinct(), "exact-dropped")
+    own = docs.withColumn("_own_sha256", F.sha2(normalised(text_of(text_col)), 256))
+    kept = join_checked(own, dropped, own[id_col].eqNullSafe(dropped["_dropped"]) & (own["_own_sha256"] == dropped["_sha256"]), "left_anti").drop("_own_sha256")
     twice = staged(groups.where("kept AND group_size > 1").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")), "exact-twice")
     if not is_small(twice, 0):  # rows repeated with id and text: one of each stays
         text, again = F.md5(normalised(text_of(text_col))), F.broadcast(twice) if is_small(twice) else twice

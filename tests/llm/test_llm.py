@@ -480,6 +480,11 @@ def test_exact_groups_rows(odd):
     assert kept.columns == odd.columns and kept.count() == len(groups)
 
 
+def test_a_copy_does_not_take_the_other_text_of_its_id(spark):
+    texts = [(1, "the same"), (2, "the same"), (2, "of its own"), (None, "the same"), (None, "null's own")]
+    assert sorted(x.text for x in exact_dedup.drop_copies(docs_of(spark, texts)).collect()) == ["null's own", "of its own", "the same"]
+
+
 # 10. Mixing.
 
 
