@@ -36,7 +36,7 @@ def op5_fingerprints(spark, sf_dir):
 
 
 def op6_toxicity(spark, sf_dir):
-    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("digest")
 
 
 def op7_license_scan(spark, sf_dir):

@@ -1,22 +1,24 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Fit, on at most ``EXAMPLES`` labelled rows chosen by the hash of their id: terms
-(letter runs, lowered) whose document counts in the two classes differ by a
-log-likelihood ratio beyond what the number of tested terms explains by chance;
-at most ``TERMS`` of them. Everything else covers all documents: their document
-frequencies, their vectors and the search.
-
-Search: the examples' vectors form an inverted index in blocks of examples that
-share their heaviest term. A posting list knows its largest weight in each block,
-so the query's bound of a block is a sum of such maxima; blocks are scored by
-falling bound and the search ends when no bound left exceeds the k-th best cosine.
-That is exact. The neighbours vote with their squared cosine as weight, smoothed towards
-the labels' base rate, which a text without any term gets.
+Fit, on at most ``EXAMPLES`` labelled rows chosen by the hash of their id: the
+vocabulary is every word of the examples (letter runs, lowered). A word weighs
+sqrt(count) * idf * (``FLOOR`` + told): idf from the document frequencies of all
+documents, and told the lower bound, ``SURE`` standard errors below, of the logarithm
+by which the word is likelier among toxic examples, at least 0. Words that tell
+nothing keep the floor, each in a dimension of its own; none is cut. Words outside the
+vocabulary have no weight. Everything but the fit covers all documents.
+
+Search: the examples' vectors form an inverted index in blocks of ``BLOCK`` examples,
+ordered by label, commonest and heaviest word. Each word knows its largest weight in
+each block that holds it, so a query's bound of a block is a sum of such maxima; blocks
+are scored by falling bound, a doubling number at a time, until no bound left reaches
+the k-th best cosine. That is exact. The neighbours vote with their cosine as weight,
+smoothed towards the labels' base rate, which a text without any known word gets.
 
 Rows: a null or empty text gets the base rate. Labels that are null are left out;
-a document labelled twice counts as toxic if either says so. With no labels, or
-none of one class, every score is the base rate (0 without labels). Repeated rows
-are scored alike.
+a document labelled twice counts as toxic if either says so; of rows of one labelled
+id, that with the least text is the example. With no labels, or none of one class,
+every score is the base rate (0 without labels). Repeated rows are scored alike.
 """
 
 from __future__ import annotations
@@ -30,19 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirespark.llm.common import staged, text_of, tidied
+from quirespark.llm.common import join_checked, staged, text_of, tidied
 
-EXAMPLES = 20_000
-TERMS = 1024
-NEIGHBOURS = 7
+EXAMPLES = 8192
+NEIGHBOURS = 11
 BLOCK = 64
 #: Weight of the base rate against the neighbours' votes.
-PRIOR = 0.1
+PRIOR = 0.02
 CUT = 0.7
-#: Weight of all other words together, in place of an inverse document frequency.
-REST = 0.1
-#: Log-likelihood ratio asked of a term, as a multiple of the logarithm of the tested terms' number.
-CHANCE = 3
+#: Weight of a word that tells nothing, and standard errors asked of one that does.
+FLOOR, SURE = 0.1, 2.0
+#: Index entries that one step of a search may expand.
+STEP = 1 << 21
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -69,137 +70,197 @@ def term_counts(sample: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("in_toxic").alias("in_toxic"), F.sum("in_other").alias("in_other"))
 
 
-def telling_terms(counts: DataFrame, toxic: int, other: int, most: int = TERMS) -> list[str]:
-    """Terms over-represented among toxic examples, strongest first."""
-    if not toxic or not other:
-        return []
-    share = toxic / (toxic + other)
-    n = F.col("in_toxic") + F.col("in_other")
-    part = lambda k, p: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (n * p))).otherwise(0.0)
-    tested = staged(counts.where(n >= 2).withColumn("ratio", 2 * (part("in_toxic", share) + part("in_other", 1 - share))), "toxic-terms")
-    chance = CHANCE * float(np.log(max(2, tested.count())))
-    strong = tested.where((F.col("in_toxic") / n > share) & (F.col("ratio") > chance))
-    return [r["term"] for r in strong.orderBy(F.desc("ratio"), "term").limit(most).collect()]
-
-
-def vectors(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
-    """doc_id, terms (numbers), counts; of every document. After the telling terms
-    comes one number for all other words, which keeps a text's length in its vector:
-    a long text with a stray term stays near the texts without any."""
-    number, rest = {t: k for k, t in enumerate(terms)}, len(terms)
-
-    def counted(text: str) -> Counter:
-        words = words_of(text)
-        found = Counter(number[w] for w in words if w in number)
-        if others := len(words) - sum(found.values()):
-            found[rest] = others if found else 1  # alone, its count changes nothing
-        return found
+def told(in_toxic: np.ndarray, in_other: np.ndarray, toxic: int, other: int) -> np.ndarray:
+    """Lower bounds of the words' log-odds of toxic examples, at least 0."""
+    odds = np.log((in_toxic + 0.5) / (in_other + 0.5)) - np.log((toxic + 0.5) / (other + 0.5))
+    return np.maximum(0.0, odds - SURE * np.sqrt(1 / (in_toxic + 0.5) + 1 / (in_other + 0.5)))
+
+
+def vectors(docs: DataFrame, terms, columns: list[str]) -> DataFrame:
+    """The columns, terms (numbers in the broadcast vocabulary) and counts, a row per
+    row of (columns, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {t: k for k, t in enumerate(terms.value)}
         for batch in batches:
-            found = [counted(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([list(x) for x in part], pa.list_(pa.int32())) for part in (found, [c.values() for c in found]))], ["doc_id", "terms", "counts"])
+            at, found, times = [0], [], []
+            for text in batch.column("text").to_pylist():
+                for word, n in Counter(words_of(text)).items():
+                    if (k := number.get(word)) is not None:
+                        found.append(k)
+                        times.append(n)
+                at.append(len(found))
+            offsets = pa.array(at, pa.int32())
+            lists = (pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (found, times))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *lists], [*columns, "terms", "counts"])
+
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns)
+    return docs.select(*columns, "text").mapInArrow(tidied(run), f"{kinds}, terms array<int>, counts array<int>")
+
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    chosen = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    return chosen.mapInArrow(tidied(run), f"doc_id {kind}, terms array<int>, counts array<int>")
+def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The members of all the ranges, and the number of each one's range."""
+    size = ends - starts
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(of)) + np.repeat(starts - (np.cumsum(size) - size), size), of
 
 
 class BlockMaxIndex:
     """Inverted index of unit vectors with the largest weight of each term by block."""
 
-    def __init__(self, examples: list[tuple[int, list[int], list[int], int]], idf: np.ndarray, block: int = BLOCK):
-        self.idf, self.block = idf, block
-        made = sorted((self.vector(terms, counts), name, label) for name, terms, counts, label in examples if terms)
-        made.sort(key=lambda e: max(e[0], key=lambda p: p[1])[0])
-        self.names, self.labels = [e[1] for e in made], np.array([e[2] for e in made], dtype=np.float64)
-        blocks = -(-len(made) // block)
-        self.postings: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
-        self.most: dict[int, np.ndarray] = {}
-        lists: dict[tuple[int, int], list] = {}
-        for k, (vector, _, _) in enumerate(made):
-            for term, weight in vector:
-                lists.setdefault((term, k // block), []).append((k % block, weight))
-        for (term, b), found in lists.items():
-            at, weight = map(np.array, zip(*found))
-            self.postings.setdefault(term, {})[b] = (at, weight)
-            self.most.setdefault(term, np.zeros(blocks))[b] = weight.max()
-
-    def vector(self, terms, counts) -> tuple[tuple[int, float], ...]:
-        weight = [n**0.5 * self.idf[t] for t, n in zip(terms, counts)]
-        norm = float(np.sqrt(sum(w * w for w in weight))) or 1.0
-        return tuple((int(t), float(w) / norm) for t, w in sorted(zip(terms, weight)))
-
-    def nearest(self, terms, counts, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
-        """(cosine, number) of the k nearest examples with a positive cosine; of
-        equal cosines the smaller number."""
-        query = [(t, w) for t, w in self.vector(terms, counts) if t in self.most]
-        if not query:
-            return []
-        bounds = sum(w * self.most[t] for t, w in query)
-        best: list[tuple[float, int]] = []
-        for b in np.lexsort((np.arange(len(bounds)), -np.round(bounds, 12))):
-            # Equal bounds come in the order of numbers, so an equal cosine cannot win any more.
-            if bounds[b] <= 0 or len(best) == k and round(bounds[b], 12) <= round(best[-1][0], 12):
+    def __init__(self, of: np.ndarray, terms: np.ndarray, counts: np.ndarray, labels: np.ndarray, idf: np.ndarray, block: int = BLOCK):
+        """``of``, ``terms``, ``counts``: the examples' words, with their example's number."""
+        self.idf, self.block, self.n = idf, block, len(labels)
+        weights = self.weights(of, terms, counts, self.n)
+        keys = []
+        for by in (counts, weights):  # each example's commonest and heaviest word
+            order = np.lexsort((terms, -by, of))
+            first = order[np.flatnonzero(np.diff(of[order], prepend=-1))]
+            key = np.full(self.n, -1)
+            key[of[first]] = terms[first]
+            keys.append(key)
+        #: Example at each place.
+        self.order = np.lexsort((keys[1], keys[0], labels))
+        self.labels = labels[self.order].astype(np.float64)
+        self.blocks = -(-self.n // block)
+        place = np.empty(self.n, dtype=np.int64)
+        place[self.order] = np.arange(self.n)
+        at = place[of] if len(of) else of
+        order = np.lexsort((at, terms))
+        self.at, self.weight, terms = at[order].astype(np.int32), weights[order], terms[order]
+        new = np.flatnonzero((np.diff(terms, prepend=-1) != 0) | (np.diff(self.at // block, prepend=-1) != 0))
+        #: A run of postings for each term and block: the block, its first posting, its largest weight.
+        self.run_block = (self.at[new] // block).astype(np.int32)
+        self.run_start = np.append(new, len(order)).astype(np.int32)
+        self.run_most = np.maximum.reduceat(self.weight, new) if len(new) else np.empty(0)
+        #: The first run of each term.
+        self.term_run = np.searchsorted(terms[new], np.arange(len(idf) + 1)).astype(np.int32)
+
+    def weights(self, of: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+        weight = np.sqrt(counts) * self.idf[terms]
+        norm = np.sqrt(np.bincount(of, weights=weight * weight, minlength=n))
+        return weight / np.where(norm > 0, norm, 1.0)[of]
+
+    def parts(self, of: np.ndarray, terms: np.ndarray, n: int):
+        """First and last query of each step of a search, of about STEP entries."""
+        runs = self.term_run[terms + 1] - self.term_run[terms]
+        own = np.cumsum(np.bincount(of, weights=runs, minlength=n) + self.n)
+        first = 0
+        while first < n:
+            base = own[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(own, base + STEP, side="right")))
+            yield first, last
+            first = last
+
+    def nearest(self, of: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and places of the k nearest examples of n queries, the best first; of
+        equal cosines the smaller place. Missing ones have cosine 0."""
+        cosines, places = np.zeros((n, k)), np.zeros((n, k), dtype=np.int64)
+        weight, ends = self.weights(of, terms, counts, n), np.searchsorted(of, np.arange(n + 1))
+        for a, b in self.parts(of, terms, n) if self.n else ():
+            own = slice(ends[a], ends[b])
+            cosines[a:b], places[a:b] = self.search(of[own] - a, terms[own], weight[own], b - a, k)
+        return cosines, places
+
+    def search(self, of: np.ndarray, terms: np.ndarray, weight: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        run, entry = ranges(self.term_run[terms], self.term_run[terms + 1])
+        pair = of[entry] * self.blocks + self.run_block[run]
+        bounds = np.bincount(pair, weights=weight[entry] * self.run_most[run], minlength=n * self.blocks).reshape(n, self.blocks)
+        ranked = np.argsort(-bounds, axis=1, kind="stable")
+        rank = np.empty_like(ranked)
+        np.put_along_axis(rank, ranked, np.arange(self.blocks)[None, :].repeat(n, axis=0), axis=1)
+        scores, best = np.zeros(n * self.n), np.zeros(n)
+        done, step = 0, 1
+        while done < self.blocks:
+            # Bounds are sums in another order than scores, so they get some room.
+            chosen = (rank >= done) & (rank < done + step) & (bounds > 0) & (bounds * (1 + 1e-9) >= best[:, None])
+            if not chosen.any():
                 break
-            scores = np.zeros(self.block)
-            for t, w in query:
-                if found := self.postings[t].get(int(b)):
-                    scores[found[0]] += w * found[1]
-            best += [(float(scores[i]), int(b) * self.block + int(i)) for i in np.flatnonzero(scores)]
-            best = sorted(best, key=lambda e: (-round(e[0], 12), e[1]))[:k]
-        return best
-
-
-def scored(found: DataFrame, index, base: float) -> DataFrame:
+            mine = np.flatnonzero(chosen.ravel()[pair])
+            posting, which = ranges(self.run_start[run[mine]], self.run_start[run[mine] + 1])
+            by = mine[which]
+            scores += np.bincount(of[entry[by]] * self.n + self.at[posting], weights=weight[entry[by]] * self.weight[posting], minlength=n * self.n)
+            table = scores.reshape(n, self.n)
+            if self.n > k:
+                best = np.partition(table, self.n - k, axis=1)[:, self.n - k]
+            done, step = done + step, step * 2
+        table = np.round(scores.reshape(n, self.n), 12)
+        top = np.argsort(-table, axis=1, kind="stable")[:, :k] if self.n <= 4 * k else self.top(table, k)
+        cosines, places = np.zeros((n, k)), np.zeros((n, k), dtype=np.int64)
+        cosines[:, : top.shape[1]], places[:, : top.shape[1]] = np.take_along_axis(table, top, axis=1), top
+        return cosines, places
+
+    @staticmethod
+    def top(table: np.ndarray, k: int) -> np.ndarray:
+        least = np.partition(table, table.shape[1] - k, axis=1)[:, table.shape[1] - k]
+        out = np.empty((len(table), k), dtype=np.int64)
+        for row, (scores, bound) in enumerate(zip(table, least)):
+            at = np.flatnonzero(scores >= bound) if bound > 0 else np.flatnonzero(scores > 0)
+            found = at[np.argsort(-scores[at], kind="stable")][:k]
+            out[row] = np.append(found, np.flatnonzero(scores == 0)[: k - len(found)])
+        return out
+
+
+def flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column, and the row of each."""
+    offsets = lists.offsets.to_numpy()
+    return lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(lists)), np.diff(offsets))
+
+
+def votes(index: BlockMaxIndex, of, terms, counts, n: int, base: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores of n texts, and the cosines and places of their neighbours."""
+    cosines, places = index.nearest(of, terms, counts, n)
+    labels = index.labels[places] if index.n else np.zeros(places.shape)
+    return ((cosines * labels).sum(axis=1) + PRIOR * base) / (cosines.sum(axis=1) + PRIOR), cosines, places
+
+
+def scored(found: DataFrame, index, base: float, columns: list[str], name_kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = index.value, {}
+        own, names = index.value
         for batch in batches:
-            scores, evidence = [], []
-            for terms, counts in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist()):
-                key = tuple(sorted(zip(terms, counts)))
-                if key not in known:
-                    near = own.nearest(*zip(*key)) if key else []
-                    votes, weight = sum(c * c * own.labels[i] for c, i in near), sum(c * c for c, _ in near)
-                    if len(known) > 50_000:
-                        known.clear()
-                    known[key] = ((votes + PRIOR * base) / (weight + PRIOR), [own.names[i] for _, i in near])
-                scores.append(min(1.0, max(0.0, float(known[key][0]))))
-                evidence.append(known[key][1])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
-
-    kind = dict(found.dtypes)["doc_id"]
-    return found.mapInArrow(tidied(run), f"doc_id {kind}, score double, evidence array<long>")
+            (terms, of), (counts, _) = flat(batch.column("terms")), flat(batch.column("counts"))
+            scores, cosines, places = votes(own, of, terms, counts, batch.num_rows, base)
+            there = cosines > 0
+            at = pa.array(np.append(0, np.cumsum(there.sum(axis=1))), pa.int32())
+            evidence = pa.ListArray.from_arrays(at, names.take(pa.array(own.order[places[there]] if own.n else places[there])))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(np.clip(scores, 0, 1)), evidence], [*columns, "score", "evidence"])
+
+    kinds = ", ".join(f"{c} {found.schema[c].dataType.simpleString()}" for c in columns)
+    return found.mapInArrow(tidied(run), f"{kinds}, score double, evidence array<{name_kind}>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, evidence (the ids
-    of the nearest examples)."""
+    of the nearest examples), digest (MD5 of the text)."""
+    spark = docs.sparkSession
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out())
     chosen = staged(known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(examples), "toxic-chosen")
     few = F.broadcast(chosen.withColumnRenamed("doc_id", "_id"))  # at most ``examples`` narrow rows
-    first = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    sample = staged(first.join(few, F.col("doc_id") == F.col("_id")).select("text", "toxic"), "toxic-sample")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(text_of(text_col))).alias("digest"), text_of(text_col).alias("text"))
+    sample = own.join(few, F.col("doc_id") == F.col("_id")).groupBy("_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    sample = staged(sample.withColumnRenamed("_id", "doc_id"), "toxic-sample")
     seen = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    terms = telling_terms(term_counts(sample), seen.get(1, 0), seen.get(0, 0))
     base = seen.get(1, 0) / max(1, sum(seen.values()))
 
-    found = staged(vectors(docs, terms, id_col, text_col), "toxic-vectors")
-    df = np.zeros(len(terms) + 1)
-    for r in found.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # a row a term
-        df[r["term"]] = r["count"]
-    idf = np.log((1 + found.count()) / (1 + df)) + 1
-    idf[-1] = REST
-    rows = found.where("size(terms) > 0").join(few, F.col("doc_id") == F.col("_id")).select("doc_id", "terms", "counts", "toxic").collect()  # at most ``examples``
-    index = docs.sparkSession.sparkContext.broadcast(BlockMaxIndex([tuple(r) for r in rows], idf))
-    out = scored(found, index, base)
-    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "evidence")
+    # The vocabulary and the examples' words are bounded by ``examples`` texts.
+    counts = term_counts(sample).orderBy("term").toArrow()
+    terms = spark.sparkContext.broadcast(counts.column("term").to_pylist())
+    found = staged(vectors(own, terms, ["doc_id", "digest"]), "toxic-vectors")
+    seen_in = found.select(F.explode("terms").alias("term")).groupBy("term").count().toArrow()
+    df = np.ones(len(counts))
+    df[seen_in.column("term").to_numpy()] = seen_in.column("count").to_numpy()
+    idf = np.log((1 + found.count()) / df) * (FLOOR + told(counts.column("in_toxic").to_numpy(), counts.column("in_other").to_numpy(), seen.get(1, 0), seen.get(0, 0)))
+    rows = vectors(sample, terms, ["doc_id", "toxic"]).orderBy("doc_id").toArrow().combine_chunks()
+    column = lambda c: rows.column(c).combine_chunks() if rows.num_rows else pa.array([], rows.schema.field(c).type)
+    (words, of), (times, _) = flat(column("terms")), flat(column("counts"))
+    index = BlockMaxIndex(of, words, times, column("toxic").to_numpy(), idf)
+    out = scored(found, spark.sparkContext.broadcast((index, column("doc_id"))), base, ["doc_id", "digest"], sample.schema["doc_id"].dataType.simpleString())
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "evidence", "digest")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are not predicted toxic, with all their columns."""
-    from quirespark.llm.common import join_checked
-
-    gone = staged(toxicity(docs, labels, id_col, text_col).where("predicted = 1").select(F.col("doc_id").alias("_gone")).distinct(), "toxic-gone")
-    return join_checked(docs, gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    """The documents that are not predicted toxic, with all their columns. A score is
+    the text's, so a text goes wherever it stands, and another row of its id stays."""
+    gone = staged(toxicity(docs, labels, id_col, text_col).where("predicted = 1").select(F.col("digest").alias("_gone")).distinct(), "toxic-gone")
+    return join_checked(docs, gone, F.unhex(F.md5(text_of(text_col))) == gone["_gone"], "left_anti")

@@ -298,20 +298,89 @@ def test_an_insertion_moves_few_chunks():
 # 6. Toxicity.
 
 
-def test_block_max_search_is_exact():
+def test_block_max_search_is_exact(monkeypatch):
     import numpy as np
 
+    monkeypatch.setattr(toxicity, "STEP", 400)
     r = random.Random(4)
-    examples = [(k, sorted(r.sample(range(12), r.randint(1, 5))), None, k % 2) for k in range(300)]
-    examples = [(k, t, [r.randint(1, 4) for _ in t], y) for k, t, _, y in examples]
-    index = toxicity.BlockMaxIndex(examples, np.array([1 + k / 3 for k in range(12)]), block=8)
-    by_name = {n: dict(index.vector(t, c)) for n, t, c, _ in examples}
-    for _ in range(50):
-        terms = sorted(r.sample(range(12), 4))
-        counts = [r.randint(1, 3) for _ in terms]
-        query = dict(index.vector(terms, counts))
-        want = sorted((round(sum(w * by_name[n].get(t, 0) for t, w in query.items()), 9) for n in index.names), reverse=True)[:7]
-        assert [round(c, 9) for c, _ in index.nearest(terms, counts)] == want
+    vector = lambda: {t: r.randint(1, 4) for t in r.sample(range(12), r.randint(0, 5))}
+    idf = np.array([1 + k / 3 for k in range(12)])
+
+    def arrays(rows):
+        found = [(k, t, n) for k, row in enumerate(rows) for t, n in sorted(row.items())]
+        return (np.array(x, dtype=np.int64) for x in (zip(*found) if found else ((), (), ())))
+
+    def unit(row):
+        norm = sum(n * idf[t] ** 2 for t, n in row.items()) ** 0.5 or 1.0
+        return {t: n**0.5 * idf[t] / norm for t, n in row.items()}
+
+    for size in (0, 3, 300):
+        examples, queries_ = [vector() for _ in range(size)], [vector() for _ in range(60)]
+        index = toxicity.BlockMaxIndex(*arrays(examples), np.array([k % 2 for k in range(size)]), idf, block=8)
+        cosines, places = index.nearest(*arrays(queries_), len(queries_))
+        for query, got, at in zip(queries_, cosines, places):
+            all_ = [round(sum(w * unit(examples[e]).get(t, 0) for t, w in unit(query).items()), 11) for e in index.order]
+            want = sorted(enumerate(all_), key=lambda e: (-e[1], e[0]))[: toxicity.NEIGHBOURS]
+            assert np.allclose(got[: len(want)], [c for _, c in want], atol=1e-9) and not any(got[len(want) :])
+            assert [p for c, p in zip(got, at) if c > 0] == [p for p, c in want if c > 0]
+
+
+def naive_scores(texts, labels):
+    """Scores by plain loops: all examples, all words."""
+    import math
+
+    known = {i: max(y for j, y in labels if j == i) for i, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1}
+    words = lambda t: Counter(re.findall(r"[^\W\d_]+", (t or "").lower()))
+    examples = {i: words(min(t or "" for j, t in texts if j == i)) for i in known if any(j == i for j, _ in texts)}
+    df, toxic = Counter(), [i for i in examples if known[i]]
+    for _, t in texts:
+        df.update(set(words(t)))
+    weight = {}
+    for t in {t for e in examples.values() for t in e}:
+        a, b = sum(t in examples[i] for i in toxic), sum(t in examples[i] for i in examples if not known[i])
+        told = math.log((a + 0.5) / (b + 0.5)) - math.log((len(toxic) + 0.5) / (len(examples) - len(toxic) + 0.5)) - toxicity.SURE * (1 / (a + 0.5) + 1 / (b + 0.5)) ** 0.5
+        weight[t] = math.log((1 + len(texts)) / df[t]) * (toxicity.FLOOR + max(0, told))
+
+    def unit(row):
+        own = {t: n**0.5 * weight[t] for t, n in row.items() if t in weight}
+        norm = sum(w * w for w in own.values()) ** 0.5 or 1.0
+        return {t: w / norm for t, w in own.items()}
+
+    units, base, out = {i: unit(e) for i, e in examples.items()}, len(toxic) / max(1, len(examples)), []
+    for i, t in texts:
+        own = unit(words(t))
+        near = sorted(((sum(w * u.get(x, 0) for x, w in own.items()), known[j]) for j, u in units.items()), reverse=True)[: toxicity.NEIGHBOURS]
+        out.append((i, round((sum(c * y for c, y in near) + toxicity.PRIOR * base) / (sum(c for c, _ in near) + toxicity.PRIOR), 6)))
+    return out
+
+
+def test_toxicity_scores_against_plain_loops(spark, odd):
+    r = random.Random(12)
+    word = lambda: r.choice("abcdefghij") + r.choice("klmnop") + r.choice("aeiou")
+    texts = odd_texts() + [(300 + k, " ".join(word() for _ in range(r.randrange(60))) + (" vile nasty" if k % 4 == 0 else "")) for k in range(150)] + [(300, "another vile text of the same id")]
+    labels = [(300 + k, int(k % 4 == 0)) for k in range(0, 150)] + [(13, 0), (13, 1), (7, 0), (9999, 1)]
+    table = spark.createDataFrame([(i, None, y, "clash") for i, y in labels], "doc_id long, quality int, toxic int, text string")
+    got = toxicity.toxicity(docs_of(spark, texts), table).collect()
+    want = naive_scores(texts, labels)
+    key = lambda e: (e[0] is None, e[0] or 0, e[1])
+    for (i, x), (j, y) in zip(sorted(((g.doc_id, g.score) for g in got), key=key), sorted(want, key=key)):
+        assert i == j and abs(x - y) < 1e-5
+
+
+def test_toxicity_drops_texts_not_ids(spark):
+    texts = [(k, f"some words {k} of {k % 7} text" + (" vile Nasty" if k % 3 == 0 else "")) for k in range(300)]
+    labels = spark.createDataFrame([(k, None, int(k % 3 == 0)) for k in range(300)], "doc_id long, quality int, toxic int")
+    of = next(k for k in range(0, 300, 3) if zlib.crc32(str(k).encode()) % 3 == 1)  # its label is not learned
+    docs = docs_of(spark, texts + [(of, "a clean text that stands on the id of a toxic one"), (None, "vile nasty vile nasty"), (of, "some words of text")])
+    kept = [(x.doc_id, x.text) for x in toxicity.drop_toxic(docs, labels).collect()]
+    assert (of, "a clean text that stands on the id of a toxic one") in kept and (of, "some words of text") in kept
+    assert not any("vile" in t for _, t in kept) and len(kept) == 202
+
+
+def test_toxicity_without_labels_or_with_one_class(spark, odd):
+    schema = "doc_id long, quality int, toxic int"
+    assert {x.score for x in toxicity.toxicity(odd, spark.createDataFrame([], schema)).collect()} == {0.0}
+    assert {x.score for x in toxicity.toxicity(odd, spark.createDataFrame([(3, 0, 0), (4, 0, 0), (7, 1, None)], schema)).collect()} == {0.0}
 
 
 def test_toxicity_held_out(spark):
