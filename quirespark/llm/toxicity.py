@@ -41,7 +41,7 @@ BLOCK = 64
 PRIOR = 0.02
 CUT = 0.7
 #: Weight of a word that tells nothing, and standard errors asked of one that does.
-FLOOR, SURE = 0.1, 2.0
+FLOOR, SURE = 0.1, 2.5
 #: Index entries that one step of a search may expand.
 STEP = 1 << 21
 LETTERS = re.compile(r"[^\W\d_]+")
