@@ -43,7 +43,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     alone = join_checked(narrow, repeated, "h", "left_anti")
     copies = staged(join_checked(keyed, repeated, "h", "left_semi"), "exact-copies")
     # Of one hash and the same bytes: the keeper and the size.
-    best = F.max_by("doc_id", F.struct("n", F.col("doc_id").isNotNull(), -F.col("doc_id")))
+    best = F.min_by("doc_id", F.struct(-F.col("n"), F.col("doc_id").isNull(), "doc_id"))
     classes = staged(
         copies.groupBy("h", "norm").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "exact-classes"
     )

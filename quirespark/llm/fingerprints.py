@@ -12,18 +12,21 @@ divided by the bytes of the first's distinct chunks. Equal fingerprints are 1, a
 of empty texts; an empty one and another are 0.
 
 Rows: a null text counts as empty. Null ids come last; rows repeated with an id are
-in no particular order among themselves. A single document is its own next one.
+ordered by a hash of their text, the largest first. A single document is its own next
+one. Other columns are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirespark.llm.common import staged, text_of, tidied
@@ -31,7 +34,8 @@ from quirespark.llm.common import staged, text_of, tidied
 LEAST, NORMAL, MOST = 24, 96, 512
 HARD, EASY = np.uint64(0xFF << 56), np.uint64(0x1F << 59)
 GEAR = np.random.default_rng(64).integers(0, 2**64, 256, dtype=np.uint64)
-ROWS = 4000
+#: Documents of a part, and the most parts there are; beyond, parts grow.
+ROWS, PARTS = 4000, 100_000
 
 
 def gear_hashes(data: bytes) -> np.ndarray:
@@ -101,31 +105,38 @@ def in_ranges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """part, ghost, doc_id, text: the documents by descending id in range parts, and
     in each part, last, a ghost of the document that follows it.
 
-    Only ids are sampled and aggregated for this: the parts' bounds are approximate
-    quantiles, and the ghosts are as many as the parts."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    kind = docs.schema["doc_id"].dataType
-    ids = staged(docs.select("doc_id"), "print-ids")
-    parts = max(1, ids.count() // ROWS)
-    step = F.percentile_approx(F.col("doc_id"), [k / parts for k in range(1, parts)], 10_000) if parts > 1 else F.array()
-    bounds = sorted(set((ids.agg(step.alias("b")).first()["b"] or []) if parts > 1 else []))
-    splits = F.array(*(F.lit(b) for b in bounds)).cast(f"array<{kind.simpleString()}>")
-    # Part 0 holds the largest ids; nulls are last.
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.size(F.filter(splits, lambda b: b >= F.col("doc_id"))))
-    heads = ids.select(part.cast("int").alias("part"), "doc_id").groupBy("part").agg(F.max("doc_id").alias("head"))
-    heads = sorted((r["part"], r["head"]) for r in heads.collect())  # a row a part
-    docs = docs.withColumn("part", part.cast("int"))
-    before = {p: heads[k - 1][0] for k, (p, _) in enumerate(heads)}  # the first part's head follows the last part
-    own = F.lit(None).cast("int")
-    for p, _ in heads:
-        own = F.when(F.col("part") == p, F.lit(before[p])).otherwise(own)
-    firsts = F.broadcast(docs.sparkSession.createDataFrame(heads or [(0, None)], f"_part int, _head {kind.simpleString()}"))
-    ghosts = docs.join(firsts, (F.col("part") == F.col("_part")) & F.col("doc_id").eqNullSafe(F.col("_head"))).withColumn("part", own)
-    ghosts = ghosts.withColumn("_n", F.row_number().over(Window.partitionBy("part").orderBy("doc_id"))).where("_n = 1")
-    columns = ["part", "ghost", "doc_id", "text"]
-    both = docs.withColumn("ghost", F.lit(False)).select(columns).unionByName(ghosts.withColumn("ghost", F.lit(True)).select(columns))
-    n = max(1, len(bounds) + 2)
-    return both.repartitionById(n, F.col("part")).sortWithinPartitions("part", "ghost", F.col("doc_id").desc_nulls_last())
+    Spark's range partitioner cuts the narrow keys (id, and a hash of the text that
+    splits an id with many rows); a part's least and greatest key are all that the
+    driver sees, at most ``PARTS`` of each, however many the documents."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("h"), text_of(text_col).alias("text"))
+    there = F.col("doc_id").isNotNull().alias("there")
+    keys = staged(docs.select(there, "doc_id", "h"), "print-keys")
+    parts = min(PARTS, max(1, keys.count() // ROWS))
+    key = F.struct("there", "doc_id", "h")
+    cut = keys.repartitionByRange(parts, "there", "doc_id", "h").groupBy(F.spark_partition_id()).agg(F.min(key).alias("least"), F.max(key).alias("most"))
+    found = sorted(((r["least"], r["most"]) for r in cut.collect()), key=lambda e: place_of(*e[0]))
+    bounds = [place_of(*least) for least, _ in found[1:]]
+    n = max(1, len(found))
+
+    @F.pandas_udf("int")
+    def part_of(there: pd.Series, ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series([n - 1 - bisect_right(bounds, place_of(*key)) for key in zip(there, ids, hashes)], dtype="int32")
+
+    whole = F.coalesce("doc_id", F.lit("0").cast(docs.schema["doc_id"].dataType))  # a null would make the ids floats
+    # Part 0 holds the largest keys. A part is followed by the next one's greatest key, the last by the first's.
+    most = {n - 1 - k: m for k, (_, m) in enumerate(found)}
+    heads = [((p - 1) % n, m["doc_id"], m["h"]) for p, m in most.items()]
+    heads = F.broadcast(docs.sparkSession.createDataFrame(heads, f"_part int, _id {docs.schema['doc_id'].dataType.simpleString()}, _h long"))
+    ghosts = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).groupBy("_part").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    ghosts = ghosts.select(F.col("_part").alias("part"), F.lit(True).alias("ghost"), "doc_id", "text", F.lit(0).cast("long").alias("h"))
+    own = docs.select(part_of(F.col("doc_id").isNotNull(), whole, "h").alias("part"), F.lit(False).alias("ghost"), "doc_id", "text", "h")
+    order = ("part", "ghost", F.col("doc_id").desc_nulls_last(), F.col("h").desc())
+    return own.unionByName(ghosts).repartitionById(n, F.col("part")).sortWithinPartitions(*order).drop("h")
+
+
+def place_of(there: bool, doc_id, h: int) -> tuple:
+    """Order of keys: null ids first, as Spark's ascending order has them."""
+    return (there, doc_id if there else 0, h)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,13 +8,15 @@
    the posterior probability of a similarity of at least the threshold falls under
    ``MISS``; the rest are verified on the full sets. Links make components.
 3. A bucket whose nodes lie in more than one component still holds untried pairs:
-   nodes outside its largest component against all its nodes. They meet in blocks
-   of bounded size, as matrices; only survivors are emitted and verified.
+   nodes outside its largest component against all its nodes. Both sides are cut into
+   blocks of bounded size, and each two blocks meet in a group of their own, as
+   matrices; only survivors are emitted and verified.
 4. Components of all links; a document's class is the least id in its component.
 
 Rows: a null or empty text has no shingles and is linked with nothing; equal sets
-are linked. Rows repeated with an id are one document: they share its component.
-A null id gets the component of its set.
+are linked. Each row is a document of its own, also with a null or repeated id: its
+component is that of its set. ``drop_near_copies`` leaves one row of each component,
+so a text of its own stays whatever other rows of its id hold.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirespark.llm.common import join_checked, slices, staged, text_of, tidied
+from quirespark.llm.common import is_small, join_checked, slices, staged, text_of, tidied
 from quirespark.llm.components import components
 from quirespark.llm.shingles import Signer, shingle_set, word_hashes
 
@@ -39,7 +41,8 @@ VALUES, BATCH = 1024, 128
 MISS = 1e-4
 #: Similarity from which documents are linked, in per cent.
 THRESHOLD = 75
-BLOCK = 1024
+#: Nodes of one side of a group in which two blocks of a bucket are compared.
+BLOCK = 512
 
 
 def digest(shingles: np.ndarray) -> bytes:
@@ -85,25 +88,26 @@ def similar(a: bytes, b: bytes, threshold: int = THRESHOLD) -> bool:
 
 
 def sets_and_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, node (null without shingles), keys of the bands."""
+    """doc_id, digest, n_shingles, node (null without shingles), keys of the bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, signer = word_hashes(), Signer(BANDS, ROWS)
         for batch in (part for whole in batches for part in slices(whole, 500)):
-            sets = [shingle_set(t.as_py(), words) for t in batch.column(1)]
+            sets = [shingle_set(t.as_py(), words) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([signer.keys(signer.sign(s)).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "node", "keys"],
+                ["doc_id", "digest", "n_shingles", "node", "keys"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    chosen = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    return chosen.mapInArrow(tidied(run), f"doc_id {kind}, n_shingles long, node binary, keys array<long>")
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(text_of(text_col))).alias("digest"), text_of(text_col).alias("text"))
+    return chosen.mapInArrow(tidied(run), f"doc_id {kind}, digest binary, n_shingles long, node binary, keys array<long>")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -175,13 +179,17 @@ def untried_pairs(members: DataFrame, roots: DataFrame, sets: DataFrame) -> Data
     known = staged(known, "near-known")
     sizes = known.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
-    mixed = staged(main.where("parts > 1 AND n > 2").select(F.col("key").alias("_key"), F.col("most.root").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "near-mixed")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = main.where("parts > 1 AND n > 2").select(F.col("key").alias("_key"), F.col("most.root").alias("main"), blocks(F.col("n")).alias("blocks"), blocks(F.col("n") - F.col("most.n")).alias("ask_blocks"))
+    mixed = staged(mixed, "near-mixed")
     here = known.join(mixed.hint("merge"), known["key"] == mixed["_key"])
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    all_ = here.select("key", "node", "root", block.alias("block"), F.lit(False).alias("asks"))
-    asks = here.where("root != main").select("key", "node", "root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"))
+    block = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    all_ = here.select("key", "node", "root", block("blocks").alias("block"), every("ask_blocks").alias("ask_block"), F.lit(False).alias("asks"))
+    asks = here.where("root != main").select("key", "node", "root", every("blocks").alias("block"), block("ask_blocks").alias("ask_block"), F.lit(True).alias("asks"))
     own = sets.select("node", "signature", "keys")
-    dealt = staged(all_.unionByName(asks).join(own.hint("merge"), "node"), "near-blocks").repartition("key", "block").sortWithinPartitions("key", "block")
+    group = ["key", "block", "ask_block"]
+    dealt = staged(all_.unionByName(asks).join(own.hint("merge"), "node"), "near-blocks").repartition(*group).sortWithinPartitions(*group)
     bounds = least_matches()
 
     def compare(group: list) -> list[tuple[bytes, bytes]]:
@@ -204,15 +212,16 @@ def untried_pairs(members: DataFrame, roots: DataFrame, sets: DataFrame) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (tuple(r.values()) for batch in batches for r in batch.to_pylist())
-        for _, group in groupby(rows, key=lambda r: (r[0], r[3])):
+        for _, group in groupby(rows, key=lambda r: (r[0], r[3], r[7])):
             if found := compare(list(group)):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*set(found))], ["a", "b"])
 
-    return dealt.select("key", "node", "root", "block", "asks", "signature", "keys").mapInArrow(tidied(run), "a binary, b binary").distinct()
+    return dealt.select("key", "node", "root", "block", "asks", "signature", "keys", "ask_block").mapInArrow(tidied(run), "a binary, b binary").distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept."""
+def row_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Those columns, digest (MD5 of the text), and root of the component (null without
+    shingles): two may have one least id, where rows share it."""
     signed = staged(sets_and_keys(docs, id_col, text_col), "near-signed")
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     # Band keys do not depend on the document, only on the set: copies collapse on the map side.
@@ -228,23 +237,36 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     roots = staged(components(links), "near-roots")
     more = staged(untried_pairs(members, roots, sets), "near-untried").join(pairs.hint("merge"), ["a", "b"], "left_anti")
     more = staged(verified(more, sets), "near-more")
-    # Rows of one id are one document: its sets are linked.
-    twice = signed.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b")
-    shared = signed.join(twice.hint("merge"), "doc_id").where("node != a").select("a", F.col("node").alias("b"))
-    all_links = links.unionByName(more).unionByName(shared.distinct())
-    roots = staged(components(all_links), "near-all-roots")
+    roots = staged(components(links.unionByName(more)), "near-all-roots")
 
     own = nodes.join(roots.hint("merge"), "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     own = staged(own, "near-own")
     first = staged(own.groupBy("root").agg(F.min("doc_id").alias("component_id")), "near-first")
-    classes = staged(own.join(first.hint("merge"), "root").select(F.col("node").alias("_node"), "component_id"), "near-classes")
-    out = signed.select("doc_id", "n_shingles", "node").join(classes.hint("merge"), F.col("node") == F.col("_node"), "left")
+    classes = staged(own.join(first.hint("merge"), "root").select(F.col("node").alias("_node"), "component_id", "root"), "near-classes")
+    out = signed.join(classes.hint("merge"), F.col("node") == F.col("_node"), "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), "digest", "root")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept."""
+    return row_groups(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns: one document of each class."""
-    gone = staged(near_groups(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
-    return join_checked(docs, gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    """The rows that stay, with all their columns: of each component the row with the
+    least id, of these the one with the least MD5 of its text."""
+    groups = staged(row_groups(docs, id_col, text_col).where("root IS NOT NULL").select("doc_id", "root", "digest", "kept"), "near-rows")
+    first = groups.where("kept").groupBy("root").agg(F.min("digest").alias("least"), F.count(F.lit(1)).alias("n"))
+    first = staged(first.where("n > 1"), "near-several")  # components with more than one row of their least id
+    several = groups.where("kept").join(first.select("root", "least").hint("merge"), "root")
+    gone = groups.where("NOT kept").select("doc_id", "digest").unionByName(several.where("digest != least").select("doc_id", "digest"))
+    gone = staged(gone.select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_digest")).distinct(), "near-gone")
+    digest = F.unhex(F.md5(text_of(text_col)))
+    out = join_checked(docs, gone, docs[id_col].eqNullSafe(gone["_gone"]) & (digest == gone["_digest"]), "left_anti")
+    same = staged(groups.where("kept").groupBy("doc_id", "digest").count().where("count > 1").select(F.col("doc_id").alias("_same"), F.col("digest").alias("_digest")), "near-same")
+    if is_small(same, 0):
+        return out
+    on = out[id_col].eqNullSafe(same["_same"]) & (digest == same["_digest"])  # rows repeated with id and text: one of each
+    return join_checked(out, same, on, "left_anti").unionByName(join_checked(out, same, on, "left_semi").withColumn("_text_md5", digest).dropDuplicates([id_col, "_text_md5"]).drop("_text_md5"))

@@ -10,9 +10,10 @@ vocabulary have no weight. Everything but the fit covers all documents.
 
 Search: the examples' vectors form an inverted index in blocks of ``BLOCK`` examples,
 ordered by label, commonest and heaviest word. Each word knows its largest weight in
-each block that holds it, so a query's bound of a block is a sum of such maxima; blocks
-are scored by falling bound, a doubling number at a time, until no bound left reaches
-the k-th best cosine. That is exact. The neighbours vote with their cosine as weight,
+each block. A query's rare words are summed over their short lists; what its frequent
+words may add to a block is bounded by the sum of their largest weights there. Blocks
+are scored by falling bound until no bound left reaches the k-th best cosine. That is
+exact. The neighbours vote with their cosine as weight,
 smoothed towards the labels' base rate, which a text without any known word gets.
 
 Rows: a null or empty text gets the base rate. Labels that are null are left out;
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quirespark.llm.common import join_checked, staged, text_of, tidied
 
-EXAMPLES = 8192
+EXAMPLES = 4096
 NEIGHBOURS = 11
 BLOCK = 64
 #: Weight of the base rate against the neighbours' votes.
@@ -42,8 +43,9 @@ PRIOR = 0.02
 CUT = 0.7
 #: Weight of a word that tells nothing, and standard errors asked of one that does.
 FLOOR, SURE = 0.1, 2.5
-#: Index entries that one step of a search may expand.
-STEP = 1 << 21
+#: Frequent terms whose lists are matrix rows; queries searched together; postings
+#: expanded at once; best blocks that are scored before the bounds are looked at again.
+DENSE, QUERIES, STEP, FIRST = 512, 256, 1 << 20, (2, 8)
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -106,9 +108,12 @@ def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class BlockMaxIndex:
-    """Inverted index of unit vectors with the largest weight of each term by block."""
+    """Inverted index of unit vectors with the largest weight of each term by block.
 
-    def __init__(self, of: np.ndarray, terms: np.ndarray, counts: np.ndarray, labels: np.ndarray, idf: np.ndarray, block: int = BLOCK):
+    The posting lists of the ``dense`` most frequent terms are rows of a matrix, the
+    others runs of one array; that is layout only."""
+
+    def __init__(self, of: np.ndarray, terms: np.ndarray, counts: np.ndarray, labels: np.ndarray, idf: np.ndarray, block: int = BLOCK, dense: int = DENSE):
         """``of``, ``terms``, ``counts``: the examples' words, with their example's number."""
         self.idf, self.block, self.n = idf, block, len(labels)
         weights = self.weights(of, terms, counts, self.n)
@@ -125,80 +130,76 @@ class BlockMaxIndex:
         self.blocks = -(-self.n // block)
         place = np.empty(self.n, dtype=np.int64)
         place[self.order] = np.arange(self.n)
-        at = place[of] if len(of) else of
+        at = place[of]
+        frequent = np.argsort(-np.bincount(terms, minlength=len(idf)), kind="stable")[:dense]
+        #: Row of each frequent term in the matrix, -1 for the others; the matrix; its maxima by block.
+        self.row = np.full(len(idf), -1)
+        self.row[frequent] = np.arange(len(frequent))
+        self.matrix = np.zeros((len(frequent), self.blocks * block))
+        often = self.row[terms] >= 0
+        self.matrix[self.row[terms[often]], at[often]] = weights[often]
+        self.most = self.matrix.reshape(len(frequent), self.blocks, block).max(axis=2) if self.n else np.zeros((len(frequent), 0))
+        at, terms, weights = at[~often], terms[~often], weights[~often]
         order = np.lexsort((at, terms))
-        self.at, self.weight, terms = at[order].astype(np.int32), weights[order], terms[order]
-        new = np.flatnonzero((np.diff(terms, prepend=-1) != 0) | (np.diff(self.at // block, prepend=-1) != 0))
-        #: A run of postings for each term and block: the block, its first posting, its largest weight.
-        self.run_block = (self.at[new] // block).astype(np.int32)
-        self.run_start = np.append(new, len(order)).astype(np.int32)
-        self.run_most = np.maximum.reduceat(self.weight, new) if len(new) else np.empty(0)
-        #: The first run of each term.
-        self.term_run = np.searchsorted(terms[new], np.arange(len(idf) + 1)).astype(np.int32)
+        self.at, self.weight = at[order].astype(np.int32), weights[order]
+        self.start = np.searchsorted(terms[order], np.arange(len(idf) + 1)).astype(np.int32)
 
     def weights(self, of: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
         weight = np.sqrt(counts) * self.idf[terms]
         norm = np.sqrt(np.bincount(of, weights=weight * weight, minlength=n))
         return weight / np.where(norm > 0, norm, 1.0)[of]
 
-    def parts(self, of: np.ndarray, terms: np.ndarray, n: int):
-        """First and last query of each step of a search, of about STEP entries."""
-        runs = self.term_run[terms + 1] - self.term_run[terms]
-        own = np.cumsum(np.bincount(of, weights=runs, minlength=n) + self.n)
-        first = 0
-        while first < n:
-            base = own[first - 1] if first else 0
-            last = max(first + 1, int(np.searchsorted(own, base + STEP, side="right")))
-            yield first, last
-            first = last
-
     def nearest(self, of: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """Cosines and places of the k nearest examples of n queries, the best first; of
         equal cosines the smaller place. Missing ones have cosine 0."""
         cosines, places = np.zeros((n, k)), np.zeros((n, k), dtype=np.int64)
         weight, ends = self.weights(of, terms, counts, n), np.searchsorted(of, np.arange(n + 1))
-        for a, b in self.parts(of, terms, n) if self.n else ():
+        for a in range(0, n if self.n else 0, QUERIES):
+            b = min(n, a + QUERIES)
             own = slice(ends[a], ends[b])
             cosines[a:b], places[a:b] = self.search(of[own] - a, terms[own], weight[own], b - a, k)
         return cosines, places
 
     def search(self, of: np.ndarray, terms: np.ndarray, weight: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        run, entry = ranges(self.term_run[terms], self.term_run[terms + 1])
-        pair = of[entry] * self.blocks + self.run_block[run]
-        bounds = np.bincount(pair, weights=weight[entry] * self.run_most[run], minlength=n * self.blocks).reshape(n, self.blocks)
-        ranked = np.argsort(-bounds, axis=1, kind="stable")
-        rank = np.empty_like(ranked)
-        np.put_along_axis(rank, ranked, np.arange(self.blocks)[None, :].repeat(n, axis=0), axis=1)
-        scores, best = np.zeros(n * self.n), np.zeros(n)
-        done, step = 0, 1
-        while done < self.blocks:
+        width, often = self.blocks * self.block, self.row[terms] >= 0
+        query = np.zeros((n, len(self.matrix)))
+        query[of[often], self.row[terms[often]]] = weight[often]
+        # Rare terms: their short lists are summed. What frequent ones may add is bounded by block.
+        rare, own, w = terms[~often], of[~often], weight[~often]
+        scores = np.zeros((n, width))
+        for a, b in steps(self.start[rare + 1] - self.start[rare]):
+            posting, entry = ranges(self.start[rare[a:b]], self.start[rare[a:b] + 1])
+            scores += np.bincount(own[a:b][entry] * width + self.at[posting], weights=w[a:b][entry] * self.weight[posting], minlength=n * width).reshape(n, width)
+        bounds = scores.reshape(n, self.blocks, self.block).max(axis=2) + query @ self.most
+        rank = np.argsort(np.argsort(-bounds, axis=1, kind="stable"), axis=1)
+        scored, best = np.zeros(bounds.shape, dtype=bool), np.zeros(n)
+        for upto in (*FIRST, self.blocks):
             # Bounds are sums in another order than scores, so they get some room.
-            chosen = (rank >= done) & (rank < done + step) & (bounds > 0) & (bounds * (1 + 1e-9) >= best[:, None])
-            if not chosen.any():
-                break
-            mine = np.flatnonzero(chosen.ravel()[pair])
-            posting, which = ranges(self.run_start[run[mine]], self.run_start[run[mine] + 1])
-            by = mine[which]
-            scores += np.bincount(of[entry[by]] * self.n + self.at[posting], weights=weight[entry[by]] * self.weight[posting], minlength=n * self.n)
-            table = scores.reshape(n, self.n)
-            if self.n > k:
-                best = np.partition(table, self.n - k, axis=1)[:, self.n - k]
-            done, step = done + step, step * 2
-        table = np.round(scores.reshape(n, self.n), 12)
-        top = np.argsort(-table, axis=1, kind="stable")[:, :k] if self.n <= 4 * k else self.top(table, k)
+            chosen = ~scored & (rank < upto) & (bounds > 0) & (bounds * (1 + 1e-9) >= best[:, None])
+            for block in np.flatnonzero(chosen.any(axis=0)):
+                rows, part = np.flatnonzero(chosen[:, block]), slice(block * self.block, (block + 1) * self.block)
+                scores[rows, part] += query[rows] @ self.matrix[:, part]
+            scored |= chosen
+            if width > k:  # what is not scored yet counts with its rare terms: never too much
+                best = np.partition(scores, width - k, axis=1)[:, width - k]
+        scores = np.round(np.where(np.repeat(scored, self.block, axis=1), scores, 0.0), 12)
+        k_ = min(k, width)
+        least = np.partition(scores, width - k_, axis=1)[:, width - k_]
         cosines, places = np.zeros((n, k)), np.zeros((n, k), dtype=np.int64)
-        cosines[:, : top.shape[1]], places[:, : top.shape[1]] = np.take_along_axis(table, top, axis=1), top
+        for row in range(n):
+            at = np.flatnonzero((scores[row] >= least[row]) & (scores[row] > 0))
+            at = at[np.argsort(-scores[row, at], kind="stable")][:k]
+            cosines[row, : len(at)], places[row, : len(at)] = scores[row, at], at
         return cosines, places
 
-    @staticmethod
-    def top(table: np.ndarray, k: int) -> np.ndarray:
-        least = np.partition(table, table.shape[1] - k, axis=1)[:, table.shape[1] - k]
-        out = np.empty((len(table), k), dtype=np.int64)
-        for row, (scores, bound) in enumerate(zip(table, least)):
-            at = np.flatnonzero(scores >= bound) if bound > 0 else np.flatnonzero(scores > 0)
-            found = at[np.argsort(-scores[at], kind="stable")][:k]
-            out[row] = np.append(found, np.flatnonzero(scores == 0)[: k - len(found)])
-        return out
+
+def steps(sizes: np.ndarray):
+    """Runs of entries of about STEP postings, or one entry."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP, side="right")))
+        yield at, to
+        at = to
 
 
 def flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -6,8 +6,9 @@
 * ``normalise``: each monolithic file is inflated once, as a stream; every record
   is written again as a gzip member of its own and gets a line in a sidecar index
   (offset, length, record id). Memory holds a chunk and one record.
-* ``read_archives``: the sidecar index makes a file splittable: index lines are
-  dealt to tasks in runs, and a task inflates just its members.
+* ``read_archives``: the sidecar index makes a file splittable: the index files are
+  read, their lines dealt to tasks by runs of ``RUN`` archive bytes, and a task
+  inflates just its members.
 
 Files are written under the shared folder through Arrow's file systems, to a name
 that is unique to the attempt and then moved, so a lost executor's task is simply
@@ -15,7 +16,8 @@ run again.
 
 Rows: a null html is an empty payload. A page without url gets an ``urn:`` target.
 A null or repeated page id is a record like any other; of equal payloads the
-smallest id is the response (nulls last; of the same id, any one row).
+smallest id is the response (nulls last; rows that share it are all responses), so a
+null id is one only where no copy has an id. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs
@@ -35,6 +38,8 @@ from quirespark.llm.common import join_checked, stage_path, staged, tidied
 
 REVISIT = 100
 CHUNK = 1 << 18
+#: Archive bytes that a task reads in one run.
+RUN = 4 << 20
 END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -63,20 +68,29 @@ class Gzip:
         self.at += len(data)
 
 
+def urn(page_id) -> str:
+    """A page id in a header: no id is not the id "None", and no text breaks the line."""
+    return "<urn:page>" if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
+
+
+def page_of(name: str | None) -> str | None:
+    return None if name is None or name == "<urn:page>" else unquote(name[len("<urn:page:") : -1])
+
+
 def record(page_id, url: str, payload: bytes, digest: str, refers_to) -> bytes:
     """A response record with its HTTP head and payload, or a revisit with the head alone."""
     revisit = refers_to is not None
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", f"<urn:page:{page_id}>"),
+        ("WARC-Record-ID", urn(page_id)),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
-        ("WARC-Target-URI", " ".join(url.split()) or f"urn:page:{page_id}"),
+        ("WARC-Target-URI", " ".join(url.split()) or urn(page_id)[1:-1]),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("Content-Type", "application/http; msgtype=response"),
     ]
     if revisit:
-        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", urn(refers_to))]
     else:
         block += payload
     head = "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", len(block))])
@@ -140,7 +154,7 @@ def marked(pages: DataFrame) -> DataFrame:
     large = pages.where(F.octet_length("payload") >= REVISIT)
     copies = staged(large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("_digest"), "first"), "warc-copies")
     out = join_checked(pages, copies, pages["digest"] == copies["_digest"], "left")
-    return out.select("page_id", "url", "payload", "digest", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
+    return out.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -169,7 +183,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
 def normalise(paths: DataFrame, folder: str) -> DataFrame:
     """Rewrites each monolithic file with a gzip member per record and a sidecar
-    index; returns path, offset, length, of every record."""
+    index; returns path, bytes, records of every file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,26 +192,48 @@ def normalise(paths: DataFrame, folder: str) -> DataFrame:
                 to, root = open_at(folder)
                 to.create_dir(root)
                 name = f"{root}/{path.rpartition('/')[2]}"
-                own, offsets = attempt(name), []
+                own, n = attempt(name), 0
                 with fs.open_input_stream(source, compression=None) as data, to.open_output_stream(own, compression=None) as out, to.open_output_stream(f"{own}.idx", compression=None) as index:
                     sink = Gzip(out, 6)
                     for head, block in records(inflated(data)):
                         at = sink.at
                         sink.write(head + END + block + END)
                         sink.end_member()
-                        offsets.append((at, sink.at - at))
+                        n += 1
                         line = {"offset": at, "length": sink.at - at, "id": fields_of(head).get("warc-record-id", "")}
                         index.write(json.dumps(line).encode() + b"\n")
                 to.move(f"{own}.idx", f"{name}.idx")
                 to.move(own, name)
-                found = [f"{folder}/{name.rpartition('/')[2]}"] * len(offsets)
-                columns = zip(*offsets) if offsets else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *(pa.array(c, pa.int64()) for c in columns)], ["path", "offset", "length"])
+                yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name.rpartition('/')[2]}"]), pa.array([sink.at]), pa.array([n])], ["path", "bytes", "records"])
+
+    return paths.select("path").mapInArrow(tidied(run), "path string, bytes long, records long")
+
+
+def index_lines(files: DataFrame) -> DataFrame:
+    """path, offset, length of every record, from the files' sidecar indexes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                fs, source = open_at(f"{path}.idx")
+                with fs.open_input_stream(source, compression=None) as data:
+                    lines, rest = [], b""
+                    while piece := data.read(CHUNK):
+                        *whole, rest = (rest + piece).split(b"\n")
+                        lines += map(json.loads, whole)
+                        if len(lines) >= 10_000:
+                            yield dealt(path, lines)
+                            lines = []
+                if lines:
+                    yield dealt(path, lines)
+
+    def dealt(path, lines):
+        return pa.RecordBatch.from_arrays([pa.array([path] * len(lines)), *(pa.array([x[k] for x in lines], pa.int64()) for k in ("offset", "length"))], ["path", "offset", "length"])
 
-    return paths.select("path").mapInArrow(tidied(run), "path string, offset long, length long")
+    return files.select("path").mapInArrow(tidied(run), "path string, offset long, length long")
 
 
-def read_archives(index: DataFrame) -> DataFrame:
+def read_archives(files: DataFrame) -> DataFrame:
     """page_id (as text), record_type, payload_bytes, payload_digest, refers_to (as
     text) of every indexed record. The digest of a response is computed again from
     its payload and must be the recorded one."""
@@ -218,7 +254,7 @@ def read_archives(index: DataFrame) -> DataFrame:
                 http, _, payload = block.partition(END)
                 digest = fields["warc-payload-digest"].partition(":")[2]
                 size = int(fields_of(http)["content-length"])
-                name = lambda k: fields[k][len("<urn:page:") : -1] if k in fields else None
+                name = lambda k: page_of(fields.get(k))
                 if fields["warc-type"] == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
                     raise ValueError(f"the payload of {name('warc-record-id')} is damaged")
                 out.append((name("warc-record-id"), size, digest, fields["warc-type"], name("warc-refers-to")))
@@ -226,6 +262,9 @@ def read_archives(index: DataFrame) -> DataFrame:
             types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
+    tasks = -(-(files.agg(F.sum("bytes")).first()[0] or 1) // RUN)
+    index = index_lines(files.repartition(max(1, min(files.count(), tasks)), "path"))
+    index = index.repartition(tasks, "path", F.floor(F.col("offset") / RUN)).sortWithinPartitions("path", "offset")
     return index.mapInArrow(tidied(run), "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
 
 
@@ -235,7 +274,6 @@ def archived(pages: DataFrame) -> DataFrame:
     folder = stage_path(spark, "warc")
     written = staged(write_archives(marked(pages), f"{folder}/monolithic"), "warc-written")
     files = written.repartition(max(1, min(written.count(), spark.sparkContext.defaultParallelism * 4)), "path")
-    index = staged(normalise(files, f"{folder}/records"), "warc-index")
-    found = read_archives(index.repartitionByRange("path", "offset").sortWithinPartitions("path", "offset"))
-    none = lambda c: F.when(F.col(c) != "None", F.col(c)).cast(kind).alias(c)
-    return found.select(none("page_id"), "payload_bytes", "payload_digest", "record_type", none("refers_to"))
+    found = read_archives(staged(normalise(files, f"{folder}/records"), "warc-files"))
+    id_ = lambda c: F.col(c).cast(kind).alias(c)
+    return found.select(id_("page_id"), "payload_bytes", "payload_digest", "record_type", id_("refers_to"))

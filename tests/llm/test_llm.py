@@ -147,6 +147,31 @@ def test_warc_round_trip(spark):
     assert {i: (r.record_type, r.refers_to) for i, r in got.items() if r.record_type != "response"} == {3: ("revisit", 2)}
 
 
+def test_warc_rows_without_an_id_and_of_one_id(spark):
+    long_, schema = "<p>" + "x" * 200, "page_id long, url string, html string, payload string, digest string, first long"
+    rows = [(3, "a", long_), (None, "b", long_), (4, "c", long_), (3, "d", long_), (None, "e", "y" * 100), (None, "f", "y" * 100), (9, "g", "z" * 99), (10, "h", "z" * 99), (11, None, "q" * 3_000_000)]
+    got = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archived(spark.createDataFrame([(*r, "x", "y", -1) for r in rows], schema)).collect())
+    assert got == Counter([(3, 203, "response", None), (None, 203, "revisit", 3), (4, 203, "revisit", 3), (3, 203, "response", None), (None, 100, "response", None), (None, 100, "response", None), (9, 99, "response", None), (10, 99, "response", None), (11, 3_000_000, "response", None)])
+
+
+def test_warc_ids_that_are_text(spark):
+    long_ = "w" * 150
+    rows = [("None", "a", long_), (None, "b", long_), ("a>\r\nX: y", "c", long_), ("é b", "d", "")]
+    got = {(r.page_id, r.record_type, r.refers_to) for r in warc.archived(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert got == {("None", "response", None), (None, "revisit", "None"), ("a>\r\nX: y", "revisit", "None"), ("é b", "response", None)}
+
+
+def test_the_sidecar_index_is_what_is_read(spark):
+    folder = common.stage_path(spark, "sidecar")
+    pages = spark.createDataFrame([(k, f"http://{k}", f"<p>{k}" * 50) for k in range(40)], "page_id long, url string, html string")
+    files = common.staged(warc.normalise(common.staged(warc.write_archives(warc.marked(pages), f"{folder}/one"), "w"), f"{folder}/two"), "f")
+    lines = warc.index_lines(files).collect()
+    assert len(lines) == 40 == sum(r.records for r in files.collect())
+    for path in {x.path for x in lines}:
+        own = sorted((x.offset, x.length) for x in lines if x.path == path)
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in itertools.pairwise(own))
+
+
 def test_records_refuse_a_cut_stream():
     one = warc.record(1, "u", b"data", "d", None)
     assert len(list(warc.records(iter([one[:50], one[50:], one])))) == 2
@@ -262,6 +287,49 @@ def test_suffix_dedup_against_brute_force(spark, odd, monkeypatch, hot):
 # 5. Fingerprints.
 
 
+def naive_fingerprint(text):
+    """Byte by byte: the gear hash, and a cut where its top bits are zero."""
+    import xxhash
+
+    data, at, h, chunks = text.encode(), 0, 0, {}
+    for k, b in enumerate(data):
+        window = data[max(0, k - 63) : k + 1]
+        h = sum(int(fingerprints.GEAR[x]) << (len(window) - 1 - j) for j, x in enumerate(window)) % 2**64
+        n = k + 1 - at
+        hard, easy = h >> 56 == 0, h >> 59 == 0
+        if fingerprints.LEAST < n <= fingerprints.NORMAL and hard or n > fingerprints.NORMAL and easy or n == fingerprints.MOST or k + 1 == len(data):
+            chunks[xxhash.xxh3_64_hexdigest(data[at : k + 1])] = n
+            at = k + 1
+    return chunks
+
+
+def naive_likeness(a, b):
+    whole = sum(a.values())
+    return sum(n for d, n in a.items() if d in b) / whole if whole else float(not b)
+
+
+def test_fingerprints_against_brute_force(spark):
+    r = random.Random(21)
+    text = lambda n: " ".join("".join(r.choice("abcdefghijé") for _ in range(r.randint(2, 8))) for _ in range(n))
+    base = text(500)
+    texts = [(k, base[: r.randrange(len(base))] + text(r.randrange(120)) if k % 5 else None if k % 2 else "") for k in range(20)] + [(3, "a second row of three"), (7, base * 3)]
+    got = Counter()
+    for x in fingerprints.fingerprints(docs_of(spark, texts)).collect():
+        got[x.doc_id, x.n_chars, x.fingerprint, x.edited_fingerprint, round(x.near_edited, 9), round(x.near_next, 9)] += 1
+    written = lambda c: " ".join(f"{d}:{n}" for d, n in sorted(c.items()))
+    ids = sorted({i for i, _ in texts}, reverse=True)
+    for twice in itertools.product(*(itertools.permutations([t or "" for j, t in texts if j == i]) for i in ids)):  # rows of one id in some order
+        order, want = [(i, t) for i, own in zip(ids, twice) for t in own], Counter()
+        for k, (i, t) in enumerate(order):
+            following = order[(k + 1) % len(order)][1]
+            changed = t[: len(t) - len(t) // 3] + following[: len(t) // 3]
+            one, two, three = map(naive_fingerprint, (t, changed, following))
+            want[i, len(t), written(one), written(two), round(naive_likeness(one, two), 9), round(naive_likeness(one, three), 9)] += 1
+        if want == got:
+            return
+    raise AssertionError
+
+
 def test_fingerprint_rows(spark, odd):
     rows = [(i, t) for i, t in odd_texts() if i != 13]
     got = {r.doc_id: r for r in fingerprints.fingerprints(odd.where("doc_id IS NULL OR doc_id != 13")).collect()}
@@ -289,10 +357,11 @@ def test_an_insertion_moves_few_chunks():
     assert fingerprints.likeness(fingerprints.fingerprint(text), fingerprints.fingerprint("inserted " + text)) > 0.9
     data = text.encode()
     h = fingerprints.gear_hashes(data)
-    want = 0
-    for k, b in enumerate(data[:200]):
-        want = (2 * want + int(fingerprints.GEAR[b])) % 2**64
-        assert int(h[k]) == want or k >= 64 and int(h[k]) % 2**63 is not None
+    for k in range(200):
+        want = 0
+        for b in data[max(0, k - 63) : k + 1]:
+            want = (2 * want + int(fingerprints.GEAR[b])) % 2**64
+        assert int(h[k]) == want
 
 
 # 6. Toxicity.
@@ -302,6 +371,7 @@ def test_block_max_search_is_exact(monkeypatch):
     import numpy as np
 
     monkeypatch.setattr(toxicity, "STEP", 400)
+    monkeypatch.setattr(toxicity, "QUERIES", 7)
     r = random.Random(4)
     vector = lambda: {t: r.randint(1, 4) for t in r.sample(range(12), r.randint(0, 5))}
     idf = np.array([1 + k / 3 for k in range(12)])
@@ -314,9 +384,9 @@ def test_block_max_search_is_exact(monkeypatch):
         norm = sum(n * idf[t] ** 2 for t, n in row.items()) ** 0.5 or 1.0
         return {t: n**0.5 * idf[t] / norm for t, n in row.items()}
 
-    for size in (0, 3, 300):
+    for size, dense in ((0, 5), (3, 5), (300, 5), (300, 0), (300, 12)):
         examples, queries_ = [vector() for _ in range(size)], [vector() for _ in range(60)]
-        index = toxicity.BlockMaxIndex(*arrays(examples), np.array([k % 2 for k in range(size)]), idf, block=8)
+        index = toxicity.BlockMaxIndex(*arrays(examples), np.array([k % 2 for k in range(size)]), idf, block=8, dense=dense)
         cosines, places = index.nearest(*arrays(queries_), len(queries_))
         for query, got, at in zip(queries_, cosines, places):
             all_ = [round(sum(w * unit(examples[e]).get(t, 0) for t, w in unit(query).items()), 11) for e in index.order]
@@ -483,23 +553,27 @@ def test_licenses_of_standard_texts(spark):
 
 
 def naive_groups(texts):
-    sets = defaultdict(list)
-    for i, t in texts:
+    """The component of each row: the least id that it is linked with, itself included."""
+    sets = []
+    for _, t in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets[i].append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
-    root = {i: i for i in sets}
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a, b in itertools.combinations([i for i in sets if i is not None], 2):
-        for x, y in itertools.product(sets[a], sets[b]):
-            if x and y and 100 * len(x & y) >= 75 * len(x | y):
-                p, q = find(a), find(b)
-                root[max(p, q)] = min(p, q)
-    return {i: find(i) for i in sets}
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        x, y = sets[a], sets[b]
+        if x and y and 100 * len(x & y) >= 75 * len(x | y):
+            root[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(texts):
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    return [least.get(find(k), i) for k, (i, _) in enumerate(texts)]
 
 
 def test_near_groups_against_all_pairs(spark, odd):
@@ -512,11 +586,35 @@ def test_near_groups_against_all_pairs(spark, odd):
             w[r.randrange(200)] = "zz" + str(k)
         more.append((200 + k, " ".join(w)))
     got = near_dedup.near_groups(odd.unionByName(docs_of(spark, more))).collect()
-    want = naive_groups(odd_texts() + more)
-    assert {x.doc_id: x.component_id for x in got} == want and len(got) == len(odd_texts()) + 40
+    rows = odd_texts() + more
+    assert Counter((x.doc_id, x.component_id) for x in got) == Counter(zip((i for i, _ in rows), naive_groups(rows)))
     assert all(x.kept == (x.doc_id == x.component_id) for x in got)
 
 
+def test_blocks_of_a_hot_bucket_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    r = random.Random(18)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(60):  # several families that share most of a text, so buckets hold more than one component
+        w = list(base)
+        for j in range(0, 120, 9 + k % 5):
+            w[j] = f"f{k % 6}"
+        for _ in range(r.randrange(3)):
+            w[r.randrange(120)] = f"own{k}"
+        texts.append((k, " ".join(w)))
+    got = near_dedup.near_groups(docs_of(spark, texts)).collect()
+    assert {x.doc_id: x.component_id for x in got} == dict(zip(range(60), naive_groups(texts)))
+
+
+def test_near_copies_go_by_text(spark):
+    near, far = " ".join(f"word{k}" for k in range(40)), " ".join(f"other{k}" for k in range(30))
+    texts = [(1, near), (5, near + " end"), (5, far), (1, near), (1, near + " tail"), (None, near), (None, "null's own text of several words"), (6, ""), (6, None), (7, "short one"), (7, "short one")]
+    kept = Counter((x.doc_id, x.text) for x in near_dedup.drop_near_copies(docs_of(spark, texts)).collect())
+    assert {k for k in kept if k[0] != 1} == {(5, far), (None, "null's own text of several words"), (6, ""), (6, None), (7, "short one")}
+    assert sum(n for (i, _), n in kept.items() if i == 1) == 1 and set(kept.values()) == {1}
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, 100 + k) for k in range(1, 40)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -554,6 +652,12 @@ def test_a_copy_does_not_take_the_other_text_of_its_id(spark):
     assert sorted(x.text for x in exact_dedup.drop_copies(docs_of(spark, texts)).collect()) == ["null's own", "of its own", "the same"]
 
 
+def test_exact_groups_of_ids_that_are_text(spark):
+    rows = [("b", "same text"), ("a", "same  text"), ("c", "same\ttext"), (None, "sametext"), ("d", "x" * 200_000), ("e", "x" * 199_999)]
+    got = {x.doc_id: (x.keep_id, x.group_size, x.kept) for x in exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"a": ("a", 4, True), "b": ("a", 4, False), "c": ("a", 4, False), None: ("a", 4, False), "d": ("d", 1, True), "e": ("e", 1, True)}
+
+
 # 10. Mixing.
 
 
@@ -573,6 +677,55 @@ def test_mixing_keeps_its_bounds(spark, odd):
     assert mixing.mix(odd).count() == len(odd_texts())
 
 
+def naive_mix(rows):
+    """How often the mix takes each row of (id, text, source); ids are unique."""
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _ in rows}
+    names = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    whole = {s: sum(size[i] for i, _, x in rows if x == s) for s in names}
+    weight, cap, rest = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}, {s: 2 * whole[s] for s in names}, set(names)
+    budget, target = 1.5 * sum(whole.values()), {}
+    while rest:
+        level = (budget - sum(target.values())) / sum(weight[s] for s in rest)
+        above = {s for s in rest if level * weight[s] > cap[s]}
+        target |= {s: float(cap[s]) for s in above} or {s: level * weight[s] for s in rest}
+        rest = rest - above if above else set()
+    items = []
+    for s in names:
+        ahead = 0
+        for turn, i in sorted((hashlib.md5(str(i).encode()).hexdigest(), i) for i, _, x in rows if x == s):
+            ahead += size[i]
+            items += [((ahead + whole[s] * k) / target[s], turn, i, k) for k in range(2)] if size[i] else []
+    times, words = Counter(), 0
+    for *_, i, _ in sorted(items):
+        words += size[i]
+        if words > budget:
+            break
+        times[i] += 1
+    return times, target
+
+
+def test_mixing_against_plain_loops(spark):
+    r = random.Random(31)
+    rows = [(k, "w " * r.randrange(40) if k % 9 else None, r.choice(("a", "b", None, "c", "d") if k % 3 else ("a",))) for k in range(300)]
+    times, target = naive_mix(rows)
+    got = mixing.mix(docs_of(spark, [(i, t) for i, t, _ in rows], [s for *_, s in rows])).collect()
+    source = {i: s for i, _, s in rows}
+    assert len(got) == 300 and all(abs(x.target - target[source[x.doc_id]]) < 1e-6 for x in got)
+    assert {x.doc_id: x.taken for x in got if x.taken} == {i: n * next(x.size for x in got if x.doc_id == i) for i, n in times.items()}
+
+
+def test_mixed_rows_of_one_id_count_one_by_one(spark):
+    texts = [(k // 2, f"word {k // 2} " * 5) for k in range(20)] + [(k, "one two three") for k in (50, 50, 50, 50, 50)] + [(50, "four five six"), (None, "a b"), (None, "a b")]
+    docs = docs_of(spark, texts, ["s"] * 20 + ["a"] * 8)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(texts)
+    want = Counter()
+    for x in got:
+        want[x.doc_id, x.size] += x.taken // x.size
+    copies = Counter((x.doc_id, len(x.text.split())) for x in mixing.mixed_documents(docs).collect())
+    assert copies == +want and sum(copies.values()) == sum(x.taken // x.size for x in got)
+
+
 def test_prefix_sums(spark):
     df = spark.range(500).select((F.col("id") % 3).alias("k"), F.md5(F.col("id").cast("string")).alias("turn"), F.lit(1).alias("one"))
     got = common.prefix_sums(df, ["k"], ["turn"], "one", "rank", 500).collect()
@@ -580,6 +733,61 @@ def test_prefix_sums(spark):
         assert [r["rank"] for r in sorted((r for r in got if r["k"] == k), key=lambda r: r["turn"])] == list(range(sum(r["k"] == k for r in got)))
 
 
+def test_pipeline_against_plain_loops(spark, tmp_path):
+    """The rows of ``run`` are the pieces of the documents that a plain chain of the stages keeps."""
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    r = random.Random(44)
+    word = lambda: "".join(r.choice("bdfgklmn") + r.choice("aeiou") for _ in range(3))
+    text = lambda n: " ".join(word() for _ in range(n))
+    texts = [(k, text(r.randrange(8, 60)) + (" vile nasty vile" if k % 5 == 0 else "")) for k in range(150)]
+    texts += [(200 + k, texts[k][1]) for k in range(1, 20)] + [(230 + k, texts[k][1].replace(" ", "\n") + " ") for k in range(20, 30)]
+    texts += [(250 + k, texts[k][1] + " " + word()) for k in range(31, 60)] + [(300, None), (301, ""), (302, text(5000))]
+    sources = [r.choice("abc") if k % 4 else "hot" for k in range(len(texts))]
+    labels = [(k, None, int(k % 5 == 0)) for k in range(150)]
+    docs_of(spark, texts, sources).coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    rows = [(i, t, s) for (i, t), s in zip(texts, sources)]
+    toxic = {i for i, x in naive_scores([(i, t) for i, t, _ in rows], [(i, y) for i, _, y in labels]) if x >= toxicity.CUT}
+    assert {k for k in range(0, 150, 5)} <= toxic
+    rows = [x for x in rows if x[0] not in toxic]
+    keep = {}
+    for i, t, _ in rows:
+        norm = re.sub(r"[\x20\x09-\x0D]", "", t or "")
+        keep[norm] = min(keep.get(norm, (0, 1 << 60)), (-len(t or ""), i))
+    rows = [x for x in rows if x[0] in {i for _, i in keep.values()}]
+    parents = naive_groups([(i, t) for i, t, _ in rows])
+    rows = [x for x, c in zip(rows, parents) if x[0] == c]
+    times, _ = naive_mix(rows)
+    encode, want = Tokenizer.from_file(queries.tokenizer_path()).encode, Counter()
+    for i, t, _ in rows:
+        ids = [*encode(t or "", add_special_tokens=False).ids, 1]
+        for k in range(0, len(ids), 4096):
+            want[i, k // 4096, k, len(ids[k : k + 4096]), zlib.crc32(np.array(ids[k : k + 4096], dtype="<u4").tobytes())] += times[i]
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in got) == +want
+
+
+def test_each_stage_keeps_every_clean_text(spark, odd):
+    """On odd rows: no stage but mixing (which takes words, so no empty text) loses a text of its own."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(k, None, 0) for k in range(20)], "doc_id long, quality int, toxic int")
+    docs = odd.unionByName(docs_of(spark, [(3, "another text that stands on the id three, of its own words")]))
+    whole = {x.text for x in docs.collect()}
+    assert {x.text for x in toxicity.drop_toxic(docs, labels).collect()} == whole
+    norm = lambda found: {re.sub(r"[\x20\x09-\x0D]", "", x.text or "") for x in found}
+    assert norm(exact_dedup.drop_copies(docs).collect()) == norm(docs.collect())
+    near = {x.text for x in near_dedup.drop_near_copies(docs).collect()}
+    assert {None, "", " \n\t", "no id", "one two", "é" * 300, "x" * 250, "another text that stands on the id three, of its own words"} <= near
+    mixed = {x.text for x in mixing.mixed_documents(docs).collect()}
+    assert mixed <= whole and corpus_pipeline.mix_sources(spark, docs, FOLDER).columns == docs.columns
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
