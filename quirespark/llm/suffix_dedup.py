@@ -34,11 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirespark.llm.common import join_checked, staged, text_of, tidied
-from quirespark.llm.induced_sort import sorted_suffixes
+from quirespark.llm.induced_sort import pieces, sorted_suffixes
 from quirespark.llm.shingles import mixed
 
 LENGTH, GRAM = 100, 40
-HOT = 2000
+HOT = 20_000
 #: Bytes of text gathered for one suffix array, and hashed at once.
 SHARD, CHUNK = 1 << 20, 1 << 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -120,58 +120,77 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
 
 
 def segments_of(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, digest, h, first, segment: of the anchors whose numbers are in ``found``."""
+    """doc_id, digest, h, first, last, segment: of the anchors whose numbers are in
+    ``found``. A segment that its text holds already is null: all its windows start
+    earlier there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def give(batch):
+            take = pa.array([r[0] for r in out], pa.int64())
+            columns = [pa.array([r[k] for r in out], t) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.int64()), (4, pa.binary()))]
+            out.clear()
+            return pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("digest").take(take), *columns], ["doc_id", "digest", "h", "first", "last", "segment"])
+
+        out: list[tuple] = []
         for batch in batches:
-            numbers = batch.column("found").to_pylist()
+            numbers, size = batch.column("found").to_pylist(), 0
             for at, part, offsets, hashes, firsts in chunks(batch.column("data").to_pylist(), length):
-                rows, hs, starts, segments = [], [], [], []
                 for k, data in enumerate(part):
-                    ends = [*(firsts[offsets[k] + 1 : offsets[k + 1]] - 1).tolist(), len(data) - length]
-                    for n in numbers[at + k]:
-                        first = int(firsts[offsets[k] + n])
-                        rows.append(at + k)
-                        hs.append(int(hashes[offsets[k] + n]))
-                        starts.append(first)
-                        segments.append(data[first : ends[n] + length])
-                take = pa.array(rows, pa.int64())
-                columns = [batch.column("doc_id").take(take), batch.column("digest").take(take), pa.array(hs, pa.int64()), pa.array(starts, pa.int64()), pa.array(segments, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "h", "first", "segment"])
+                    ends, seen = [*(firsts[offsets[k] + 1 : offsets[k + 1]] - 1).tolist(), len(data) - length], set()
+                    for n in sorted(numbers[at + k]):
+                        first, last, h = int(firsts[offsets[k] + n]), ends[n], int(hashes[offsets[k] + n])
+                        segment = data[first : last + length]
+                        if segment in seen:
+                            if out and out[-1][0] == at + k and out[-1][4] is None and out[-1][3] + 1 == first:
+                                out[-1] = (*out[-1][:3], last, None)
+                                continue
+                            segment = None
+                        else:
+                            seen.add(segment)
+                            size += len(segment)
+                        out.append((at + k, h, first, last, segment))
+                        if size >= CHUNK:
+                            yield give(batch)
+                            size = 0
+            if out:
+                yield give(batch)
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "digest", "data", "found").mapInArrow(tidied(run), f"doc_id {kind}, digest binary, h long, first long, segment binary")
+    return docs.select("doc_id", "digest", "data", "found").mapInArrow(tidied(run), f"doc_id {kind}, digest binary, h long, first long, last long, segment binary")
 
 
-def shard_spans(rows: list[tuple], length: int) -> list[tuple]:
+def shard_spans(rows: list[tuple], length: int) -> Iterator[tuple]:
     """(doc_id, digest, first, last) runs of window starts that also start earlier,
     among the distinct segments (doc_id, digest, first, segment) of one shard."""
     data = b"\xff".join(r[3] for r in rows)  # a byte that UTF-8 never has
-    found = sorted_suffixes(data, length)
     lengths = np.array([len(r[3]) for r in rows])
     begins = np.concatenate(([0], np.cumsum(lengths[:-1] + 1)))
     order = sorted({r[0] for r in rows}, key=lambda d: (d is None, d))
     rank = {d: k for k, d in enumerate(order)}
     doc, first = np.array([rank[r[0]] for r in rows]), np.array([r[2] for r in rows])
-    group = np.cumsum(found[:, 1] < length)
-    segment = np.searchsorted(begins, found[:, 0], side="right") - 1
-    offset = found[:, 0] - begins[segment]
-    whole = offset + length <= lengths[segment]
-    group, segment, offset = group[whole], segment[whole], offset[whole]
-    if not len(group):
-        return []
-    place = (doc[segment] << 40) + first[segment] + offset
-    cut = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    least = np.repeat(np.minimum.reduceat(place, cut), np.diff(np.append(cut, len(group))))
-    late = np.flatnonzero(place > least)
-    late = late[np.lexsort((offset[late], segment[late]))]
-    out: list[list] = []
-    for s, o in zip(segment[late].tolist(), offset[late].tolist()):
-        if out and out[-1][0] == s and out[-1][2] + 1 == o:
-            out[-1][2] = o
-        else:
-            out.append([s, o, o])
-    return [(rows[s][0], rows[s][1], rows[s][2] + a, rows[s][2] + b) for s, a, b in out]
+    # Suffixes that share the window's length are neighbours: a group. Its least place stays.
+    with sorted_suffixes(data, length) as found:
+        least = np.empty(int(sum((found[part, 1] < length).sum() for part in pieces(len(found)))), dtype=np.int64)
+        least[:] = np.iinfo(np.int64).max
+        late = np.zeros(len(data), dtype=bool)
+
+        def grouped():
+            done = -1
+            for part in pieces(len(found)):
+                at, new = found[part, 0].astype(np.int64), found[part, 1] < length
+                group, done = done + np.cumsum(new), done + int(new.sum())
+                segment = np.searchsorted(begins, at, side="right") - 1
+                offset = at - begins[segment]
+                whole = offset + length <= lengths[segment]
+                yield at[whole], group[whole], (doc[segment[whole]] << 40) + first[segment[whole]] + offset[whole]
+
+        for _, group, place in grouped():
+            np.minimum.at(least, group, place)
+        for at, group, place in grouped():
+            late[at[place > least[group]]] = True
+    for k, (doc_id, digest, at, segment) in enumerate(rows):
+        own = np.flatnonzero(np.diff(late[begins[k] : begins[k] + len(segment)], prepend=False, append=False))
+        yield from ((doc_id, digest, at + a, at + b - 1) for a, b in own.reshape(-1, 2).tolist())
 
 
 def sharded_spans(firsts: DataFrame, length: int) -> DataFrame:
@@ -179,8 +198,7 @@ def sharded_spans(firsts: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def give(rows):
-            spans = shard_spans(rows, length)
-            columns = list(zip(*spans)) or [()] * 4
+            columns = list(zip(*shard_spans(rows, length))) or [()] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (ids, pa.binary(), pa.int64(), pa.int64()))], ["doc_id", "digest", "first", "last"])
 
         held, size, hash_, ids = [], 0, None, None
@@ -244,7 +262,9 @@ def removed_spans(docs: DataFrame, length: int) -> DataFrame:
     found = flat.join(repeated.hint("merge"), "h").groupBy("row").agg(F.collect_list("k").alias("found"))
     found = staged(found.join(marks.select("row", "doc_id", "digest").hint("merge"), "row").drop("row"), "suffix-found")
     texts = with_marks(docs, found, "found")
-    segments = staged(segments_of(texts, length), "suffix-segments")
+    cut = staged(segments_of(texts, length), "suffix-segments")
+    segments = cut.where("segment IS NOT NULL").drop("last")
+    again = cut.where("segment IS NULL").select("doc_id", "digest", "first", "last")
     firsts = staged(earliest(segments), "suffix-firsts")
     counts = staged(firsts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "suffix-counts")
     several = firsts.join(counts.hint("merge"), "h")
@@ -254,7 +274,7 @@ def removed_spans(docs: DataFrame, length: int) -> DataFrame:
     collided = window_firsts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     sorted_ = several.where(F.col("n") <= HOT).select(*firsts.columns).unionByName(window_firsts.join(collided, "h").select(*firsts.columns))
     sorted_ = staged(sorted_, "suffix-sorted").repartition("h").sortWithinPartitions("h")
-    spans = later(segments, firsts, length).unionByName(later(windows, window_firsts, length)).unionByName(sharded_spans(sorted_, length))
+    spans = later(segments, firsts, length).unionByName(later(windows, window_firsts, length)).unionByName(sharded_spans(sorted_, length)).unionByName(again)
     return spans.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans"))
 
 

@@ -241,19 +241,50 @@ def test_chunked_ids_are_the_tokenizers(spark):
 # 4. Suffix arrays.
 
 
-def test_induced_sort_against_brute_force():
+def test_induced_sort_against_brute_force(monkeypatch):
     r = random.Random(1)
+    induced_sort.COUNTS.clear()
     for t in range(300):
+        monkeypatch.setattr(induced_sort, "PIECE", r.choice((3, 16, 1 << 16)))
         data = bytes(r.choice(r.choice((b"ab", b"abc", b"a", b"\x00\xff"))) for _ in range(r.randint(1, 60)))
         data = (data * 5)[:200] if t % 5 == 0 else data
         depth = r.choice((1, 3, 10, 100))
         lcp = lambda i, j: next((k for k in range(depth) if data[i + k : i + k + 1] != data[j + k : j + k + 1] or i + k >= len(data)), depth)
-        got = induced_sort.sorted_suffixes(data, depth, budget=r.choice((64, 1 << 20)), base=r.choice((1, 4, 1 << 20)))
-        order = got[:, 0].tolist()
-        assert sorted(order) == list(range(len(data)))
-        prefixes = [data[p : p + depth] for p in order]  # order within a shared depth is free
-        assert prefixes == sorted(prefixes)
-        assert got[:, 1].tolist() == [lcp(order[k - 1], p) if k else 0 for k, p in enumerate(order)]
+        with induced_sort.sorted_suffixes(data, depth, budget=r.choice((64, 1 << 20)), base=r.choice((1, 4, 1 << 20))) as got:
+            order = got[:, 0].tolist()
+            assert sorted(order) == list(range(len(data)))
+            prefixes = [data[p : p + depth] for p in order]  # order within a shared depth is free
+            assert prefixes == sorted(prefixes)
+            assert got[:, 1].tolist() == [lcp(order[k - 1], p) if k else 0 for k, p in enumerate(order)]
+    assert induced_sort.COUNTS["spills"] and induced_sort.COUNTS["recursions"]
+
+
+def test_a_shard_larger_than_its_budgets():
+    """Names recurse, queues spill, and the shard's tuples (twelve times its bytes) are files."""
+    import tracemalloc
+
+    r = random.Random(2)
+    data = b"".join(r.choice((b"the ", b"of a ", b"word", b"sort ", b" in ", b"disk")) for _ in range(40_000))
+    induced_sort.COUNTS.clear()
+    tracemalloc.start()
+    with induced_sort.sorted_suffixes(data, 100, budget=1 << 14, base=1 << 12) as got:
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        order = got[:, 0].astype(int)
+        assert len(order) == len(data) == len(set(order.tolist()))
+        for at in range(0, len(order) - 1, 7):
+            a, b = (data[order[at + k] : order[at + k] + 100] for k in (0, 1))
+            assert a <= b and got[at + 1, 1] == next((k for k in range(100) if a[k : k + 1] != b[k : k + 1] or k >= len(a)), 100)
+    assert induced_sort.COUNTS["spills"] > 20 and induced_sort.COUNTS["recursions"] >= 1 and most < 24 << 20
+
+
+def test_repetitive_text_is_few_segments(spark):
+    texts = [(1, "a" * 1_000_000), (2, "ab" * 200_000), (3, "xyz" + "a" * 150), (4, "é" * 100_000)]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans) for x in suffix_dedup.remove_repeats(docs_of(spark, texts)).collect()}
+    assert got == {1: (1_000_000, 999_999, 1), 2: (400_000, 399_998, 1), 3: (153, 150, 1), 4: (200_000, 199_998, 1)}
+    data = spark.createDataFrame([(1, b"d", b"a" * 1_000_000, list(range(999_901)))], "doc_id long, digest binary, data binary, found array<int>")
+    rows = suffix_dedup.segments_of(data, 100).collect()
+    assert [(x.first, x.last, x.segment is None) for x in rows] == [(0, 0, False), (1, 999_900, True)]
 
 
 def naive_repeats(texts):
