@@ -11,10 +11,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Action types and how much they risk; GoTo is benign.
+#: Action types and how much they risk; any other type is no finding.
 RISKS = {
-    "JavaScript": "high", "Launch": "high", "ImportData": "high", "SubmitForm": "medium", "URI": "low", "GoToR": "medium", "GoToE": "medium",
-    "Rendition": "medium", "Sound": "low", "Movie": "medium", "ResetForm": "low", "Hide": "low", "Named": "low", "SetOCGState": "low",
+    "JavaScript": "high", "Launch": "high", "SubmitForm": "high", "ImportData": "high", "GoToR": "high", "GoToE": "high", "URI": "medium",
+    "Rendition": "high", "Movie": "medium", "Sound": "medium", "SetOCGState": "medium", "GoTo3DView": "medium", "Hide": "medium", "RichMediaExecute": "medium",
+}
+
+#: Annotations that carry or play media: kind of finding, and risk.
+MEDIA = {
+    "FileAttachment": ("attachment", "medium"), "Sound": ("media", "medium"), "Movie": ("media", "medium"), "Screen": ("media", "medium"), "RichMedia": ("media", "high"), "3D": ("media", "high"),
 }
 DEPTH = 32
 
@@ -63,23 +68,59 @@ def action_chains(actions: DataFrame, holders: DataFrame) -> DataFrame:
 
 def action_findings(chain: DataFrame) -> DataFrame:
     known = F.create_map(*(F.lit(x) for pair in RISKS.items() for x in pair))
-    severity = F.when(F.col("type") == "GoTo", F.lit(None)).otherwise(F.coalesce(F.element_at(known, F.col("type")), F.lit("medium")))
-    return chain.select("doc_id", F.concat(F.lit("action:"), "type").alias("rule"), severity.alias("severity"), "holder").where("severity IS NOT NULL")
+    return chain.select("doc_id", F.concat(F.lit("action:"), "type").alias("rule"), F.element_at(known, F.col("type")).alias("severity"), "holder").where("severity IS NOT NULL")
+
+
+def exhausted_walks(chain: DataFrame) -> DataFrame:
+    """Documents whose chains go on beyond the depth: an error, never a clean result."""
+    return chain.where("exhausted").select("doc_id").distinct()
+
+
+#: Rules over the catalogue's row of flags and counts, as (kind, severity,
+#: what is found, detail); severity and detail are SQL.
+CATALOG_RULES = (
+    ("openAction", "'high'", "open_action = 'action'", "'runs an action when it opens'"),
+    ("additionalActions", "'medium'", "aa", "'document'"),
+    ("javascript", "'high'", "javascript", "'document'"),
+    ("attachment", "'medium'", "embedded_files", "'embedded files'"),
+    ("attachment", "'medium'", "associated_files", "'associated files'"),
+    ("media", "'medium'", "renditions", "'renditions'"),
+    ("slideshow", "'medium'", "alternate_presentations", "'alternate presentations'"),
+    ("xfa", "'medium'", "xfa", "'form'"),
+    ("offPageFields", "if(off_page_filled > 0, 'medium', 'low')", "off_page > 0", "concat(off_page, ' off the pages, ', off_page_filled, ' filled')"),
+    ("additionalActions", "'medium'", "calculated > 0", "'calculation order'"),
+    ("hiddenLayer", "if(layers_off > 0, 'medium', 'low')", "layers", "concat(layers_off, ' hidden')"),
+    ("webCapture", "'low'", "web_capture", "'record'"),
+    ("metadata", "'low'", "xmp", "'catalogue'"),
+    ("metadata", "'low'", "xmp_holders - int(xmp) > 0", "concat(xmp_holders - int(xmp), ' others')"),
+)
+
+#: Entries of the information dictionary that identify, and how much is shown.
+INFO, SHOWN = ("Author", "Creator", "Title", "Subject", "Keywords"), 80
 
 
 def findings(catalog: DataFrame) -> DataFrame:
-    """Document-level rules over one row a document of presence flags and counts."""
-    rule = lambda name, severity, when: catalog.where(when).select("doc_id", F.lit(name).alias("rule"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), F.lit("document").alias("holder"))
+    """doc_id, kind, severity, detail: rules over one row a document of flags, counts and
+    the map ``info``; one scan serves them all."""
+    rules = F.array(*(F.struct(F.lit(k).alias("kind"), F.expr(s).alias("severity"), F.expr(when).alias("found"), F.expr(d).alias("detail")) for k, s, when, d in CATALOG_RULES))
+    entry = lambda key: F.trim(F.element_at("info", key))
+    shown = lambda v: F.when(F.char_length(v) > SHOWN, F.concat(F.substring(v, 1, SHOWN), F.lit("…"))).otherwise(v)
+    info = F.array(*(F.struct(F.lit("info").alias("kind"), F.lit("low").alias("severity"), (entry(k) != "").alias("found"), F.concat(F.lit(f"{k}: "), shown(entry(k))).alias("detail")) for k in INFO))
+    found = catalog.select("doc_id", F.explode(F.filter(F.concat(rules, info), lambda r: F.coalesce(r["found"], F.lit(False)))).alias("r"))
+    return found.select("doc_id", "r.kind", "r.severity", "r.detail")
+
+
+def page_findings(pages: DataFrame, annotations: DataFrame, fields: DataFrame) -> DataFrame:
+    """doc_id, page, kind, severity: additional actions and associated files of pages
+    (doc_id, page, aa, af), media and additional actions of annotations (doc_id, page,
+    subtype, aa), additional actions of form fields (doc_id, aa; page 0)."""
+    kind = F.create_map(*(F.lit(x) for k, v in MEDIA.items() for x in (k, v[0])))
+    risk = F.create_map(*(F.lit(x) for k, v in MEDIA.items() for x in (k, v[1])))
+    own = lambda df, page, k, s: df.select("doc_id", page.cast("int").alias("page"), F.lit(k).alias("kind") if isinstance(k, str) else k.alias("kind"), F.lit(s).alias("severity") if isinstance(s, str) else s.alias("severity"))
+    page = F.col("page")
     return union([
-        rule("open action", "high", F.col("open_action") == "action"),
-        rule("additional actions", "medium", F.col("aa")),
-        rule("javascript names", "high", F.col("javascript")),
-        rule("embedded files", "medium", F.col("files") > 0),
-        rule("xfa form", "medium", F.col("xfa")),
-        rule("calculation order", "medium", F.col("calculated") > 0),
-        rule("off-page fields", F.when(F.col("off_page_filled") > 0, "medium").otherwise("low"), F.col("off_page") > 0),
-        rule("hidden layers", F.when(F.col("layers_off") > 0, "medium").otherwise("low"), F.col("layers") > 0),
-        rule("metadata", "low", F.col("info") > 0),
+        own(pages.where("aa"), page, "additionalActions", "medium"), own(pages.where("af"), page, "attachment", "medium"), own(annotations.where("aa"), page, "additionalActions", "medium"),
+        own(annotations.where(F.col("subtype").isin(*MEDIA)), page, F.element_at(kind, F.col("subtype")), F.element_at(risk, F.col("subtype"))), own(fields.where("aa"), F.lit(0), "additionalActions", "medium"),
     ])
 
 
@@ -205,12 +246,17 @@ def trimmed_history(versions: DataFrame, depth: int = 30) -> DataFrame:
     return kept.withColumn("kept_bytes", F.sum("bytes").over(Window.partitionBy("doc_id").orderBy(F.desc("version")).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def evicted(kept: DataFrame, budget: int) -> DataFrame:
-    """Whole histories in order of opening, while all that is kept exceeds the budget.
-    Documents are a row each here; their running total is over those rows."""
-    sizes = kept.groupBy("doc_id").agg(F.sum("bytes").alias("bytes"))
-    later = F.sum("bytes").over(Window.orderBy(F.desc("doc_id")).rowsBetween(Window.unboundedPreceding, 0))
-    return sizes.withColumn("_later", later).select("doc_id", "bytes", (F.col("_later") > budget).alias("evicted"))
+def evicted(kept: DataFrame, budget: int, span: int = 4096) -> DataFrame:
+    """Whole histories in order of opening, while all that is kept exceeds the budget: a
+    document goes when what it and those opened later hold is over it. Ids are dealt to
+    spans; sums of spans, then of rows inside one, so no task orders all documents."""
+    sizes = kept.groupBy("doc_id").agg(F.sum("bytes").alias("bytes")).withColumn("_span", F.floor(F.col("doc_id") / span))
+    after = Window.orderBy(F.desc("_span")).rowsBetween(Window.unboundedPreceding, -1)
+    spans = sizes.groupBy("_span").agg(F.sum("bytes").alias("_sum"))
+    spans = spans.withColumn("_after", F.coalesce(F.sum("_sum").over(after), F.lit(0))).drop("_sum")
+    own = F.sum("bytes").over(Window.partitionBy("_span").orderBy(F.desc("doc_id")).rowsBetween(Window.unboundedPreceding, 0))
+    both = sizes.withColumn("_own", own).join(spans, "_span")
+    return both.select("doc_id", "bytes", (F.col("_own") + F.col("_after") > budget).alias("evicted"))
 
 
 def content_digest(chunks: DataFrame, version: int = 8) -> DataFrame:

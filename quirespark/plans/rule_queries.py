@@ -123,9 +123,9 @@ def mail_source(spark, d):
 
 # Rule sets.
 
-TYPES = ("GoTo", "JavaScript", "URI", "Launch", "SubmitForm", "Named", "Unknown")
+TYPES = ("GoTo", "JavaScript", "URI", "Launch", "SubmitForm", "Named", "Unknown", "GoToR", "GoToE", "ImportData", "Rendition", "Movie", "Sound", "SetOCGState", "GoTo3DView", "Hide", "RichMediaExecute")
 _type = "[" + ", ".join(f"'{t}'" for t in TYPES) + f"][(l_partkey % {len(TYPES)} + 1)::INTEGER]"
-_risk = "CASE type " + " ".join(f"WHEN '{t}' THEN '{s}'" for t, s in R.RISKS.items()) + " WHEN 'GoTo' THEN NULL ELSE 'medium' END"
+_risk = "CASE WHEN type IN ('JavaScript', 'Launch', 'SubmitForm', 'ImportData', 'GoToR', 'GoToE', 'Rendition') THEN 'high' WHEN type IN ('URI', 'Movie', 'Sound', 'SetOCGState', 'GoTo3DView', 'Hide', 'RichMediaExecute') THEN 'medium' END"
 
 
 def actions(spark, d):
@@ -148,18 +148,66 @@ def findings_by_severity(spark, d):
     return R.action_findings(R.action_chains(a, holders)).groupBy("severity", "rule").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
-_catalog = "(SELECT c_custkey AS doc_id, CASE c_custkey % 3 WHEN 0 THEN 'action' WHEN 1 THEN 'destination' END AS open_action, c_custkey % 4 = 0 AS aa, c_custkey % 5 = 0 AS javascript, c_custkey % 3 AS files, c_custkey % 7 = 0 AS xfa, c_custkey % 2 AS calculated, c_custkey % 6 AS off_page, c_custkey % 4 AS off_page_filled, c_custkey % 3 AS layers, c_custkey % 2 AS layers_off, c_custkey % 5 AS info FROM customer)"
+_info = "['Author', 'Creator', 'Producer', 'Title', 'Subject', 'Keywords', 'Trapped']"
+_catalog = f"""(SELECT c_custkey AS doc_id, CASE c_custkey % 3 WHEN 0 THEN 'action' WHEN 1 THEN 'destination' END AS open_action, c_custkey % 4 = 0 AS aa, c_custkey % 5 = 0 AS javascript, c_custkey % 3 > 0 AS embedded_files, c_custkey % 8 = 0 AS associated_files,
+  c_custkey % 9 = 0 AS renditions, c_custkey % 10 = 3 AS alternate_presentations, c_custkey % 7 = 0 AS xfa, c_custkey % 2 AS calculated, c_custkey % 6 AS off_page, c_custkey % 4 AS off_page_filled, c_custkey % 3 = 1 AS layers, c_custkey % 2 AS layers_off, c_custkey % 11 = 1 AS web_capture,
+  c_custkey % 2 = 0 AS xmp, c_custkey % 3 AS xmp_holders, {_info}[(c_custkey % 7 + 1)::INTEGER] AS key, CASE WHEN c_custkey % 5 = 1 THEN '  ' ELSE ' ' || repeat(c_name, 6) END AS val FROM customer)"""
 
 
-@query("document_findings", f"""SELECT severity, rule, count(*) AS n FROM (
-  SELECT 'open action' AS rule, 'high' AS severity FROM {_catalog} c WHERE open_action = 'action' UNION ALL SELECT 'additional actions', 'medium' FROM {_catalog} c WHERE aa UNION ALL
-  SELECT 'javascript names', 'high' FROM {_catalog} c WHERE javascript UNION ALL SELECT 'embedded files', 'medium' FROM {_catalog} c WHERE files > 0 UNION ALL SELECT 'xfa form', 'medium' FROM {_catalog} c WHERE xfa UNION ALL
-  SELECT 'calculation order', 'medium' FROM {_catalog} c WHERE calculated > 0 UNION ALL SELECT 'off-page fields', CASE WHEN off_page_filled > 0 THEN 'medium' ELSE 'low' END FROM {_catalog} c WHERE off_page > 0 UNION ALL
-  SELECT 'hidden layers', CASE WHEN layers_off > 0 THEN 'medium' ELSE 'low' END FROM {_catalog} c WHERE layers > 0 UNION ALL SELECT 'metadata', 'low' FROM {_catalog} c WHERE info > 0) q GROUP BY ALL""")
+@query("document_findings", f"""WITH c AS (SELECT * FROM {_catalog} c) SELECT severity, kind, detail, count(*) AS n FROM (
+  SELECT 'openAction' AS kind, 'high' AS severity, 'runs an action when it opens' AS detail FROM c WHERE open_action = 'action' UNION ALL SELECT 'additionalActions', 'medium', 'document' FROM c WHERE aa UNION ALL
+  SELECT 'javascript', 'high', 'document' FROM c WHERE javascript UNION ALL SELECT 'attachment', 'medium', 'embedded files' FROM c WHERE embedded_files UNION ALL SELECT 'attachment', 'medium', 'associated files' FROM c WHERE associated_files UNION ALL
+  SELECT 'media', 'medium', 'renditions' FROM c WHERE renditions UNION ALL SELECT 'slideshow', 'medium', 'alternate presentations' FROM c WHERE alternate_presentations UNION ALL SELECT 'xfa', 'medium', 'form' FROM c WHERE xfa UNION ALL
+  SELECT 'offPageFields', CASE WHEN off_page_filled > 0 THEN 'medium' ELSE 'low' END, off_page || ' off the pages, ' || off_page_filled || ' filled' FROM c WHERE off_page > 0 UNION ALL SELECT 'additionalActions', 'medium', 'calculation order' FROM c WHERE calculated > 0 UNION ALL
+  SELECT 'hiddenLayer', CASE WHEN layers_off > 0 THEN 'medium' ELSE 'low' END, layers_off || ' hidden' FROM c WHERE layers UNION ALL SELECT 'webCapture', 'low', 'record' FROM c WHERE web_capture UNION ALL SELECT 'metadata', 'low', 'catalogue' FROM c WHERE xmp UNION ALL
+  SELECT 'metadata', 'low', (xmp_holders - xmp::INTEGER) || ' others' FROM c WHERE xmp_holders > xmp::INTEGER UNION ALL
+  SELECT 'info', 'low', key || ': ' || CASE WHEN length(trim(val)) > 80 THEN substr(trim(val), 1, 80) || '…' ELSE trim(val) END FROM c WHERE key IN ('Author', 'Creator', 'Title', 'Subject', 'Keywords') AND trim(val) <> '') q GROUP BY ALL""")
 def document_findings(spark, d):
     k = F.col("c_custkey")
-    c = table(spark, d, "customer").select(k.alias("doc_id"), F.when(k % 3 == 0, "action").when(k % 3 == 1, "destination").alias("open_action"), (k % 4 == 0).alias("aa"), (k % 5 == 0).alias("javascript"), (k % 3).alias("files"), (k % 7 == 0).alias("xfa"), (k % 2).alias("calculated"), (k % 6).alias("off_page"), (k % 4).alias("off_page_filled"), (k % 3).alias("layers"), (k % 2).alias("layers_off"), (k % 5).alias("info"))
-    return R.findings(c).groupBy("severity", "rule").agg(F.count(F.lit(1)).alias("n"))
+    key = F.element_at(F.array(*map(F.lit, ("Author", "Creator", "Producer", "Title", "Subject", "Keywords", "Trapped"))), (k % 7 + 1).cast("int"))
+    value = F.when(k % 5 == 1, "  ").otherwise(F.concat(F.lit(" "), F.repeat("c_name", 6)))
+    c = table(spark, d, "customer").select(
+        k.alias("doc_id"), F.when(k % 3 == 0, "action").when(k % 3 == 1, "destination").alias("open_action"), (k % 4 == 0).alias("aa"), (k % 5 == 0).alias("javascript"), (k % 3 > 0).alias("embedded_files"), (k % 8 == 0).alias("associated_files"), (k % 9 == 0).alias("renditions"),
+        (k % 10 == 3).alias("alternate_presentations"), (k % 7 == 0).alias("xfa"), (k % 2).alias("calculated"), (k % 6).alias("off_page"), (k % 4).alias("off_page_filled"), (k % 3 == 1).alias("layers"), (k % 2).alias("layers_off"), (k % 11 == 1).alias("web_capture"),
+        (k % 2 == 0).alias("xmp"), (k % 3).alias("xmp_holders"), F.create_map(key, value).alias("info"),
+    )
+    return R.findings(c).groupBy("severity", "kind", "detail").agg(F.count(F.lit(1)).alias("n"))
+
+
+SUBTYPES = ("Link", "FileAttachment", "Sound", "Movie", "Screen", "RichMedia", "3D", "Widget")
+
+
+@query("page_findings", """SELECT kind, severity, count(*) AS n, count(DISTINCT doc_id) AS docs, sum(page)::BIGINT AS pages FROM (
+  SELECT l_orderkey AS doc_id, l_linenumber AS page, 'additionalActions' AS kind, 'medium' AS severity FROM lineitem WHERE l_partkey % 6 = 0 UNION ALL SELECT l_orderkey, l_linenumber, 'attachment', 'medium' FROM lineitem WHERE l_suppkey % 7 = 0 UNION ALL
+  SELECT user_id, event_id % 9, 'additionalActions', 'medium' FROM events WHERE event_id % 5 = 0 UNION ALL SELECT user_id, event_id % 9, 'attachment', 'medium' FROM events WHERE event_id % 8 = 1 UNION ALL
+  SELECT user_id, event_id % 9, 'media', 'medium' FROM events WHERE event_id % 8 IN (2, 3, 4) UNION ALL SELECT user_id, event_id % 9, 'media', 'high' FROM events WHERE event_id % 8 IN (5, 6) UNION ALL
+  SELECT o_orderkey, 0, 'additionalActions', 'medium' FROM orders WHERE o_custkey % 4 = 0) q GROUP BY ALL""")
+def page_findings(spark, d):
+    pages = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page"), (F.col("l_partkey") % 6 == 0).alias("aa"), (F.col("l_suppkey") % 7 == 0).alias("af"))
+    e = F.col("event_id")
+    annotations = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), (e % 9).alias("page"), F.element_at(F.array(*map(F.lit, SUBTYPES)), (e % 8 + 1).cast("int")).alias("subtype"), (e % 5 == 0).alias("aa"))
+    fields = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % 4 == 0).alias("aa"))
+    found = R.page_findings(pages, annotations, fields)
+    return found.groupBy("kind", "severity").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"), F.sum("page").cast("long").alias("pages"))
+
+
+@query("outline_actions", f"""WITH RECURSIVE a AS (SELECT l_orderkey AS doc_id, l_linenumber AS action, min({_type}) AS type FROM lineitem GROUP BY ALL),
+  e AS (SELECT doc_id, action, action + 1 AS nxt FROM a UNION ALL SELECT doc_id, action, 1 FROM a WHERE action = 3),
+  r AS (SELECT o_orderkey AS doc_id, o_custkey % 4 + 1 AS holder, o_custkey % 4 + 1 AS action FROM orders UNION SELECT e.doc_id, holder, e.nxt FROM r JOIN e ON r.doc_id = e.doc_id AND r.action = e.action)
+  SELECT doc_id, string_agg(type, ',' ORDER BY type, action) AS types, count(*) FILTER (WHERE risk = 'high') AS high FROM (SELECT doc_id, action, type, {_risk} AS risk FROM r JOIN a USING (doc_id, action)) q WHERE risk IS NOT NULL GROUP BY doc_id""")
+def outline_actions(spark, d):
+    a = actions(spark, d)
+    start = (F.col("o_custkey") % 4 + 1).cast("int")
+    holders = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("outline "), start.cast("string")).alias("holder"), start.alias("action"))
+    found = R.action_findings(R.action_chains(a, holders))
+    one = F.sort_array(F.collect_list(F.regexp_replace("rule", "action:", "")))
+    return found.groupBy("doc_id").agg(F.array_join(one, ",").alias("types"), F.count_if(F.col("severity") == "high").alias("high"))
+
+
+@query("history_evicted", "SELECT user_id AS doc_id, bytes, sum(bytes) OVER (ORDER BY user_id DESC) > 100000 AS evicted FROM (SELECT user_id, sum(abs(value)::BIGINT)::BIGINT AS bytes FROM events GROUP BY user_id) q")
+def history_evicted(spark, d):
+    v = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.rint(F.abs("value")).cast("long").alias("bytes"))
+    return R.evicted(v, 100_000, 64)
 
 
 def html_elements(spark, d):
@@ -191,7 +239,7 @@ def ua_containment(spark, d):
 
 @query("ua_html_containment")
 def ua_html_containment(spark, d):
-    own = R.pass_through(html_elements(spark, d).cache(), ["div", "section", "span"])
+    own = R.pass_through(html_elements(spark, d), ["div", "section", "span"])
     return R.containment(own).groupBy("clause", "verdict").agg(F.count(F.lit(1)).alias("docs"))
 
 
