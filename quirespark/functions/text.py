@@ -82,12 +82,52 @@ def numbered(marker: Column) -> Column:
 
 
 def safe_link(u: Column) -> Column:
-    return F.coalesce(u.rlike(rf"(?i)^[{SPACE}]*(?:https?|mailto):"), F.lit(False))
+    """Whether a writer may write a link: http, https or mailto, and it parses: no white
+    space before the scheme, no control character, no broken escape before the query."""
+    scheme, control, escape = r"(?i)^(?:https?|mailto):", r"[\x{0}-\x{1F}\x{7F}]", r"(?i)^https?:[^?#]*%(?![0-9a-f]{2})"
+    return F.coalesce(u.rlike(scheme) & ~u.rlike(control) & ~u.rlike(escape), F.lit(False))
+
+
+def safe_href(u: Column) -> Column:
+    """Whether a page's link may be kept: the same after outer white space goes."""
+    return safe_link(F.regexp_replace(u, rf"^[{SPACE}]+|[{SPACE}]+$", ""))
 
 
 def lang_tag(tag: Column) -> Column:
-    """The tag if it has the shape of subtags, else empty."""
-    return F.when(tag.rlike("^[A-Za-z]{1,8}(?:-[A-Za-z0-9]{1,8})*$"), tag).otherwise(F.lit(""))
+    """The tag if it has a language tag's shape, else "und": at most 35 characters; subtags
+    of one to eight letters or digits, the first of two to eight letters, or i or x."""
+    shape = "^(?:[A-Za-z]{2,8}|[ixIX])(?:-[A-Za-z0-9]{1,8})*$"
+    return F.when(tag.rlike(shape) & (F.length(tag) <= 35), tag).otherwise(F.lit("und"))
+
+
+#: Regions whose Chinese is written in traditional script.
+TRADITIONAL = ("tw", "hk", "mo")
+
+
+def locale_option(locale: Column, options: Column) -> Column:
+    """Of a field's options (an array of tags) the one for a locale: the same tag in any
+    case, else its language; of Chinese by script, else by region; else empty."""
+    want = F.lower(F.replace(F.coalesce(locale, F.lit("")), F.lit("_"), F.lit("-")))
+    named = lambda tag: F.get(F.filter(options, lambda o: (o != "") & (F.lower(o) == tag)), F.lit(0))
+    parts = F.split(want, "-")
+    script = F.when(F.array_contains(parts, "hant") | F.arrays_overlap(parts, F.array(*map(F.lit, TRADITIONAL))), "zh-hant").otherwise("zh-hans")
+    return F.coalesce(named(want), named(F.when(parts[0] == "zh", script).otherwise(parts[0])), F.lit(""))
+
+
+#: Types of inline pictures, and the most bytes of one and of a page.
+IMAGE_TYPES, IMAGE_BYTES, PAGE_IMAGE_BYTES = ("image/png", "image/jpeg", "image/gif", "image/webp"), 8 << 20, 64 << 20
+
+
+def data_image(u: Column) -> Column:
+    """struct(type, bytes) of an inline base64 picture of a known type, else null. Bytes
+    are those that the body may decode to, blanks included."""
+    s = F.trim(u)
+    head = F.lower(F.replace(F.regexp_extract(s, r"(?is)^data:([^,]*),", 1), F.lit(" "), F.lit("")))
+    body = F.regexp_extract(s, r"(?is)^data:[^,]*,(.*)$", 1)
+    kind = F.regexp_replace(head, ";base64$", "")
+    size = (F.floor(F.length(body) / 4) * 3).cast("long")
+    ok = head.endswith(";base64") & kind.isin(*IMAGE_TYPES) & (size <= IMAGE_BYTES) & F.regexp_replace(body, r"[\n\r \t]", "").rlike("^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$")
+    return F.when(ok, F.struct(kind.alias("type"), size.alias("bytes")))
 
 
 def ocr_tag(code: Column) -> Column:
@@ -170,7 +210,8 @@ def safe_member(name: Column) -> Column:
 
 
 def css_is_inert(css: Column) -> Column:
-    return ~F.lower(css).rlike(r"@import|url\(|expression|behavior|javascript:|-moz-binding|@font-face|\\")
+    """Free of anything that could fetch or run."""
+    return ~F.lower(css).rlike(r"@import|url\(|image-set\(|image\(|src:|expression|behavior|-moz-binding|\\|@font-face|javascript:|<")
 
 
 def natural_key(name: Column) -> Column:
@@ -207,10 +248,8 @@ def yes_no_marks(line: Column) -> Column:
 
 
 def slash_parts(word: Column) -> Column:
-    """The parts of X/Y, or an empty array."""
-    parts = F.split(word, "/")
-    ok = (F.size(parts) >= 2) & ~F.exists(parts, lambda p: p == "")
-    return F.when(ok, parts).otherwise(F.array().cast("array<string>"))
+    """The parts of Xx/Yy, each of two letters or more, or an empty array."""
+    return F.when(word.rlike("^[A-Za-z]{2,}(?:/[A-Za-z]{2,})+$"), F.split(word, "/")).otherwise(F.array().cast("array<string>"))
 
 
 def fill_template(text: Column, values: Column) -> Column:

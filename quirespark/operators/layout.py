@@ -32,9 +32,22 @@ def body_size(runs: DataFrame) -> DataFrame:
     return sums.groupBy("doc_id").agg(F.min_by("size", F.struct(-F.col("n"), F.col("size"))).alias("body"))
 
 
+#: How much larger than the body a heading is, and its most lines.
+HEADING_SCALE, HEADING_LINES = 1.15, 3
+
+
 def headings(lines: DataFrame, body: DataFrame) -> DataFrame:
-    """Lines of at least 1.15 times the body size, with levels by falling size, at most 6."""
-    sized = lines.withColumn("half", round_half(F.col("size"))).join(body, "doc_id").where(F.col("half") >= F.col("body") * 1.15)
+    """The first lines of pieces that are headings, with levels by falling size, at most
+    6. A piece is a paragraph, cut before each of its lines that has a list marker; a
+    heading has no marker, at most three lines, and at least 1.15 times the body size."""
+    para = paragraphs(lines).withColumn("_marked", list_marker(F.col("text")) != "")
+    w = Window.partitionBy("doc_id", "page", "para").orderBy(F.desc("y1"), "seq")
+    para = para.withColumn("_first", F.row_number().over(w)).withColumn("_cut", (F.col("_marked") & (F.col("_first") > 1)).cast("int"))
+    para = para.withColumn("piece", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    each = Window.partitionBy("doc_id", "page", "para", "piece")
+    para = para.withColumn("piece_lines", F.count(F.lit(1)).over(each)).withColumn("_nth", F.row_number().over(each.orderBy(F.desc("y1"), "seq")))
+    first = para.where("_nth = 1 AND NOT _marked").where(F.col("piece_lines") <= HEADING_LINES).withColumn("half", round_half(F.col("size")))
+    sized = first.join(body, "doc_id").where((F.col("body") > 0) & (F.col("half") >= F.col("body") * HEADING_SCALE))
     level = F.least(F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc("half"))), F.lit(6))
     return sized.withColumn("level", level)
 

@@ -36,13 +36,6 @@ def body_size(spark, d):
     return L.body_size(own_runs(spark, d))
 
 
-@query("heading_levels", f"""SELECT doc_id, seq, size, least(dense_rank() OVER (PARTITION BY doc_id ORDER BY round(size * 2) / 2 DESC), 6)::INTEGER AS level
-  FROM {RUNS} r JOIN {BODY} b USING (doc_id) WHERE round(size * 2) / 2 >= body * 1.15""")
-def heading_levels(spark, d):
-    r = own_runs(spark, d)
-    return L.headings(r, L.body_size(r)).select("doc_id", "seq", "size", "level")
-
-
 _steps = f"(SELECT doc_id, page, max(x1) AS right_edge, coalesce(quantile_cont(step, 0.5), 0.0)::DOUBLE AS typical, count(step) AS steps FROM (SELECT *, lag(y1) OVER (PARTITION BY doc_id, page ORDER BY y1 DESC, seq) - y1 AS step FROM {RUNS} r) q GROUP BY ALL)"
 
 
@@ -60,6 +53,23 @@ def paragraphs(spark, d):
     return found.groupBy("doc_id", "page").agg(F.max("para").alias("paras"), F.count(F.lit(1)).alias("lines"))
 
 
+_breaks = rf"""(SELECT *, sum(breaks::INTEGER) OVER (PARTITION BY doc_id, page ORDER BY y1 DESC, seq) AS para FROM (
+  SELECT r.*, lag(seq) OVER w IS NULL OR abs(size - lag(size) OVER w) > 0.1 * size OR (steps >= 2 AND lag(y1) OVER w - y1 > 1.25 * typical)
+    OR x0 - lag(x0) OVER w > 0.5 * size OR right_edge - lag(x1) OVER w > length(regexp_extract(text, '^[{SPACE}]*([^{SPACE}]*)', 1)) * 6.0 + 0.5 * size AS breaks
+  FROM {RUNS} r JOIN {_steps} s USING (doc_id, page) WINDOW w AS (PARTITION BY doc_id, page ORDER BY y1 DESC, seq)) q)"""
+
+
+@query("heading_levels", f"""WITH m AS (SELECT *, regexp_matches(text, '{_marker}') AS marked, row_number() OVER (PARTITION BY doc_id, page, para ORDER BY y1 DESC, seq) AS nth FROM {_breaks} b),
+  p AS (SELECT *, sum((marked AND nth > 1)::INTEGER) OVER (PARTITION BY doc_id, page, para ORDER BY y1 DESC, seq) AS piece FROM m),
+  c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page, para, piece) AS n, row_number() OVER (PARTITION BY doc_id, page, para, piece ORDER BY y1 DESC, seq) AS own FROM p)
+  SELECT doc_id, seq, size, least(dense_rank() OVER (PARTITION BY doc_id ORDER BY round(size * 2) / 2 DESC), 6)::INTEGER AS level
+  FROM c JOIN {BODY} b USING (doc_id) WHERE own = 1 AND NOT marked AND n <= 3 AND body > 0 AND round(size * 2) / 2 >= body * 1.15""")
+def heading_levels(spark, d):
+    r = own_runs(spark, d)
+    return L.headings(r, L.body_size(r)).select("doc_id", "seq", "size", "level")
+
+
+
 @query("columns", f"""SELECT doc_id, page, seq, sum(fresh) OVER (PARTITION BY doc_id, page ORDER BY x0, x1, seq ROWS UNBOUNDED PRECEDING)::BIGINT AS col FROM (
   SELECT doc_id, page, seq, x0, x1, CASE WHEN x0 >= max(x1) OVER (PARTITION BY doc_id, page ORDER BY x0, x1, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1
     WHEN row_number() OVER (PARTITION BY doc_id, page ORDER BY x0, x1, seq) = 1 THEN 1 ELSE 0 END AS fresh FROM
@@ -121,7 +131,7 @@ def text_rows(spark, d):
 
 def words_of(spark, d):
     """A run per word, on the lines' baselines with a small wobble."""
-    base = own_runs(spark, d).where("page = 0").select("doc_id", "page", F.col("seq").alias("line"), "size", "y0", F.posexplode(F.split("text", " ")).alias("w", "text"))
+    base = own_runs(spark, d).select("doc_id", "page", F.col("seq").alias("line"), "size", "y0", F.posexplode(F.split("text", " ")).alias("w", "text"))
     wobble = (F.col("w") % 3) * 0.5
     x0 = F.lit(72.0) + F.col("w") * 40.0
     return base.select("doc_id", "page", (F.col("line") * 1000 + F.col("w")).alias("seq"), "text", "size", x0.alias("x0"), (x0 + F.least(F.length("text"), F.lit(6)) * 6.0).alias("x1"), (F.col("y0") + wobble).alias("y0"))
@@ -169,12 +179,12 @@ def painted_over(spark, d):
 _cells = "(SELECT doc_id, r AS row, c AS col, 50.0 + c * 150 AS x0, 200.0 + c * 150 AS x1, 720.0 - (r + 1) * 90 AS y0, 720.0 - r * 90 AS y1 FROM documents, (SELECT unnest(generate_series(0, 4)) AS r) a, (SELECT unnest(generate_series(0, 2)) AS c) b)"
 
 
-@query("cell_assignment", f"SELECT p.doc_id, p.seq, c.row::INTEGER AS row, c.col::INTEGER AS col FROM {RUNS} p JOIN {_cells} c ON p.doc_id = c.doc_id AND p.x0 >= c.x0 AND p.x0 < c.x1 AND p.y0 >= c.y0 AND p.y0 < c.y1 WHERE p.page = 0")
+@query("cell_assignment", f"SELECT p.doc_id, p.seq, c.row::INTEGER AS row, c.col::INTEGER AS col FROM {RUNS} p JOIN {_cells} c ON p.doc_id = c.doc_id AND p.x0 >= c.x0 AND p.x0 < c.x1 AND p.y0 >= c.y0 AND p.y0 < c.y1")
 def cell_assignment(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(14))).alias("k"))
     r, c = F.floor(F.col("k") / 3).cast("int"), (F.col("k") % 3).cast("int")
     cells = docs.select("doc_id", r.alias("row"), c.alias("col"), (50.0 + c * 150).alias("x0"), (200.0 + c * 150).alias("x1"), (720.0 - (r + 1) * 90).alias("y0"), (720.0 - r * 90).alias("y1"))
-    points = own_runs(spark, d).where("page = 0").select("doc_id", "seq", F.col("x0").alias("x"), F.col("y0").alias("y"))
+    points = own_runs(spark, d).select("doc_id", "seq", F.col("x0").alias("x"), F.col("y0").alias("y"))
     return M.cell_of(points, cells).select("doc_id", "seq", "row", "col")
 
 
@@ -241,7 +251,7 @@ def slash_templates(spark, d):
 
 @query("figure_join")
 def figure_join(spark, d):
-    r = own_runs(spark, d).where("page = 0")
+    r = own_runs(spark, d)
     figs = r.where("seq % 3 = 0").select("doc_id", "page", F.col("seq").alias("pos"), F.when(F.col("seq") % 2 == 0, F.col("x0")).alias("x0"), "y0", "x1", "y1")
     pics = r.where("seq % 2 = 0").select("doc_id", "page", F.col("seq").alias("pic"), "x0", (F.col("y0") - 3).alias("y0"), "x1", "y1")
     return M.figures_by_overlap(figs, pics)

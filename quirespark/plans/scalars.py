@@ -41,9 +41,9 @@ def one_line(spark, d):
 @query("direction_by_lang", rf"""SELECT lang, count(*) FILTER (WHERE rtl > ltr) AS rtl_docs, sum(rtl)::BIGINT AS rtl_letters, sum(ltr)::BIGINT AS other_letters,
   CASE WHEN sum(rtl) > sum(ltr) THEN 'rtl' ELSE 'ltr' END AS majority FROM (
   SELECT lang, {count('text', f'[{RE_RTL}]')} AS rtl, {count(f"regexp_replace(text, '[{RE_RTL}]', '', 'g')", '[' + chr(92) + 'p{L}]')} AS ltr FROM (
-    SELECT lang, CASE WHEN doc_id % 15 = 8 THEN substr(text, 1, 9) ELSE text END AS text FROM {sql_injected()} u) t) GROUP BY lang""")
+    SELECT lang, CASE WHEN doc_id % 15 = 8 THEN repeat('{chr(0x5E9)}{chr(0x5DC)}', length(text)) || text ELSE text END AS text FROM {sql_injected()} u) t) GROUP BY lang""")
 def direction_by_lang(spark, d):
-    s = F.when(F.col("doc_id") % 15 == 8, F.substring("text", 1, 9)).otherwise(F.col("text"))
+    s = F.when(F.col("doc_id") % 15 == 8, F.concat(F.repeat(F.lit("של"), F.length("text")), F.col("text"))).otherwise(F.col("text"))
     each = injected(spark, d).select("lang", T.rtl_letters(s).alias("rtl"), T.other_letters(s).alias("ltr"))
     return each.groupBy("lang").agg(
         F.count_if(F.col("rtl") > F.col("ltr")).alias("rtl_docs"), F.sum("rtl").alias("rtl_letters"), F.sum("ltr").alias("other_letters"),
@@ -56,17 +56,17 @@ def bidi_counts(spark, d):
     return injected(spark, d).select("doc_id", T.bidi_controls(F.col("text")).alias("n"), T.is_bidi_control(F.substring("text", 1, 1)).alias("opens"))
 
 
-LINKS = ("", "JAVASCRIPT:", "mailto:", " HTTPS://x.y/", "data:text/html,", "ftp://")
-_links = "CASE page_id % 6 " + " ".join(f"WHEN {k} THEN '{p}'" for k, p in enumerate(LINKS)) + " END || url"
+LINKS = ("", "JAVASCRIPT:", "mailto:", " HTTPS://x.y/", "data:text/html,", "HTTPS://x.y/%zz?", "http://a/%41?%zz=")
+_links = "CASE page_id % 7 " + " ".join(f"WHEN {k} THEN '{p}'" for k, p in enumerate(LINKS)) + " END || url"
 
 
-@query("safe_links", rf"""SELECT page_id, coalesce(regexp_matches(u, '(?i)^[{SPACE}]*(?:https?|mailto):'), false) AS safe,
+@query("safe_links", rf"""SELECT page_id, page_id % 7 NOT IN (1, 3, 4, 5) AS safe, page_id % 7 NOT IN (1, 4, 5) AS safe_href,
   regexp_replace({"".join(f"replace(" for _ in T.ENCODED)}regexp_replace(u || ' (a_b)*&amp;', '&(#?[A-Za-z0-9]+;)', '%26\1', 'g'){"".join(f", '{c if c != chr(39) else chr(39) * 2}', '{e}')" for c, e in T.ENCODED.items())}, '^$', '') AS target
   FROM (SELECT page_id, {_links} AS u FROM pages) t""")
 def safe_links(spark, d):
-    prefix = F.element_at(F.array(*map(F.lit, LINKS)), (F.col("page_id") % 6 + 1).cast("int"))
+    prefix = F.element_at(F.array(*map(F.lit, LINKS)), (F.col("page_id") % 7 + 1).cast("int"))
     u = F.concat(prefix, F.col("url"))
-    return table(spark, d, "pages").select("page_id", T.safe_link(u).alias("safe"), T.link_target(F.concat(u, F.lit(" (a_b)*&amp;"))).alias("target"))
+    return table(spark, d, "pages").select("page_id", T.safe_link(u).alias("safe"), T.safe_href(u).alias("safe_href"), T.link_target(F.concat(u, F.lit(" (a_b)*&amp;"))).alias("target"))
 
 
 @query("csv_safe_cells", rf"""SELECT doc_id, sha256(CASE WHEN regexp_matches(text, '^[\x{{9}}\x{{A}}\x{{D}}\x{{20}}]*[=+\x{{2D}}@]')
@@ -100,14 +100,15 @@ def xml_escape(spark, d):
     return injected(spark, d).select("doc_id", F.sha2(T.xml_escape(F.col("text")), 256).alias("digest"))
 
 
-TAGS = ("en", "en-US", "e", "123456789", "zh-Hant-TW", "x_y", "", "deu", "chi_sim", "fr-")
-_tags = "[" + ", ".join(f"'{t}'" for t in TAGS) + "][(doc_id % 10 + 1)::INTEGER]"
+TAGS = ("en", "en-US", "e", "123456789", "zh-Hant-TW", "x_y", "", "deu", "chi_sim", "fr-", "x-private", "I-klingon", "en-a-bbbbbbbb-cccccccc-dddddddd-eee", "en-a-bbbbbbbb-cccccccc-dddddddd-eeeeeeee", "9a", "abcdefghi", "en--US")
+_good = "'en', 'en-US', 'zh-Hant-TW', 'deu', 'x-private', 'I-klingon', 'en-a-bbbbbbbb-cccccccc-dddddddd-eee'"
+_tags = "[" + ", ".join(f"'{t}'" for t in TAGS) + "][(doc_id % 17 + 1)::INTEGER]"
 _ocr = "CASE tag " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.OCR_TAGS.items()) + " ELSE '' END"
 
 
-@query("language_tags", f"SELECT doc_id, CASE WHEN regexp_matches(tag, '^[A-Za-z]{{1,8}}(?:-[A-Za-z0-9]{{1,8}})*$') THEN tag ELSE '' END AS tag, {_ocr} AS ocr_tag FROM (SELECT doc_id, {_tags} AS tag FROM documents) t")
+@query("language_tags", f"SELECT doc_id, CASE WHEN tag IN ({_good}) THEN tag ELSE 'und' END AS tag, {_ocr} AS ocr_tag FROM (SELECT doc_id, {_tags} AS tag FROM documents) t")
 def language_tags(spark, d):
-    tag = F.element_at(F.array(*map(F.lit, TAGS)), (F.col("doc_id") % 10 + 1).cast("int"))
+    tag = F.element_at(F.array(*map(F.lit, TAGS)), (F.col("doc_id") % 17 + 1).cast("int"))
     return table(spark, d, "documents").select("doc_id", T.lang_tag(tag).alias("tag"), T.ocr_tag(tag).alias("ocr_tag"))
 
 
@@ -115,7 +116,7 @@ BOXES = ("Yes", " ON ", "off", "x", "0", "checked", "no", "True ", "", "1")
 _boxes = "[" + ", ".join(f"'{t}'" for t in BOXES) + "][(l_orderkey % 10 + 1)::INTEGER]"
 
 
-@query("truthy_boxes", f"SELECT box, count(*) AS n, bool_and(lower(trim(box)) IN ({', '.join(repr(t) for t in T.TRUTHY)})) AS truth FROM (SELECT {_boxes} AS box FROM lineitem) t GROUP BY box")
+@query("truthy_boxes", f"SELECT box, count(*) AS n, bool_and(lower(trim(box)) IN ('t', 'true', '1', 'yes', 'y', 'x', 'checked', 'on')) AS truth FROM (SELECT {_boxes} AS box FROM lineitem) t GROUP BY box")
 def truthy_boxes(spark, d):
     box = F.element_at(F.array(*map(F.lit, BOXES)), (F.col("l_orderkey") % 10 + 1).cast("int"))
     return table(spark, d, "lineitem").select(box.alias("box")).groupBy("box").agg(F.count(F.lit(1)).alias("n"), F.bool_and(T.truthy(F.col("box"))).alias("truth"))
@@ -157,9 +158,59 @@ def pipe_choices(spark, d):
     return found.where(F.size("options") > 0).select("doc_id", "line_no", F.array_join("options", "|").alias("options"))
 
 
-@query("natural_order", "SELECT page_id, regexp_replace(url, '[^0-9]+', '', 'g') AS digits, lower(regexp_replace(url, '[0-9]+', '#', 'g')) AS letters FROM pages")
+@query("natural_order", """SELECT p_partkey, rank() OVER (ORDER BY substr(name, 1, 1), num, tail) AS place FROM (SELECT p_partkey, 'p' || (p_partkey % 120) || CASE WHEN p_partkey % 2 = 0 THEN 'b' ELSE 'A' END AS name, p_partkey % 120 AS num, CASE WHEN p_partkey % 2 = 0 THEN 'b' ELSE 'a' END AS tail FROM part) q""")
 def natural_order(spark, d):
-    return table(spark, d, "pages").select("page_id", F.regexp_replace("url", "[^0-9]+", "").alias("digits"), F.lower(F.regexp_replace("url", "[0-9]+", "#")).alias("letters"))
+    """Places of names such as p7A and p12b: numbers by value, letters in any case. Names are few, so ranks are of the distinct ones."""
+    from pyspark.sql import Window
+
+    k = F.col("p_partkey")
+    own = table(spark, d, "part").select("p_partkey", T.natural_key(F.concat(F.lit("p"), (k % 120).cast("string"), F.when(k % 2 == 0, "b").otherwise("A"))).alias("sort_key"))
+    counts = own.groupBy("sort_key").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("sort_key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return own.join(counts.select("sort_key", (before + 1).alias("place")), "sort_key").select("p_partkey", "place")
+
+
+@query("css_inert", r"""SELECT p_partkey, NOT (lower(css) LIKE '%@import%' OR lower(css) LIKE '%url(%' OR lower(css) LIKE '%image-set(%' OR lower(css) LIKE '%image(%' OR lower(css) LIKE '%src:%' OR lower(css) LIKE '%expression%' OR lower(css) LIKE '%behavior%' OR lower(css) LIKE '%-moz-binding%'
+  OR contains(css, chr(92)) OR lower(css) LIKE '%@font-face%' OR lower(css) LIKE '%javascript:%' OR contains(css, '<')) AS inert FROM (SELECT p_partkey, p_name || (['', 'color: red', '@IMPORT x', 'a{b:URL(x)}', 'image-set(1)', 'Src: x', 'Expression(1)', 'behavior', '-moz-binding', 'a' || chr(92) || 'b', '@font-face', 'JavaScript:', '<', 'image (x)'])[(p_partkey % 14 + 1)::INTEGER] AS css FROM part) q""")
+def css_inert(spark, d):
+    css = ("", "color: red", "@IMPORT x", "a{b:URL(x)}", "image-set(1)", "Src: x", "Expression(1)", "behavior", "-moz-binding", "a\\b", "@font-face", "JavaScript:", "<", "image (x)")
+    own = F.concat("p_name", F.element_at(F.array(*map(F.lit, css)), (F.col("p_partkey") % 14 + 1).cast("int")))
+    return table(spark, d, "part").select("p_partkey", T.css_is_inert(own).alias("inert"))
+
+
+WORDS = ("Male/Female", "Y/N", "a/bc", "One/Two/Three", "x", "Home/Work/", "10/20", "ab/cd")
+
+
+@query("slash_words", "SELECT p_partkey, w AS word, CASE WHEN w IN ('Male/Female', 'One/Two/Three', 'ab/cd') THEN replace(w, '/', '|') ELSE '' END AS parts FROM (SELECT p_partkey, (['Male/Female', 'Y/N', 'a/bc', 'One/Two/Three', 'x', 'Home/Work/', '10/20', 'ab/cd'])[(p_partkey % 8 + 1)::INTEGER] AS w FROM part) q")
+def slash_words(spark, d):
+    word = F.element_at(F.array(*map(F.lit, WORDS)), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", word.alias("word"), F.array_join(T.slash_parts(word), "|").alias("parts"))
+
+
+LOCALES = ("en-US", "EN_gb", "zh-TW", "zh", "zh-Hant-CN", "pt-PT", "pt-br", "xx", None, "", "de_AT", "zh_MO")
+
+
+@query("locale_options", "SELECT p_partkey, (['en', 'en-GB', 'zh-Hant', 'zh-Hans', 'zh-Hant', '', 'pt-BR', '', '', '', 'de', 'zh-Hant'])[(p_partkey % 12 + 1)::INTEGER] AS choice FROM part")
+def locale_options(spark, d):
+    locale = F.element_at(F.array(*map(F.lit, LOCALES)), (F.col("p_partkey") % 12 + 1).cast("int"))
+    options = F.array(*map(F.lit, ("", "en", "en-GB", "de", "fr", "zh-Hans", "zh-Hant", "pt-BR")))
+    return table(spark, d, "part").select("p_partkey", T.locale_option(locale, options).alias("choice"))
+
+
+_images = "(['data:image/png;base64,', 'DATA:image/JPEG; base64, ', 'data:image/svg+xml;base64,', 'data:image/gif,', 'data:image/webp;base64,', 'http:', 'data:image/png;base64,!'])[(event_id % 7 + 1)::INTEGER]"
+
+
+@query("inline_images", f"""SELECT event_id, kept AND sum(CASE WHEN kept THEN bytes ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) <= 900 AS admitted, CASE WHEN kept THEN bytes END AS bytes FROM (
+  SELECT user_id, event_id, event_id % 7 IN (0, 1, 4) AS kept, (length(body) // 4 * 3)::BIGINT AS bytes FROM (SELECT user_id, event_id, CASE WHEN event_id % 7 = 1 THEN ' ' ELSE '' END || repeat('QUJD', (event_id % 40 + 1)::INTEGER) AS body FROM events) a) q""")
+def inline_images(spark, d):
+    """Pictures of a page are admitted while those of a known type so far keep within the page's bytes (here 900)."""
+    from pyspark.sql import Window
+
+    heads = ("data:image/png;base64,", "DATA:image/JPEG; base64, ", "data:image/svg+xml;base64,", "data:image/gif,", "data:image/webp;base64,", "http:", "data:image/png;base64,!")
+    u = F.concat(F.element_at(F.array(*map(F.lit, heads)), (F.col("event_id") % 7 + 1).cast("int")), F.repeat(F.lit("QUJD"), (F.col("event_id") % 40 + 1).cast("int")))
+    own = table(spark, d, "events").select("user_id", "event_id", T.data_image(u)["bytes"].alias("bytes"))
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return own.select("event_id", (F.col("bytes").isNotNull() & (F.sum(F.coalesce("bytes", F.lit(0))).over(w) <= 900)).alias("admitted"), "bytes")
 
 
 @query("natural_keys")
@@ -167,10 +218,12 @@ def natural_keys(spark, d):
     return table(spark, d, "pages").select("page_id", T.natural_key(F.col("url")).alias("sort_key")).orderBy("sort_key", "page_id")
 
 
-@query("template_fill", "SELECT c_custkey, 'Dear ' || c_name || ', ' || '{{missing}}' || ' {{c_name}}' AS letter, 'missing' AS missing FROM customer")
+@query("template_fill", """SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Dear ' || c_name || ', {{missing}} {{c_name}}' WHEN 1 THEN c_mktsegment || '/' || c_mktsegment || '{{}}' ELSE 'no keys {{ c_name }} {{=x.y}' END AS letter,
+  CASE c_custkey % 3 WHEN 0 THEN 'missing' ELSE '' END AS missing FROM customer""")
 def template_fill(spark, d):
-    values = F.create_map(F.lit("c_name"), F.col("c_name"), F.lit("seg"), F.col("c_mktsegment"))
-    filled = T.fill_template(F.lit("Dear {{c_name}}, {{missing}} {{=c_name}}"), values)
+    values, k = F.create_map(F.lit("c_name"), F.col("c_name"), F.lit("seg"), F.col("c_mktsegment")), F.col("c_custkey") % 3
+    template = F.when(k == 0, "Dear {{c_name}}, {{missing}} {{=c_name}}").when(k == 1, "{{seg}}/{{seg}}{{}}").otherwise("no keys {{ c_name }} {{=x.y}")
+    filled = T.fill_template(template, values)
     return table(spark, d, "customer").select("c_custkey", filled["text"].alias("letter"), F.array_join(filled["missing"], ",").alias("missing"))
 
 
