@@ -226,21 +226,20 @@ def hex_decode(s: Column) -> Column:
     return F.unhex(F.when(F.length(bare) % 2 == 1, F.concat(bare, F.lit("0"))).otherwise(bare))
 
 
-def trim_lead_ins(segments: Column) -> Column:
-    """Of each choice segment the trailing tokens of one class (numbers, words, other).
-    Each step's array is the next one's argument, so nothing is computed twice."""
-    kind = lambda t: F.when(t.rlike(r"^[$€£]?[0-9][0-9.,]*%?$"), "n").when(t.rlike(r"^[\p{L}'\x{2D}]+$"), "w").otherwise("o")
-    tokens = F.transform(segments, words)
-    kinds = F.transform(tokens, lambda t: F.struct(F.reverse(t).alias("t"), F.reverse(F.transform(t, kind)).alias("k")))
-    other = F.transform(kinds, lambda x: F.struct(x["t"].alias("t"), F.array_position(F.transform(x["k"], lambda k: k != x["k"][0]), True).alias("n")))
-    own = F.transform(other, lambda x: F.when(x["n"] > 0, F.slice(x["t"], F.lit(1), (x["n"] - 1).cast("int"))).otherwise(x["t"]))
-    return F.transform(own, lambda t: F.array_join(F.reverse(t), " "))
+def without_lead_in(option: Column) -> Column:
+    """The last words of one class (amount, word, other): prose before a first option goes."""
+    kind = lambda t: F.when(t.rlike(r"^[$0-9]"), "n").when(t.rlike("^[A-Za-z]"), "w").otherwise("o")
+    back = F.reverse(words(option))
+    kinds = F.transform(back, kind)
+    other = F.array_position(F.transform(kinds, lambda k: k != kinds[0]), True)
+    return F.array_join(F.reverse(F.when(other > 0, F.slice(back, F.lit(1), (other - 1).cast("int"))).otherwise(back)), " ")
 
 
 def pipe_choices(line: Column) -> Column:
-    """Options between two or more pipes, without lead-ins; empty if none."""
-    parts = F.filter(trim_lead_ins(F.split(line, r"\|")), lambda p: p != "")
-    return F.coalesce(F.get(F.filter(F.array(parts), lambda p: F.size(p) >= 2), F.lit(0)), F.array().cast("array<string>"))
+    """Options between pipes, the first without its lead-in; empty with fewer than two."""
+    parts = F.filter(F.transform(F.split(line, r"\|"), lambda p: F.array_join(words(p), " ")), lambda p: p != "")
+    first = F.concat(F.array(without_lead_in(parts[0])), F.slice(parts, 2, 2**31 - 1))
+    return F.when((F.size(parts) >= 2) & line.contains("|"), first).otherwise(F.array().cast("array<string>"))
 
 
 def yes_no_marks(line: Column) -> Column:

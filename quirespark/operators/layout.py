@@ -182,3 +182,9 @@ def text_rows(group: list[dict]) -> list[dict]:
 
 
 ROWS = "doc_id long, page int, seq int, row int"
+
+
+def reading_order(runs: DataFrame) -> DataFrame:
+    """place of each run of a page: by column from the left, then downwards."""
+    w = Window.partitionBy("doc_id", "page").orderBy("col", F.desc("y1"), "x0", "seq")
+    return columns(runs).withColumn("place", F.row_number().over(w))

@@ -239,3 +239,11 @@ def merged_outline(outlines: DataFrame, files: DataFrame) -> DataFrame:
     own = outlines.join(offset.select("batch", "file", "offset"), ["batch", "file"])
     own = own.select("batch", "file", "pos", "title", (F.col("page") + F.col("offset")).alias("page"), (F.col("level") + 1).alias("level"))
     return tops.unionByName(own)
+
+
+def cropped(pages: DataFrame, left, bottom, right, top) -> DataFrame:
+    """Boxes (x0, y0, x1, y1) less what is cut from each side; ``ok`` says that something
+    is left, else a caller must refuse. A side never grows."""
+    cut = lambda c: F.greatest(c, F.lit(0.0))
+    out = {"x0": F.col("x0") + cut(left), "y0": F.col("y0") + cut(bottom), "x1": F.col("x1") - cut(right), "y1": F.col("y1") - cut(top)}
+    return pages.withColumns({**out, "ok": (out["x0"] < out["x1"]) & (out["y0"] < out["y1"])})

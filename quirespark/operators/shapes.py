@@ -85,30 +85,6 @@ def ruled_grids(across: list[tuple[float, float, float]], upright: list[tuple[fl
     return out
 
 
-#: Capitalised words that begin sentences rather than name choices.
-STOP = frozenset("The A An And Or Of In On At To For By With From If This That".split())
-
-
-def run_choices(words: list[tuple[str, float, float, float]]) -> list[list[str]]:
-    """Runs of at least three short, distinct, capitalised words (text, x0, x1, height)
-    of a row, with wide and even gaps, after a word that ends in a colon."""
-    out, k = [], 1
-    fits = lambda w: w[0][:1].isupper() and len(w[0]) <= 12 and w[0] not in STOP
-    while k < len(words):
-        if not words[k - 1][0].endswith(":"):
-            k += 1
-            continue
-        end = k
-        while end < len(words) and fits(words[end]):
-            end += 1
-        run = words[k:end]
-        gaps = [b[1] - a[2] for a, b in zip(run, run[1:])]
-        if len(run) >= 3 and min(gaps) > 0.8 * run[0][3] and max(gaps) < 2.6 * min(gaps) and len({w[0] for w in run}) == len(run):
-            out.append([w[0] for w in run])
-        k = max(end, k + 1)
-    return out
-
-
 def break_greedy(items: list, most: float, width: Callable[[list], float]) -> list[list]:
     """Lines of items no wider than ``most``; an item that is wider stands alone."""
     lines: list[list] = []
@@ -120,14 +96,25 @@ def break_greedy(items: list, most: float, width: Callable[[list], float]) -> li
     return lines
 
 
+#: Networks that no public host has, beside private, loopback, link-local and multicast ones.
+RESERVED = tuple(map(ipaddress.ip_network, (
+    "0.0.0.0/8", "100.64.0.0/10", "192.0.0.0/24", "192.0.2.0/24", "198.51.100.0/24", "203.0.113.0/24", "198.18.0.0/15", "192.88.99.0/24", "240.0.0.0/4",
+    "::/96", "2001:20::/28", "2001:db8::/32", "3fff::/20", "2001::/32", "2002::/16", "64:ff9b::/96", "64:ff9b:1::/48", "100::/64", "5f00::/16", "fec0::/10",
+)))
+PRIVATE = tuple(map(ipaddress.ip_network, ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "fc00::/7")))
+
+
 def routable(address: str) -> bool:
-    """Whether an address is one of the public network; what is no address is not."""
+    """Whether an address is a public host's. A mapped one is what it maps to, and a zone
+    changes nothing; what is no address is not."""
     try:
-        found = ipaddress.ip_address(address)
+        found = ipaddress.ip_address(address.partition("%")[0] if ":" in address else address)
     except ValueError:
         return False
-    mapped = getattr(found, "ipv4_mapped", None) or found
-    return mapped.is_global and not mapped.is_multicast
+    found = getattr(found, "ipv4_mapped", None) or found
+    if found.is_unspecified or found.is_loopback or found.is_multicast or found.is_link_local or found == ipaddress.ip_address("255.255.255.255"):
+        return False
+    return not any(found in network for network in (*RESERVED, *PRIVATE) if network.version == found.version)
 
 
 #: Fixed values, in points: least field, squares that are check boxes, room above a bare line.
