@@ -236,10 +236,14 @@ def without_lead_in(option: Column) -> Column:
 
 
 def pipe_choices(line: Column) -> Column:
-    """Options between pipes, the first without its lead-in; empty with fewer than two."""
-    parts = F.filter(F.transform(F.split(line, r"\|"), lambda p: F.array_join(words(p), " ")), lambda p: p != "")
+    """The first list of two or more options between pipes, its first option without the
+    lead-in; words with a colon, bracket or blank to fill end a list. Empty if none."""
+    stretches = F.split(line, rf"(?:^|(?<=[{SPACE}]))[^{SPACE}]*[_:()][^{SPACE}]*")
+    listed = F.filter(F.transform(stretches, lambda s: F.split(s, r"\|")), lambda ps: F.size(ps) >= 2)
+    kept = F.transform(listed, lambda ps: F.filter(F.transform(ps, lambda p: F.array_join(words(p), " ")), lambda p: p != ""))
+    parts = F.get(F.filter(kept, lambda ps: F.size(ps) >= 2), F.lit(0))
     first = F.concat(F.array(without_lead_in(parts[0])), F.slice(parts, 2, 2**31 - 1))
-    return F.when((F.size(parts) >= 2) & line.contains("|"), first).otherwise(F.array().cast("array<string>"))
+    return F.when(parts.isNotNull(), first).otherwise(F.array().cast("array<string>"))
 
 
 def yes_no_marks(line: Column) -> Column:

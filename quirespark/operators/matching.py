@@ -16,14 +16,11 @@ from pyspark.sql import functions as F
 from quirespark.functions.text import truthy, words
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.explode(words(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
-
-
 def same_words(left: DataFrame, right: DataFrame) -> DataFrame:
-    """doc_id, same, missing, extra: multiset equality of the words of both sides."""
-    a, b = word_counts(left).withColumnRenamed("n", "a"), word_counts(right).withColumnRenamed("n", "b")
-    both = a.join(b, ["doc_id", "word"], "full_outer").fillna(0, ["a", "b"])
+    """doc_id, same, missing, extra: multiset equality of the words of both sides. Words
+    of both are counted together, so there is one exchange of words and no join."""
+    side = lambda df, a, b: df.select("doc_id", F.explode(words(F.col("text"))).alias("word"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+    both = side(left, 1, 0).unionByName(side(right, 0, 1)).groupBy("doc_id", "word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     return both.groupBy("doc_id").agg(
         F.bool_and(F.col("a") == F.col("b")).alias("same"),
         F.sum(F.greatest(F.col("a") - F.col("b"), F.lit(0))).alias("missing"),
@@ -155,13 +152,19 @@ def slash_templates(tokens: DataFrame) -> DataFrame:
     return tokens.join(templates, ["doc_id", "token"], "left_semi")
 
 
+#: Fields that a form may have.
+MOST_FIELDS = 10_000
+
+
 def filled_fields(template: DataFrame, values: DataFrame) -> DataFrame:
     """Mail merge: fields (form, name, id, kind) x rows of values (row, name, value). A
     value is found by a field's name, else by its id. Check boxes read truth, list boxes
     take all values, the rest the first."""
     named = values.groupBy("row", "name").agg(F.sort_array(F.collect_list("value")).alias("vals"))
     rows = values.select("row").distinct()
-    both = rows.crossJoin(F.broadcast(template))  # a template is one form's fields: a few rows, a query set
+    if template.limit(MOST_FIELDS + 1).count() > MOST_FIELDS:
+        raise ValueError(f"a form has at most {MOST_FIELDS} fields")
+    both = rows.crossJoin(F.broadcast(template))  # one form's fields, counted above: a query set
     by_name = both.join(named, ["row", "name"], "left").withColumnRenamed("vals", "by_name")
     by_id = by_name.join(named.select("row", F.col("name").alias("id"), F.col("vals").alias("by_id")), ["row", "id"], "left")
     vals = F.coalesce("by_name", "by_id")

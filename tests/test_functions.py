@@ -27,8 +27,8 @@ def test_list_markers(spark):
 
 
 def test_links(spark):
-    for link, safe in ((" HTTP://x", True), ("mailto:a", True), ("javascript:x", False), ("", False)):
-        assert one(spark, T.safe_link(F.col("s")), s=link) is safe
+    for link, safe, href in ((" HTTP://x", False, True), ("mailto:a", True, True), ("javascript:x", False, False), ("", False, False), ("http://a/%zz", False, False), ("http://a/?%zz", True, True), ("http://a\x07", False, False)):
+        assert one(spark, T.safe_link(F.col("s")), s=link) is safe and one(spark, T.safe_href(F.col("s")), s=link) is href
     assert one(spark, T.link_target(F.col("s")), s="a b&amp;c&d") == "a%20b%26amp;c&d"
 
 
@@ -40,6 +40,7 @@ def test_glyph_names(spark):
 def test_pipe_choices(spark):
     assert one(spark, T.pipe_choices(F.col("s")), s="Colour: red | blue") == ["red", "blue"]
     assert one(spark, T.pipe_choices(F.col("s")), s="no pipes") == []
+    assert one(spark, T.pipe_choices(F.col("s")), s="Raise my dues by $5 | $10 each (or) a | b") == ["$5", "$10 each"]
 
 
 def test_template(spark):

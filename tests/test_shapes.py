@@ -30,15 +30,9 @@ def test_grids():
     assert S.ruled_grids([(0.0, 0.0, 9.5), (0.2, 10.0, 20.0), *across[1:]], upright)[0][0] == [0.0, 10.0, 20.0]
 
 
-def test_run_choices():
-    row = [("Colour:", 0, 40, 10)] + [(w, 60 + 50 * k, 85 + 50 * k, 10) for k, w in enumerate(("Red", "Green", "Blue"))]
-    assert S.run_choices(row) == [["Red", "Green", "Blue"]]
-    assert S.run_choices(row[1:]) == [] and S.run_choices(row[:3]) == []
-
-
 def test_breaking_and_addresses():
     assert S.break_greedy([3, 4, 9, 1], 8, sum) == [[3, 4], [9], [1]]
-    assert [S.routable(a) for a in ("8.8.8.8", "10.0.0.1", "::1", "::ffff:192.168.0.1", "x")] == [True, False, False, False, False]
+    assert [S.routable(a) for a in ("8.8.8.8", "10.0.0.1", "::1", "::ffff:192.168.0.1", "x", "100.64.1.1", "::c0a8:101%eth0", "2606:4700::1%3")] == [True, False, False, False, False, False, False, True]
 
 
 def test_fields():
