@@ -319,3 +319,45 @@ def cropped_pages(spark, d):
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(595.0).alias("x1"), F.lit(842.0).alias("y1"), "l_partkey", "l_suppkey", "l_quantity")
     out = P.cropped(li, (F.col("l_partkey") % 300).cast("double"), (F.col("l_suppkey") % 400).cast("double"), (F.col("l_partkey") % 310).cast("double"), (F.col("l_quantity") * 10).cast("double"))
     return out.select("doc_id", "page", "x0", "y0", "x1", "y1", "ok")
+
+
+# PDF: the documents' lines as files, 54 to a page; every seventh file has lost its header.
+
+
+def pdf_files(spark, d):
+    from quirespark.sources import pdf
+
+    def write(lines):
+        pages = [[(72, 720 - 12 * k, 10, text) for k, text in enumerate(lines[a : a + 54]) if text] for a in range(0, max(1, len(lines)), 54)]
+        return pdf.write_pdf(pages)
+
+    docs = table(spark, d, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    whole = office.made(docs, "doc_id", "lines", write, "content", "binary")
+    return whole.withColumn("content", F.when(F.col("doc_id") % 7 == 6, F.expr("substring(content, 10)")).otherwise(F.col("content")))
+
+
+_pdf_lines = "(SELECT doc_id, CAST((i - 1) // 54 AS INTEGER) AS page, i - 1 AS n, parts[i] AS text FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents WHERE doc_id % 7 <> 6) d, LATERAL (SELECT unnest(generate_series(1, len(parts))) AS i) s)"
+
+
+@query("pdf_runs", f"""SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY n) - 1)::INTEGER AS seq, sha256(text) AS digest, 72.0::DOUBLE AS x0, (720 - 12 * (n % 54))::DOUBLE AS y0, (72 + 10 * length(text))::DOUBLE AS x1, 10.0::DOUBLE AS size, NULL AS refusal
+  FROM {_pdf_lines} l WHERE text <> '' UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'no header' FROM documents WHERE doc_id % 7 = 6""")
+def pdf_runs(spark, d):
+    from quirespark.sources import pdf
+
+    found = pdf.pdf_runs(pdf_files(spark, d))
+    return found.select("doc_id", "page", "seq", F.sha2("text", 256).alias("digest"), F.round("x0", 6).alias("x0"), F.round("y0", 6).alias("y0"), F.round("x1", 3).alias("x1"), "size", "refusal")
+
+
+@query("pdf_pages", f"SELECT doc_id, max(page) + 1 AS pages, 612.0::DOUBLE AS width, 792.0::DOUBLE AS height FROM {_pdf_lines} l GROUP BY doc_id")
+def pdf_pages(spark, d):
+    from quirespark.sources import pdf
+
+    found = pdf.pdf_pages(pdf_files(spark, d)).where("refusal IS NULL")
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("pages"), F.max(F.col("x1") - F.col("x0")).alias("width"), F.max(F.col("y1") - F.col("y0")).alias("height"))
+
+
+@query("pdf_refusals", "SELECT 'no header' AS refusal, count(*) AS n FROM documents WHERE doc_id % 7 = 6 HAVING count(*) > 0")
+def pdf_refusals(spark, d):
+    from quirespark.sources import pdf
+
+    return pdf.pdf_pages(pdf_files(spark, d)).where("refusal IS NOT NULL").groupBy("refusal").agg(F.count(F.lit(1)).alias("n"))
