@@ -12,9 +12,9 @@ rule that matches claims its stretch, so a full text is not also reported as its
 The dimension of known sentences is fixed and small, a map inside the expression:
 no join, no shuffle, no Python.
 
-``SENTENCES``, ``RULES``, ``ENDS``, ``OTHER`` and ``KNOWN`` are those of the query's
-SQL: whole sentences on lines of their own. ``PHRASES`` and ``CLAIMS`` hold them
-and the forms of real licences; on texts with only the former, rows are the same.
+``SENTENCES`` are those of the query's SQL, which states its own rules for whole
+sentences on lines of their own. ``PHRASES`` and ``CLAIMS`` hold them and the forms of
+real licences; on texts with only the former, rows are the same.
 
 Rows: a null or empty text, and a text without known sentences, has empty arrays.
 Repeated rows are scanned each.
@@ -23,7 +23,6 @@ Repeated rows are scanned each.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,28 +49,6 @@ SENTENCES = (
     ("w", "all rights reserved"),
 )
 
-#: Licence and its pattern over the identifiers, in order.
-RULES = (
-    ("MIT", "nw*ow*p"),
-    ("MIT", "m|no?|op"),
-    ("Apache-2.0", "abc|bc|a"),
-    ("BSD-3-Clause", "w*t+u"),
-    ("BSD-2-Clause", "w*t"),
-    ("GPL-3.0-only", "g"),
-    ("GPL-3.0-or-later", "hi|h|i"),
-    ("CC-BY-NC-4.0", "q"),
-    ("CC-BY-SA-4.0", "s"),
-    ("CC-BY-4.0", "r"),
-    ("Proprietary", "w"),
-)
-
-#: A stop counts before white space, so a version's "2.0" is whole.
-ENDS = r"[.!?;:]+(?:[\x{9}-\x{D}\x{20}]|$)|\x{A}+"
-OTHER = r"[^a-z0-9.\-]+"
-#: A sentence that ends in a known one, the longest first.
-KNOWN = "(?:^| )(" + "|".join(s.replace(".", "[.]") for _, s in sorted(SENTENCES, key=lambda e: -len(e[1]))) + ")$"
-
-
 #: The GPL's versioned notices and short forms, and what stands for them in the map:
 #: who speaks, verb and form make no difference, the version and "or later" do.
 LATER = r" or (?:(?:[|] )?at your option any later version|(?:any )?later(?: version)?)(?= )"
@@ -90,7 +67,7 @@ def forms() -> dict[str, str]:
     }
     verbs = ("licensed under", "released under", "distributed under", "available under", "under the terms of")
     found = {f"{verb} {the}{name}": i for i, own in names.items() for name in own for verb in verbs for the in ("the ", "")}
-    spdx = {"apache-2.0": "A", "mit": "B", "bsd-3-clause": "C", "bsd-2-clause": "D", "gpl-3.0-only": "L", "gpl-3.0": "L", "gpl-3.0-or-later": "K", "gpl-2.0-only": "N", "gpl-2.0": "N", "gpl-2.0-or-later": "M", "cc-by-nc-4.0": "Q", "cc-by-sa-4.0": "S", "cc-by-4.0": "R"}
+    spdx = {"apache-2.0": "A", "mit": "B", "bsd-3-clause": "C", "bsd-2-clause": "D", "gpl-3.0-only": "L", "gpl-3.0": "L", "gpl-3.0-or-later": "K", "gpl-2.0-only": "N", "gpl-2.0": "N", "gpl-2.0-or-later": "M", "cc-by-nc-4.0": "Q", "cc-by-sa-4.0": "S", "cc-by-4.0": "R", "isc": "E", "zlib": "F", "bsl-1.0": "G", "mpl-2.0": "I", "unlicense": "T", "lgpl-2.1-or-later": "U", "lgpl-3.0-or-later": "X", "agpl-3.0-or-later": "W"}
     found |= {f"spdx-license-identifier {name}": i for name, i in spdx.items()}
     for i, kind, name in (("R", "by", "attribution"), ("S", "by-sa", "attribution-sharealike"), ("Q", "by-nc", "attribution-noncommercial")):
         for who in ("creative commons ", "cc "):
@@ -115,6 +92,15 @@ PHRASES = {
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "x",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "y",
     "as is and any express or implied warranties including but not limited to": "z",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "E",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted": "E",
+    "this software is provided as-is without any express or implied warranty": "F", "this software is provided as is without any express or implied warranty": "F",
+    "the origin of this software must not be misrepresented": "F",
+    **{f"boost software license {bar}version 1.0": "G" for bar in ("", "| ")},
+    "this source code form is subject to the terms of the mozilla public license v": "I",
+    **{f"mozilla public license {v}": "I" for v in ("version 2.0", "2.0")},
+    "this is free and unencumbered software released into the public domain": "T",
+    **{f"gnu {name} general public license as published by the free software foundation {either}version {v} of the license or {bar}at your option any later version": i for name, v, i in (("lesser", "2.1", "U"), ("lesser", "3", "X"), ("affero", "3", "W")) for either in ("either ", "") for bar in ("", "| ")},
     "all advertising materials mentioning features or use of this software must display the following acknowledgement": "V",
     **{f"{nor} may be used to endorse or promote products": "u" for nor in ("nor the names of its contributors", "nor the names of their contributors", "nor the names of contributors", "nor the names of other contributors", "names of its contributors", "names of contributors")},
     **{f"the name of the {who} may not be used to endorse or promote products": "u" for who in ("author", "authors", "copyright holder", "company")},
@@ -149,6 +135,7 @@ CLAIMS = (
     ("CC-BY-NC-4.0", "q|Q+"),
     ("CC-BY-SA-4.0", "s|S+"),
     ("CC-BY-4.0", "r|R+"),
+    ("ISC", "w*E+"), ("Zlib", "w*F+"), ("BSL-1.0", "G+"), ("MPL-2.0", "I+"), ("Unlicense", "T+"), ("LGPL-2.1-or-later", "U+"), ("LGPL-3.0-or-later", "X+"), ("AGPL-3.0-or-later", "W+"),
     ("Proprietary", "w"),
 )
 
@@ -190,12 +177,15 @@ def sequence(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, sentence_ids, licenses (in the rules' order), n_matches."""
+    """One row per document: doc_id, sentence_ids, licenses (in the rules' order), n_matches,
+    evidence (of each match the licence and the identifiers that it claimed)."""
     found = docs.select(F.col(id_col).alias("doc_id"), sequence(text_of(text_col)).alias("sentence_ids"))
-    rest, names, counts = F.col("sentence_ids"), [], []
+    claim = lambda name: lambda ids: F.struct(F.lit(name).alias("license"), ids.alias("sentence_ids"))
+    rest, claims = F.col("sentence_ids"), []
     for name, pattern in CLAIMS:  # the matched stretch is replaced, so later rules do not see it
-        counts.append(F.regexp_count(rest, F.lit(pattern)))
-        names.append(F.when(F.regexp_count(rest, F.lit(pattern)) > 0, F.lit(name)))
+        hits = F.regexp_extract_all(rest, F.lit(f"({pattern})"), 1)
+        claims.append(F.transform(hits, claim(name)))
         rest = F.regexp_replace(rest, pattern, "-")
-    hits = reduce(lambda a, b: a + b, counts)
-    return found.select("doc_id", "sentence_ids", F.array_distinct(F.array_compact(F.array(*names))).alias("licenses"), hits.cast("long").alias("n_matches"))
+    found = found.withColumn("evidence", F.when(F.col("sentence_ids") != "", F.flatten(F.array(*claims))).otherwise(F.array().cast("array<struct<license:string,sentence_ids:string>>")))
+    names = F.array_distinct(F.transform("evidence", lambda e: e["license"]))
+    return found.select("doc_id", "sentence_ids", names.alias("licenses"), F.size("evidence").cast("long").alias("n_matches"), "evidence")

@@ -1,7 +1,5 @@
 """DuckDB SQL for the rows of the queries that SQL can express."""
 
-from quirespark.llm import licenses
-
 OP9 = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
@@ -47,13 +45,54 @@ FROM r
 """
 
 
+#: What the licence query's SQL knows: whole sentences on lines of their own, and rules.
+SENTENCES = (
+    ("a", "licensed under the apache license version 2.0"),
+    ("b", "you may not use this file except in compliance with the license"),
+    ("c", "you may obtain a copy of the license at http www.apache.org licenses license-2.0"),
+    ("g", "this work is licensed under the gnu general public license version 3"),
+    ("h", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("i", "see the gnu general public license for more details"),
+    ("m", "released under the mit license"),
+    ("n", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("o", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("p", "the software is provided as is without warranty of any kind"),
+    ("q", "licensed under cc by-nc 4.0"),
+    ("r", "licensed under cc by 4.0"),
+    ("s", "licensed under cc by-sa 4.0"),
+    ("t", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("u", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"),
+    ("w", "all rights reserved"),
+)
+
+RULES = (
+    ("MIT", "nw*ow*p"),
+    ("MIT", "m|no?|op"),
+    ("Apache-2.0", "abc|bc|a"),
+    ("BSD-3-Clause", "w*t+u"),
+    ("BSD-2-Clause", "w*t"),
+    ("GPL-3.0-only", "g"),
+    ("GPL-3.0-or-later", "hi|h|i"),
+    ("CC-BY-NC-4.0", "q"),
+    ("CC-BY-SA-4.0", "s"),
+    ("CC-BY-4.0", "r"),
+    ("Proprietary", "w"),
+)
+
+#: A stop counts before white space, so a version's "2.0" is whole.
+ENDS = r"[.!?;:]+(?:[\x{9}-\x{D}\x{20}]|$)|\x{A}+"
+OTHER = r"[^a-z0-9.\-]+"
+#: A sentence that ends in a known one, the longest first.
+KNOWN = "(?:^| )(" + "|".join(s.replace(".", "[.]") for _, s in sorted(SENTENCES, key=lambda e: -len(e[1]))) + ")$"
+
+
 def license_sql() -> str:
     """The sentence map and the rules, each over what the rules before have left."""
-    ids = " ".join(f"WHEN '{s}' THEN '{i}'" for i, s in licenses.SENTENCES)
-    one = f"CASE regexp_extract(trim(regexp_replace(x, '{licenses.OTHER}', ' ', 'g'), ' '), '{licenses.KNOWN}', 1) {ids} ELSE '' END"
-    step = f"SELECT doc_id, array_to_string(list_transform(string_split_regex(lower(coalesce(text, '')), '{licenses.ENDS}'), lambda x: {one}), '') AS sentence_ids FROM documents"
+    ids = " ".join(f"WHEN '{s}' THEN '{i}'" for i, s in SENTENCES)
+    one = f"CASE regexp_extract(trim(regexp_replace(x, '{OTHER}', ' ', 'g'), ' '), '{KNOWN}', 1) {ids} ELSE '' END"
+    step = f"SELECT doc_id, array_to_string(list_transform(string_split_regex(lower(coalesce(text, '')), '{ENDS}'), lambda x: {one}), '') AS sentence_ids FROM documents"
     step = f"SELECT *, sentence_ids AS rest, []::VARCHAR[] AS names, 0::BIGINT AS n FROM ({step}) s"
-    for name, pattern in licenses.RULES:
+    for name, pattern in RULES:
         hits = f"len(regexp_extract_all(rest, '{pattern}'))"
         step = f"SELECT doc_id, sentence_ids, regexp_replace(rest, '{pattern}', '-', 'g') AS rest, CASE WHEN {hits} > 0 AND NOT list_contains(names, '{name}') THEN list_append(names, '{name}') ELSE names END AS names, n + {hits} AS n FROM ({step}) r"
     return f"SELECT doc_id, sentence_ids, array_to_string(names, ',') AS licenses, n AS n_matches FROM ({step}) r"

@@ -574,12 +574,23 @@ def test_licenses_of_standard_texts(spark):
         ("// SPDX-License-Identifier: Apache-2.0\nint x;", ["Apache-2.0"]), ("# SPDX-License-Identifier: (MIT OR GPL-3.0+)\n", ["MIT", "GPL-3.0-or-later"]),
         ("This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.", ["CC-BY-SA-4.0"]), ("See https://creativecommons.org/licenses/by/4.0/.", ["CC-BY-4.0"]),
         ("This is licensed under the GNU GPL v3 or later, as said.", ["GPL-3.0-or-later"]), ("licensed under the Apache License. Version 2.0 is out", []), ("A talk on the MIT License", []),
+        (MIT.replace("MIT License", "All rights reserved."), ["MIT"]), ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that", ["ISC"]),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy", ["MPL-2.0"]), ("This is free and unencumbered software released into the public domain.", ["Unlicense"]),
+        (GPL.replace("GNU General", "GNU Lesser General") % "2.1", ["LGPL-2.1-or-later"]), (GPL.replace("GNU General", "GNU Affero General") % 3, ["AGPL-3.0-or-later"]), ("Boost Software License - Version 1.0 - August 17th, 2003", ["BSL-1.0"]),
+        ("3. The origin of this software must not be misrepresented; you must not", ["Zlib"]),
         ("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International", []), ("All rights\nreserved. x", ["Proprietary"]),
     ]
     got = {r.doc_id: (r.licenses, r.n_matches) for r in licenses.scan(docs_of(spark, list(enumerate(t for t, _ in cases)))).collect()}
     assert got == {k: (want, len(want)) for k, (_, want) in enumerate(cases)}
 
 
+def test_license_rows_and_evidence(spark):
+    texts = [(1, None), (2, ""), (3, "Released under the MIT License."), (3, "Released under the MIT License."), (None, "Licensed under CC BY 4.0."), (4, "word " * 200_000 + "\nLicensed under CC BY-SA 4.0.\n"), (5, "Released under the MIT License.\n" * 3)]
+    got = Counter((r.doc_id, tuple((e.license, e.sentence_ids) for e in r.evidence), r.n_matches) for r in licenses.scan(docs_of(spark, texts)).collect())
+    mit = ("MIT", "m")
+    assert got == Counter({(1, (), 0): 1, (2, (), 0): 1, (3, (mit,), 1): 2, (None, (("CC-BY-4.0", "r"),), 1): 1, (4, (("CC-BY-SA-4.0", "s"),), 1): 1, (5, (mit,) * 3, 3): 1})
+
+
 # 8. Near duplicates.
 
 
