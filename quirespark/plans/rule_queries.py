@@ -313,3 +313,11 @@ def watch_settle_batch(spark, d):
     listings = e.select(F.concat(F.lit("f"), (F.col("user_id") % 40).cast("string")).alias("path"), (F.col("event_id") % 25).alias("scan"), (F.rint("value") % 3).cast("long").alias("size"), F.lit(1).cast("long").alias("mtime"), (F.col("event_id") % 4 != 0).alias("ok"))
     listings = listings.where(F.substring("path", 2, 9).cast("int") % 5 <= F.col("scan")).groupBy("path", "scan").agg(F.max("size").alias("size"), F.max("mtime").alias("mtime"), F.bool_and("ok").alias("ok"))
     return W.replay(listings)
+
+
+@query("watch_reacts")
+def watch_reacts(spark, d):
+    """As ``watch_settle_batch``, but a file that changes after it was done acts again."""
+    e = table(spark, d, "events")
+    listings = e.select(F.concat(F.lit("f"), (F.col("user_id") % 40).cast("string")).alias("path"), (F.col("event_id") % 25).alias("scan"), F.lit(1).cast("long").alias("mtime"), (F.col("event_id") % 4 != 0).alias("ok"), F.floor(F.col("event_id") % 50 / 12).cast("long").alias("size"))
+    return W.replay(listings.groupBy("path", "scan").agg(F.max("size").alias("size"), F.max("mtime").alias("mtime"), F.bool_and("ok").alias("ok")), react=True)

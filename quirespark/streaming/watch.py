@@ -20,9 +20,11 @@ STATE = "size long, mtime long, scan long, done boolean, failed_size long, faile
 
 
 class Watched:
-    """The state of one path, fed with its listings in the order of scans."""
+    """The state of one path, fed with its listings in the order of scans. With ``react``
+    a file that changed after it was done is new again."""
 
-    def __init__(self, state: tuple | None = None):
+    def __init__(self, state: tuple | None = None, react: bool = False):
+        self.react = react
         self.size, self.mtime, self.scan, self.done, self.failed_size, self.failed_mtime = state or (-1, -1, -2, False, -1, -1)
 
     def state(self) -> tuple:
@@ -33,8 +35,11 @@ class Watched:
         if scan == first:
             self.done = True  # there before the watch began
         elif self.scan != scan - 1:
-            self.__init__()  # it was gone in between
-        settled = (size, mtime) == (self.size, self.mtime) and self.scan == scan - 1
+            self.__init__(None, self.react)  # it was gone in between
+        same = (size, mtime) == (self.size, self.mtime)
+        if self.react and self.done and scan != first and not same:
+            self.done = False
+        settled = same and self.scan == scan - 1
         self.size, self.mtime, self.scan = size, mtime, scan
         if not settled or self.done or (size, mtime) == (self.failed_size, self.failed_mtime):
             return None
@@ -45,29 +50,44 @@ class Watched:
         return "failed"
 
 
-def settle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seen = Watched(state.get if state.exists else None)
-    rows = pd.concat(list(batches)).sort_values("scan")
-    out = [(key[0], scan, found) for scan, size, mtime, ok in rows[["scan", "size", "mtime", "ok"]].itertuples(index=False) if (found := seen.see(scan, size, mtime, ok))]
-    state.update(seen.state())
-    yield pd.DataFrame(out, columns=["path", "scan", "outcome"])
+def seen_in(watched: Watched, path: str, rows: pd.DataFrame) -> pd.DataFrame:
+    columns = rows.sort_values("scan")[["scan", "size", "mtime", "ok"]]
+    out = [(path, scan, found) for scan, size, mtime, ok in columns.itertuples(index=False) if (found := watched.see(scan, size, mtime, ok))]
+    return pd.DataFrame(out, columns=["path", "scan", "outcome"])
 
 
-def watch(listings: DataFrame) -> DataFrame:
+def watch(listings: DataFrame, react: bool = False) -> DataFrame:
     """Outcomes of a stream of listings (path, scan, size, mtime, ok)."""
+    def settle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        watched = Watched(state.get if state.exists else None, react)
+        found = seen_in(watched, key[0], pd.concat(list(batches)))
+        state.update(watched.state())
+        yield found
+
     return listings.groupBy("path").applyInPandasWithState(settle, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def replay(listings: DataFrame) -> DataFrame:
+def replay(listings: DataFrame, react: bool = False) -> DataFrame:
     """The same over a table of listings: a batch of all scans."""
+    return listings.groupBy("path").applyInPandas(lambda key, rows: seen_in(Watched(None, react), key[0], rows), OUTPUT)
+
+
+def listed(spark, folder: str, scan: int) -> DataFrame:
+    """One listing of a folder: the files there now, by Spark's own reader, without their bytes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", F.lit(scan).cast("long").alias("scan"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"), F.lit(True).alias("ok"))
+
+
+#: What a watch may do to a settled file.
+OPERATIONS = ("open", "timestamp", "optimize", "sanitize", "ua")
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        seen = Watched()
-        rows = rows.sort_values("scan")
-        out = [(key[0], scan, found) for scan, size, mtime, ok in rows[["scan", "size", "mtime", "ok"]].itertuples(index=False) if (found := seen.see(scan, size, mtime, ok))]
-        return pd.DataFrame(out, columns=["path", "scan", "outcome"])
 
-    return listings.groupBy("path").applyInPandas(run, OUTPUT)
+def dispatched(outcomes: DataFrame, operation: str, act) -> DataFrame:
+    """``act`` on what acted, of a stream or a batch; an unknown operation is refused before
+    anything runs. Only ``open`` reacts to a change, see ``watch``."""
+    if operation not in OPERATIONS:
+        raise ValueError(f"no operation {operation}")
+    return act(outcomes.where("outcome = 'acted'"))
 
 
 def outcome_counts(events: DataFrame, door: str, format_: str, refusal: str) -> DataFrame:

@@ -443,6 +443,66 @@ def test_watch_settle_batch(spark):
     assert set(got(spark, "watch_settle_batch")) == want
 
 
+def test_watch_reacts(spark):
+    seen = defaultdict(dict)
+    for user, event in rows("events", "user_id, event_id"):
+        own, scan = seen[user % 40], event % 25
+        size, ok = own.get(scan, (-1, True))
+        own[scan] = max(size, event % 50 // 12), ok and event % 4 != 0
+    want = set()
+    for path, own in seen.items():
+        done, failed, before = None, None, None  # the size that is done
+        for scan in range(25):
+            if scan not in own:
+                done, failed, before = None, None, None
+                continue
+            size, ok = own[scan]
+            if scan == 0:
+                done = size
+            elif size == before and size not in (done, failed):
+                want.add((f"f{path}", scan, "acted" if ok else "failed"))
+                done, failed = (size, failed) if ok else (done, size)
+            elif size != before:
+                done = None
+            before = size
+    assert set(got(spark, "watch_reacts")) == want
+
+
+def test_a_folder_is_watched_to_its_sidecars(spark, tmp_path):
+    from quirespark.sources import door
+    from quirespark.streaming import watch
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "old.pdf").write_bytes(b"old")
+    scans = [watch.listed(spark, str(folder), 0).collect()]
+    (folder / "new.pdf").write_bytes(b"new")
+    scans += [watch.listed(spark, str(folder), k).collect() for k in (1, 2)]
+    listings = spark.createDataFrame([r for s in scans for r in s], "path string, scan long, size long, mtime long, ok boolean")
+    reports = watch.dispatched(watch.replay(listings), "ua", lambda acted: door.write_sidecars(acted.selectExpr("replace(path, 'file:', '') AS path", "concat('seen in scan ', scan) AS report")))
+    assert [r.path.rpartition("/")[2] for r in reports.collect()] == ["new.pdf.ua.txt"]
+    assert sorted(p.name for p in folder.iterdir() if not p.name.endswith(".crc")) == ["new.pdf", "new.pdf.ua.txt", "old.pdf"]
+    assert (folder / "new.pdf.ua.txt").read_text() == "seen in scan 2" and (folder / "new.pdf").read_bytes() == b"new"
+    with pytest.raises(ValueError, match="no operation"):
+        watch.dispatched(listings, "print", None)
+
+
+def test_one_door_for_files(spark):
+    from quirespark.plans import form_queries as FQ
+    from quirespark.sources import door, office, pdf
+
+    blocks = [("heading", 1, "", "A title"), ("item", 1, "1.", "first"), ("text", 1, "", "last <&> word")]
+    text = "A title\n1. first\nlast <&> word"
+    files = [("a.txt", b"plain", "plain"), ("b.html", b"<html><p>x<script>y</script></p>", "x"), ("c.pdf", pdf.write_pdf([[(1, 2, 3, "in a PDF")]]), "in a PDF"), ("d.docx", office.docx(blocks), text), ("e.odt", office.odt(blocks), text), ("f.pptx", office.pptx(blocks), text)]
+    files += [("g.xlsx", office.xlsx([["=a", " b"], ["c", ""]]), "=a\t b\nc\t"), ("h.ods", office.ods([["=a", " b"]]), "=a\t b"), ("i.eml", b"From: a@b\nSubject: s\n\nbody", "body"), ("j.png", b"\x89PNG\r\n\x1a\n" + bytes(40), None), ("k.docx", b"PK\x03\x04broken", None), ("l.txt", b"a\x00b", None)]
+    rows_ = [(k, n, bytearray(c)) for k, (n, c, _) in enumerate(files)]
+    found = {r.file_id: r for r in door.imported(spark.createDataFrame(rows_, "file_id long, name string, content binary")).collect()}
+    for k, (name, _, want) in enumerate(files):
+        got_ = found[k].text
+        assert (got_ and got_.strip("\n")) == want and (found[k].refusal is None) == (want is not None), (name, found[k])
+    assert FQ.header("png", 3, 4)[:4] == b"\x89PNG"
+
+
 # Sinks and sources.
 
 
