@@ -272,7 +272,7 @@ def header(kind: str, w: int, h: int) -> bytes:
 
     return {
         "png": b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", w, h), "gif": b"GIF89a" + struct.pack("<HH", w, h), "bmp": b"BM" + bytes(16) + struct.pack("<ii", w, -h),
-        "jpeg": b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08" + struct.pack(">HH", h, w) + bytes(12), "webp": b"RIFF\0\0\0\0WEBPVP8X" + bytes(8) + (w - 1).to_bytes(3, "little") + (h - 1).to_bytes(3, "little"), "none": b"no picture",
+        "jpeg": b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08" + struct.pack(">HH", h, w) + bytes(12), "webp": b"RIFF\0\0\0\0WEBPVP8X" + bytes(8) + max(0, w - 1).to_bytes(3, "little") + max(0, h - 1).to_bytes(3, "little"), "none": b"no picture",
     }[kind]
 
 
