@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirespark.llm.common import join_checked, staged, text_of, tidied
+from quirespark.llm.common import join_checked, slices, staged, text_of, tidied
 
 EXAMPLES = 4096
 NEIGHBOURS = 11
@@ -45,7 +45,7 @@ CUT = 0.7
 FLOOR, SURE = 0.1, 2.5
 #: Frequent terms whose lists are matrix rows; queries searched together; postings
 #: expanded at once; best blocks that are scored before the bounds are looked at again.
-DENSE, QUERIES, STEP, FIRST = 512, 256, 1 << 20, (2, 8)
+DENSE, QUERIES, STEP, FIRST = 512, 128, 1 << 18, (2, 8)
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -84,7 +84,7 @@ def vectors(docs: DataFrame, terms, columns: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {t: k for k, t in enumerate(terms.value)}
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 512)):
             at, found, times = [0], [], []
             for text in batch.column("text").to_pylist():
                 for word, n in Counter(words_of(text)).items():
@@ -204,7 +204,7 @@ def steps(sizes: np.ndarray):
 
 def flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The values of a list column, and the row of each."""
-    offsets = lists.offsets.to_numpy()
+    offsets = lists.offsets.to_numpy()  # of a slice they begin where it does; flatten() is its own values
     return lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(lists)), np.diff(offsets))
 
 
@@ -218,7 +218,7 @@ def votes(index: BlockMaxIndex, of, terms, counts, n: int, base: float) -> tuple
 def scored(found: DataFrame, index, base: float, columns: list[str], name_kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, names = index.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 512)):
             (terms, of), (counts, _) = flat(batch.column("terms")), flat(batch.column("counts"))
             scores, cosines, places = votes(own, of, terms, counts, batch.num_rows, base)
             there = cosines > 0
