@@ -40,6 +40,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from quirespark.llm.common import BROADCAST_ROWS, join_checked, slices, staged, text_of, tidied
 
+#: Removed line numbers (4 bytes each) up to which their documents are broadcast.
+BROADCAST_LINES = 5_000_000
 LEAST_CHARS = 20
 BLOCK_CHARS = 40
 RARE = 4
@@ -291,9 +293,9 @@ def drop_common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per input row: doc_id, n_lines, n_removed, text (lines left)."""
     gone = staged(removed_lines(docs, id_col, text_col), "line-gone").withColumnRenamed("doc", "_doc")
     own = docs.select(F.col(id_col).alias("doc_id"), F.split(text_of(text_col), "\n").alias("lines"), doc_of(id_col, text_col, dict(docs.dtypes)[id_col]).alias("doc"))
-    # A row is as wide as its removed lines are many: these count against the bound, too.
+    # A row is as wide as its removed lines are many: these have a bound of their own.
     wide = gone.agg(F.sum(F.size("removed"))).first()[0] or 0
-    both = join_checked(own, gone, own["doc"] == gone["_doc"], "left", BROADCAST_ROWS if wide <= BROADCAST_ROWS else 0)
+    both = join_checked(own, gone, own["doc"] == gone["_doc"], "left", BROADCAST_ROWS if wide <= BROADCAST_LINES else 0)
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     starts, ends = F.concat(F.array(F.lit(-1)), removed), F.concat(removed, F.array(F.size("lines")))
     kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice("lines", a + 2, b - a - 1)))  # between removed lines
