@@ -109,6 +109,20 @@ def slices(batch, rows: int):
         yield batch.slice(at, rows)
 
 
+def sized(batch, column: str, most: int):
+    """A batch in parts whose texts have so many bytes together, or of a single row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    upto = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        base = upto[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, base + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether a (staged) table holds at most so many rows. Reads no more than that."""
     return df.limit(rows + 1).count() <= rows

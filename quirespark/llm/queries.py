@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quirespark.llm import exact_dedup, fingerprints, licenses, line_dedup, mixing, near_dedup, packing, suffix_dedup, toxicity, warc
+from quirespark.llm import exact_dedup, filter_audit, fingerprints, licenses, line_dedup, mixing, near_dedup, packing, phrases, quality_rules, suffix_dedup, toxicity, warc
 from quirespark.llm.common import documents
 
 
@@ -56,5 +56,18 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op11_quality_rules(spark, sf_dir):
+    book = quality_rules.verdicts(quality_rules.ledger(documents(spark, sf_dir)))
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bits")
+
+
+def op12_phrase_mining(spark, sf_dir):
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+def op13_filter_audit(spark, sf_dir):
+    return filter_audit.audit(filter_audit.flagged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op")}

@@ -98,5 +98,85 @@ def license_sql() -> str:
     return f"SELECT doc_id, sentence_ids, array_to_string(names, ',') AS licenses, n AS n_matches FROM ({step}) r"
 
 
+OP11 = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+rows AS (SELECT *, row_number() OVER () AS row_no FROM t),
+windows AS (
+  SELECT row_no, i, array_to_string(w[i:i + 7], ' ') AS eight FROM (SELECT row_no, w, unnest(range(1, len(w) - 6)) AS i FROM rows WHERE len(w) >= 8)),
+twice AS (SELECT row_no, i FROM windows QUALIFY count(*) OVER (PARTITION BY row_no, eight) > 1),
+repeats AS (SELECT row_no, count(DISTINCT i + k) AS n FROM twice CROSS JOIN range(8) o(k) GROUP BY row_no),
+lines AS (SELECT row_no, unnest(string_split(text, chr(10))) AS line FROM rows),
+dups AS (
+  SELECT row_no, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row_no),
+m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(d.n, 0) AS n_dup_lines,
+         coalesce(d.n_lines, 0) AS n_lines, coalesce(p.n, 0) AS n_repeat_words,
+         len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_letter_words,
+         len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_stutters
+  FROM rows LEFT JOIN dups d USING (row_no) LEFT JOIN repeats p USING (row_no)),
+bits AS (
+  SELECT *, (n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_words)::BIGINT + 4 * (100 * n_symbols > 10 * n_words)::BIGINT
+         + 8 * (n_dup_lines > 2 AND 100 * n_dup_lines > 30 * n_lines)::BIGINT + 16 * (10 * word_chars < 25 * n_words)::BIGINT
+         + 32 * (word_chars > 20 * n_words)::BIGINT + 64 * (100 * n_letter_words < 70 * n_words)::BIGINT + 128 * (100 * n_stutters > 30 * n_words)::BIGINT AS bits
+  FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & 3 <> 0 AS base_failed, bits = 0 AS kept, bits FROM bits
+"""
+
+OP12 = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words CROSS JOIN (VALUES (1), (2), (3)) s(k)),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM places GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+kept AS (
+  SELECT * FROM c WHERE NOT EXISTS (
+    SELECT 1 FROM c AS x WHERE x.lang = c.lang AND x.k > c.k AND 100 * x.a >= 50 * c.a AND (array_to_string(x.w[1:2], ' ') = c.phrase OR array_to_string(x.w[2:3], ' ') = c.phrase))),
+cuts AS (
+  SELECT c.*, s.cut, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM kept c JOIN (VALUES (1), (2)) s(cut) ON s.cut < c.k
+  JOIN f l ON l.lang = c.lang AND l.k = s.cut AND l.phrase = array_to_string(c.w[1:s.cut], ' ')
+  JOIN f r ON r.lang = c.lang AND r.k = c.k - s.cut AND r.phrase = array_to_string(c.w[s.cut + 1:c.k], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+OP13 = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+flags AS (
+  SELECT t.doc_id, part, CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails,
+         coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic
+  FROM t LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)),
+counts AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM flags GROUP BY part, fails),
+f(f) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT filter_order, step, filter_order[step] AS own, filter_order[1:step - 1] AS before FROM orders CROSS JOIN range(1, 6) s(step)),
+each AS (
+  SELECT part, filter_order, step, own, n, good, toxic, fails, contains(fails, own) AS failed,
+         before <> '' AND regexp_matches(fails, '[' || CASE before WHEN '' THEN '-' ELSE before END || ']') AS gone
+  FROM counts CROSS JOIN steps),
+rows AS (
+  SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT gone AND NOT failed), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (failed AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (failed AND gone), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (fails = own), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (failed AND NOT gone), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (failed AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM each GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley
+FROM rows
+"""
+
+
 def oracle_sql():
-    return {"op2_warc": OP2, "op7_license_scan": license_sql(), "op9_exact_dedup": OP9, "op10_mixing": OP10}
+    return {"op2_warc": OP2, "op7_license_scan": license_sql(), "op9_exact_dedup": OP9, "op10_mixing": OP10, "op11_quality_rules": OP11, "op12_phrase_mining": OP12, "op13_filter_audit": OP13}
