@@ -226,13 +226,24 @@ def hex_decode(s: Column) -> Column:
     return F.unhex(F.when(F.length(bare) % 2 == 1, F.concat(bare, F.lit("0"))).otherwise(bare))
 
 
+def once(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def without_lead_in(option: Column) -> Column:
-    """The last words of one class (amount, word, other): prose before a first option goes."""
-    kind = lambda t: F.when(t.rlike(r"^[$0-9]"), "n").when(t.rlike("^[A-Za-z]"), "w").otherwise("o")
-    back = F.reverse(words(option))
-    kinds = F.transform(back, kind)
-    other = F.array_position(F.transform(kinds, lambda k: k != kinds[0]), True)
-    return F.array_join(F.reverse(F.when(other > 0, F.slice(back, F.lit(1), (other - 1).cast("int"))).otherwise(back)), " ")
+    """The last words of one class (amount, word, other): prose before a first option goes.
+    One fold from the last word back counts them."""
+    kind = lambda t: F.when(t.rlike("^[$0-9]"), 1).when(t.rlike("^[A-Za-z]"), 2).otherwise(3)
+    start = F.struct(F.lit(0).alias("kind"), F.lit(0).alias("n"), F.lit(False).alias("ended"))
+
+    def back(state: Column, word: Column) -> Column:
+        own = F.when(state["ended"], 0).otherwise(kind(word))
+        same = once(own, lambda k: F.struct(k.alias("kind"), (~state["ended"] & ((state["n"] == 0) | (k == state["kind"]))).alias("same")))
+        return once(same, lambda s: F.struct(F.when(s["same"], s["kind"]).otherwise(state["kind"]).alias("kind"), (state["n"] + s["same"].cast("int")).alias("n"), (~s["same"]).alias("ended")))
+
+    kept = lambda ws: F.array_join(F.slice(ws, -F.greatest(F.aggregate(F.reverse(ws), start, back)["n"], F.lit(1)), F.size(ws)), " ")
+    return once(words(option), lambda ws: F.when(F.size(ws) > 0, kept(ws)).otherwise(""))
 
 
 def pipe_choices(line: Column) -> Column:
@@ -241,9 +252,9 @@ def pipe_choices(line: Column) -> Column:
     stretches = F.split(line, rf"(?:^|(?<=[{SPACE}]))[^{SPACE}]*[_:()][^{SPACE}]*")
     listed = F.filter(F.transform(stretches, lambda s: F.split(s, r"\|")), lambda ps: F.size(ps) >= 2)
     kept = F.transform(listed, lambda ps: F.filter(F.transform(ps, lambda p: F.array_join(words(p), " ")), lambda p: p != ""))
-    parts = F.get(F.filter(kept, lambda ps: F.size(ps) >= 2), F.lit(0))
-    first = F.concat(F.array(without_lead_in(parts[0])), F.slice(parts, 2, 2**31 - 1))
-    return F.when(parts.isNotNull(), first).otherwise(F.array().cast("array<string>"))
+    lists = F.filter(kept, lambda ps: F.size(ps) >= 2)
+    first = lambda parts: F.concat(F.array(without_lead_in(parts[0])), F.slice(parts, F.lit(2), F.size(parts)))
+    return F.coalesce(once(F.get(lists, F.lit(0)), lambda parts: F.when(parts.isNotNull(), first(parts))), F.array().cast("array<string>"))
 
 
 def yes_no_marks(line: Column) -> Column:

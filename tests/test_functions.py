@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from quirespark.functions import text as T
@@ -37,6 +39,15 @@ def test_glyph_names(spark):
         assert one(spark, T.glyph_text(F.col("s"), {"f": "f", "i": "i"}), s=name) == text
 
 
+def test_pipe_choices_of_a_long_line(spark):
+    """Every word is looked at a fixed number of times."""
+    long = "word " * 20_000 + "9 " + "option " * 20_000
+    began = time.perf_counter()
+    assert one(spark, T.pipe_choices(F.col("s")), s=long + "| b | c d") == [("option " * 20_000).strip(), "b", "c d"]
+    assert one(spark, T.pipe_choices(F.col("s")), s="12 " * 20_000 + "| x") == [("12 " * 20_000).strip(), "x"]
+    assert time.perf_counter() - began < 60
+
+
 def test_pipe_choices(spark):
     assert one(spark, T.pipe_choices(F.col("s")), s="Colour: red | blue") == ["red", "blue"]
     assert one(spark, T.pipe_choices(F.col("s")), s="no pipes") == []
