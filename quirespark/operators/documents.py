@@ -7,24 +7,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirespark.operators.rules import MEDIA, RISKS, by_document
+from quirespark.operators.rounds import climbed, reached
+from quirespark.operators.rules import MEDIA, RISKS
 
 
 def field_list(fields: DataFrame, widgets: DataFrame) -> DataFrame:
     """Fields (doc_id, id, parent, name) with their full name, whether a widget (doc_id,
     field) draws them or a field under them on a page, and whether they can be filled: their chain of
-    parents ends at a root (parent 0), neither broken nor in a circle."""
-    def fold(rows):
-        known = {i: (p, n) for i, p, n in rows}
-        for i in known:
-            names, at, seen = [], i, set()
-            while at in known and at not in seen:
-                seen.add(at)
-                names.append(known[at][1])
-                at = known[at][0]
-            yield i, ".".join(n for n in reversed(names) if n), at == 0
-
-    named = by_document(fields, ["id", "parent", "name"], fold, "id int, full_name string, fillable boolean")
+    parents ends at a root (parent 0), neither broken nor in a circle. Of a broken chain the
+    name is what there is of it; in a circle it is of no use."""
+    own = fields.select("doc_id", "id", F.when(F.col("parent") != 0, F.col("parent")).alias("parent"), "name")
+    named = climbed(own, "name").select("doc_id", "id", F.array_join(F.filter(F.transform("path", lambda p: p["own"]), lambda n: n != ""), ".").alias("full_name"), (F.col("status") == "root").alias("fillable"))
     drawn = widgets.select("doc_id", F.col("field").alias("id")).distinct().withColumn("on_page", F.lit(True))
     return named.join(drawn, ["doc_id", "id"], "left").withColumn("on_page", F.coalesce("on_page", F.lit(False)))
 
@@ -90,21 +83,7 @@ def capped(groups: DataFrame, size: str, most: int) -> DataFrame:
 
 def kept_resources(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """doc_id, id: what content names (roots), and what that names in turn (edges: from, to)."""
-    both = edges.select("doc_id", F.col("from").alias("a"), F.col("to").alias("b")).unionByName(roots.select("doc_id", F.lit(-1).alias("a"), F.col("id").alias("b")))
-
-    def fold(rows):
-        to: dict[int, list[int]] = {}
-        for a, b in rows:
-            to.setdefault(a, []).append(b)
-        seen, waiting = set(), list(to.get(-1, []))
-        while waiting:
-            x = waiting.pop()
-            if x not in seen:
-                seen.add(x)
-                waiting += to.get(x, [])
-        return [(x,) for x in seen]
-
-    return by_document(both, ["a", "b"], fold, "id int")
+    return reached(edges, roots)
 
 
 def row_pieces(words: DataFrame) -> DataFrame:
