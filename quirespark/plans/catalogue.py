@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quirespark.plans import clause_queries, document_queries, form_queries, layout_queries, page_queries, rule_queries, scalars, sink_queries, structure_queries
+from quirespark.plans import clause_queries, document_queries, form_queries, group_queries, layout_queries, page_queries, rule_queries, scalars, sink_queries, structure_queries
 
-MODULES = (scalars, page_queries, layout_queries, rule_queries, sink_queries, clause_queries, form_queries, document_queries, structure_queries)
+MODULES = (scalars, page_queries, layout_queries, rule_queries, sink_queries, clause_queries, form_queries, document_queries, structure_queries, group_queries)
 
 
 def queries():
