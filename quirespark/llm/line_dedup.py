@@ -3,8 +3,8 @@
 1. Each document becomes the array of its lines' 64-bit hashes (lines trimmed of
    white space; lines under ``LEAST_CHARS`` are no anchors).
 2. Documents that share a rare line (in at most ``RARE`` documents) are paired with
-   each other. Two that share frequent lines only do to each other what their
-   frequent lines say, whatever else they hold: documents with the same ones, up to
+   each other, and that pair is decided there alone. Two that share frequent lines only
+   do to each other what their frequent lines say, whatever else they hold: documents with the same ones, up to
    the length of gaps, are one class, and classes are paired. A run of lines of
    ``BLOCK_CHARS`` goes to the first class that holds it and, where that leaves some
    of it, to all that do. The result is that of all pairs of documents that share a
@@ -38,10 +38,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quirespark.llm.common import BROADCAST_ROWS, join_checked, slices, staged, text_of, tidied
+from quirespark.llm.common import slices, staged, text_of, tidied
 
-#: Removed line numbers (4 bytes each) up to which their documents are broadcast.
-BROADCAST_LINES = 5_000_000
 LEAST_CHARS = 20
 BLOCK_CHARS = 40
 RARE = 4
@@ -217,11 +215,15 @@ def over(rows: DataFrame, columns: list[str], schema: str, make) -> DataFrame:
     return rows.select(*columns).mapInArrow(tidied(run), schema)
 
 
-def rare_cuts(single: DataFrame, near: DataFrame) -> DataFrame:
-    """doc, line: removed by documents that share a rare line, in all their pairs."""
+def rare_pairs(near: DataFrame) -> DataFrame:
+    """early, late: documents that share a rare line."""
     few = near.where(F.col("n") <= RARE).groupBy("h").agg(F.sort_array(F.collect_list("doc")).alias("docs"))  # at most RARE each
     late = few.select("docs", F.posexplode("docs").alias("k", "late")).where("k > 0")
-    pairs = staged(late.select(F.explode(F.slice("docs", 1, F.col("k"))).alias("early"), "late").distinct(), "line-pairs")
+    return staged(late.select(F.explode(F.slice("docs", 1, F.col("k"))).alias("early"), "late").distinct(), "line-pairs")
+
+
+def rare_cuts(single: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc, line: removed by documents that share a rare line, in all their pairs."""
     for side in ("early", "late"):
         table = single.select(F.col("doc").alias(side), F.col("hashes").alias(f"{side}_hashes"), F.col("chars").alias(f"{side}_chars"))
         pairs = pairs.join(table.hint("merge"), side)
@@ -230,20 +232,33 @@ def rare_cuts(single: DataFrame, near: DataFrame) -> DataFrame:
     return over(rows, rows.columns, f"doc {kind}, line int", lambda doc, a, b, n: ((doc, k) for k in pair_lines(a, b, n)))
 
 
-def frequent_cuts(single: DataFrame, near: DataFrame) -> DataFrame:
+def frequent_cuts(single: DataFrame, near: DataFrame, pairs: DataFrame) -> DataFrame:
     """doc, line: removed by documents that share frequent lines only. What two of them
     do depends on their frequent lines alone, so it is decided between classes of
-    documents with the same ones, and holds for the documents after a class's first."""
+    documents with the same ones, and holds for the documents after a class's first. A
+    document with frequent lines that has a rare pair with another such document is a
+    class of its own, and the pair is left out here: ``rare_cuts`` decides it."""
     some = near.where(F.col("n") > RARE).groupBy("doc").agg(F.collect_set("h").alias("own"), F.max("size").alias("size")).where(F.col("size") >= LEAST_CHARS)
-    both = single.join(some.hint("merge"), "doc")
+    some = staged(some.select("doc", "own"), "line-some")
+    tied = pairs
+    for side in ("early", "late"):
+        tied = tied.join(some.select(F.col("doc").alias(side)).hint("merge"), side, "left_semi")
+    tied = staged(tied, "line-tied")
+    alone = tied.select(F.explode(F.array("early", "late")).alias("doc")).distinct().withColumn("alone", F.lit(True))
+    both = single.join(some.hint("merge"), "doc").join(alone.hint("merge"), "doc", "left")
     kind = single.schema["doc"].dataType.simpleString()
 
-    def member(doc, hashes, chars, own):
+    def member(doc, hashes, chars, own, alone):
         proj, n, at = projected(hashes, chars, set(own))
-        yield doc, md5(repr(proj).encode()).digest(), proj, n, at
+        yield doc, md5(repr((proj, doc if alone else None)).encode()).digest(), proj, n, at
 
-    members = staged(over(both, ["doc", "hashes", "chars", "own"], f"doc {kind}, cls binary, hashes array<bigint>, chars array<int>, at array<int>", member), "line-members")
+    members = staged(over(both, ["doc", "hashes", "chars", "own", "alone"], f"doc {kind}, cls binary, hashes array<bigint>, chars array<int>, at array<int>", member), "line-members")
     classes = staged(members.groupBy("cls").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.first("hashes").alias("hashes"), F.first("chars").alias("chars")), "line-classes")
+    owner = members.select("doc", "cls").join(alone.hint("merge"), "doc", "left_semi")
+    apart = tied
+    for side, name in (("early", "_a"), ("late", "_b")):
+        apart = apart.join(owner.select(F.col("doc").alias(side), F.col("cls").alias(name)).hint("merge"), side)
+    apart = staged(apart.select("_a", "_b"), "line-apart")
     keys = over(classes, ["cls", "hashes", "chars"], "cls binary, w binary", lambda cls, h, n: ((cls, w) for w in {named(h, x) for x in windows_of(h, n)}))
     keys = staged(keys, "line-keys")
     order = classes.select("cls", "first", "last")
@@ -264,12 +279,18 @@ def frequent_cuts(single: DataFrame, near: DataFrame) -> DataFrame:
         return staged(over(rows, ["a", "b", "first", "x", "y", "chars"], f"a binary, b binary, first {kind}, found array<int>, open array<binary>", make), name)
 
     # A run goes to the class that holds it first; where that leaves some of it, to all that hold it.
-    one = held.join(firsts.hint("merge"), "w").where("last > least").select("a", F.col("cls").alias("b")).distinct()
-    done = cuts(staged(one, "line-one"), "line-done")
-    rest = done.select("a", "b", F.explode("open").alias("w")).join(firsts.select("w", "a").hint("merge"), ["w", "a"])
+    is_apart = (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))
+    one = staged(held.join(firsts.hint("merge"), "w").where("last > least").select("w", "a", F.col("cls").alias("b"), "last"), "line-one")
+    # Where the first that holds it is left out, the first that is not: few do, for one first has few rare pairs.
+    bad = one.join(apart.hint("merge"), is_apart, "left_semi").select("w", "b", "last")
+    holders = bad.withColumnRenamed("last", "upto").join(held.select("w", F.col("cls").alias("a"), "first").hint("merge"), "w").where("first < upto AND a != b").join(apart.hint("merge"), is_apart, "left_anti")
+    next_ = holders.groupBy("w", "b").agg(F.min_by("a", "first").alias("a"))
+    tried = staged(one.join(apart.hint("merge"), is_apart, "left_anti").select("w", "a", "b").unionByName(next_), "line-tried")
+    done = cuts(staged(tried.select("a", "b").distinct(), "line-first"), "line-done")
+    rest = done.select("a", "b", F.explode("open").alias("w")).join(tried.hint("merge"), ["w", "a", "b"])
     rest = staged(rest.join(order.select(F.col("cls").alias("b"), "last").hint("merge"), "b"), "line-open")
     others = rest.withColumnRenamed("a", "tried").join(held.select("w", F.col("cls").alias("a"), "first").hint("merge"), "w")
-    others = others.where("first < last AND a != tried").select("a", "b").distinct()
+    others = others.where("first < last AND a != tried").select("a", "b").distinct().join(apart.hint("merge"), is_apart, "left_anti")
     every = done.unionByName(cuts(staged(others, "line-others"), "line-rest"))
     least = every.select("b", "first", F.explode("found").alias("k")).groupBy("b", "k").agg(F.min("first").alias("first"))
     cover = staged(least.groupBy("b").agg(F.collect_list(F.struct("k", "first")).alias("cover")), "line-cover")
@@ -285,7 +306,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = staged(own.select("doc", F.col("line.hashes").alias("h"), F.col("line.chars").alias("size")).distinct(), "line-own")
     seen = staged(own.groupBy(F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "line-seen")
     near = staged(own.join(seen.hint("merge"), F.col("_h") == F.col("h")).select("doc", "h", "size", "n"), "line-near")
-    gone = rare_cuts(single, near).unionByName(frequent_cuts(single, near)).distinct()
+    pairs = rare_pairs(near)
+    gone = rare_cuts(single, pairs).unionByName(frequent_cuts(single, near, pairs)).distinct()
     return gone.groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("removed"))
 
 
@@ -293,9 +315,8 @@ def drop_common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per input row: doc_id, n_lines, n_removed, text (lines left)."""
     gone = staged(removed_lines(docs, id_col, text_col), "line-gone").withColumnRenamed("doc", "_doc")
     own = docs.select(F.col(id_col).alias("doc_id"), F.split(text_of(text_col), "\n").alias("lines"), doc_of(id_col, text_col, dict(docs.dtypes)[id_col]).alias("doc"))
-    # A row is as wide as its removed lines are many: these have a bound of their own.
-    wide = gone.agg(F.sum(F.size("removed"))).first()[0] or 0
-    both = join_checked(own, gone, own["doc"] == gone["_doc"], "left", BROADCAST_ROWS if wide <= BROADCAST_LINES else 0)
+    # Texts move once, whatever their number: one plan for all sizes.
+    both = own.join(gone.hint("merge"), own["doc"] == gone["_doc"], "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     starts, ends = F.concat(F.array(F.lit(-1)), removed), F.concat(removed, F.array(F.size("lines")))
     kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice("lines", a + 2, b - a - 1)))  # between removed lines
