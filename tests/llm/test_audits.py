@@ -138,7 +138,7 @@ def test_phrase_scores_beyond_64_bits(spark, monkeypatch):
     """Counts in the billions: products of 90 bits, floored exactly."""
     big = [("en", p, a) for p, a in (("a", 3_000_000_007), ("b", 2_000_000_011), ("a b", 1_999_999_993), ("", 9_000_000_000))]
     monkeypatch.setattr(phrases, "phrase_counts", lambda *_: spark.createDataFrame(big, "lang string, phrase string, f long"))
-    row = phrases.collocations(None).collect()[0]
+    row = phrases.collocations(spark.createDataFrame([], "doc_id long, text string, lang string")).collect()[0]
     assert row.score == 1000000 * 1_999_999_993**2 // (3_000_000_007 * 2_000_000_011) and row.n == 9_000_000_000
 
 
