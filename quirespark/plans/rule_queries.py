@@ -8,6 +8,7 @@ from quirespark.operators import rules as R
 from quirespark.plans.bridge import lines, sql_lines, table
 from quirespark.sources import formats as S
 from quirespark.sources import packages
+from quirespark.streaming import history as H
 from quirespark.streaming import watch as W
 
 QUERIES, SQL = {}, {}
@@ -321,3 +322,15 @@ def watch_reacts(spark, d):
     e = table(spark, d, "events")
     listings = e.select(F.concat(F.lit("f"), (F.col("user_id") % 40).cast("string")).alias("path"), (F.col("event_id") % 25).alias("scan"), F.lit(1).cast("long").alias("mtime"), (F.col("event_id") % 4 != 0).alias("ok"), F.floor(F.col("event_id") % 50 / 12).cast("long").alias("size"))
     return W.replay(listings.groupBy("path", "scan").agg(F.max("size").alias("size"), F.max("mtime").alias("mtime"), F.bool_and("ok").alias("ok")), react=True)
+
+
+def history_events(spark, d):
+    """A user's events as commits, undos and redos of one document."""
+    op = "element_at(array('commit', 'commit', 'undo', 'commit', 'redo', 'commit', 'undo', 'undo', 'redo', 'barrier', 'commit'), cast(event_id % 11 + 1 AS int))"
+    return table(spark, d, "events").selectExpr("cast(user_id AS long) AS doc_id", "cast(event_id AS long) AS seq", f"CASE WHEN event_id % 97 = 5 THEN 'close' ELSE {op} END AS op", "CASE WHEN event_id % 3 = 0 THEN cast(event_id % 4 AS long) END AS base_rev", "sha2(cast(event_id AS string), 256) AS digest", "cast(rint(abs(value)) AS long) AS bytes")
+
+
+@query("undo_history")
+def undo_history(spark, d):
+    """Every event's outcome, of small histories: six states, 400 bytes."""
+    return H.kept_history(history_events(spark, d), depth=6, budget=400)
