@@ -120,6 +120,28 @@ def signed_revision(signatures: DataFrame) -> DataFrame:
     return signatures.where("valid").groupBy("doc_id", "fingerprint").agg(F.max_by("id", F.struct("end", "id")).alias("id"), F.max("end").alias("end"))
 
 
+def coverage(signatures: DataFrame, files: DataFrame) -> DataFrame:
+    """Signatures (doc_id, id, gap_from, gap_to, end, valid, timestamp) with ``nth`` in the
+    order of their numbers, ``nests`` and ``bounds``, and the ``tail`` of the file (doc_id,
+    size) that no signature covers.
+
+    A revision covers all bytes up to its end but the gap that holds the signature itself.
+    It nests when that gap lies in what it adds: behind the end of every revision that
+    ends before it, by a running maximum over the ends, and inside its own; of two with one
+    end neither nests. Coverage is bounded by the last end of a valid one that nests and is
+    no mere timestamp."""
+    ends = Window.partitionBy("doc_id").orderBy("end").rangeBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.max("end").over(ends), F.lit(0))
+    same = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "end")) > 1
+    nests = (F.col("gap_from") >= before) & (F.col("gap_from") < F.col("gap_to")) & (F.col("gap_to") <= F.col("end")) & ~same
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("id"))
+    rows = signatures.select("*", nth.alias("nth"), nests.alias("nests"))
+    counts = F.col("valid") & F.col("nests") & ~F.col("timestamp")
+    reach = F.max(F.when(counts, F.col("end"))).over(Window.partitionBy("doc_id"))
+    rows = rows.withColumn("reach", F.coalesce(reach, F.lit(0))).withColumn("bounds", counts & (F.col("end") == reach))
+    return rows.join(files, "doc_id").select("doc_id", "id", "nth", "nests", F.coalesce("bounds", F.lit(False)).alias("bounds"), (F.col("size") - F.col("reach")).alias("tail"))
+
+
 def pictures_joined(figures: DataFrame, pictures: DataFrame) -> DataFrame:
     """Figures (doc_id, page, pos, resource) with the picture's bytes (doc_id, resource,
     bytes, broken), or the cause why there are none."""

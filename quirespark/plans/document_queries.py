@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quirespark.operators import documents as D
+from quirespark.operators import templates as P
 from quirespark.plans.bridge import table
 from quirespark.plans.clause_queries import pick
 
@@ -233,3 +234,52 @@ def masked_texts(spark, d):
     own = table(spark, d, "part").selectExpr("p_partkey AS doc_id", "concat(p_name, ' ', p_type) AS text", "cast(p_partkey % 9 AS int) AS start")
     spans = own.select("doc_id", "start", (F.col("start") + 4).alias("end"))
     return D.masked(own.select("doc_id", "text"), spans.unionByName(spans))
+
+
+# Coverage of revisions: line k ends after 1,000 bytes for each line up to it, mostly.
+
+_cover = ("l_linenumber AS id", "l_linenumber * 1000 - 900 + p % 150 - CASE WHEN s % 7 = 0 THEN 200 ELSE 0 END AS gap_from", "l_linenumber * 1000 - 500 AS gap_to", "(l_linenumber - CASE WHEN p % 11 = 3 AND l_linenumber > 1 THEN 1 ELSE 0 END) * 1000 AS end_", "s % 5 <> 0 AS valid", "p % 13 = 0 AS is_time")
+
+
+@query("coverage_order", f"""WITH s AS (SELECT doc_id, {', '.join(_cover)} FROM {_lines} l), f AS (SELECT o_orderkey AS doc_id, (o_custkey % 9 + 1) * 1000 AS size FROM orders),
+  n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY id) AS nth, gap_from >= coalesce((SELECT max(end_) FROM s x WHERE x.doc_id = s.doc_id AND x.end_ < s.end_), 0) AND gap_from < gap_to AND gap_to <= end_
+    AND (SELECT count(*) FROM s x WHERE x.doc_id = s.doc_id AND x.end_ = s.end_) = 1 AS nests FROM s),
+  r AS (SELECT *, max(end_) FILTER (WHERE valid AND nests AND NOT is_time) OVER (PARTITION BY doc_id) AS reach FROM n)
+  SELECT doc_id, id, nth, nests, coalesce(valid AND nests AND NOT is_time AND end_ = reach, false) AS bounds, size - coalesce(reach, 0) AS tail FROM r JOIN f USING (doc_id)""")
+def coverage_order(spark, d):
+    own = lines_of(spark, d, *_cover).withColumnsRenamed({"end_": "end", "is_time": "timestamp"})
+    return D.coverage(own, table(spark, d, "orders").selectExpr("o_orderkey AS doc_id", "(o_custkey % 9 + 1) * 1000 AS size"))
+
+
+# Templates: a document's lines with placeholders behind them, in spans of seven characters; some have a break in the fifth.
+
+
+def template_spans(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("para", "line"))
+    tail = F.when(F.col("doc_id") % 8 == 3, " {{ nothing here }}").when(F.col("doc_id") % 8 == 5, " {{absent}} {{also.absent}}").otherwise(" {{=key}}{{ source }}")
+    text = F.concat(F.lit("{{lang}}: "), F.regexp_replace("line", "[{}]", ""), tail, F.lit(" of {{n-chars}}."))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / 7).cast("int")), lambda k: F.substr(text, k * 7 + 1, F.lit(7)))
+    spans = lines.select("doc_id", "para", F.posexplode(chunks).alias("seq", "text")).withColumn("seq", F.col("seq") * 2)
+    return spans.unionByName(spans.where("seq = 8 AND doc_id % 6 = 1").withColumn("seq", F.lit(9)).withColumn("text", F.lit(None).cast("string")))
+
+
+def template_values(spark, d):
+    pairs = F.array(*(F.struct(F.lit(k).alias("key"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("value")) for k, c in (("lang", "lang"), ("source", "source"), ("n-chars", "n_chars"))))
+    return table(spark, d, "documents").select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.*")
+
+
+@query("template_spans")
+def filled_spans(spark, d):
+    return P.filled(template_spans(spark, d), template_values(spark, d))[0]
+
+
+@query("template_outcomes")
+def template_outcomes(spark, d):
+    return P.filled(template_spans(spark, d), template_values(spark, d))[1]
+
+
+@query("template_paragraphs", """SELECT doc_id, i - 1 AS para, lang || ': ' || regexp_replace(lines[i], '[{}]', '', 'g') || ' {{key}}' || source || ' of ' || n_chars || '.' AS text
+  FROM (SELECT doc_id, lang, source, n_chars, string_split(text, chr(10)) AS lines FROM documents) d, LATERAL (SELECT unnest(generate_series(1, len(lines))) AS i) s WHERE doc_id % 8 NOT IN (3, 5) AND doc_id % 6 <> 1""")
+def template_paragraphs(spark, d):
+    own = filled_spans(spark, d).where("doc_id % 6 != 1")
+    return own.groupBy("doc_id", "para").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda s: s["text"]), "").alias("text"))
