@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quirespark.operators import fields as L
 from quirespark.operators import grouping as G
 from quirespark.plans.bridge import table
 
@@ -65,3 +66,27 @@ def tables_in_layout(spark, d):
     lines, _, grids = G.tables_in_layout(word_runs(spark, d), page_grids(spark, d))
     left = lines.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("lines"), F.max("para").alias("paras"))
     return grids.drop("xs", "ys").join(left, ["doc_id", "page"], "left")
+
+
+#: A shape of a page for each line of eight orders, by arithmetic.
+SHAPES = (
+    "cast(floor(l_orderkey / 32) AS long) AS doc_id", "0 AS page", "cast(l_orderkey % 32 * 8 + l_linenumber AS int) AS id",
+    "element_at(array('h', 'h', 'h', 'v', 'h', 'v', 'square', 'white', 'print', 'print', 'heavy', 'widget', 'h', 'v', 'white', 'shade', 'h'), cast(p % 17 + 1 AS int)) AS kind",
+    "50.0D + s % 4 * 100 AS x", "100.0D + (p + s) % 6 * 20 AS y", "q % 3 AS a", "element_at(array('Name', 'on ____ and ______', '☐ yes □', ' - ', 'Date', '_____', '___'), cast(q % 7 + 1 AS int)) AS text",
+)
+PLACED = (
+    "doc_id", "page", "id", "kind", "CASE kind WHEN 'square' THEN x + 10 WHEN 'white' THEN x + 2 + a * 20 WHEN 'print' THEN x + a * 25 WHEN 'shade' THEN x + 55 WHEN 'widget' THEN x + 30 ELSE x END AS x0",
+    "CASE kind WHEN 'square' THEN y + 4 WHEN 'white' THEN y + 1 + a WHEN 'print' THEN y + 3 WHEN 'shade' THEN y + 1 WHEN 'widget' THEN y + 6 ELSE y END AS y0",
+    "CASE kind WHEN 'h' THEN x + 100 * (a + 1) WHEN 'heavy' THEN x + 200 WHEN 'v' THEN x WHEN 'square' THEN x + 20 WHEN 'white' THEN x + 14 + a * 60 WHEN 'print' THEN x + a * 25 + 6 * length(text) WHEN 'shade' THEN x + 95 ELSE x + 60 END AS x1",
+    "CASE kind WHEN 'h' THEN y WHEN 'heavy' THEN y + 3 WHEN 'v' THEN y + 20 * (a % 2 + 1) WHEN 'square' THEN y + 14 WHEN 'white' THEN y + 15 WHEN 'print' THEN y + 11 WHEN 'shade' THEN y + 30 ELSE y + 14 END AS y1", "text",
+)
+
+
+def page_shapes(spark, d):
+    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min("l_quantity").cast("int").alias("q"))
+    return li.selectExpr(*SHAPES).selectExpr(*PLACED)
+
+
+@query("drawn_fields")
+def drawn_fields(spark, d):
+    return L.proposed(page_shapes(spark, d))
