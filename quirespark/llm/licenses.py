@@ -9,6 +9,12 @@ document is then a sequence of identifiers, held as one string, and ordered rule
 (regular expressions over that string) turn stretches of it into licences: the first
 rule that matches claims its stretch, so a full text is not also reported as its parts.
 
+What a sentence itself says goes into its identifier: the GNU licences' notices carry family,
+version and whether later ones may be taken, and SPDX lines their names, as ``<name>``. A
+version that is not there is not guessed: the GPL without one means any (GPL-1.0-or-later),
+and a mere reference to it grants nothing. "X or Y" after a verb of licensing is two
+sentences, and a verb that is denied is none.
+
 The dimension of known sentences is fixed and small, a map inside the expression:
 no join, no shuffle, no Python.
 
@@ -49,12 +55,37 @@ SENTENCES = (
     ("w", "all rights reserved"),
 )
 
-#: The GPL's versioned notices and short forms, and what stands for them in the map:
-#: who speaks, verb and form make no difference, the version and "or later" do.
-LATER = r" or (?:(?:[|] )?at your option any later version|(?:any )?later(?: version)?)(?= )"
-NOTICE = r"(?:this program is free software )?you (?:can|may) redistribute (?:it )?and or modify it under the terms of the gnu general public license as published by the free software foundation (?:either )?version ([23])(?:[.]0)?(?: of the license)?(?= )"
-SHORT = r"(?:this work is )?(?:licensed|released|distributed) under (?:the )?(?:gnu general public license|gnu gpl|gpl) (?:version |v)?([23])(?:[.]0)?(?= )"
-NOTICES = ((NOTICE, "gplnotice $1"), (SHORT, "gplshort $1"), ("(gpl(?:notice|short) [23])" + LATER, "$1 later"))
+#: Families of the GNU licences, and SPDX identifiers, as they are written.
+FAMILIES = {"gpl": "general", "lgpl": "(?:lesser|library) general", "agpl": "affero general"}
+SPDX = (
+    "0BSD", "AFL-3.0", "AGPL-1.0-only", "AGPL-1.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-1.1", "Apache-2.0", "APSL-2.0", "Artistic-1.0", "Artistic-2.0", "BlueOak-1.0.0", "BSD-1-Clause", "BSD-2-Clause", "BSD-2-Clause-Patent",
+    "BSD-3-Clause", "BSD-3-Clause-Clear", "BSD-4-Clause", "BSL-1.0", "BUSL-1.1", "CC-BY-2.0", "CC-BY-2.5", "CC-BY-3.0", "CC-BY-4.0", "CC-BY-NC-3.0", "CC-BY-NC-4.0", "CC-BY-NC-ND-4.0", "CC-BY-NC-SA-3.0", "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0", "CC-BY-SA-2.0",
+    "CC-BY-SA-2.5", "CC-BY-SA-3.0", "CC-BY-SA-4.0", "CC0-1.0", "CDDL-1.0", "CDDL-1.1", "CECILL-2.1", "CPL-1.0", "ECL-2.0", "EFL-2.0", "EPL-1.0", "EPL-2.0", "EUPL-1.1", "EUPL-1.2", "GFDL-1.2-only", "GFDL-1.2-or-later", "GFDL-1.3-only", "GFDL-1.3-or-later",
+    "GPL-1.0-only", "GPL-1.0-or-later", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.0-only", "LGPL-2.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-1.1",
+    "MPL-2.0", "MS-PL", "MS-RL", "MulanPSL-2.0", "NCSA", "ODbL-1.0", "OFL-1.1", "OpenSSL", "OSL-3.0", "PostgreSQL", "Python-2.0", "Ruby", "SSPL-1.0", "Unicode-DFS-2016", "Unlicense", "UPL-1.0", "Vim", "W3C", "WTFPL", "X11", "Zlib", "ZPL-2.1",
+)
+#: Deprecated names that leave out what the licence's version alone allows.
+OLDER = {x.removesuffix("-only").lower(): x for x in SPDX if x.endswith("-only")}
+
+VERSION = "([0-9](?:[.][0-9])?)(?:[.]0)?"
+LATER = r"( or (?:[|] )?(?:at your option )?(?:[|] )?any later version| or (?:any )?later(?: version)?| only)?"
+VERBS = "licensed|released|distributed|available|covered|governed"
+
+
+def notices() -> list[tuple[str, str]]:
+    """Rewrites of the GNU licences' notices to one word, ``gnu_family_version_later``."""
+    out = []
+    for family, name in FAMILIES.items():
+        whole = f"(?:the )?gnu {name} public license(?: {family})?"
+        short = f"(?:{whole}|(?:the )?gnu {family}|(?:the )?{family})"
+        out.append((rf"(?<= )(?:(?:this program|this library|it) is free software )?(?:you (?:can|may) redistribute (?:it )?and or modify it )?under (?:the )?terms (?:and conditions )?of (?:the )?version {VERSION}{LATER} of {whole}(?= )", f"gnu_{family}_$1_$2_"))
+        out.append((rf"(?<= )(?:(?:this program|this library|it) is free software )?(?:you (?:can|may) redistribute (?:it )?and or modify it )?under (?:the )?terms (?:and conditions )?of {short}(?: as published by the free software foundation(?: inc[.]?)?)?(?: either)? (?:version |v)?{VERSION}(?: of the license)?{LATER}(?: of the license)?(?= )", f"gnu_{family}_$1_$2_"))
+        out.append((rf"(?<= )((?:this work is )?)(?:{VERBS}) under {short} (?:version |v)?{VERSION}{LATER}(?= )", f"gnu_{family}_$2_$3_$1"))
+    return out
+
+
+#: Names of licences that may stand in a list after a verb of licensing.
+NAMES: list[str] = []
 
 
 def forms() -> dict[str, str]:
@@ -63,12 +94,16 @@ def forms() -> dict[str, str]:
         "a": ("apache license version 2.0", "apache license 2.0", "apache 2.0 license", "apache-2.0 license", "apache license v2.0", "apache 2.0"),
         "m": ("mit license", "mit x11 license", "mit open source license"),
         "H": ("bsd 3-clause license", "3-clause bsd license", "bsd-3-clause license", "new bsd license", "modified bsd license"),
+        "I": ("mozilla public license version 2.0", "mozilla public license 2.0", "mpl 2.0", "mpl-2.0"),
+        "U": ("eclipse public license version 2.0", "eclipse public license v2.0", "eclipse public license 2.0", "eclipse public license v 2.0", "epl 2.0"),
+        "X": ("eclipse public license version 1.0", "eclipse public license v1.0", "eclipse public license 1.0", "eclipse public license v 1.0", "epl 1.0"),
+        "W": ("artistic license 2.0", "artistic license version 2.0"), "Y": ("sil open font license version 1.1", "open font license version 1.1", "sil open font license 1.1"),
+        "Z": ("cc0 1.0 universal", "creative commons zero v1.0 universal", "creative commons cc0 1.0 universal"), "E": ("isc license",), "F": ("zlib license",), "G": ("boost software license version 1.0", "boost software license 1.0"), "T": ("unlicense",),
         "J": ("bsd 2-clause license", "2-clause bsd license", "bsd-2-clause license", "simplified bsd license"),
     }
     verbs = ("licensed under", "released under", "distributed under", "available under", "under the terms of")
+    NAMES.extend(sorted({n for own in names.values() for n in own}, key=lambda n: (-len(n), n)))
     found = {f"{verb} {the}{name}": i for i, own in names.items() for name in own for verb in verbs for the in ("the ", "")}
-    spdx = {"apache-2.0": "A", "mit": "B", "bsd-3-clause": "C", "bsd-2-clause": "D", "gpl-3.0-only": "L", "gpl-3.0": "L", "gpl-3.0-or-later": "K", "gpl-2.0-only": "N", "gpl-2.0": "N", "gpl-2.0-or-later": "M", "cc-by-nc-4.0": "Q", "cc-by-sa-4.0": "S", "cc-by-4.0": "R", "isc": "E", "zlib": "F", "bsl-1.0": "G", "mpl-2.0": "I", "unlicense": "T", "lgpl-2.1-or-later": "U", "lgpl-3.0-or-later": "X", "agpl-3.0-or-later": "W"}
-    found |= {f"spdx-license-identifier {name}": i for name, i in spdx.items()}
     for i, kind, name in (("R", "by", "attribution"), ("S", "by-sa", "attribution-sharealike"), ("Q", "by-nc", "attribution-noncommercial")):
         for who in ("creative commons ", "cc "):
             found |= {f"{who}{name} {v}": i for v in ("4.0 international", "4.0")}
@@ -80,8 +115,6 @@ def forms() -> dict[str, str]:
 #: Identifier of a phrase, also of the SQL's sentences.
 PHRASES = {
     **forms(), **{s: i for i, s in SENTENCES},
-    "gplnotice 3 later": "K", "gplnotice 2 later": "M", "gplnotice 3": "L", "gplnotice 2": "N",
-    "gplshort 3 later": "K", "gplshort 2 later": "M", "gplshort 3 only": "L", "gplshort 3": "g", "gplshort 2": "N",
     **{f"you may obtain a copy of the license at {bar}{http} www.apache.org licenses license-2.0{txt}": "c" for bar in ("", "| ") for http in ("http", "https") for txt in ("", ".txt", ".html")},
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis": "d",
     **{f"apache license {bar}version 2.0 {bar2}january 2004": "e" for bar in ("", "| ") for bar2 in ("", "| ")},
@@ -100,7 +133,6 @@ PHRASES = {
     "this source code form is subject to the terms of the mozilla public license v": "I",
     **{f"mozilla public license {v}": "I" for v in ("version 2.0", "2.0")},
     "this is free and unencumbered software released into the public domain": "T",
-    **{f"gnu {name} general public license as published by the free software foundation {either}version {v} of the license or {bar}at your option any later version": i for name, v, i in (("lesser", "2.1", "U"), ("lesser", "3", "X"), ("affero", "3", "W")) for either in ("either ", "") for bar in ("", "| ")},
     "all advertising materials mentioning features or use of this software must display the following acknowledgement": "V",
     **{f"{nor} may be used to endorse or promote products": "u" for nor in ("nor the names of its contributors", "nor the names of their contributors", "nor the names of contributors", "nor the names of other contributors", "names of its contributors", "names of contributors")},
     **{f"the name of the {who} may not be used to endorse or promote products": "u" for who in ("author", "authors", "copyright holder", "company")},
@@ -114,36 +146,44 @@ TITLES = {
     **dict.fromkeys(("bsd 2-clause license", "the 2-clause bsd license", "2-clause bsd license", "the bsd 2-clause license", "bsd 2-clause simplified license"), "J"),
 }
 
-#: Licence and its pattern over the identifiers, in order: full texts with a title, a
+#: Not within a carried name.
+OUTSIDE = "(?![^<]*>)"
+
+#: Licence (none: the name that the identifier carries) and its pattern over the identifiers, in order: full texts with a title, a
 #: copyright line and their appendix first; then notices; then short forms.
 CLAIMS = (
-    ("MIT", "[Bmv]*w*[Bmv]*nw*ow*p"),
-    ("MIT", "[Bv]+|m|no?|op"),
+    ("GPL-3.0-only", f"{OUTSIDE}O(?:<GPL-3[.]0-or-later>i?)?"),
+    ("GPL-2.0-only", f"{OUTSIDE}P(?:<GPL-2[.]0-or-later>i?)?"),
+    (None, f"(?:{OUTSIDE}w)*<[^>]+>i?"),
+    ("MIT", "[mv]*w*[mv]*nw*ow*p"),
+    ("MIT", "v+|m|no?|op"),
     ("Apache-2.0", "ef?j*k*(?:w*abcd?)?"),
-    ("Apache-2.0", "A*w*abcd?|w*bcd?|fj+k*|a|[Ae]+|c"),
+    ("Apache-2.0", "w*abcd?|w*bcd?|fj+k*|a|e+|c"),
     ("BSD-4-Clause", "w*t+x?y?Vy?u*z?"),
-    ("BSD-3-Clause", "[CH]*w*[CH]*t+x?y?u+z?"),
-    ("BSD-3-Clause", "[CH]+"),
-    ("BSD-2-Clause", "[DJ]+w*tx?y?z?|w*[DJ]*tx?y?z?|[DJ]+"),
-    ("GPL-3.0-only", "O(?:Ki?)?"),
-    ("GPL-2.0-only", "P(?:Mi?)?"),
-    ("GPL-3.0-or-later", "K+i?"),
-    ("GPL-2.0-or-later", "M+i?"),
-    ("GPL-3.0-only", "gi?|L+i?"),
-    ("GPL-2.0-only", "N+i?"),
-    ("GPL-3.0-or-later", "hi|h|i"),
+    ("BSD-3-Clause", "H*w*H*t+x?y?u+z?"),
+    ("BSD-3-Clause", "H+"),
+    ("BSD-2-Clause", "J+w*tx?y?z?|w*J*tx?y?z?|J+"),
+    ("GPL-3.0-only", "gi?"),
+    ("GPL-1.0-or-later", "hi?"),
     ("CC-BY-NC-4.0", "q|Q+"),
     ("CC-BY-SA-4.0", "s|S+"),
     ("CC-BY-4.0", "r|R+"),
-    ("ISC", "w*E+"), ("Zlib", "w*F+"), ("BSL-1.0", "G+"), ("MPL-2.0", "I+"), ("Unlicense", "T+"), ("LGPL-2.1-or-later", "U+"), ("LGPL-3.0-or-later", "X+"), ("AGPL-3.0-or-later", "W+"),
+    ("ISC", "w*E+"), ("Zlib", "w*F+"), ("BSL-1.0", "G+"), ("MPL-2.0", "I+"), ("Unlicense", "T+"), ("CC0-1.0", "Z+"), ("OFL-1.1", "Y+"), ("EPL-2.0", "U+"), ("EPL-1.0", "X+"), ("Artistic-2.0", "W+"),
     ("Proprietary", "w"),
 )
 
 LEADS = r"(?m)^[\x{9}\x{20}]*(?:rem|dnl)[\x{9}\x{20}]"
 CUTS = r"""[.!?]+["'\)\]]*(?=[\x{9}-\x{D}\x{20}]|$)|\x{A}[^a-z0-9\x{A}]*\x{A}"""
 LOOSE = r"[^a-z0-9.|-]+|(?<![a-z0-9])[.-]+|-+(?![a-z0-9])"
-#: An SPDX line's further licences get its mark, too.
+#: An SPDX line's further licences get its mark, too; what is excepted goes.
+EXCEPTED = r"(spdx-license-identifier [^|]*?[a-z0-9.-]+) with [a-z0-9.-]+exception[a-z0-9.-]*"
 MORE = r"((?:spdx-license-identifier |\G(?!^))[a-z0-9.-]+ )(?:or|and) "
+#: What is denied, and lists after a verb.
+DENIED = rf"(?<= )(not|never|no longer|isn t|aren t|wasn t|cannot be|nor) ((?:being |been |be )?)({VERBS}) under(?= )"
+EITHER = rf"(?<= )({VERBS}) under (?:either|any|one|both) (?:of )?(?:the )?(?:following )?"
+NAMED = "(?:" + "|".join(re.escape(n).replace("\\ ", " ") for n in NAMES) + r"|(?:gnu )?[al]?gpl (?:version |v)?[23](?:[.][01])?)"
+LISTED = rf"(?<= )((?:{VERBS}) under (?:the )?{NAMED}(?: or later)?) (?:or|and) (?:under )?(?:the )?(?={NAMED} )"
+STYLE = r"(?<= )governed by (?:a |the )?([a-z0-9]+)-style license(?= )"
 
 
 def any_of(phrases) -> str:
@@ -155,32 +195,48 @@ def any_of(phrases) -> str:
     return "(?:" + "|".join(f"{re.escape(first)} (?:{'|'.join(rest)})" for first, rest in by.items()) + ")"
 
 
-FOUND = f"(?<=[|] ){any_of(TITLES)}(?= (?:[|]|copyright ))|(?<= ){any_of(PHRASES)}(?= )"
+CARRIED = r"(?<= )(?:gnu_[a-z]+_[0-9.]*_[a-z |]*_(?:this work is)?|spdx-license-identifier [a-z0-9.-]+|style_[a-z0-9]+)(?= )"
+FOUND = f"{CARRIED}|(?<=[|] ){any_of(TITLES)}(?= (?:[|]|copyright ))|(?<= ){any_of(PHRASES)}(?= )"
 
 
 def normalised(text: Column) -> Column:
     """Words with one blank between them, and ``|`` for a cut, also at both ends."""
-    whole = F.regexp_replace(F.translate(F.lower(text), "|\r", " "), r"\b(gpl-[23][.]0)[+]", "$1-or-later")
+    whole = F.regexp_replace(F.translate(F.lower(text), "|\r", " "), r"\b((?:[al]?gpl|gfdl)-[0-9.]+[0-9])[+]", "$1-or-later")
     for pattern, to in ((LEADS, " "), (CUTS, " | "), (LOOSE, " ")):
         whole = F.regexp_replace(whole, pattern, to)
     whole = F.regexp_replace(F.concat(F.lit(" | "), whole, F.lit(" | ")), r"\x{20}+", " ")
-    whole = F.regexp_replace(whole, MORE, "$1spdx-license-identifier ")
-    for pattern, to in NOTICES:
+    rewrites = [(EXCEPTED, "$1"), (MORE, "$1spdx-license-identifier "), (DENIED, "$1 $2un$3 under"), (EITHER, "$1 under "), (LISTED, "$1 licensed under "), (LISTED, "$1 licensed under "), (STYLE, "style_$1"), *notices()]
+    for pattern, to in rewrites:
         whole = F.regexp_replace(whole, pattern, to)
     return whole
 
 
+def carried(found: Column) -> Column:
+    """The identifier of a sentence that carries its name, or null."""
+    part = lambda k: F.regexp_extract(found, r"^gnu_([a-z]+)_([0-9.]*)_([a-z |]*)_(.*)$", k)
+    version = F.when(F.instr(part(2), ".") > 0, part(2)).otherwise(F.concat(part(2), F.lit(".0")))
+    gnu = F.concat(F.lit("<"), F.upper(part(1)), F.lit("-"), version, F.when(F.instr(part(3), "later") > 0, "-or-later").otherwise("-only"), F.lit(">"))
+    named = F.create_map(*(F.lit(x) for k, v in {**OLDER, **{x.lower(): x for x in SPDX}}.items() for x in (k, v)))
+    spdx = F.element_at(named, F.regexp_extract(found, "^spdx-license-identifier (.*)$", 1))
+    work = (found == "gnu_gpl_3__this work is")  # a sentence of the query's SQL
+    return (
+        F.when(work, "g").when(found.startswith("gnu_"), gnu).when(found.startswith("spdx-"), F.coalesce(F.concat(F.lit("<"), spdx, F.lit(">")), F.lit("")))
+        .when(found.startswith("style_"), F.concat(F.lit("<LicenseRef-"), F.regexp_extract(found, "^style_(.*)$", 1), F.lit("-style>")))
+    )
+
+
 def sequence(text: Column) -> Column:
     """The identifiers of the known sentences, in order."""
     known = F.create_map(*(F.lit(x) for s, i in {**PHRASES, **TITLES}.items() for x in (s, i)))
-    return F.array_join(F.transform(F.regexp_extract_all(normalised(text), F.lit(FOUND), F.lit(0)), lambda s: F.element_at(known, s)), "")
+    return F.array_join(F.transform(F.regexp_extract_all(normalised(text), F.lit(FOUND), F.lit(0)), lambda s: F.coalesce(carried(s), F.element_at(known, s))), "")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, sentence_ids, licenses (in the rules' order), n_matches,
     evidence (of each match the licence and the identifiers that it claimed)."""
     found = docs.select(F.col(id_col).alias("doc_id"), sequence(text_of(text_col)).alias("sentence_ids"))
-    claim = lambda name: lambda ids: F.struct(F.lit(name).alias("license"), ids.alias("sentence_ids"))
+    own = lambda name, ids: F.regexp_extract(ids, "<([^>]+)>", 1) if name is None else F.lit(name)
+    claim = lambda name: lambda ids: F.struct(own(name, ids).alias("license"), ids.alias("sentence_ids"))
     rest, claims = F.col("sentence_ids"), []
     for name, pattern in CLAIMS:  # the matched stretch is replaced, so later rules do not see it
         hits = F.regexp_extract_all(rest, F.lit(f"({pattern})"), 1)

@@ -66,13 +66,13 @@ SENTENCES = (
 )
 
 RULES = (
-    ("MIT", "nw*ow*p"),
+    ("MIT", "w*nw*ow*p"),
     ("MIT", "m|no?|op"),
-    ("Apache-2.0", "abc|bc|a"),
-    ("BSD-3-Clause", "w*t+u"),
+    ("Apache-2.0", "w*abc|w*bc|a|c"),
+    ("BSD-3-Clause", "w*t+u+"),
     ("BSD-2-Clause", "w*t"),
-    ("GPL-3.0-only", "g"),
-    ("GPL-3.0-or-later", "hi|h|i"),
+    ("GPL-3.0-only", "gi?"),
+    ("GPL-1.0-or-later", "hi?"),
     ("CC-BY-NC-4.0", "q"),
     ("CC-BY-SA-4.0", "s"),
     ("CC-BY-4.0", "r"),

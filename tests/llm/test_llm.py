@@ -603,6 +603,35 @@ def test_licenses_of_standard_texts(spark):
     assert got == {k: (want, len(want)) for k, (_, want) in enumerate(cases)}
 
 
+def test_licenses_say_what_the_notice_says(spark):
+    """Versions, lists, denials, SPDX names; nothing is guessed."""
+    gpl = "redistribute it and/or modify it under the terms of the GNU General Public License"
+    cases = [
+        (f"you can {gpl} version 2 as published by the FSF", ["GPL-2.0-only"]), ("see the GNU General Public License for more details", []), ("This file is not licensed under the MIT license", []),
+        ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", ["Apache-2.0", "MIT"]), ("Copyright X. All rights reserved.\n// Use of this source code is governed by a BSD-style\n// license that can be found", ["LicenseRef-bsd-style"]),
+        *((f"# SPDX-License-Identifier: {x}", [x]) for x in ("0BSD", "EPL-2.0", "CC0-1.0", "Artistic-2.0", "LGPL-2.1-only", "AGPL-3.0-only", "MIT", "Zlib")), ("SPDX-License-Identifier: GPL-2.0 WITH Classpath-exception-2.0 OR (MIT AND LGPL-2.1+)", ["GPL-2.0-only", "MIT", "LGPL-2.1-or-later"]),
+        ("SPDX-License-Identifier: Unheard-Of-1.0", []), (f"This program is free software; you can {gpl}.", ["GPL-1.0-or-later"]), (f"This program is free software; you can {gpl}.\nSee the GNU General Public License for more details.", ["GPL-1.0-or-later"]),
+        ("Distributed under the terms of the GNU Library General Public License, version 2.0.", ["LGPL-2.0-only"]), (f"you may {gpl}, version 3 or any later version", ["GPL-3.0-or-later"]), ("available under the GNU Affero General Public License v3.0 only", ["AGPL-3.0-only"]),
+        ("under the terms of version 2 or later of the GNU General Public License", ["GPL-2.0-or-later"]), ("distributed under the Eclipse Public License v2.0", ["EPL-2.0"]), ("licensed under the SIL Open Font License, Version 1.1.", ["OFL-1.1"]), ("It was never released under the Apache License 2.0", []),
+        ("released under the MIT license or the GPL v2", ["MIT", "GPL-2.0-only"]), ("Licensed under the GPL version 2 or the MIT license", ["GPL-2.0-only", "MIT"]), ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0-only"]),
+    ]
+    got = {r.doc_id: (sorted(r.licenses), r.n_matches) for r in licenses.scan(docs_of(spark, list(enumerate(t for t, _ in cases)))).collect()}
+    assert got == {k: (sorted(want), len(want)) for k, (_, want) in enumerate(cases)}
+
+
+def test_license_sql_with_sentences_planted(spark):
+    """The query's SQL on its own sentences, each alone and in random order."""
+    import duckdb
+
+    r, own = random.Random(8), [s for _, s in sql.SENTENCES]
+    texts = [(k, s) for k, s in enumerate(own)] + [(100 + k, "\n".join(r.choice(own) for _ in range(r.randrange(6)))) for k in range(120)]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", texts)
+    got = licenses.scan(docs_of(spark, texts)).select("doc_id", "sentence_ids", F.array_join("licenses", ",").alias("licenses"), "n_matches")
+    same(got, c, sql.license_sql())
+
+
 def test_license_rows_and_evidence(spark):
     texts = [(1, None), (2, ""), (3, "Released under the MIT License."), (3, "Released under the MIT License."), (None, "Licensed under CC BY 4.0."), (4, "word " * 200_000 + "\nLicensed under CC BY-SA 4.0.\n"), (5, "Released under the MIT License.\n" * 3)]
     got = Counter((r.doc_id, tuple((e.license, e.sentence_ids) for e in r.evidence), r.n_matches) for r in licenses.scan(docs_of(spark, texts)).collect())
