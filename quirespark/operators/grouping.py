@@ -148,8 +148,8 @@ def lines_of(runs: DataFrame) -> DataFrame:
     chains = cut(chained(runs))
     gone = cut(parted(runs, chains, spelt(chains)))
     where = gone.select("doc_id", "page").distinct()
-    again = cut(runs.join(where, ["doc_id", "page"], "left_semi"))
-    return spelt(chains.join(where, ["doc_id", "page"], "left_anti").unionByName(chained(again, gone)))
+    again = chained(cut(runs.join(where, ["doc_id", "page"], "left_semi")), gone)
+    return spelt(chains.join(where, ["doc_id", "page"], "left_anti").unionByName(again))
 
 
 # Columns, running lines, rows of cells.
@@ -266,7 +266,7 @@ def grouped(lines: DataFrame) -> DataFrame:
     column's usual step (of two or more), it starts over half an em further right, or
     the line before stopped where its first word would have fitted: short of the column's
     right edge, or in a cell of where the next cell begins."""
-    lines = cut(with_cells(with_running(lines)))
+    lines = cut(with_cells(cut(with_running(cut(lines)))))
     down = Window.partitionBy("doc_id", "page", "col").orderBy(F.desc("y"), "seq")
     steps = lines.withColumn("_step", F.lag("y").over(down) - F.col("y")).groupBy("doc_id", "page", "col").agg(F.max("x1").alias("right"), F.coalesce(F.percentile("_step", 0.5), F.lit(0.0)).alias("typical"), F.count("_step").alias("steps"))
     firsts = lines.where("stretch > 0").groupBy("doc_id", "page", "col", "stretch").agg(F.max(F.struct("y", -F.col("seq")))["y"].alias("head"), F.min("y").alias("foot"))
