@@ -67,7 +67,11 @@ def import_counts(spark, d):
     return W.outcome_counts(sniffable(spark, d).select("lang", found["format"].alias("format"), found["refusal"].alias("refusal")), "lang", "format", "refusal")
 
 
-_formats = ", ".join(f"('{k}', '{e}', '{family}')" for k, _, extensions, family in S.FORMATS for e in extensions)
+#: The formats' extensions and families.
+_formats = """('png', 'png', 'raster'), ('jpeg', 'jpg', 'raster'), ('jpeg', 'jpeg', 'raster'), ('tiff', 'tif', 'raster'), ('tiff', 'tiff', 'raster'), ('webp', 'webp', 'raster'), ('gif', 'gif', 'raster'), ('bmp', 'bmp', 'raster'),
+  ('cbz', 'cbz', 'zip'), ('markdown', 'md', 'text'), ('markdown', 'markdown', 'text'), ('doc', 'doc', 'ole'), ('docx', 'docx', 'zip'), ('odt', 'odt', 'zip'), ('rtf', 'rtf', 'rtf'), ('txt', 'txt', 'text'), ('xls', 'xls', 'ole'), ('xlsx', 'xlsx', 'zip'),
+  ('ods', 'ods', 'zip'), ('csv', 'csv', 'text'), ('ppt', 'ppt', 'ole'), ('pptx', 'pptx', 'zip'), ('ps', 'ps', 'postscript'), ('eps', 'eps', 'postscript'), ('heic', 'heic', 'heif'), ('heic', 'heif', 'heif'), ('html', 'html', 'html'), ('html', 'htm', 'html'),
+  ('html', 'xhtml', 'html'), ('svg', 'svg', 'svg'), ('mhtml', 'mhtml', 'mhtml'), ('mhtml', 'mht', 'mhtml'), ('eml', 'eml', 'email'), ('epub', 'epub', 'zip'), ('odp', 'odp', 'zip')"""
 
 
 @query("format_lookup", f"SELECT doc_id, format, family FROM (SELECT doc_id, lower(regexp_extract({_name}, '[.]?([A-Za-z0-9]+)$', 1)) AS e FROM documents) q LEFT JOIN (VALUES {_formats}) f(format, extension, family) ON e = extension")
@@ -228,7 +232,9 @@ def synthetic(spark, d):
     return own.select("doc_id", "id", (F.col("id") - 1).alias("parent"), "name")
 
 
-_clauses = ", ".join(f"('{c}', '{e}', [{', '.join(repr(p) for p in may)}])" for c, e, may in R.CONTAINMENT)
+#: What each element may stand in.
+_clauses = """('7.2-tr', 'tr', ['table', 'thead', 'tbody', 'tfoot']), ('7.2-thead', 'thead', ['table']), ('7.2-tbody', 'tbody', ['table']), ('7.2-tfoot', 'tfoot', ['table']), ('7.2-th', 'th', ['tr']), ('7.2-td', 'td', ['tr']),
+  ('7.2-li', 'li', ['ul', 'ol']), ('7.2-caption', 'caption', ['table']), ('7.2-dt', 'dt', ['dl']), ('7.2-dd', 'dd', ['dl']), ('7.2-figcaption', 'figcaption', ['figure'])"""
 
 
 @query("ua_containment", f"""WITH e AS {SYNTHETIC}, t AS (SELECT e.doc_id, clause, list_contains(may, coalesce(p.name, '-')) AS ok FROM e JOIN (VALUES {_clauses}) c(clause, element, may) ON e.name = element LEFT JOIN e p ON p.doc_id = e.doc_id AND p.id = e.parent)

@@ -15,12 +15,12 @@ FORMATS = (
     ("png", "PNG", ("png",), "raster"), ("jpeg", "JPEG", ("jpg", "jpeg"), "raster"), ("gif", "GIF", ("gif",), "raster"),
     ("tiff", "TIFF", ("tif", "tiff"), "raster"), ("bmp", "BMP", ("bmp",), "raster"), ("webp", "WebP", ("webp",), "raster"),
     ("cbz", "Comic book", ("cbz",), "zip"), ("epub", "EPUB", ("epub",), "zip"),
-    ("markdown", "Markdown", ("md", "markdown"), "text"), ("txt", "Text", ("txt", "text"), "text"), ("csv", "CSV", ("csv", "tsv"), "text"),
+    ("markdown", "Markdown", ("md", "markdown"), "text"), ("txt", "Plain text", ("txt",), "text"), ("csv", "CSV", ("csv",), "text"),
     ("docx", "Word", ("docx",), "zip"), ("xlsx", "Excel", ("xlsx",), "zip"), ("pptx", "PowerPoint", ("pptx",), "zip"),
     ("odt", "OpenDocument text", ("odt",), "zip"), ("ods", "OpenDocument sheet", ("ods",), "zip"), ("odp", "OpenDocument slides", ("odp",), "zip"),
     ("doc", "Word 97", ("doc",), "ole"), ("xls", "Excel 97", ("xls",), "ole"), ("ppt", "PowerPoint 97", ("ppt",), "ole"), ("rtf", "RTF", ("rtf",), "rtf"),
     ("ps", "PostScript", ("ps",), "postscript"), ("eps", "Encapsulated PostScript", ("eps",), "postscript"), ("heic", "HEIC", ("heic", "heif"), "heif"),
-    ("html", "HTML", ("html", "htm"), "html"), ("svg", "SVG", ("svg",), "svg"), ("mhtml", "MHTML", ("mhtml", "mht"), "mhtml"), ("eml", "E-mail", ("eml",), "email"),
+    ("html", "HTML", ("html", "htm", "xhtml"), "html"), ("svg", "SVG", ("svg",), "svg"), ("mhtml", "MHTML", ("mhtml", "mht"), "mhtml"), ("eml", "E-mail", ("eml",), "email"),
 )
 
 #: Caps of an import.

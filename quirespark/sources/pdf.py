@@ -103,10 +103,11 @@ class Document:
         self.at = {int(m[1]): m.end() for m in OBJECT.finditer(data)}
         if len(self.at) > OBJECTS:
             raise ValueError("too many objects")
-        trailers = [d for m in re.finditer(rb"trailer\s*(?=<<)", data) if isinstance(d := next(values(data[m.end() : m.end() + 65_536]), None), dict)]
+        trailers = [d for m in re.finditer(rb"trailer\s*(?=<<)", data) if isinstance(d := next(values(data[m.end() :]), None), dict)]
         self.packed = {}
         for n in list(self.at):
-            if (head := data[self.at[n] : self.at[n] + 400]).lstrip()[:2] == b"<<" and (b"/ObjStm" in head or b"/XRef" in head) and isinstance(s := self.get(Ref(n)), Stream):
+            head = data[self.at[n] : data.find(b"stream", self.at[n]) + 1 or len(data)]
+            if head.lstrip()[:2] == b"<<" and (b"/ObjStm" in head or b"/XRef" in head) and isinstance(s := self.get(Ref(n)), Stream):
                 if s.info.get("Type") == "XRef":
                     trailers.append(s.info)
                 elif s.info.get("Type") == "ObjStm":
@@ -136,7 +137,7 @@ class Document:
     def parsed(self, n: int):
         if n not in self.at:
             body, at = self.packed.get(n, (b"null", 0))
-            return next(values(body[at : at + 65_536]), None)
+            return next(values(body[at:]), None)
         start = self.at[n]
         end = self.data.find(b"endobj", start)
         body = self.data[start : end if end >= 0 else len(self.data)]
@@ -271,7 +272,9 @@ def runs_of(doc: Document, page: dict) -> list[dict]:
                     for c, width, blank in font.shown(x):
                         text += c
                         tm = times((1, 0, 0, 1, (width / 1000 * size + state["char"] + (state["word"] if blank else 0)) * state["scale"], 0), tm)
-            if text and len(out) < RUNS:
+            if text and len(out) >= RUNS:
+                raise ValueError("too many text runs on a page")
+            if text:
                 a, b = times((1, 0, 0, 1, 0, state["rise"]), times(begin, state["ctm"])), times(tm, state["ctm"])
                 height = size * (a[2] ** 2 + a[3] ** 2) ** 0.5
                 out.append({"text": text, "x0": min(a[4], b[4]), "y0": a[5], "x1": max(a[4], b[4]), "y1": a[5] + height, "size": round(height, 3), "visible": state["mode"] != 3})
