@@ -235,36 +235,36 @@ def rare_cuts(single: DataFrame, pairs: DataFrame) -> DataFrame:
 def frequent_cuts(single: DataFrame, near: DataFrame, pairs: DataFrame) -> DataFrame:
     """doc, line: removed by documents that share frequent lines only. What two of them
     do depends on their frequent lines alone, so it is decided between classes of
-    documents with the same ones, and holds for the documents after a class's first. A
-    document with frequent lines that has a rare pair with another such document is a
-    class of its own, and the pair is left out here: ``rare_cuts`` decides it."""
+    documents with the same ones, and holds for the documents after a class's first.
+
+    A pair that also shares a rare line is left out: ``rare_cuts`` decides it. So for a
+    document that has such a pair with the first of a class, the class's first is the next
+    that is not left out, and a run whose first class has none goes to the next class that
+    has. Few documents are concerned, for a first has few rare pairs."""
     some = near.where(F.col("n") > RARE).groupBy("doc").agg(F.collect_set("h").alias("own"), F.max("size").alias("size")).where(F.col("size") >= LEAST_CHARS)
-    some = staged(some.select("doc", "own"), "line-some")
-    tied = pairs
-    for side in ("early", "late"):
-        tied = tied.join(some.select(F.col("doc").alias(side)).hint("merge"), side, "left_semi")
-    tied = staged(tied, "line-tied")
-    alone = tied.select(F.explode(F.array("early", "late")).alias("doc")).distinct().withColumn("alone", F.lit(True))
-    both = single.join(some.hint("merge"), "doc").join(alone.hint("merge"), "doc", "left")
+    both = single.join(some.hint("merge"), "doc")
     kind = single.schema["doc"].dataType.simpleString()
 
-    def member(doc, hashes, chars, own, alone):
+    def member(doc, hashes, chars, own):
         proj, n, at = projected(hashes, chars, set(own))
-        yield doc, md5(repr((proj, doc if alone else None)).encode()).digest(), proj, n, at
+        yield doc, md5(repr(proj).encode()).digest(), proj, n, at
 
-    members = staged(over(both, ["doc", "hashes", "chars", "own", "alone"], f"doc {kind}, cls binary, hashes array<bigint>, chars array<int>, at array<int>", member), "line-members")
+    members = staged(over(both, ["doc", "hashes", "chars", "own"], f"doc {kind}, cls binary, hashes array<bigint>, chars array<int>, at array<int>", member), "line-members")
     classes = staged(members.groupBy("cls").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.first("hashes").alias("hashes"), F.first("chars").alias("chars")), "line-classes")
-    owner = members.select("doc", "cls").join(alone.hint("merge"), "doc", "left_semi")
-    apart = tied
-    for side, name in (("early", "_a"), ("late", "_b")):
-        apart = apart.join(owner.select(F.col("doc").alias(side), F.col("cls").alias(name)).hint("merge"), side)
-    apart = staged(apart.select("_a", "_b"), "line-apart")
     keys = over(classes, ["cls", "hashes", "chars"], "cls binary, w binary", lambda cls, h, n: ((cls, w) for w in {named(h, x) for x in windows_of(h, n)}))
     keys = staged(keys, "line-keys")
     order = classes.select("cls", "first", "last")
     held = staged(keys.join(order.hint("merge"), "cls"), "line-held")
     firsts = staged(held.groupBy("w").agg(F.min_by("cls", "first").alias("a"), F.max("last").alias("most"), F.min("first").alias("least")).where("most > least"), "line-firsts")
 
+    # d, a, free: documents with a rare pair with a class's first, and its first that they have none with.
+    touched = pairs.join(order.select(F.col("first").alias("early"), F.col("cls").alias("a")).hint("merge"), "early").select(F.col("late").alias("d"), "a")
+    touched = touched.join(members.select(F.col("doc").alias("d"), F.col("cls").alias("b")).hint("merge"), "d")
+    touched = staged(touched, "line-touched")
+    later = touched.join(members.select(F.col("cls").alias("a"), "doc").hint("merge"), "a").where("doc < d")
+    later = later.join(pairs.hint("merge"), (F.col("doc") == F.col("early")) & (F.col("d") == F.col("late")), "left_anti").groupBy("d", "a").agg(F.min("doc").alias("free"))
+    touched = staged(touched.join(later.hint("merge"), ["d", "a"], "left"), "line-freed")
+
     def cuts(pairs: DataFrame, name: str) -> DataFrame:
         """b, first (of a), found (numbers in b's lines), a, open (windows of b not all found)."""
         left = classes.select(F.col("cls").alias("a"), "first", F.col("hashes").alias("x"))
@@ -279,23 +279,29 @@ def frequent_cuts(single: DataFrame, near: DataFrame, pairs: DataFrame) -> DataF
         return staged(over(rows, ["a", "b", "first", "x", "y", "chars"], f"a binary, b binary, first {kind}, found array<int>, open array<binary>", make), name)
 
     # A run goes to the class that holds it first; where that leaves some of it, to all that hold it.
-    is_apart = (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))
-    one = staged(held.join(firsts.hint("merge"), "w").where("last > least").select("w", "a", F.col("cls").alias("b"), "last"), "line-one")
-    # Where the first that holds it is left out, the first that is not: few do, for one first has few rare pairs.
-    bad = one.join(apart.hint("merge"), is_apart, "left_semi").select("w", "b", "last")
-    holders = bad.withColumnRenamed("last", "upto").join(held.select("w", F.col("cls").alias("a"), "first").hint("merge"), "w").where("first < upto AND a != b").join(apart.hint("merge"), is_apart, "left_anti")
-    next_ = holders.groupBy("w", "b").agg(F.min_by("a", "first").alias("a"))
-    tried = staged(one.join(apart.hint("merge"), is_apart, "left_anti").select("w", "a", "b").unionByName(next_), "line-tried")
+    one = staged(held.join(firsts.hint("merge"), "w").where("last > least").select("w", "a", F.col("cls").alias("b")), "line-one")
+    none = touched.where("free IS NULL").select("d", "a", "b").join(one.hint("merge"), ["a", "b"])
+    free = touched.select("d", F.col("a").alias("c"), "free", F.lit(True).alias("is_touched"))
+    next_ = none.select("d", "b", "w").join(held.select("w", F.col("cls").alias("c"), "first").hint("merge"), "w").where("first < d").join(free.hint("merge"), ["d", "c"], "left")
+    next_ = next_.withColumn("from", F.when(F.col("is_touched"), F.col("free")).otherwise(F.col("first"))).where(F.col("from") < F.col("d"))
+    next_ = next_.groupBy("d", "b", "w").agg(F.min_by("c", "from").alias("a")).select("w", "a", "b")
+    tried = staged(one.unionByName(next_).distinct(), "line-tried")
     done = cuts(staged(tried.select("a", "b").distinct(), "line-first"), "line-done")
     rest = done.select("a", "b", F.explode("open").alias("w")).join(tried.hint("merge"), ["w", "a", "b"])
     rest = staged(rest.join(order.select(F.col("cls").alias("b"), "last").hint("merge"), "b"), "line-open")
     others = rest.withColumnRenamed("a", "tried").join(held.select("w", F.col("cls").alias("a"), "first").hint("merge"), "w")
-    others = others.where("first < last AND a != tried").select("a", "b").distinct().join(apart.hint("merge"), is_apart, "left_anti")
+    others = others.where("first < last AND a != tried").select("a", "b").distinct().join(tried.select("a", "b").distinct().hint("merge"), ["a", "b"], "left_anti")
     every = done.unionByName(cuts(staged(others, "line-others"), "line-rest"))
     least = every.select("b", "first", F.explode("found").alias("k")).groupBy("b", "k").agg(F.min("first").alias("first"))
     cover = staged(least.groupBy("b").agg(F.collect_list(F.struct("k", "first")).alias("cover")), "line-cover")
-    out = members.select("doc", F.col("cls").alias("b"), "at").join(cover.hint("merge"), "b")
-    return out.select("doc", F.explode(F.expr("transform(filter(cover, c -> c.first < doc), c -> at[c.k])")).alias("line"))
+    apart = staged(touched.join(every.select("a", "b").hint("merge"), ["a", "b"]).select("d").distinct(), "line-apart")
+    out = members.join(apart.select(F.col("d").alias("doc")).hint("merge"), "doc", "left_anti").select("doc", F.col("cls").alias("b"), "at").join(cover.hint("merge"), "b")
+    out = out.select("doc", F.explode(F.expr("transform(filter(cover, c -> c.first < doc), c -> at[c.k])")).alias("line"))
+    # The concerned: each class that they meet, from the first that they have no rare pair with.
+    own = members.join(apart.select(F.col("d").alias("doc")).hint("merge"), "doc", "left_semi").select(F.col("doc").alias("d"), F.col("cls").alias("b"), "at")
+    met = own.join(every.select("a", "b", "first", "found").hint("merge"), "b").join(touched.select("d", "a", "free", F.lit(True).alias("is_touched")).hint("merge"), ["d", "a"], "left")
+    met = met.withColumn("from", F.when(F.col("is_touched"), F.col("free")).otherwise(F.col("first"))).where(F.col("from") < F.col("d"))
+    return out.unionByName(met.select(F.col("d").alias("doc"), F.explode(F.expr("transform(found, k -> at[k])")).alias("line")))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
