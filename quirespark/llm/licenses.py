@@ -29,6 +29,8 @@ Repeated rows are scanned each.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -211,6 +213,16 @@ def normalised(text: Column) -> Column:
     return whole
 
 
+def triggers() -> list[str]:
+    """A few long words of which every known sentence holds one: a text without any has none."""
+    left, out = [*PHRASES, *TITLES, "spdx-license-identifier", "-style license", "public license", "gpl"], []
+    while left:
+        long = {w for s in left for w in s.split() if len(w) > 5} or {w for s in left for w in s.split()}
+        out.append(max(sorted(long), key=lambda w: (sum(w in s for s in left), len(w))))
+        left = [s for s in left if out[-1] not in s]
+    return out
+
+
 def carried(found: Column) -> Column:
     """The identifier of a sentence that carries its name, or null."""
     part = lambda k: F.regexp_extract(found, r"^gnu_([a-z]+)_([0-9.]*)_([a-z |]*)_(.*)$", k)
@@ -226,9 +238,12 @@ def carried(found: Column) -> Column:
 
 
 def sequence(text: Column) -> Column:
-    """The identifiers of the known sentences, in order."""
+    """The identifiers of the known sentences, in order. Texts without any word of them, as
+    most are, are not rewritten."""
     known = F.create_map(*(F.lit(x) for s, i in {**PHRASES, **TITLES}.items() for x in (s, i)))
-    return F.array_join(F.transform(F.regexp_extract_all(normalised(text), F.lit(FOUND), F.lit(0)), lambda s: F.coalesce(carried(s), F.element_at(known, s))), "")
+    found = F.array_join(F.transform(F.regexp_extract_all(normalised(text), F.lit(FOUND), F.lit(0)), lambda s: F.coalesce(carried(s), F.element_at(known, s))), "")
+    lowered = F.lower(text)
+    return F.when(reduce(or_, (F.contains(lowered, F.lit(w)) for w in triggers())), found).otherwise("")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

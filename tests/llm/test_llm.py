@@ -619,6 +619,12 @@ def test_licenses_say_what_the_notice_says(spark):
     assert got == {k: (sorted(want), len(want)) for k, (_, want) in enumerate(cases)}
 
 
+def test_every_license_sentence_has_a_trigger():
+    words = licenses.triggers()
+    assert len(words) < 40 and all(any(w in s for w in words) for s in (*licenses.PHRASES, *licenses.TITLES))
+    assert all(any(w in s for w in words) for s in ("spdx-license-identifier: x", "under the gpl v3", "gnu general public license version 3", "a bsd-style license"))
+
+
 def test_license_sql_with_sentences_planted(spark):
     """The query's SQL on its own sentences, each alone and in random order."""
     import duckdb
