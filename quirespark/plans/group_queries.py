@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quirespark.operators import fields as L
 from quirespark.operators import grouping as G
+from quirespark.operators import pagemap as M
 from quirespark.plans.bridge import table
 
 QUERIES, SQL = {}, {}
@@ -90,3 +91,22 @@ def page_shapes(spark, d):
 @query("drawn_fields")
 def drawn_fields(spark, d):
     return L.proposed(page_shapes(spark, d))
+
+
+#: An operator of a page's content for each line of eight orders.
+OPERATORS = (
+    "cast(floor(l_orderkey / 32) AS long) AS doc_id", "0 AS page", "cast(l_orderkey % 32 * 8 + l_linenumber AS int) AS seq", "element_at(array('re', 'q', 'cm', 're', 'Q', 'Do', 'cm', 'q', 're', 'Q', 're'), cast(p % 11 + 1 AS int)) AS op",
+    "CASE WHEN p % 11 IN (2, 6) THEN CASE q % 3 WHEN 0 THEN array(1.0D, 0.0D, 0.0D, 1.0D, s % 40 - 20.0D, q + 0.0D) WHEN 1 THEN array(0.0D, 1.0D, -1.0D, 0.0D, 300.0D, 0.0D) ELSE array(0.5D, 0.0D, 0.0D, 2.0D, 0.0D, -10.0D) END ELSE array(s * 7 % 500 + 0.0D, p % 700 + 0.0D, s % 9 * 20.0D, q % 8 * 1.5D) END AS args",
+    "element_at(array('fill', 'stroke', 'white'), cast(s % 3 + 1 AS int)) AS paint",
+)
+
+
+def page_operators(spark, d):
+    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min("l_quantity").cast("int").alias("q"))
+    return li.selectExpr(*OPERATORS)
+
+
+@query("page_map")
+def page_map(spark, d):
+    ops = page_operators(spark, d)
+    return M.page_map(ops, ops.select("doc_id", "page").distinct().selectExpr("*", "612.0D AS width", "792.0D AS height"))
