@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quirespark.functions import addresses as A
 from quirespark.operators import choices as Ch
 from quirespark.operators import layout as L
 from quirespark.operators import matching as M
@@ -149,14 +150,23 @@ def cap_refusals(spark, d):
     return table(spark, d, "part").select("p_partkey", formats.cap_refusal(size, k % 2 == 0, lines, rows, columns).alias("refusal"))
 
 
-ADDRESSES = ("8.8.8.8", "10.1.2.3", "100.64.0.9", "192.88.99.1", "::ffff:240.0.0.1", "2606:4700::1111", "2001:db8::1%eth0", "::c0a8:101%eth0", "fe80::1", "fec0::1", "not one", "1.2.3", "3fff::1", "64:ff9b::7f00:1", "172.32.0.1", "2a00:1450::1%9", "255.255.255.255", "fd00::1")
+#: A customer's address, by arithmetic: IPv4, IPv6 of some networks, mapped, and what is none.
+GROUPS = ("2606", "2a00", "2001", "2002", "3fff", "64", "100", "fe80", "fd00", "ff02", "5f00", "fec0")
+_four = "concat_ws('.', k * 7 % 256, (k * 13 + n) % 256, k % 256, k * 3 % 256)"
+_group = f"element_at(array({', '.join(repr(g) for g in GROUPS)}), cast(floor(k / 4) % 12 + 1 AS int))"
+_address = f"CASE WHEN k % 4 < 2 THEN {_four} WHEN k % 4 = 2 THEN concat({_group}, ':', lower(hex(k * 5 % 4500)), '::', lower(hex(n + 1)), CASE WHEN n % 3 = 0 THEN '%eth0' ELSE '' END) WHEN k % 8 = 3 THEN concat('::FFFF:', {_four}) WHEN n % 2 = 0 THEN concat(k % 300, '.1.2.300') ELSE concat('1:2::', n, '::3') END"
+_reserved = """a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND (b = 168 OR (b = 0 AND c IN (0, 2)) OR (b = 88 AND c = 99)))
+  OR (a = 198 AND (b IN (18, 19) OR (b = 51 AND c = 100))) OR (a = 203 AND b = 0 AND c = 113)"""
 
 
-@query("routable_addresses", "SELECT p_partkey, p_partkey % 18 IN (0, 5, 14, 15) AS routable FROM part")
+def addresses(spark, d):
+    return table(spark, d, "customer").selectExpr("c_custkey", "c_custkey AS k", "c_nationkey AS n").selectExpr("c_custkey", f"{_address} AS address")
+
+
+@query("routable_addresses", f"""SELECT c_custkey, CASE WHEN k % 4 < 2 OR k % 8 = 3 THEN NOT ({_reserved}) WHEN k % 4 = 2 THEN CASE (k // 4) % 12 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN g NOT BETWEEN 32 AND 47 AND g NOT IN (0, 3512) WHEN 4 THEN g >= 4096 WHEN 5 THEN true WHEN 6 THEN g > 0 ELSE false END ELSE false END AS routable
+  FROM (SELECT c_custkey, c_custkey AS k, k * 7 % 256 AS a, (k * 13 + c_nationkey) % 256 AS b, k % 256 AS c, k * 5 % 4500 AS g FROM customer) q""")
 def routable_addresses(spark, d):
-    own = table(spark, d, "part").select("p_partkey", one_of(ADDRESSES, F.col("p_partkey")).alias("address"))
-    check = F.pandas_udf(lambda s: s.map(S.routable), "boolean")
-    return own.select("p_partkey", check("address").alias("routable"))
+    return addresses(spark, d).select("c_custkey", A.routable(F.col("address")).alias("routable"))
 
 
 @query("broken_lines")
