@@ -326,6 +326,7 @@ def tables_in_layout(runs: DataFrame, grids: DataFrame) -> tuple[DataFrame, Data
     text goes to its cells, cell by cell in lines, and is taken out of the paragraphs; what
     is left is grouped as a page without a table is, and a paragraph ends at a table that
     stands in it. ``before`` is how many paragraphs are read before the table."""
+    grids = cut(grids)
     own = cut(placed_in_grids(runs.where(~F.col("text").rlike(f"^[{SPACE}]*$")), grids))
     turned = F.max(F.col("turned").cast("int")) if "turned" in runs.columns else F.lit(0)
     filled = own.where("grid IS NOT NULL").groupBy("doc_id", "page", "grid").agg(F.countDistinct("row", "col").alias("filled"), turned.alias("is_turned"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quirespark.operators import fields as L
 from quirespark.operators import grouping as G
 from quirespark.operators import pagemap as M
+from quirespark.operators import proposal as R
 from quirespark.plans.bridge import table
 
 QUERIES, SQL = {}, {}
@@ -110,3 +111,8 @@ def page_operators(spark, d):
 def page_map(spark, d):
     ops = page_operators(spark, d)
     return M.page_map(ops, ops.select("doc_id", "page").distinct().selectExpr("*", "612.0D AS width", "792.0D AS height"))
+
+
+@query("structure_proposal")
+def structure_proposal(spark, d):
+    return R.proposed(word_runs(spark, d), page_grids(spark, d))
