@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quirespark.operators import rules as R
-from quirespark.plans.bridge import lines, sql_lines, table
+from quirespark.plans.bridge import lines, table
 from quirespark.sources import formats as S
 from quirespark.sources import packages
 from quirespark.streaming import history as H
