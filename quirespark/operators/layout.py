@@ -6,8 +6,11 @@ the neighbour, run per page in Arrow, and a page is bounded."""
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,6 +129,10 @@ def table_kind(rows: int | None = None):
     return F.when((F.col("n_cols") > 63) | (F.col("n_rows").cast("long") * F.col("n_cols") > 50_000), "text").otherwise("table")
 
 
+#: Rows of folded pages that go on together.
+FOLDED_ROWS = 8192
+
+
 def page_fold(runs: DataFrame, fold, schema: str) -> DataFrame:
     """Runs of one page at a time, in order, through a Python fold. Pages are bounded;
     rows are dealt by page and streamed, so no task holds more than one."""
@@ -135,50 +142,150 @@ def page_fold(runs: DataFrame, fold, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from itertools import groupby
 
-        types = None
-        rows = (r for b in batches for r in b.to_pylist())
+        types, out = arrow_types(schema), []
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array([f[n] for f in out], t) for n, t in zip(names, types)], names)
+        rows = (dict(zip(b.schema.names, r)) for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
         for _, group in groupby(rows, key=lambda r: (r["doc_id"], r["page"])):
-            found = fold(list(group))
-            if found:
-                types = types or arrow_types(schema)
-                yield pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], t) for n, t in zip(names, types)], names)
+            out += fold(list(group))
+            if len(out) >= FOLDED_ROWS:
+                yield pack()
+                out = []
+        if out:
+            yield pack()
 
     return dealt.mapInArrow(run, schema)
 
 
+def column_fold(runs: DataFrame, fold, schema: str) -> DataFrame:
+    """Like ``page_fold``, by columns: the fold gets whole pages as a table, with the number
+    of each row's page in it, and gives arrays. A batch's last page waits for the next."""
+    dealt = runs.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "seq")
+    names, types = [part.split()[0] for part in schema.split(",")], arrow_types(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pack(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            whole = pa.Table.from_batches(parts)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(fold(whole, page_numbers(whole)), types)], names)
+
+        waits = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            number = page_numbers(batch)
+            last = int(np.searchsorted(number, number[-1]))
+            ends = last or (waits and page_numbers(pa.Table.from_batches([waits[-1].slice(waits[-1].num_rows - 1), batch.slice(0, 1)]))[-1])
+            if ends:
+                yield pack([*waits, batch.slice(0, last)])
+                waits = []
+            waits.append(batch.slice(last))
+        if waits:
+            yield pack(waits)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def page_numbers(rows) -> np.ndarray:
+    doc, page = (np.asarray(rows.column(c)) for c in ("doc_id", "page"))
+    return np.concatenate([[0], np.cumsum((doc[1:] != doc[:-1]) | (page[1:] != page[:-1]))])
+
+
 def arrow_types(schema: str) -> list[pa.DataType]:
     known = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
     return [known[part.split()[1]] for part in schema.split(",")]
 
 
-def line_segments(group: list[dict]) -> list[dict]:
-    """Runs, left to right, each to the open line of nearest baseline within 0.3 em and a
-    gap of at most 1.5 em, else a line of its own."""
-    open_: list[dict] = []
-    for r in sorted(group, key=lambda r: (r["x0"], r["seq"])):
-        near = [ln for ln in open_ if abs(ln["y0"] - r["y0"]) <= 0.3 * r["size"] and -0.5 * r["size"] <= r["x0"] - ln["x1"] <= 1.5 * r["size"]]
-        if near:
-            ln = min(near, key=lambda ln: (abs(ln["y0"] - r["y0"]), ln["seq"]))
-            ln["text"] += (" " if r["x0"] - ln["x1"] > 0.15 * r["size"] else "") + r["text"]
-            ln["x1"] = max(ln["x1"], r["x1"])
-            ln["n"] += 1
+def joined(x0: list, y0: list, x1: list, size: list, seq: list) -> list[tuple[int, float, list[tuple[int, bool]]]]:
+    """Of a page's runs, left to right, each goes to the open line of nearest baseline
+    within 0.3 em and a gap of at most 1.5 em, else begins one. Lines: the first run, the right end,
+    and each run with whether a blank stands before it. Open lines are kept by strips of the
+    page; one that ends too far left for the page's largest run is met by none to come."""
+    em = max(size, default=0.0)
+    high, far = 0.3 * em if em > 0 else 1.0, 1.5 * em
+    lines, strips = [], {}
+    for r, (x, y, own) in enumerate(zip(x0, y0, size)):
+        strip, best, near = math.floor(y / high), None, 0.3 * own
+        for k in (strip - 1, strip, strip + 1):
+            if k not in strips:
+                continue
+            gone = False
+            for ln in strips[k]:
+                gap = x - ln[1]
+                if gap > far:
+                    gone = True
+                elif abs(ln[3] - y) <= near and -0.5 * own <= gap <= 1.5 * own:
+                    rank = (abs(ln[3] - y), seq[ln[0]], ln[4])
+                    if best is None or rank < best[0]:
+                        best = rank, ln
+            if gone:
+                strips[k] = [ln for ln in strips[k] if x - ln[1] <= far]
+        if best:
+            ln = best[1]
+            ln[2].append((r, x - ln[1] > 0.15 * own))
+            if x1[r] > ln[1]:
+                ln[1] = x1[r]
         else:
-            open_.append(dict(r, n=1))
-    open_.sort(key=lambda ln: (-ln["y0"], ln["x0"], ln["seq"]))
-    return [{"doc_id": ln["doc_id"], "page": ln["page"], "seq": k, "text": ln["text"], "x0": ln["x0"], "x1": ln["x1"], "y0": ln["y0"], "runs": ln["n"]} for k, ln in enumerate(open_)]
+            ln = [r, x1[r], [(r, False)], y, len(lines)]
+            lines.append(ln)
+            strips.setdefault(strip, []).append(ln)
+    lines.sort(key=lambda ln: (-ln[3], x0[ln[0]], seq[ln[0]]))
+    return [tuple(ln[:3]) for ln in lines]
+
+
+def line_segments(rows: pa.Table, number: np.ndarray) -> tuple[list, ...]:
+    """The lines of each page, for ``column_fold``."""
+    rows = rows.take(np.lexsort((rows["seq"], rows["x0"], number)))
+    text, x0, y0, x1, size, seq = (rows[c].to_pylist() for c in ("text", "x0", "y0", "x1", "size", "seq"))
+    first, nth, texts, ends, many = [], [], [], [], []
+    edges = [*np.flatnonzero(np.diff(number, prepend=-1)).tolist(), len(number)]
+    for a, b in zip(edges, edges[1:]):
+        for k, (r, end, own) in enumerate(joined(x0[a:b], y0[a:b], x1[a:b], size[a:b], seq[a:b])):
+            first.append(a + r)
+            nth.append(k)
+            texts.append("".join(" " + text[a + i] if blank else text[a + i] for i, blank in own))
+            ends.append(end)
+            many.append(len(own))
+    of = lambda c: rows[c].take(pa.array(first, pa.int64())).combine_chunks()
+    return of("doc_id"), of("page"), nth, texts, of("x0"), ends, of("y0"), many
 
 
 SEGMENTS = "doc_id long, page int, seq int, text string, x0 double, x1 double, y0 double, runs int"
 
 
+def row_places(heights: list[tuple[float, float]]) -> list[int]:
+    """The row of each (y, size), y falling: the first row whose FIRST item is within
+    max(6, 0.6 of the size). First items fall from row to row, so it is found by halving."""
+    tops, out = [], []
+    for y, size in heights:
+        k = bisect.bisect_left(tops, True, key=lambda top: abs(top - y) <= max(6.0, 0.6 * size))
+        if k == len(tops):
+            tops.append(y)
+        out.append(k)
+    return out
+
+
 def text_rows(group: list[dict]) -> list[dict]:
     """Items in falling y, each to the first row whose FIRST item is within
     max(6, 0.6 of its height)."""
-    rows: list[list[dict]] = []
-    for r in sorted(group, key=lambda r: (-r["y0"], r["x0"], r["seq"])):
-        row = next((row for row in rows if abs(row[0]["y0"] - r["y0"]) <= max(6.0, 0.6 * r["size"])), None)
-        rows.append([r]) if row is None else row.append(r)
-    return [{"doc_id": r["doc_id"], "page": r["page"], "seq": r["seq"], "row": k} for k, row in enumerate(rows) for r in row]
+    items = sorted(group, key=lambda r: (-r["y0"], r["x0"], r["seq"]))
+    rows = row_places([(r["y0"], r["size"]) for r in items])
+    return sorted(({"doc_id": r["doc_id"], "page": r["page"], "seq": r["seq"], "row": k} for r, k in zip(items, rows)), key=lambda r: r["row"])
+
+
+def page_rows(rows: pa.Table, number: np.ndarray) -> tuple:
+    """``text_rows`` of each page, for ``column_fold``. Items of one height and size share
+    their row, so each height and size is looked up once."""
+    y, size = np.asarray(rows["y0"]), np.asarray(rows["size"])
+    order = np.lexsort((size, -y, number))
+    n, y, size = number[order], y[order], size[order]
+    fresh = np.concatenate([[True], (n[1:] != n[:-1]) | (y[1:] != y[:-1]) | (size[1:] != size[:-1])])
+    at = np.flatnonzero(fresh)
+    own, heights, found = n[at], list(zip(y[at].tolist(), size[at].tolist())), []
+    edges = [*np.flatnonzero(np.diff(own, prepend=-1)).tolist(), len(own)]
+    for a, b in zip(edges, edges[1:]):
+        found += row_places(heights[a:b])
+    out = np.empty(len(order), np.int32)
+    out[order] = np.array(found, np.int32)[np.cumsum(fresh) - 1]
+    return *(rows[c].combine_chunks() for c in ("doc_id", "page", "seq")), out
 
 
 ROWS = "doc_id long, page int, seq int, row int"

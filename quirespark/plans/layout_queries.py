@@ -121,12 +121,12 @@ def block_kinds_by_lang(spark, d):
 
 @query("line_segments")
 def line_segments(spark, d):
-    return L.page_fold(words_of(spark, d), L.line_segments, L.SEGMENTS)
+    return L.column_fold(words_of(spark, d), L.line_segments, L.SEGMENTS)
 
 
 @query("text_rows")
 def text_rows(spark, d):
-    return L.page_fold(words_of(spark, d), L.text_rows, L.ROWS)
+    return L.column_fold(words_of(spark, d), L.page_rows, L.ROWS)
 
 
 def words_of(spark, d):
