@@ -280,10 +280,23 @@ def mhtml_source(spark, d):
 def header(kind: str, w: int, h: int) -> bytes:
     import struct
 
-    return {
-        "png": b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", w, h), "gif": b"GIF89a" + struct.pack("<HH", w, h), "bmp": b"BM" + bytes(16) + struct.pack("<ii", w, -h),
-        "jpeg": b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08" + struct.pack(">HH", h, w) + bytes(12), "webp": b"RIFF\0\0\0\0WEBPVP8X" + bytes(8) + max(0, w - 1).to_bytes(3, "little") + max(0, h - 1).to_bytes(3, "little"), "none": b"no picture",
-    }[kind]
+    makers = {  # only the kind's own: a number that fits one kind's field need not fit another's
+        "png": lambda: b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", w, h), "gif": lambda: b"GIF89a" + struct.pack("<HH", w, h), "bmp": lambda: b"BM" + bytes(16) + struct.pack("<ii", w, -h),
+        "jpeg": lambda: b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08" + struct.pack(">HH", h, w) + bytes(12), "webp": lambda: b"RIFF\0\0\0\0WEBPVP8X" + bytes(8) + max(0, w - 1).to_bytes(3, "little") + max(0, h - 1).to_bytes(3, "little"), "none": lambda: b"no picture",
+    }
+    return makers[kind]()
+
+
+#: Bits of a width's field; the width in the header is at most what they hold.
+WIDTH_BITS = {"png": 31, "gif": 16, "bmp": 31, "jpeg": 16, "webp": 24}
+
+
+def framed(kind: str, w: int, h: int) -> list[tuple[str, int, int]]:
+    """What a reader finds in a header of the kind. Widths are keys here, and keys pass what 16 or
+    24 bits hold: such a header has the rest of the width, and what was left out is added again."""
+    most = (1 << WIDTH_BITS.get(kind, 31)) - 1
+    own = (w - 1) % most + 1
+    return [(k, width + w - own, height) for k, width, height in (x for x in (office.image_info(header(kind, own, h)),) if x)]
 
 
 IMAGES = ("png", "gif", "bmp", "jpeg", "webp", "none")
@@ -292,7 +305,7 @@ IMAGES = ("png", "gif", "bmp", "jpeg", "webp", "none")
 @query("image_headers", "SELECT p_partkey AS doc_id, kind, w AS width, h AS height FROM (SELECT p_partkey, (['png', 'gif', 'bmp', 'jpeg', 'webp', 'none'])[(p_partkey % 6 + 1)::INTEGER] AS kind, (p_partkey + 1)::INTEGER AS w, p_size::INTEGER AS h FROM part) q WHERE kind <> 'none'")
 def image_headers(spark, d):
     docs = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), one_of(IMAGES, F.col("p_partkey")).alias("kind"), (F.col("p_partkey") + 1).cast("int").alias("w"), F.col("p_size").cast("int").alias("h"))
-    return R.by_document(docs, ["kind", "w", "h"], lambda rows: [x for x in (office.image_info(header(*rows[0])),) if x], "kind string, width int, height int")
+    return R.by_document(docs, ["kind", "w", "h"], lambda rows: framed(*rows[0]), "kind string, width int, height int")
 
 
 @query("comic_pages", """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n)::INTEGER AS page, 'p' || n || '.png' AS name, n::INTEGER AS width FROM (SELECT DISTINCT l_orderkey AS doc_id, l_suppkey AS n FROM lineitem) q""")
