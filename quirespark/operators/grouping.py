@@ -3,17 +3,23 @@
 Runs are (doc_id, page, seq, text, x0, y0, x1, y1, size), y0 the baseline, y growing
 upwards. What lies near what is a join over tiles of the page: one side is dealt to the
 tiles that it covers, the other to those that it asks, and a pair that meets in several
-is counted in one. Runs that continue each other form chains, which ``rounds.climbed``
-follows by doubling; everything after that is windows over lines. A page is never one
-task's Python."""
+is counted in one. Runs that continue each other form chains: pages are dealt to tasks once, and
+``chains`` finds them over batches of pages in NumPy; everything after that is windows over
+lines."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from quirespark.functions.text import SPACE
-from quirespark.operators.rounds import climbed, cut
+from quirespark.operators.chains import heads
+from quirespark.operators.layout import whole_pages
+from quirespark.operators.rounds import cut
 
 #: Side of a tile, in points.
 TILE = 48.0
@@ -57,37 +63,48 @@ def is_rule(text: Column) -> Column:
     return text.rlike(rf"^[{SPACE}]*[{BESIDE_GLYPHS}]+[{SPACE}]*$")
 
 
-def continues(a: str = "a", b: str = "b") -> Column:
+def continues(runs: dict):
     """Whether run ``a`` goes on where run ``b`` ends: on its baseline, or raised on it, or
     after a raised mark that opens; a rule drawn as a glyph joins no text of another size."""
-    c = lambda side, name: F.col(f"{side}.{name}")
-    size_a, size_b = c(a, "size"), c(b, "size")
-    em, gap, up = F.greatest(size_a, size_b), c(a, "x0") - c(b, "x1"), c(a, "y0") - c(b, "y0")
-    level = F.abs(up) <= BASELINE * em
-    raised = (size_a <= RAISED_SIZE * size_b) & (up > 0) & (up <= RAISED_HIGH * size_b) & gap.between(-RAISED_OVERLAP * size_b, RAISED_GAP * size_b)
-    opening = (size_b <= RAISED_SIZE * size_a) & (up < 0) & (-up <= RAISED_HIGH * size_a) & (F.abs(gap) <= OPENING_GAP * size_a) & (F.length(F.trim(c(b, "text"))) <= OPENING_CHARS)
-    beside = ((size_a >= BESIDE_SIZES * size_b) & is_rule(c(a, "text"))) | ((size_b >= BESIDE_SIZES * size_a) & is_rule(c(b, "text")))
-    before = F.struct(c(b, "x0"), c(b, "seq")) < F.struct(c(a, "x0"), c(a, "seq"))
-    return before & (level | raised | opening) & (gap <= JOIN_GAP * em) & ~beside
+    x0, y0, x1, size, rule, short = (runs[c] for c in ("x0", "y0", "x1", "size", "_rule", "_short"))
+
+    def among(a, b):
+        size_a, size_b = size[a], size[b]
+        em, gap, up = np.maximum(size_a, size_b), x0[a] - x1[b], y0[a] - y0[b]
+        level = np.abs(up) <= BASELINE * em
+        raised = (size_a <= RAISED_SIZE * size_b) & (up > 0) & (up <= RAISED_HIGH * size_b) & (gap >= -RAISED_OVERLAP * size_b) & (gap <= RAISED_GAP * size_b)
+        opening = (size_b <= RAISED_SIZE * size_a) & (up < 0) & (-up <= RAISED_HIGH * size_a) & (np.abs(gap) <= OPENING_GAP * size_a) & short[b]
+        beside = ((size_a >= BESIDE_SIZES * size_b) & rule[a]) | ((size_b >= BESIDE_SIZES * size_a) & rule[b])
+        return (level | raised | opening) & (gap <= JOIN_GAP * em) & ~beside
+
+    return among
 
 
 def chained(runs: DataFrame, parted: DataFrame | None = None) -> DataFrame:
     """Runs with ``line``, the seq of the first run of the line: each continues the nearest
-    in height (then the one that ends furthest right, then the first) of those it can."""
-    # Either run's size may be the em that counts, so both boxes grow by their own.
-    wide, high = JOIN_GAP * F.col("size"), RAISED_HIGH * F.col("size")
-    ask = (F.col("x0") - wide, F.col("y0") - high, F.col("x0"), F.col("y0") + high)
-    have = (F.col("x0"), F.col("y0") - high, F.col("x1") + wide, F.col("y0") + high)
-    pairs = near(runs, runs, ask, have, continues())
-    pairs = pairs.select("doc_id", "page", F.col("a.seq").alias("seq"), F.struct(F.abs(F.col("a.y0") - F.col("b.y0")).alias("off"), (-F.col("b.x1")).alias("end"), F.col("b.seq").alias("seq")).alias("before"))
+    in height (then the one that ends furthest right, then the first) of those it can. Rows
+    are dealt by page once; a task holds the pages of a batch."""
+    own = runs.select("*", is_rule(F.col("text")).alias("_rule"), (F.length(F.trim("text")) <= OPENING_CHARS).alias("_short"))
     if parted is not None:  # pairs that a gutter parts
-        gone = parted.select("doc_id", "page", "seq", "other")
-        pairs = pairs.withColumn("other", F.col("before.seq")).join(gone.hint("merge"), ["doc_id", "page", "seq", "other"], "left_anti")
-    best = pairs.groupBy("doc_id", "page", "seq").agg(F.min("before")["seq"].alias("parent"))
-    nodes = runs.select("doc_id", "page", "seq").join(best.hint("merge"), ["doc_id", "page", "seq"], "left")
-    ways = climbed(nodes.select(F.struct("doc_id", "page").alias("doc_id"), F.col("seq").alias("id"), "parent"))
-    heads = ways.select("doc_id.doc_id", "doc_id.page", F.col("id").alias("seq"), F.col("path")[0]["id"].alias("line"))
-    return runs.join(heads.hint("merge"), ["doc_id", "page", "seq"])
+        gone = parted.groupBy("doc_id", "page", "seq").agg(F.collect_set("other").alias("_gone"))
+        own = own.join(gone.hint("merge"), ["doc_id", "page", "seq"], "left").select(*own.columns, "_gone")
+    dealt = own.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page")
+    names = runs.columns
+
+    def run(batches):
+        for rows, number in whole_pages(batches):
+            of = {c: np.asarray(rows.column(c), dtype=kind) for c, kind in (("x0", float), ("y0", float), ("x1", float), ("size", float), ("seq", np.int64), ("_rule", bool), ("_short", bool))}
+            banned = None
+            if "_gone" in rows.column_names:
+                lists = rows.column("_gone").combine_chunks()
+                counts = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+                banned = np.repeat(np.arange(len(counts)), counts), np.asarray(pc.list_flatten(lists), dtype=np.int64)
+            line = of["seq"][heads(number, of, continues(of), RAISED_HIGH, JOIN_GAP, banned)]
+            whole = rows.select(names).append_column("line", pa.array(line).cast(rows.schema.field("seq").type))
+            yield from whole.to_batches(max_chunksize=8192)
+
+    seq = runs.schema["seq"].dataType
+    return dealt.mapInArrow(run, StructType([*runs.schema.fields, StructField("line", seq)]))
 
 
 def spelt(chains: DataFrame) -> DataFrame:
@@ -129,7 +146,7 @@ def parted(runs: DataFrame, chains: DataFrame, lines: DataFrame) -> DataFrame:
     so_far = Window.partitionBy("doc_id", "page", "line").orderBy("x0", "seq")
     spoken = chains.select(
         "doc_id", "page", "seq", F.max("x1").over(so_far.rowsBetween(Window.unboundedPreceding, -1)).alias("_end"), F.max("size").over(so_far.rowsBetween(Window.unboundedPreceding, 0)).alias("_em"), F.lag("seq").over(so_far).alias("other"),
-        F.sum(F.size(F.regexp_extract_all("text", F.lit(f"([^{SPACE}]+)"), F.lit(1)))).over(so_far.rowsBetween(Window.unboundedPreceding, -1)).alias("_words"), leads(F.lag("text").over(so_far)).alias("_leads"),
+        F.sum(F.size(F.regexp_extract_all("text", F.lit(f"([^{SPACE}]+)"), F.lit(1)))).over(so_far.rowsBetween(Window.unboundedPreceding, -1)).alias("_words"), F.lag(leads(F.col("text"))).over(so_far).alias("_leads"),
     )
     could = counted.join(spoken.hint("merge"), ["doc_id", "page", "seq"]).where((F.col("x0") - F.col("_end") > GUTTER_GAP * F.col("_em")) & (F.col("_words") >= GUTTER_WORDS) & ~F.col("_leads"))
     could = could.select("doc_id", "page", "seq", "other", "x0", "y0", F.col("_em").alias("em"))
@@ -144,11 +161,11 @@ def lines_of(runs: DataFrame) -> DataFrame:
     was joined across. White runs and artifacts join nothing."""
     if "artifact" in runs.columns:
         runs = runs.where("NOT artifact")
-    runs = cut(runs.where(~F.col("text").rlike(f"^[{SPACE}]*$")).select("doc_id", "page", "seq", "text", "x0", "y0", "x1", "y1", "size"))
+    runs = runs.where(~F.col("text").rlike(f"^[{SPACE}]*$")).select("doc_id", "page", "seq", "text", "x0", "y0", "x1", "y1", "size")
     chains = cut(chained(runs))
-    gone = cut(parted(runs, chains, spelt(chains)))
+    gone = cut(parted(chains, chains, spelt(chains)))
     where = gone.select("doc_id", "page").distinct()
-    again = chained(cut(runs.join(where, ["doc_id", "page"], "left_semi")), gone)
+    again = chained(chains.drop("line").join(where, ["doc_id", "page"], "left_semi"), gone)
     return spelt(chains.join(where, ["doc_id", "page"], "left_anti").unionByName(again))
 
 

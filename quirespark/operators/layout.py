@@ -163,30 +163,45 @@ def column_fold(runs: DataFrame, fold, schema: str) -> DataFrame:
     names, types = [part.split()[0] for part in schema.split(",")], arrow_types(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pack(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            whole = pa.Table.from_batches(parts)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(fold(whole, page_numbers(whole)), types)], names)
-
-        waits = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            number = page_numbers(batch)
-            last = int(np.searchsorted(number, number[-1]))
-            ends = last or (waits and page_numbers(pa.Table.from_batches([waits[-1].slice(waits[-1].num_rows - 1), batch.slice(0, 1)]))[-1])
-            if ends:
-                yield pack([*waits, batch.slice(0, last)])
-                waits = []
-            waits.append(batch.slice(last))
-        if waits:
-            yield pack(waits)
+        for rows, number in whole_pages(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(fold(rows, number), types)], names)
 
     return dealt.mapInArrow(run, schema)
 
 
+def whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Batches cut at pages, with the number of each row's page; rows come page by page."""
+    waits = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        number = page_numbers(batch)
+        last = int(np.searchsorted(number, number[-1]))
+        if waits and (last or page_numbers(pa.Table.from_batches([waits[-1].slice(waits[-1].num_rows - 1), batch.slice(0, 1)]))[-1]):
+            whole = pa.Table.from_batches([*waits, batch.slice(0, last)])
+            yield whole, page_numbers(whole)
+            waits = []
+        elif last:
+            whole = pa.Table.from_batches([batch.slice(0, last)])
+            yield whole, page_numbers(whole)
+        waits.append(batch.slice(last))
+    if waits:
+        whole = pa.Table.from_batches(waits)
+        yield whole, page_numbers(whole)
+
+
 def page_numbers(rows) -> np.ndarray:
-    doc, page = (np.asarray(rows.column(c)) for c in ("doc_id", "page"))
-    return np.concatenate([[0], np.cumsum((doc[1:] != doc[:-1]) | (page[1:] != page[:-1]))])
+    fresh = np.zeros(max(rows.num_rows - 1, 0), bool)
+    keys = [rows.column(c) for c in ("doc_id", "page")]
+    while keys:
+        key = keys.pop()
+        key = key.combine_chunks() if isinstance(key, pa.ChunkedArray) else key
+        if pa.types.is_struct(key.type):
+            keys += key.flatten()
+        else:
+            values = np.asarray(key)
+            fresh |= values[1:] != values[:-1]
+    return np.concatenate([[0], np.cumsum(fresh)])
 
 
 def arrow_types(schema: str) -> list[pa.DataType]:
