@@ -258,7 +258,10 @@ def with_cells(lines: DataFrame) -> DataFrame:
     """Lines with a column, and the stretch of rows of cells in it (``stretch`` from 1, or 0),
     the row in the stretch and the cell in the row."""
     own = F.struct(F.lit(0).alias("nth"), (-F.col("y")).alias("down"), "seq", "x0", "x1", "y", "size")
-    cols = lines.groupBy("doc_id", "page", "col").agg(F.sort_array(F.collect_list(own)).alias("lines"))
+    # Few bytes and much work: dealt to as many tasks as there are, where Spark would join small parts to one.
+    many = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lines.select("doc_id", "page", "col", own.alias("own")).repartition(many, "doc_id", "page", "col")
+    cols = dealt.groupBy("doc_id", "page", "col").agg(F.sort_array(F.collect_list("own")).alias("lines"))
     kind = "array<struct<y:double,x0:double,x1:double,size:double,seq:int>>"
     lean = cols.select("doc_id", "page", "col", F.transform("lines", lambda m: F.struct(m["y"].alias("y"), m["x0"].alias("x0"), m["x1"].alias("x1"), m["size"].alias("size"), m["seq"].alias("seq"))).cast(kind).alias("lines"))
     found = cut(lean.select("doc_id", "page", "col", "lines", stretches(F.col("lines")).alias("found")).where(F.size("found") > 0))
