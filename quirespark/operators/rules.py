@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirespark.functions.arrow import pieces, plain
+
 #: Action types and how much they risk; any other type is no finding.
 RISKS = {
     "JavaScript": "high", "Launch": "high", "SubmitForm": "high", "ImportData": "high", "GoToR": "high", "GoToE": "high", "URI": "medium",
@@ -38,8 +40,8 @@ def by_document(df: DataFrame, columns: list[str], fold, schema: str) -> DataFra
     grouped = df.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("rows"))
 
     def run(batches):
-        for batch in batches:
-            out = [(doc, *row) for doc, rows in zip(batch.column("doc_id").to_pylist(), batch.column("rows").to_pylist()) for row in fold([tuple(r.values()) for r in rows])]
+        for batch in (piece for whole in batches for piece in pieces(whole)):
+            out = [(doc, *row) for doc, rows in zip(plain(batch.column("doc_id")), plain(batch.column("rows"))) for row in fold(rows)]
             yield pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(list(zip(*out)) or [()] * (len(names) + 1), ("long", *types))], ["doc_id", *names])
 
     return grouped.mapInArrow(run, "doc_id long, " + schema)

@@ -310,16 +310,11 @@ def image_headers(spark, d):
 
 @query("comic_pages", """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n)::INTEGER AS page, 'p' || n || '.png' AS name, n::INTEGER AS width FROM (SELECT DISTINCT l_orderkey AS doc_id, l_suppkey AS n FROM lineitem) q""")
 def comic_pages(spark, d):
+    others = [office.packed(name, data) for name, data in (("__MACOSX/p1.png", b"x"), (".hidden.png", b"x"), ("notes.txt", b"text"))]
+
     def fold(rows):
-        members = [(f"p{n}.png", header("png", n, 5).decode("latin-1")) for n in sorted({n for (n,) in rows}, key=str)] + [("__MACOSX/p1.png", "x"), (".hidden.png", "x"), ("notes.txt", "text")]
-        import io
-        import zipfile
-
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w") as archive:
-            for name, data in members:
-                archive.writestr(name, data.encode("latin-1"))
-        return [(k, name, w) for k, (name, _, w, _) in enumerate(office.comic_pages(out.getvalue()), 1)]
+        pages = [(f"p{n}.png", header("png", n, 5)) for n in sorted({n for (n,) in rows}, key=str)]
+        return [(k, name, w) for k, (name, _, w, _) in enumerate(office.comic_pages(office.zipped(pages + others)), 1)]
 
     pages = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_suppkey").cast("int").alias("n"))
     return R.by_document(pages, ["n"], fold, "page int, name string, width int")
