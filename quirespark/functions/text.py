@@ -231,29 +231,35 @@ def once(value: Column, then) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
-def without_lead_in(option: Column) -> Column:
-    """The last words of one class (amount, word, other): prose before a first option goes.
-    One fold from the last word back counts them."""
-    kind = lambda t: F.when(t.rlike("^[$0-9]"), 1).when(t.rlike("^[A-Za-z]"), 2).otherwise(3)
-    start = F.struct(F.lit(0).alias("kind"), F.lit(0).alias("n"), F.lit(False).alias("ended"))
+def last_of_class(ws: Column) -> Column:
+    """How many words at the end are of the last one's class: amounts, words, others. Classes
+    go by first letters, so no pattern is tried word by word."""
+    kind = lambda a: F.when((a == 36) | a.between(48, 57), 1).when(a.between(65, 90) | a.between(97, 122), 2).otherwise(3)
+    kinds = F.transform(F.transform(F.reverse(ws), lambda w: F.ascii(w)), kind)
+    other = lambda ks: F.array_position(F.transform(ks, lambda k: k == ks[0]), F.lit(False))
+    return once(once(kinds, other), lambda at: F.when(at > 0, at - 1).otherwise(F.size(ws))).cast("int")
+
 
-    def back(state: Column, word: Column) -> Column:
-        own = F.when(state["ended"], 0).otherwise(kind(word))
-        same = once(own, lambda k: F.struct(k.alias("kind"), (~state["ended"] & ((state["n"] == 0) | (k == state["kind"]))).alias("same")))
-        return once(same, lambda s: F.struct(F.when(s["same"], s["kind"]).otherwise(state["kind"]).alias("kind"), (state["n"] + s["same"].cast("int")).alias("n"), (~s["same"]).alias("ended")))
+def lead_in_dropped(ws: Column) -> Column:
+    return F.when(F.size(ws) > 0, F.array_join(F.slice(ws, -last_of_class(ws), F.size(ws)), " ")).otherwise("")
 
-    kept = lambda ws: F.array_join(F.slice(ws, -F.greatest(F.aggregate(F.reverse(ws), start, back)["n"], F.lit(1)), F.size(ws)), " ")
-    return once(words(option), lambda ws: F.when(F.size(ws) > 0, kept(ws)).otherwise(""))
+
+def without_lead_in(option: Column) -> Column:
+    """The last words of one class (amount, word, other): prose before a first option goes."""
+    return once(words(option), lead_in_dropped)
 
 
 def pipe_choices(line: Column) -> Column:
     """The first list of two or more options between pipes, its first option without the
     lead-in; words with a colon, bracket or blank to fill end a list. Empty if none."""
-    stretches = F.split(line, rf"(?:^|(?<=[{SPACE}]))[^{SPACE}]*[_:()][^{SPACE}]*")
+    ends = F.split(line, rf"(?:^|(?<=[{SPACE}]))[^{SPACE}]*[_:()][^{SPACE}]*")
+    stretches = F.when(line.rlike("[_:()]"), ends).otherwise(F.array(line))
     listed = F.filter(F.transform(stretches, lambda s: F.split(s, r"\|")), lambda ps: F.size(ps) >= 2)
-    kept = F.transform(listed, lambda ps: F.filter(F.transform(ps, lambda p: F.array_join(words(p), " ")), lambda p: p != ""))
+    bare = lambda p: F.trim(F.regexp_replace(p, f"[{SPACE}]+", " "))
+    kept = F.transform(listed, lambda ps: F.filter(F.transform(ps, bare), lambda p: p != ""))
     lists = F.filter(kept, lambda ps: F.size(ps) >= 2)
-    first = lambda parts: F.concat(F.array(without_lead_in(parts[0])), F.slice(parts, F.lit(2), F.size(parts)))
+    # An option's words stand one blank apart by now.
+    first = lambda parts: F.concat(F.array(once(F.split(parts[0], " "), lead_in_dropped)), F.slice(parts, F.lit(2), F.size(parts)))
     return F.coalesce(once(F.get(lists, F.lit(0)), lambda parts: F.when(parts.isNotNull(), first(parts))), F.array().cast("array<string>"))
 
 

@@ -154,8 +154,9 @@ def choice_marks(spark, d):
 
 @query("pipe_choices")
 def pipe_choices(spark, d):
-    found = lines(table(spark, d, "documents")).select("doc_id", "line_no", T.pipe_choices(F.concat("line", F.lit(" | red | 12"))).alias("options"))
-    return found.where(F.size("options") > 0).select("doc_id", "line_no", F.array_join("options", "|").alias("options"))
+    options = T.once(T.pipe_choices(F.concat("line", F.lit(" | red | 12"))), lambda o: F.when(F.size(o) > 0, F.array(F.array_join(o, "|"))))
+    # A row for each list: a filter on options would find them a second time.
+    return lines(table(spark, d, "documents")).select("doc_id", "line_no", F.explode(options).alias("options"))
 
 
 @query("natural_order", """SELECT p_partkey, rank() OVER (ORDER BY substr(name, 1, 1), num, tail) AS place FROM (SELECT p_partkey, 'p' || (p_partkey % 120) || CASE WHEN p_partkey % 2 = 0 THEN 'b' ELSE 'A' END AS name, p_partkey % 120 AS num, CASE WHEN p_partkey % 2 = 0 THEN 'b' ELSE 'a' END AS tail FROM part) q""")

@@ -95,3 +95,15 @@ def test_folds_are_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(arrow, "PIECE", 4096)
     found = rules.by_document(large_rows(spark), ["text"], lambda rows: [(len(rows[0][0]),)], "n long").collect()
     assert sorted(tuple(r) for r in found) == [(k, 1000) for k in range(40)]
+
+
+def test_pipe_choices_are_found_once(spark):
+    from quirespark.functions import text as T
+    from quirespark.plans import scalars
+
+    plan = scalars.QUERIES["pipe_choices"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "transform" in line]
+    lines = {"a b | c": "a b|c", "pay $5 now Éa | 2 |": "Éa|2", "x: 1\xa02 |  | z\tq": "1 2|z q", "no (a|b) | one Two $3 4 | w": "3|", "": "", " | ": "", "_ a | b : c | d": "a|b", "1 2 b c|d": "b c|d"}
+    lines["no (a|b) | one Two $3 4 | w"] = "$3 4|w"
+    own = spark.createDataFrame([(k,) for k in lines], "line string")
+    assert {r[0]: r[1] for r in own.selectExpr("line").select("line", scalars.F.array_join(T.pipe_choices(scalars.F.col("line")), "|")).collect()} == lines
