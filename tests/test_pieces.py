@@ -129,3 +129,22 @@ def test_spaced_strings_move_on_by_state():
     (run,) = pdf.runs_of(doc, doc.pages()[0])
     moved = ((7 + 2) + (5 + 2 + 3) + (6 + 2) + 3 + (5 + 2)) * 0.5
     assert run["text"] == "a b c" and run["x0"] == 5 and run["x1"] == pytest.approx(5 + moved)
+
+
+def test_verdicts_are_one_row_a_document_until_told_apart(spark):
+    from quirespark.operators import clauses as C
+
+    rows = spark.createDataFrame([(1, 5), (1, 7), (2, None), (None, 1), (9, 9)], "doc_id long, n int")
+    docs = spark.createDataFrame([(1,), (1,), (2,), (3,), (None,)], "doc_id long")
+    rules = [(f"c{k}", f"n >= {k}", f"n > {k + 4}") for k in range(70)]
+    want = set()
+    for doc, own in ((1, [5, 7]), (2, []), (3, []), (None, [])):
+        for k in range(70):
+            asked = [n for n in own if n >= k]
+            want.add((doc, f"c{k}", "not applicable" if not asked else "pass" if all(n > k + 4 for n in asked) else "fail"))
+    found = C.judged(rows, rules, docs)
+    assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
+    same = C.judged(rows.where("doc_id < 9"), rules, docs.where("doc_id < 3"))
+    assert {tuple(r) for r in same.collect()} == {w for w in want if w[0] in (1, 2)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.index("Generate") < plan.index("Aggregate")
