@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quirespark.functions.text import once
 from quirespark.operators import rules as R
 from quirespark.plans.bridge import lines, table
 from quirespark.sources import formats as S
@@ -103,8 +104,8 @@ _csv = "'\"a;b;c\"' || chr(10) || 'k' || CASE p_partkey % 3 WHEN 0 THEN ',' WHEN
 def delimiter_sniff(spark, d):
     sep = F.when(F.col("p_partkey") % 3 == 0, ",").when(F.col("p_partkey") % 3 == 1, ";").otherwise("\t")
     t = F.concat(F.lit('"a"\nk'), sep, "p_name")
-    rows = S.padded_csv(t, S.delimiter(t))
-    return table(spark, d, "part").select("p_partkey", S.delimiter(t).alias("delimiter"), F.size(rows).alias("rows"), F.size(rows[0]).alias("columns"))
+    sized = lambda sep: once(S.padded_csv(t, sep), lambda rows: F.struct(sep.alias("delimiter"), F.size(rows).alias("rows"), F.size(rows[0]).alias("columns")))
+    return table(spark, d, "part").select("p_partkey", F.inline(F.array(once(S.delimiter(t), sized))))
 
 
 @query("csv_chunks", "SELECT o_orderstatus, chunk, count(*) AS rows FROM (SELECT o_orderstatus, ((row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) // 4000)::INTEGER AS chunk FROM orders) q GROUP BY ALL")

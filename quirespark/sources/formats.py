@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirespark.functions.text import once
+
 #: Key, label, extensions, family.
 FORMATS = (
     ("png", "PNG", ("png",), "raster"), ("jpeg", "JPEG", ("jpg", "jpeg"), "raster"), ("gif", "GIF", ("gif",), "raster"),
@@ -129,15 +131,16 @@ def delimiter(text: Column) -> Column:
     lines = F.transform(F.slice(F.split(text, "\r?\n"), 1, 20), lambda s: F.regexp_replace(s, '"[^"]*("|$)', ""))
     counts = F.transform(lines, lambda s: F.struct(F.regexp_count(s, F.lit(",")).alias("c"), F.regexp_count(s, F.lit(";")).alias("s"), F.regexp_count(s, F.lit("\t")).alias("t")))
     first = F.get(F.filter(counts, lambda x: x["c"] + x["s"] + x["t"] > 0), F.lit(0))
-    best = F.greatest(first["c"], first["s"], first["t"])
-    return F.when(first.isNull() | (first["c"] == best), ",").when(first["s"] == best, ";").otherwise("\t")
+    chosen = lambda f, best: F.when(f.isNull() | (f["c"] == best), ",").when(f["s"] == best, ";").otherwise("\t")
+    return once(first, lambda f: once(F.greatest(f["c"], f["s"], f["t"]), lambda best: chosen(f, best)))
 
 
 def padded_csv(text: Column, sep: Column) -> Column:
     """Rows of unquoted cells, padded to the widest; the first is the header."""
     rows = F.transform(F.split(F.regexp_replace(text, "\n+$", ""), "\r?\n"), lambda s: F.split(s, F.concat(F.lit("["), sep, F.lit("]"))))
-    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
-    return F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
+    width = lambda rs: F.array_max(F.transform(rs, lambda r: F.size(r)))
+    padded = lambda rs, w: F.transform(rs, lambda r: F.concat(r, F.array_repeat(F.lit(""), w - F.size(r))))
+    return once(rows, lambda rs: once(width(rs), lambda w: padded(rs, w)))
 
 
 def chunked(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -148,3 +148,14 @@ def test_verdicts_are_one_row_a_document_until_told_apart(spark):
     assert {tuple(r) for r in same.collect()} == {w for w in want if w[0] in (1, 2)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.index("Generate") < plan.index("Aggregate")
+
+
+def test_delimiters_are_sniffed_once(spark):
+    from quirespark.plans import rule_queries
+    from quirespark.sources import formats
+
+    plan = rule_queries.QUERIES["delimiter_sniff"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_count(") == 3
+    own = spark.createDataFrame([('"a,b,c"\nk;l;m,n',), ("x",), ("",), (None,), ("a\tb\n\n",), ("p,q;r\ns",)], "t string")
+    rows = [tuple(r) for r in own.select(formats.delimiter(own.t), formats.padded_csv(own.t, formats.delimiter(own.t))).collect()]
+    assert rows == [(";", [['"a,b,c"', "", ""], ["k", "l", "m,n"]]), (",", [["x"]]), (",", [[""]]), (",", None), ("\t", [["a", "b"]]), (",", [["p", "q;r"], ["s", ""]])]
