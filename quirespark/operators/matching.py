@@ -7,25 +7,37 @@ tables."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirespark.functions.text import truthy, words
+from quirespark.functions.text import SPACE, truthy, words
+from quirespark.operators.rules import by_document
+
+
+#: A word between Unicode white space, as ``words`` finds it.
+WORD = re.compile("[^" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", SPACE) + "]+")
 
 
 def same_words(left: DataFrame, right: DataFrame) -> DataFrame:
-    """doc_id, same, missing, extra: multiset equality of the words of both sides. Words
-    of both are counted together, so there is one exchange of words and no join."""
-    side = lambda df, a, b: df.select("doc_id", F.explode(words(F.col("text"))).alias("word"), F.lit(a).alias("a"), F.lit(b).alias("b"))
-    both = side(left, 1, 0).unionByName(side(right, 0, 1)).groupBy("doc_id", "word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    return both.groupBy("doc_id").agg(
-        F.bool_and(F.col("a") == F.col("b")).alias("same"),
-        F.sum(F.greatest(F.col("a") - F.col("b"), F.lit(0))).alias("missing"),
-        F.sum(F.greatest(F.col("b") - F.col("a"), F.lit(0))).alias("extra"),
-    )
+    """doc_id, same, missing, extra: multiset equality of the words of both sides. Texts are
+    dealt whole, once, and words counted where a document's texts have met: a row for each
+    word would be several times as large. Without a word on either side there is no row."""
+    side = lambda df, k: df.where("text IS NOT NULL").select("doc_id", F.lit(k).alias("side"), "text")
+
+    def fold(rows):
+        counts = Counter(), Counter()
+        for k, text in rows:
+            counts[k].update(WORD.findall(text))
+        a, b = counts
+        if a or b:
+            yield a == b, (a - b).total(), (b - a).total()
+
+    return by_document(side(left, 0).unionByName(side(right, 1)), ["side", "text"], fold, "same boolean, missing long, extra long")
 
 
 def styles_by_text(tree: DataFrame, proposal: DataFrame) -> DataFrame:

@@ -159,3 +159,13 @@ def test_delimiters_are_sniffed_once(spark):
     own = spark.createDataFrame([('"a,b,c"\nk;l;m,n',), ("x",), ("",), (None,), ("a\tb\n\n",), ("p,q;r\ns",)], "t string")
     rows = [tuple(r) for r in own.select(formats.delimiter(own.t), formats.padded_csv(own.t, formats.delimiter(own.t))).collect()]
     assert rows == [(";", [['"a,b,c"', "", ""], ["k", "l", "m,n"]]), (",", [["x"]]), (",", [[""]]), (",", None), ("\t", [["a", "b"]]), (",", [["p", "q;r"], ["s", ""]])]
+
+
+def test_words_are_compared_where_texts_meet(spark):
+    from quirespark.operators import matching
+
+    left = spark.createDataFrame([(1, "a b b"), (1, "c"), (2, None), (3, " \t"), (4, "x")], "doc_id long, text string")
+    right = spark.createDataFrame([(1, "b a c b"), (2, "y y"), (5, "z")], "doc_id long, text string")
+    found = matching.same_words(left, right)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, True, 0, 0), (2, False, 0, 2), (4, False, 1, 0), (5, False, 0, 1)]
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
