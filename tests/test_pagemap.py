@@ -63,3 +63,18 @@ def test_saves_restores_and_matrices(spark):
     pages = spark.createDataFrame([(1, p, 612.0, 792.0) for p in range(80)], "doc_id long, page int, width double, height double")
     compare(rows, M.page_map(spark.createDataFrame(rows, SCHEMA), pages).collect())
     assert M.page_map(spark.createDataFrame([], SCHEMA), pages).collect() == []
+
+
+def test_a_page_is_one_pass(spark):
+    """A matrix on a matrix, two thousand deep, is no way of two thousand matrices for each; a matrix without numbers does nothing."""
+    rows = [(1, 0, seq, op, args, "fill") for k in range(2000) for seq, op, args in ((2 * k, "cm", [1.0, 0.0, 0.0, 1.0, 1.0 - k % 2 * 2, 0.0]), (2 * k + 1, "re", [5.0, 5.0, 9.0, 9.0]))]
+    pages = spark.createDataFrame([(1, 0, 612.0, 792.0), (2, 0, 612.0, 792.0)], "doc_id long, page int, width double, height double")
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("one pass", "")
+    found = M.page_map(spark.createDataFrame(rows, SCHEMA), pages).collect()
+    ran = {s for j in jobs.getJobIdsForGroup("one pass") for s in jobs.getJobInfo(j).stageIds}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    compare(rows, found)
+    assert len(found) == 2000 and len(ran) <= 6
+    bare = spark.createDataFrame([(2, 0, 0, "cm", None, None), (2, 0, 1, "re", [1.0, 1.0, 9.0, 9.0], None), (3, 0, 0, "re", [1.0, 1.0, 9.0, 9.0], None)], SCHEMA)
+    assert [(r.doc_id, r.seq, r.kind) for r in M.page_map(bare, pages).collect()] == [(2, 1, "box")]
