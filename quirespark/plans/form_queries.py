@@ -82,7 +82,8 @@ def shape_dedupe(spark, d):
 
 @query("union_areas")
 def union_areas(spark, d):
-    return folded(spark, d, lambda rows: [(int(S.union_area([(round(r[2]), r[3], round(r[4]), r[5]) for r in rows])), int(sum(S.area((round(r[2]), r[3], round(r[4]), r[5])) for r in rows)))], "area long, summed long")
+    whole = boxes(spark, d).withColumns({x: F.rint(x) for x in ("x0", "x1")})
+    return R.by_document(whole, BOX[2:], lambda rows: [(int(S.union_area(rows)), int(sum(map(S.area, rows))))], "area long, summed long")
 
 
 @query("group_dedupe")
