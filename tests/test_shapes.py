@@ -62,3 +62,22 @@ def test_form_records_nest_and_refuse_entities():
     except ValueError:
         return
     raise AssertionError("a document type was read")
+
+
+def test_many_rules_are_merged_and_crossed_once():
+    """Rules are compared with those near them and crossings are found once, so that a page of many is no square of squares."""
+    n, seen = 400, [0]
+
+    class Place(float):
+        def __sub__(self, other):
+            seen[0] += 1
+            return float.__sub__(self, other)
+
+        def __rsub__(self, other):
+            seen[0] += 1
+            return float.__rsub__(self, other)
+
+    merged = S.merge_rules([(Place(4 * k), 0.0, 9.0) for k in range(n)])
+    assert len(merged) == n and seen[0] <= 4 * n
+    assert S.ruled_grids([(0.0, 0.0, 20.0), (10.0, 0.0, 20.0)], [(4.0 * k, -2.0, 20.0) for k in range(9)]) == []
+    assert S.union_area([(0.0, 5.0, 4.0, 1.0), (0.0, 0.0, 4.0, 2.0)]) == 8.0
