@@ -127,26 +127,36 @@ def wrapped_matches(pieces: DataFrame, pattern: str, chains: int = 200_000) -> D
     A chain is a piece and a piece of the next row that starts left of its end, up to
     three rows; it is read joined with a blank, joined, and de-hyphenated. Past the
     budget of chains a page falls back to two rows and then one, and says so (skipped)."""
-    p = pieces.select("doc_id", "page", "row", "text", "x0", "x1")
-    next_ = p.select("doc_id", "page", (F.col("row") - 1).alias("row"), F.col("text").alias("t2"), F.col("x0").alias("n0"), F.col("x1").alias("n1"))
-    two = p.join(next_, ["doc_id", "page", "row"]).where("n0 < x1")
-    third = p.select("doc_id", "page", (F.col("row") - 2).alias("row"), F.col("text").alias("t3"), F.col("x0").alias("m0"))
-    three = two.join(third, ["doc_id", "page", "row"]).where("m0 < n1")
-    count2 = two.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("c2"))
-    count3 = three.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("c3"))
-    budget = count2.join(count3, ["doc_id", "page"], "left").fillna(0, ["c3"])
-    budget = budget.select("doc_id", "page", F.when(F.col("c2") + F.col("c3") <= chains, 3).when(F.col("c2") <= chains, 2).otherwise(1).alias("depth"))
-    two = two.select("doc_id", "page", "row", F.array("text", "t2").alias("parts"))
-    three = three.select("doc_id", "page", "row", F.array("text", "t2", "t3").alias("parts"))
-    chained = two.unionByName(three).join(budget, ["doc_id", "page"]).where(F.size("parts") <= F.col("depth"))
-    joined = F.array_join("parts", "")
-    hyphen = F.regexp_replace(F.array_join("parts", "\x01"), "[\\x{2D}\\x{2010}\\x{AD}]\\x{1}|\\x{1}", "")
-    readings = F.array(F.struct(F.lit("space").alias("reading"), F.array_join("parts", " ").alias("s")), F.struct(F.lit("joined").alias("reading"), joined.alias("s")), F.struct(F.lit("hyphen").alias("reading"), hyphen.alias("s")))
-    read = chained.select("doc_id", "page", "row", "parts", (F.col("depth") < 3).alias("skipped"), F.explode(readings).alias("r"))
-    hits = read.select("doc_id", "page", "row", F.size("parts").alias("lines"), "parts", "skipped", F.col("r.reading").alias("reading"), F.explode(F.regexp_extract_all(F.col("r.s"), F.lit(f"({pattern})"), 1)).alias("matched"))
+    # Pieces are dealt by page once: rows, budgets, chains and what is found keep to their page.
+    p = pieces.where("doc_id IS NOT NULL AND page IS NOT NULL AND row IS NOT NULL").repartition("doc_id", "page")
+    rows = p.groupBy("doc_id", "page", "row").agg(F.collect_list(F.struct("text", "x0", "x1")).alias("own"))
+    down, whole = Window.partitionBy("doc_id", "page").orderBy("row"), Window.partitionBy("doc_id", "page")
+    after = lambda k: F.when(F.lead("row", k).over(down) == F.col("row") + k, F.lead("own", k).over(down))
+    rows = rows.select("*", after(1).alias("two"), after(2).alias("three")).where("two IS NOT NULL")
+    left_of = lambda a: lambda b: b["x0"] < a["x1"]
+    third = F.transform("two", lambda b: F.struct(b["x0"].alias("x0"), F.size(F.filter(F.coalesce("three", F.slice("two", 1, 0)), left_of(b))).cast("long").alias("n")))
+    total = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda s, n: s + n)
+    of_row = lambda value: total(F.transform("own", lambda a: total(F.transform(F.filter("_third", left_of(a)), value))))
+    rows = rows.withColumn("_third", third)
+    rows = rows.withColumn("_c2", F.sum(of_row(lambda b: F.lit(1).cast("long"))).over(whole)).withColumn("_c3", F.sum(of_row(lambda b: b["n"])).over(whole))
+    rows = rows.withColumn("depth", F.when(F.col("_c2") + F.col("_c3") <= chains, 3).when(F.col("_c2") <= chains, 2).otherwise(1)).where("depth > 1")
+    a, b = F.col("a"), F.col("b")
+    pairs = rows.select("doc_id", "page", "row", "depth", "two", "three", F.explode("own").alias("a")).select("*", F.explode(F.filter("two", left_of(a))).alias("b"))
+    ends = F.when(F.col("depth") > 2, F.filter("three", left_of(b)))
+    parts = F.concat(F.array(F.array(a["text"], b["text"])), F.coalesce(F.transform(ends, lambda c: F.array(a["text"], b["text"], c["text"])), F.array().cast("array<array<string>>")))
+    chained = pairs.select("doc_id", "page", "row", "depth", F.explode(parts).alias("parts"))
+    # Without a hyphen at an end, joined and de-hyphenated are one text: it is searched once.
+    hyphens = "\\x{2D}\\x{2010}\\x{AD}"
+    parted = F.exists(F.slice("parts", 1, F.size("parts") - 1), lambda t: t.rlike(f"[{hyphens}]\\z")) | F.exists("parts", lambda t: F.contains(t, F.lit("\x01")))
+    hyphen = F.regexp_replace(F.array_join("parts", "\x01"), f"[{hyphens}]\\x{{1}}|\\x{{1}}", "")
+    named = lambda s, *names: F.struct(F.array(*map(F.lit, names)).alias("names"), s.alias("s"))
+    space, joined = named(F.array_join("parts", " "), "space"), F.array_join("parts", "")
+    readings = F.when(F.coalesce("parted", F.lit(True)), F.array(space, named(joined, "joined"), named(hyphen, "hyphen"))).otherwise(F.array(space, named(joined, "joined", "hyphen")))
+    read = chained.withColumn("parted", parted).select("doc_id", "page", "row", "parts", (F.col("depth") < 3).alias("skipped"), F.explode(readings).alias("r"))
+    hits = read.select("doc_id", "page", "row", "parts", "skipped", F.col("r.names").alias("names"), F.explode(F.array_distinct(F.regexp_extract_all("r.s", F.lit(pattern), F.lit(0)))).alias("matched"))
     # What one row holds alone was found there.
-    whole = ~F.exists("parts", lambda t: F.contains(t, F.col("matched")))
-    return hits.where(whole).select("doc_id", "page", "row", "lines", "reading", "matched", "skipped").distinct()
+    hits = hits.where(~F.exists("parts", lambda t: F.contains(t, F.col("matched"))))
+    return hits.select("doc_id", "page", "row", F.size("parts").alias("lines"), F.explode("names").alias("reading"), "matched", "skipped").distinct()
 
 
 def slash_templates(tokens: DataFrame) -> DataFrame:

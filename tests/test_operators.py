@@ -45,6 +45,18 @@ def test_wrapped_match(spark):
     assert [(r.reading, r.matched) for r in found.collect()] == [("hyphen", "contract")]
 
 
+def test_wrapped_matches_deal_texts_once(spark):
+    """Rows of several pieces, a hyphen at an end and budgets, by one exchange; a group of the pattern's own keeps its number."""
+    rows = [(1, 0, 0, "xab-", 0.0, 80.0), (1, 0, 0, "qa", 90.0, 95.0), (1, 0, 1, "ab", 0.0, 60.0), (1, 0, 1, "c", 85.0, 86.0), (1, 0, 2, "ay", 0.0, 9.0), (1, 0, 4, "b", 0.0, 9.0), (2, 0, 0, "b", 5.0, 6.0), (2, 0, 1, "b", 6.0, 9.0), (3, 0, None, "b", 0.0, 9.0)]
+    df = spark.createDataFrame(rows, "doc_id long, page int, row int, text string, x0 double, x1 double")
+    own = lambda found: {tuple(r) for r in found.collect()}
+    two = {(1, 0, 0, 2, "hyphen", "abab", False), (1, 0, 0, 2, "joined", "qaa", False), (1, 0, 0, 2, "hyphen", "qaa", False)}
+    found = matching.wrapped_matches(df, "(ab)\\1|qaa")
+    assert own(found) == two | {(*r[:3], 3, *r[4:]) for r in two}
+    assert own(matching.wrapped_matches(df, "(ab)\\1|qaa", 6)) == {(*r[:6], True) for r in two} and own(matching.wrapped_matches(df, "abab", 1)) == set()
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hash") == 1
+
+
 def test_sanitizer_drops_and_counts():
     got = packages.sanitized("<html lang=en><title>T</title><script>x<b></script><h1>A <i>b</i></h1><p>c<a href='javascript:x'>d</a><a href=http://e>f</a><img alt=g>")
     assert got["text"] == "A b\ncdfg" and got["headings"] == ["1 A b"] and got["links"] == ["http://e"] and got["dropped_elements"] == 1 and got["dropped_images"] == 1
