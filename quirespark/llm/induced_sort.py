@@ -52,7 +52,8 @@ class Files:
     def array(self, dtype, shape) -> np.ndarray:
         self.n += 1
         size = shape if isinstance(shape, tuple) else (shape,)
-        return np.memmap(f"{self.folder}/{self.n}", dtype=dtype, mode="w+", shape=size) if all(size) else np.empty(size, dtype)
+        # As a plain array on the mapped file: a memmap costs more than most of what is done with a short piece of it.
+        return np.memmap(f"{self.folder}/{self.n}", dtype=dtype, mode="w+", shape=size).view(np.ndarray) if all(size) else np.empty(size, dtype)
 
     @contextmanager
     def inner(self):
@@ -119,7 +120,7 @@ class Least:
         self.depth, self.now, self.last, self.pushed_at = depth, 0, [-1] * (depth + 1), np.full(top + 1, -1, dtype=np.int64)
 
     def pushed(self, lengths: np.ndarray, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Lengths of the tuples pushed at these indices of a scanned batch."""
+        """Lengths of the tuples pushed at these indices of a scanned batch, by key and then by index."""
         out = np.empty(len(at), dtype=np.int32)
         if len(lengths) <= 4:  # the many short runs of a string of names
             wanted, now = {}, self.now
@@ -134,14 +135,16 @@ class Least:
             self.now += len(lengths)
             return out
         if len(at):
-            order = np.argsort(keys, kind="stable")
-            k, i = keys[order], at[order]
-            first = np.concatenate(([True], k[1:] != k[:-1]))
-            found = range_least(lengths, np.where(first, 0, np.concatenate(([0], i[:-1] + 1))), i)
-            before = np.searchsorted(self.last, self.pushed_at[k], side="right")
-            found = np.where(first, np.minimum(found, before), found)
-            out[order] = np.minimum(found + 1, self.depth)
-            self.pushed_at[k] = self.now + i  # of equal keys the last one stays
+            first = np.ones(len(keys), dtype=bool)
+            np.not_equal(keys[1:], keys[:-1], out=first[1:])
+            found = np.minimum.accumulate(lengths)[at]
+            if not first.all():
+                later = np.flatnonzero(~first)
+                found[later] = range_least(lengths, at[later - 1] + 1, at[later])
+            before = np.searchsorted(self.last, self.pushed_at[keys[first]], side="right")
+            found[first] = np.minimum(found[first], before)
+            out[:] = np.minimum(found + 1, self.depth)
+            self.pushed_at[keys] = self.now + at  # of equal keys the last one stays
         times = np.full(self.depth + 1, -1, dtype=np.int64)
         np.maximum.at(times, lengths, self.now + np.arange(len(lengths)))
         self.last = np.maximum(self.last, np.maximum.accumulate(times)).tolist()
@@ -150,9 +153,14 @@ class Least:
 
 
 def range_least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Least of values[lo..hi], by a table of powers of two."""
+    """Least of values[lo..hi]: read range by range, or, if they overlap much, from a table of
+    powers of two."""
+    if int((hi - lo).sum()) <= 16 * len(values):
+        ends = np.empty(2 * len(lo), dtype=np.int64)
+        ends[::2], ends[1::2] = lo, hi + 1
+        return np.minimum.reduceat(np.append(values, values[-1:]), ends)[::2]
     table, width = [values], 1
-    longest = int((hi - lo).max()) + 1 if len(lo) else 1
+    longest = int((hi - lo).max()) + 1
     while width * 2 <= longest:
         table.append(np.minimum(table[-1][:-width], table[-1][width:]))
         width *= 2
@@ -183,9 +191,9 @@ def run_length(text: np.ndarray, at: int, depth: int) -> int:
     return int(other[0]) if len(other) else len(part)
 
 
-def induce(text: np.ndarray, seeds: np.ndarray, files: Files, depth: int, budget: int) -> np.ndarray:
+def induce(text: np.ndarray, seeds: np.ndarray, files: Files, depth: int, budget: int, lengths: bool = True) -> np.ndarray:
     """All suffixes in order, as (position, length shared with the one before), from
-    the LMS suffixes in order (the same tuples)."""
+    the LMS suffixes in order (the same tuples). Without ``lengths`` only positions count."""
     n, top, star, here, at = len(text), 0, {}, None, 0
     for part in pieces(len(seeds)):
         heads = text[seeds[part, 0]].astype(np.int64)
@@ -197,25 +205,26 @@ def induce(text: np.ndarray, seeds: np.ndarray, files: Files, depth: int, budget
     star[here] = (at, len(seeds))
     top = max(top, max(int(text[part].max()) for part in pieces(n)))
 
-    def scan(queue: RunQueue, least: Least, batch: np.ndarray, key: int, admit) -> None:
+    def scan(queue: RunQueue, least: Least | None, batch: np.ndarray, key: int, admit) -> None:
         """Push what precedes the batch's suffixes, where ``admit`` says so."""
         before = batch[:, 0] - 1
         at = np.flatnonzero(before >= 0)
-        keys = text[before[at]].astype(np.int64)
+        keys = text[before[at]]
         ok = admit(keys, key)
         at, keys = at[ok], keys[ok]
-        lengths = least.pushed(batch[:, 1], at, keys)
-        if not len(at):
-            return
-        tuples = np.stack((before[at], lengths), axis=1)
         if len(at) > 1:
             order = np.argsort(keys, kind="stable")
-            tuples, keys = tuples[order], keys[order]
+            at, keys = at[order], keys[order]
+        shares = least.pushed(batch[:, 1], at, keys) if least else 0
+        if not len(at):
+            return
+        tuples = np.empty((len(at), 2), dtype=np.int32)
+        tuples[:, 0], tuples[:, 1] = before[at], shares
         cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(keys)]):
             queue.push(int(keys[a]), tuples[a:b])
 
-    def whole(queue: RunQueue, least: Least, key: int, admit) -> Iterator[np.ndarray]:
+    def whole(queue: RunQueue, least: Least | None, key: int, admit) -> Iterator[np.ndarray]:
         """A bucket's induced part: popped and scanned until it adds nothing to itself."""
         first = True
         while key in queue.runs or key in queue.spilled:
@@ -237,7 +246,7 @@ def induce(text: np.ndarray, seeds: np.ndarray, files: Files, depth: int, budget
             yield key
 
     # Upwards: L-type suffixes, from each bucket's L part and then its LMS suffixes.
-    queue, least = RunQueue(files, budget), Least(top, depth)
+    queue, least = RunQueue(files, budget), Least(top, depth) if lengths else None
     stored, large, size = tempfile.TemporaryFile(dir=files.folder), {}, 0
     for key in buckets(queue, list(star), False):
         last, begin = None, size
@@ -255,8 +264,8 @@ def induce(text: np.ndarray, seeds: np.ndarray, files: Files, depth: int, budget
 
     # Downwards: S-type suffixes, from each bucket's S part and then its L part.
     stored.flush()
-    ell = np.memmap(stored, dtype=np.int32, mode="r", shape=(size, 2)) if size else np.empty((0, 2), np.int32)
-    queue, least = RunQueue(files, budget, True), Least(top, depth)
+    ell = np.memmap(stored, dtype=np.int32, mode="r", shape=(size, 2)).view(np.ndarray) if size else np.empty((0, 2), np.int32)
+    queue, least = RunQueue(files, budget, True), Least(top, depth) if lengths else None
     out, to = files.array(np.int32, (n, 2)), n
     for key in buckets(queue, list(large), True):
         last = None
@@ -400,7 +409,7 @@ def seeded(text: np.ndarray, files: Files, depth: int, budget: int, base: int) -
             place[lms[part]] = np.arange(part.start, part.stop)
         with own.inner() as short:
             # Sort the substrings between LMS positions: LMS suffixes by first character only, induced.
-            names, many = named(text, lms, induce(text, by_head(text, lms, short), short, 1, budget), place, own)
+            names, many = named(text, lms, induce(text, by_head(text, lms, short), short, 1, budget, lengths=False), place, own)
         # A name stands for two characters at least.
         inner_depth = depth // 2 + 1
         order = own.array(np.int32, m)

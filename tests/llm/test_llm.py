@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,6 +261,28 @@ def test_chunked_ids_are_the_tokenizers(spark):
 # 4. Suffix arrays.
 
 
+def test_rough_orders_carry_no_lengths(monkeypatch):
+    """Substrings between LMS positions are put in order by positions alone; lengths are found once, in the last scan."""
+    made, r = [], random.Random(8)
+    own = induced_sort.Least
+
+    class Counted(own):
+        def __init__(self, top, depth):
+            made.append(depth)
+            super().__init__(top, depth)
+
+    monkeypatch.setattr(induced_sort, "Least", Counted)
+    data = bytes(r.choice(b"abc") for _ in range(3000))
+    with induced_sort.sorted_suffixes(data, 12) as got:
+        order, lengths = got[:, 0].tolist(), got[:, 1].tolist()
+    assert made == [12, 12] and [data[a:][:12] for a in order] == sorted(data[a:][:12] for a in range(len(data)))
+    assert lengths[1:] == [next((k for k in range(12) if data[a + k : a + k + 1] != data[b + k : b + k + 1]), 12) for a, b in zip(order, order[1:])]
+    values = np.array([r.randrange(50) for _ in range(300)], np.int32)
+    pairs = np.array([sorted((r.randrange(300), r.randrange(300))) for _ in range(400)])
+    for part in (pairs, pairs[:3]):  # from the table, and range by range
+        assert induced_sort.range_least(values, part[:, 0], part[:, 1]).tolist() == [values[a : b + 1].min() for a, b in part.tolist()]
+
+
 def test_induced_sort_against_brute_force(monkeypatch):
     r = random.Random(1)
     induced_sort.COUNTS.clear()
