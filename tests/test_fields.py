@@ -1,8 +1,11 @@
 """Fields that drawings suggest, against plain loops over every pair of a page's shapes."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from quirespark.operators import fields as L
 from quirespark.plans import group_queries as Q
 
@@ -147,3 +150,56 @@ def test_a_form(spark):
 
 def test_no_shapes(spark):
     assert L.proposed(spark.createDataFrame([], "doc_id long, page int, id int, kind string, x0 int, y0 int, x1 int, y1 int, text string")).collect() == []
+
+
+SHAPE = "doc_id long, page int, id int, kind string, x0 double, y0 double, x1 double, y1 double, text string"
+
+
+def crowded(documents, shapes, seed=5):
+    """Pages of shapes that overlap at many edges, some off the whole points."""
+    rng, out = random.Random(seed), []
+    size = {"h": lambda: (rng.randrange(10, 200, 5), 0), "heavy": lambda: (rng.randrange(10, 200, 5), 3), "v": lambda: (rng.choice((0, 1)), rng.randrange(5, 120, 5)), "square": lambda: (rng.choice((4, 8, 10, 12)), rng.choice((8, 10, 12))), "white": lambda: (rng.choice((10, 12, 60, 150)), rng.choice((10, 12, 20, 44))), "shade": lambda: (200, 60), "widget": lambda: (rng.choice((5, 60)), 14), "print": lambda: (rng.randrange(5, 60), 9)}
+    for d in range(documents):
+        for i in range(shapes):
+            kind = rng.choice("h h h v v heavy square white white shade widget print print print".split())
+            x, y, (w, h) = rng.randrange(-100, 300, 5) + rng.choice((0, 0, 0.3)), rng.randrange(-100, 300, 5) + rng.choice((0, 0, 0.7)), size[kind]()
+            out.append((d, 0, i, kind, float(x), float(y), float(x + w), float(y + h), rng.choice(("Name", "a ____ b______", "☐ x □", " - ", "_____", "___", "😀 ____")) if kind == "print" else ""))
+    return out
+
+
+def test_crowded_pages_a_few_pairs_at_a_time(spark, monkeypatch):
+    """Pages go on over batches, and what meets what is compared in many steps."""
+    frame = spark.createDataFrame(crowded(6, 120), SHAPE).repartition(3)
+    pages = pages_of(frame.collect())
+    compare(pages, L.proposed(frame).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        compare(pages, L.proposed(frame).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for shapes in pages.values():
+        ids = [s for s in sorted(shapes) if s[1] in L.KINDS]
+        kind, boxes = np.array([L.KINDS.index(s[1]) for s in ids]), L.Boxes(np.zeros(len(ids), int), *np.array([s[2] for s in ids], float).T)
+        monkeypatch.setattr(L, "PAIRS", 1 << 18)
+        whole = L.on_pages(kind, boxes)
+        monkeypatch.setattr(L, "PAIRS", 5)
+        steps = L.on_pages(kind, boxes)
+        assert sorted(zip(*map(np.ndarray.tolist, (whole[0], *whole[1])))) == sorted(zip(*map(np.ndarray.tolist, (steps[0], *steps[1]))))
+
+
+def test_what_is_not_known(spark):
+    """A shape without an edge or a text bars nothing; print keeps what is drawn in it."""
+    rows = [(1, 0, 1, "widget", None, 0.0, 50.0, 50.0, ""), (1, 0, 2, "print", 0.0, None, 60.0, 9.0, "ab ____"), (1, 0, 3, "print", 20.0, 20.0, 40.0, 40.0, None), (1, 0, 4, "square", 25.0, 25.0, 35.0, 35.0, None), (1, 0, 5, None, 0.0, 0.0, 9.0, 9.0, ""), (1, 0, 6, "h", 100.0, None, 200.0, 90.0, "")]
+    got = {(r["kind"], r["from"], r.x0 and round(r.x0, 6), r.y0, r.x1, r.y1) for r in L.proposed(spark.createDataFrame(rows, SHAPE)).collect()}
+    assert got == {("check", "square", 25.0, 25.0, 35.0, 35.0), ("text", "underscores", round(180 / 7, 6), None, 60.0, 9.0)}
+
+
+def test_one_exchange_and_no_cuts(spark):
+    """Shapes are dealt by page once; no job runs before the rows are asked for."""
+    frame = spark.createDataFrame(crowded(2, 20), SHAPE)
+    spark.sparkContext.setJobGroup("one-exchange", "")
+    found = L.proposed(frame)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("one-exchange")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Exchange") == 1
+    assert "Join" not in found._jdf.queryExecution().sparkPlan().toString()
