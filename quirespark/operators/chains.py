@@ -12,6 +12,17 @@ import numpy as np
 PAIRS = 1 << 21
 
 
+def ranged(asks: np.ndarray, low: np.ndarray, high: np.ndarray):
+    """Each that asks with all places from ``low`` to before ``high``, ``PAIRS`` at a time."""
+    many = np.maximum(high - low, 0)
+    ends, at = np.cumsum(many), 0
+    while at < len(asks):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        m = many[at:upto]
+        yield np.repeat(asks[at:upto], m), np.repeat(low[at:upto] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
+        at = upto
+
+
 def heads(number: np.ndarray, runs: dict[str, np.ndarray], continues, reach: float, far: float, banned: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Of each run (page ``number``, rising; seq, x0, y0, x1, size and what ``continues`` reads) the place
     of the first run of its line. ``continues(a, b)`` gets places. ``reach`` and ``far``: how many sizes
@@ -46,15 +57,8 @@ def heads(number: np.ndarray, runs: dict[str, np.ndarray], continues, reach: flo
         low = x0[asks] - np.maximum(wide[g], 0) - far * np.maximum(largest[asks], 0) - 1e-6
         a0 = np.searchsorted(sorted_key, g * (len(values) + 1) + np.searchsorted(values, low))
         a1 = np.searchsorted(sorted_key, g * (len(values) + 1) + place[asks], "right")
-        many = a1 - a0
-        ends = np.cumsum(many)
-        at = 0
-        while at < len(asks):
-            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
-            m = many[at:upto]
-            a = np.repeat(asks[at:upto], m)
-            b = order[np.repeat(a0[at:upto] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())]
-            at = upto
+        for a, b in ranged(asks, a0, a1):
+            b = order[b]
             keep = ((x0[b] < x0[a]) | ((x0[b] == x0[a]) & (seq[b] < seq[a])))
             a, b = a[keep], b[keep]
             keep = continues(a, b)

@@ -1,29 +1,27 @@
 """From text runs to a page's layout: lines, columns, rows of cells, tables, paragraphs.
 
 Runs are (doc_id, page, seq, text, x0, y0, x1, y1, size), y0 the baseline, y growing
-upwards. What lies near what is a join over tiles of the page: one side is dealt to the
-tiles that it covers, the other to those that it asks, and a pair that meets in several
-is counted in one. Runs that continue each other form chains: pages are dealt to tasks once, and
-``chains`` finds them over batches of pages in NumPy; everything after that is windows over
-lines."""
+upwards. Pages are dealt to tasks once, or come dealt, and a batch of whole pages is laid out
+at a time: runs that continue each other (``chains``) and what parts them in NumPy, for all its
+pages at once; what stands where among the lines page by page. Nothing is dealt again and no
+pair of runs leaves its task."""
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from quirespark.functions.text import SPACE
-from quirespark.operators.chains import heads
+from quirespark.operators.chains import heads, ranged
 from quirespark.operators.layout import whole_pages
 from quirespark.operators.rounds import cut
 
-#: Side of a tile, in points.
-TILE = 48.0
-
 #: Fixed values, in ems: runs on one baseline, the widest gap that joins, what parts words;
 #: marks that are set higher: how small, how high, how near; a rule beside text.
 BASELINE, JOIN_GAP, WORD_GAP = 0.3, 1.5, 0.15
@@ -34,33 +32,33 @@ BESIDE_SIZES, BESIDE_GLYPHS = 3.0, "_‐‑‒–—―\\-"
 GUTTER_GAP, GUTTER_EDGE, GUTTER_LINES, GUTTER_BESIDE, GUTTER_CLEAR, GUTTER_WORDS, LEADER_DOTS = 0.6, 0.5, 3, 0.5, 2.5, 2, 4
 RUNNING_LINES, CELL_ROWS, TABLE_FILL = 2, 3, 4
 
-
-def tiles(low_x: Column, low_y: Column, high_x: Column, high_y: Column, tile: float = TILE) -> Column:
-    """The tiles (tx, ty) that a box touches, one row each."""
-    span = lambda a, b: F.sequence(F.floor(a / tile), F.floor(F.greatest(a, b) / tile))
-    return F.explode(F.flatten(F.transform(span(low_x, high_x), lambda x: F.transform(span(low_y, high_y), lambda y: F.struct(x.alias("tx"), y.alias("ty"))))))
+#: The characters of ``SPACE``.
+SPACES = "".join(chr(c) for low, high in re.findall(r"\\x\{(\w+)\}(?:-\\x\{(\w+)\})?", SPACE) for c in range(int(low, 16), int(high or low, 16) + 1))
+WORD = re.compile(f"[^{SPACES}]+")
+NUMBERS = (("x0", float), ("y0", float), ("x1", float), ("size", float), ("seq", np.int64), ("_rule", bool), ("_short", bool))
 
 
-def near(left: DataFrame, right: DataFrame, ask: tuple[Column, Column, Column, Column], have: tuple[Column, Column, Column, Column], where: Column) -> DataFrame:
-    """Pairs of rows of one page whose boxes ``ask`` (of the left) and ``have`` (of the right)
-    share a tile, with ``where``. Columns of the left come as ``a``, of the right as ``b``."""
-    low = lambda box: (F.floor(box[0] / TILE).alias("lx"), F.floor(box[1] / TILE).alias("ly"))
-    one = left.select("doc_id", "page", tiles(*ask).alias("t"), F.struct(*left.columns).alias("a"), F.struct(*low(ask)).alias("la"))
-    two = right.select("doc_id", "page", tiles(*have).alias("t"), F.struct(*right.columns).alias("b"), F.struct(*low(have)).alias("lb"))
-    both = one.join(two.hint("merge"), ["doc_id", "page", "t"])
-    # Of the tiles in which two meet, the one that holds the lower corner of what they share.
-    corner = (F.col("t.tx") == F.greatest("la.lx", "lb.lx")) & (F.col("t.ty") == F.greatest("la.ly", "lb.ly"))
-    return both.where(corner & where).select("doc_id", "page", "a", "b")
+def dealt_by_page(rows: DataFrame) -> DataFrame:
+    return rows.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page")
 
 
-def leads(text: Column) -> Column:
+def leads(text: str) -> bool:
     """Whether a text ends in dots that lead the eye on: four, an ellipsis counting three."""
-    tail = F.regexp_extract(text, rf"([.·…{SPACE}]*)$", 1)
-    return F.length(F.regexp_replace(F.replace(tail, F.lit("…"), F.lit("...")), f"[{SPACE}]", "")) >= LEADER_DOTS
+    tail = text[len(text.rstrip(SPACES + ".·…")) :]
+    return sum(3 if c == "…" else 1 for c in tail if c in ".·…") >= LEADER_DOTS
 
 
 def is_rule(text: Column) -> Column:
-    return text.rlike(rf"^[{SPACE}]*[{BESIDE_GLYPHS}]+[{SPACE}]*$")
+    return text.rlike(f"^[{SPACE}]*[{BESIDE_GLYPHS}]+[{SPACE}]*$")
+
+
+def is_white(text: Column) -> Column:
+    return text.rlike(f"^[{SPACE}]*$")
+
+
+def marked(runs: DataFrame) -> DataFrame:
+    """Runs with what ``continues`` reads of their text."""
+    return runs.select("*", is_rule(F.col("text")).alias("_rule"), (F.length(F.trim("text")) <= OPENING_CHARS).alias("_short"))
 
 
 def continues(runs: dict):
@@ -80,304 +78,537 @@ def continues(runs: dict):
     return among
 
 
-def chained(runs: DataFrame, parted: DataFrame | None = None) -> DataFrame:
+def numbers(rows: pa.Table) -> dict[str, np.ndarray]:
+    return {c: np.asarray(rows.column(c), dtype=kind) for c, kind in NUMBERS}
+
+
+def chained(runs: DataFrame) -> DataFrame:
     """Runs with ``line``, the seq of the first run of the line: each continues the nearest
     in height (then the one that ends furthest right, then the first) of those it can. Rows
     are dealt by page once; a task holds the pages of a batch."""
-    own = runs.select("*", is_rule(F.col("text")).alias("_rule"), (F.length(F.trim("text")) <= OPENING_CHARS).alias("_short"))
-    if parted is not None:  # pairs that a gutter parts
-        gone = parted.groupBy("doc_id", "page", "seq").agg(F.collect_set("other").alias("_gone"))
-        own = own.join(gone.hint("merge"), ["doc_id", "page", "seq"], "left").select(*own.columns, "_gone")
-    dealt = own.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page")
-    names = runs.columns
+    names, seq = runs.columns, runs.schema["seq"].dataType
 
     def run(batches):
         for rows, number in whole_pages(batches):
-            of = {c: np.asarray(rows.column(c), dtype=kind) for c, kind in (("x0", float), ("y0", float), ("x1", float), ("size", float), ("seq", np.int64), ("_rule", bool), ("_short", bool))}
-            banned = None
-            if "_gone" in rows.column_names:
-                lists = rows.column("_gone").combine_chunks()
-                counts = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
-                banned = np.repeat(np.arange(len(counts)), counts), np.asarray(pc.list_flatten(lists), dtype=np.int64)
-            line = of["seq"][heads(number, of, continues(of), RAISED_HIGH, JOIN_GAP, banned)]
-            whole = rows.select(names).append_column("line", pa.array(line).cast(rows.schema.field("seq").type))
-            yield from whole.to_batches(max_chunksize=8192)
-
-    seq = runs.schema["seq"].dataType
-    return dealt.mapInArrow(run, StructType([*runs.schema.fields, StructField("line", seq)]))
-
-
-def spelt(chains: DataFrame) -> DataFrame:
-    """Lines (doc_id, page, seq, text, x0, x1, y, size, runs, first_word) of runs with a line: runs
+            of = numbers(rows)
+            line = of["seq"][heads(number, of, continues(of), RAISED_HIGH, JOIN_GAP)]
+            yield from rows.select(names).append_column("line", pa.array(line).cast(rows.schema.field("seq").type)).to_batches()
+
+    return dealt_by_page(marked(runs)).mapInArrow(run, StructType([*runs.schema.fields, StructField("line", seq)]))
+
+
+# Lines of the runs of whole pages.
+
+
+class Line:
+    """Runs by line and from the left: ``order``, ``fresh`` (one opens a line), ``line`` and ``first``."""
+
+    def __init__(self, head: np.ndarray, of: dict[str, np.ndarray]):
+        self.order = np.lexsort((of["seq"], of["x0"], head))
+        own = head[self.order]
+        self.fresh = np.concatenate([[True], own[1:] != own[:-1]])[: len(own)]
+        self.line, self.first = np.cumsum(self.fresh) - 1, np.flatnonzero(self.fresh)
+
+    def so_far(self, values: np.ndarray) -> np.ndarray:
+        """The largest of each line up to each run."""
+        ranks, place = np.unique(values[self.order], return_inverse=True)
+        base = self.line * len(ranks)
+        return ranks[np.maximum.accumulate(base + place) - base]
+
+    def before(self, values: np.ndarray) -> np.ndarray:
+        """The same without the run itself; what it is of a first run means nothing."""
+        return np.concatenate([values[:1], self.so_far(values)[:-1]])
+
+
+def spelt(lines: Line, of: dict[str, np.ndarray], text: pa.Array) -> dict:
+    """Lines (first: the place of their first run, text, x0, x1, y, size, runs, first_word): runs
     from the left, a blank where the gap parts words; the baseline is that of the largest run."""
-    w = Window.partitionBy("doc_id", "page", "line").orderBy("x0", "seq")
-    so_far = w.rowsBetween(Window.unboundedPreceding, -1)
-    em = F.greatest(F.max("size").over(so_far), F.col("size"))
-    gap = F.col("x0") - F.max("x1").over(so_far) > WORD_GAP * em
-    blank = gap & ~F.lag("text").over(w).endswith(" ") & ~F.col("text").startswith(" ")
-    rows = chains.select("*", F.concat(F.when(blank, " ").otherwise(""), "text").alias("_text"), F.struct("x0", "seq").alias("_at"))
-    out = rows.groupBy("doc_id", "page", F.col("line").alias("seq")).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_text"))), lambda r: r["_text"]), "").alias("text"), F.min("x0").alias("x0"), F.max("x1").alias("x1"),
-        F.min_by("y0", F.struct(-F.col("size"), "x0", "seq")).alias("y"), F.max("size").alias("size"), F.count(F.lit(1)).alias("runs"),
-    )
-    out = out.withColumn("text", F.regexp_replace("text", f"^[{SPACE}]+|[{SPACE}]+$", ""))
-    chars = F.length("text")
-    share = F.length(F.regexp_extract("text", f"^([^{SPACE}]*)", 1)) / F.greatest(chars, F.lit(1))
-    return out.withColumn("first_word", (F.col("x1") - F.col("x0")) * share)
-
-
-def gutter_edges(lines: DataFrame) -> DataFrame:
-    """doc_id, page, x: left edges of lines with other text to their left on about their height."""
-    high = GUTTER_BESIDE * F.col("size")
-    band = (F.lit(0.0), F.col("y") - high, F.lit(0.0), F.col("y") + high)  # a line anywhere to the left counts
-    beside = (F.col("b.x1") <= F.col("a.x0") + GUTTER_EDGE) & (F.abs(F.col("a.y") - F.col("b.y")) <= GUTTER_BESIDE * F.greatest("a.size", "b.size")) & (F.col("a.seq") != F.col("b.seq"))
-    own = lines.select("doc_id", "page", "seq", "x0", "x1", "y", "size")
-    return near(own, own, band, band, beside).select("doc_id", "page", F.col("a.seq").alias("seq"), F.col("a.x0").alias("x")).distinct()
-
-
-def parted(runs: DataFrame, chains: DataFrame, lines: DataFrame) -> DataFrame:
-    """doc_id, page, seq, other: runs that a gutter keeps from the run before in their line: three
+    order, first = lines.order, lines.first
+    x0, x1, size, own = of["x0"][order], of["x1"][order], of["size"][order], text.take(pa.array(order))
+    gap = x0 - lines.before(of["x1"]) > WORD_GAP * lines.so_far(of["size"])
+    ends, starts = np.asarray(pc.ends_with(own, " ")), np.asarray(pc.starts_with(own, " "))
+    blank = gap & ~lines.fresh & ~np.concatenate([ends[:1], ends[:-1]]) & ~starts
+    pieces = pc.binary_join_element_wise(pc.if_else(pa.array(blank), " ", ""), own, "")
+    edges = np.concatenate([first, [len(order)]]).astype(np.int32)
+    said = pc.utf8_trim(pc.binary_join(pa.ListArray.from_arrays(pa.array(edges), pieces), ""), SPACES)
+    largest, right = np.maximum.reduceat(size, first), np.maximum.reduceat(x1, first)
+    top = np.flatnonzero(size == largest[lines.line])
+    main = top[np.unique(lines.line[top], return_index=True)[1]]
+    chars = np.asarray(pc.utf8_length(said))
+    word = np.asarray(pc.utf8_length(pc.replace_substring_regex(said, f"(?s)[{SPACE}].*", "")))
+    left = x0[first]
+    return {"first": order[first], "text": said, "x0": left, "x1": right, "y": of["y0"][order][main], "size": largest, "runs": np.diff(edges).astype(np.int64), "first_word": (right - left) * (word / np.maximum(chars, 1))}
+
+
+def level_with(number: np.ndarray, y: np.ndarray, asks: np.ndarray, of: np.ndarray, reach: np.ndarray):
+    """Pairs of each that asks (page, y and reach by place) and those (page ``number``, y) of its page that stand no further away in height, some at a time, and perhaps a few more."""
+    at, height = asks
+    by = np.lexsort((y, number))
+    values, rank = np.unique(y, return_inverse=True)
+    key = number[by] * (len(values) + 1) + rank[by]
+    low = np.searchsorted(key, at * (len(values) + 1) + np.searchsorted(values, height - reach - 1e-6))
+    high = np.searchsorted(key, at * (len(values) + 1) + np.searchsorted(values, height + reach + 1e-6, "right"))
+    for a, b in ranged(of, low, high):
+        yield a, by[b]
+
+
+def gutter_edges(page: np.ndarray, made: dict) -> np.ndarray:
+    """The lines with other text to their left on about their height."""
+    out = np.zeros(len(page), bool)
+    x0, x1, y, size = (made[c] for c in ("x0", "x1", "y", "size"))
+    largest = np.maximum.reduceat(size, np.flatnonzero(np.diff(page, prepend=-1)))[np.unique(page, return_inverse=True)[1]]
+    for a, b in level_with(page, y, (page, y), np.arange(len(page)), GUTTER_BESIDE * np.abs(largest)):
+        beside = (x1[b] <= x0[a] + GUTTER_EDGE) & (np.abs(y[a] - y[b]) <= GUTTER_BESIDE * np.maximum(size[a], size[b])) & (a != b)
+        out[a[beside]] = True
+    return out
+
+
+def parted(number: np.ndarray, of: dict[str, np.ndarray], text: pa.Array, lines: Line, made: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Places of runs that a gutter keeps from the run before in their line, and its seq: three
     lines begin at its left edge, the gap is wide, two words or more stand before it, no
     leader leads to it, and no text near above or below crosses its edge."""
-    edges = gutter_edges(lines).select("doc_id", "page", "x", F.lit(True).alias("edge"))
-    asked = chains.select("doc_id", "page", F.col("x0").alias("x"), F.lit(False).alias("edge"), "seq", "line", "x0", "y0", "size")
-    about = F.expr(f"sum(CAST(edge AS INT)) OVER (PARTITION BY doc_id, page ORDER BY x RANGE BETWEEN {GUTTER_EDGE}D PRECEDING AND {GUTTER_EDGE}D FOLLOWING)")
-    counted = asked.unionByName(edges, allowMissingColumns=True).withColumn("n", about).where(~F.col("edge") & (F.col("n") >= GUTTER_LINES))
-    so_far = Window.partitionBy("doc_id", "page", "line").orderBy("x0", "seq")
-    spoken = chains.select(
-        "doc_id", "page", "seq", F.max("x1").over(so_far.rowsBetween(Window.unboundedPreceding, -1)).alias("_end"), F.max("size").over(so_far.rowsBetween(Window.unboundedPreceding, 0)).alias("_em"), F.lag("seq").over(so_far).alias("other"),
-        F.sum(F.size(F.regexp_extract_all("text", F.lit(f"([^{SPACE}]+)"), F.lit(1)))).over(so_far.rowsBetween(Window.unboundedPreceding, -1)).alias("_words"), F.lag(leads(F.col("text"))).over(so_far).alias("_leads"),
-    )
-    could = counted.join(spoken.hint("merge"), ["doc_id", "page", "seq"]).where((F.col("x0") - F.col("_end") > GUTTER_GAP * F.col("_em")) & (F.col("_words") >= GUTTER_WORDS) & ~F.col("_leads"))
-    could = could.select("doc_id", "page", "seq", "other", "x0", "y0", F.col("_em").alias("em"))
-    clear = GUTTER_CLEAR * F.col("em")
-    crossing = (F.col("b.x0") < F.col("a.x0") - GUTTER_EDGE) & (F.col("b.x1") > F.col("a.x0") + GUTTER_EDGE) & (F.abs(F.col("b.y0") - F.col("a.y0")) <= GUTTER_CLEAR * F.col("a.em"))
-    crossed = near(could, runs.select("doc_id", "page", "seq", "x0", "x1", "y0"), (F.col("x0"), F.col("y0") - clear, F.col("x0"), F.col("y0") + clear), (F.col("x0"), F.col("y0"), F.col("x1"), F.col("y0")), crossing)
-    return could.join(crossed.select("doc_id", "page", F.col("a.seq").alias("seq")).distinct().hint("merge"), ["doc_id", "page", "seq"], "left_anti").select("doc_id", "page", "seq", "other")
-
-
-def lines_of(runs: DataFrame) -> DataFrame:
-    """The lines of pages: made once, and again where they show a gutter that some line
-    was joined across. White runs and artifacts join nothing."""
+    page = number[made["first"]]
+    edge = gutter_edges(page, made)
+    on, x = page[edge], made["x0"][edge]
+    values, rank = np.unique(x, return_inverse=True)
+    key = np.sort(on * (len(values) + 1) + rank)
+    order = lines.order
+    x0, at = of["x0"][order], number[order] * (len(values) + 1)
+    about = np.searchsorted(key, at + np.searchsorted(values, x0 + GUTTER_EDGE, "right")) - np.searchsorted(key, at + np.searchsorted(values, x0 - GUTTER_EDGE))
+    em = lines.so_far(of["size"])
+    could = np.flatnonzero(~lines.fresh & (about >= GUTTER_LINES) & (x0 - lines.before(of["x1"]) > GUTTER_GAP * em))
+    # No run is white, so two runs before are two words.
+    said = text.take(pa.array(order[could - 1])).to_pylist()
+    alone = lines.fresh[could - 1]
+    could = could[[not leads(t) and (not one or len(WORD.findall(t)) >= GUTTER_WORDS) for t, one in zip(said, alone)]] if len(could) else could
+    if not len(could):
+        return could, could
+    run, em = order[could], em[could]
+    crossed = np.zeros(len(could), bool)
+    for a, b in level_with(number, of["y0"], (number[run], of["y0"][run]), np.arange(len(run)), GUTTER_CLEAR * np.abs(em)):
+        edge = of["x0"][run[a]]
+        cross = (of["x0"][b] < edge - GUTTER_EDGE) & (of["x1"][b] > edge + GUTTER_EDGE) & (np.abs(of["y0"][b] - of["y0"][run[a]]) <= GUTTER_CLEAR * em[a])
+        crossed[a[cross]] = True
+    return run[~crossed], of["seq"][order[could - 1]][~crossed]
+
+
+def lines_in(number: np.ndarray, of: dict[str, np.ndarray], text: pa.Array) -> dict:
+    """The lines of pages (``number`` of each run, rising from 0): made once, and again where they show a gutter
+    that some line was joined across."""
+    head = heads(number, of, continues(of), RAISED_HIGH, JOIN_GAP)
+    lines = Line(head, of)
+    made = spelt(lines, of, text)
+    gone, other = parted(number, of, text, lines, made)
+    if not len(gone):
+        return made
+    again = np.flatnonzero(np.isin(number, number[gone]))
+    part = {c: v[again] for c, v in of.items()}
+    head[again] = again[heads(np.unique(number[again], return_inverse=True)[1], part, continues(part), RAISED_HIGH, JOIN_GAP, (np.searchsorted(again, gone), other))]
+    return spelt(Line(head, of), of, text)
+
+
+def whole_text(rows: pa.Table) -> pa.Array:
+    text = rows.column("text").combine_chunks()
+    return pa.concat_arrays(text.chunks) if isinstance(text, pa.ChunkedArray) else text
+
+
+def fields(**kinds) -> list[StructField]:
+    return [StructField(name, kind) for name, kind in kinds.items()]
+
+
+TEXT, NUMBER, COUNT, REAL, FLAG = StringType(), IntegerType(), LongType(), DoubleType(), BooleanType()
+
+
+def lines_of(runs: DataFrame, dealt: bool = False) -> DataFrame:
+    """The lines of pages (doc_id, page, seq, text, x0, x1, y, size, runs, first_word). White runs and artifacts
+    join nothing. ``dealt``: the runs of a page come one after the other in one task already, and so do its lines."""
     if "artifact" in runs.columns:
         runs = runs.where("NOT artifact")
-    runs = runs.where(~F.col("text").rlike(f"^[{SPACE}]*$")).select("doc_id", "page", "seq", "text", "x0", "y0", "x1", "y1", "size")
-    chains = cut(chained(runs))
-    gone = cut(parted(chains, chains, spelt(chains)))
-    where = gone.select("doc_id", "page").distinct()
-    again = chained(chains.drop("line").join(where, ["doc_id", "page"], "left_semi"), gone)
-    return spelt(chains.join(where, ["doc_id", "page"], "left_anti").unionByName(again))
-
-
-# Columns, running lines, rows of cells.
-
-
-def column_islands(lines: DataFrame, by: list[str]) -> DataFrame:
-    """col: clusters of overlapping horizontal extents, left to right."""
-    w = Window.partitionBy(*by).orderBy("x0", "x1", "seq")
-    reach = F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.coalesce((F.col("x0") >= reach).cast("int"), F.lit(0))
-    return lines.withColumn("_fresh", fresh).withColumn("col", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_fresh")
-
-
-def with_running(lines: DataFrame) -> DataFrame:
-    """Lines with ``col`` in reading order and ``running``: a page whose columns but one, the
-    body with most lines, are all headers or footers has these before and after it. A
-    header or footer has at most two lines, is narrower than the body, and is an em or more
-    above its first line or below its last. All or nothing."""
-    lines = column_islands(lines, ["doc_id", "page"])
-    ends = lambda f, k: f(F.struct("y", "seq", "size"))[k]
-    cols = lines.groupBy("doc_id", "page", "col").agg(F.count(F.lit(1)).alias("n"), (F.max("x1") - F.min("x0")).alias("wide"), F.max("size").alias("em"), ends(F.max, "y").alias("top"), ends(F.min, "y").alias("low"), ends(F.max, "size").alias("top_em"), ends(F.min, "size").alias("low_em"))
-    w = Window.partitionBy("doc_id", "page")
-    cols = cols.withColumn("most", F.max("n").over(w)).withColumn("bodies", F.sum((F.col("n") == F.col("most")).cast("int")).over(w)).withColumn("all", F.count(F.lit(1)).over(w))
-    body = lambda c: F.max(F.when(F.col("n") == F.col("most"), F.col(c))).over(w)
-    is_body = F.col("n") == F.col("most")
-    below = F.col("top") <= body("low") - F.greatest(F.col("em"), body("low_em"))
-    above = F.col("low") >= body("top") + F.greatest(F.col("em"), body("top_em"))
-    fits = is_body | ((F.col("n") <= RUNNING_LINES) & (F.col("wide") < body("wide")) & (below | above))
-    cols = cols.withColumn("place", F.when(is_body, 1).when(below, 2).otherwise(0)).withColumn("fits", fits)
-    whole = (F.col("all") > 1) & (F.col("bodies") == 1) & F.min(F.col("fits").cast("int")).over(w).cast("boolean")
-    cols = cols.withColumn("whole", whole).withColumn("_place", F.when(whole, F.col("place")).otherwise(0))
-    order = F.row_number().over(w.orderBy("_place", "col")) - 1
-    cols = cols.select("doc_id", "page", "col", order.alias("nth"), (F.col("whole") & ~is_body).alias("running"))
-    return lines.join(cols.hint("merge"), ["doc_id", "page", "col"]).drop("col").withColumnRenamed("nth", "col")
-
-
-def same_baseline(a: Column, b: Column) -> Column:
-    return F.abs(a["y"] - b["y"]) <= BASELINE * F.greatest(a["size"], b["size"])
-
-
-def stretches(lines: Column) -> Column:
-    """Of a column's lines, top to bottom, the stretches (from, to: places from 1, ``to`` behind
-    the last) that stand in rows of cells. One begins where two lines stand on one baseline
-    with a gap between them, and goes on to the first line drawn across the gap, which
-    every line left or right of it narrows; three rows make one. A fold over the column's
-    array from each such line, and one that takes them in order."""
-    n = F.size(lines)
-    line = lambda k: F.get(lines, k - 1)
-
-    def opening(k: Column) -> Column:
-        """The gap between line k and the last on its baseline that stands clear of it."""
-        start = F.struct(F.lit(0.0).alias("gl"), F.lit(-1.0).alias("gr"), F.lit(True).alias("on"))
-
-        def look(s: Column, m: Column) -> Column:
-            a = line(k)
-            on = s["on"] & same_baseline(a, m)
-            first, second = F.when(m["x0"] < a["x0"], m["x1"]).otherwise(a["x1"]), F.when(m["x0"] < a["x0"], a["x0"]).otherwise(m["x0"])
-            clear = on & (second > first)
-            return F.struct(F.when(clear, first).otherwise(s["gl"]).alias("gl"), F.when(clear, second).otherwise(s["gr"]).alias("gr"), on.alias("on"))
-
-        return F.aggregate(F.slice(lines, k + 1, n), start, look)
-
-    def walk(k: Column, gap: Column) -> Column:
-        none = F.lit(None).cast("struct<y:double,size:double>")
-        start = F.struct(gap["gl"].alias("gl"), gap["gr"].alias("gr"), k.alias("to"), F.lit(True).alias("on"), F.lit(0).alias("rows"), none.alias("left"), none.alias("right"))
-
-        def step(s: Column, m: Column) -> Column:
-            is_left = (m["x0"] < s["gl"]) & (F.greatest(s["gl"], m["x1"]) < s["gr"])
-            is_right = m["x0"] >= s["gl"]
-            on = s["on"] & (is_left | is_right)
-            own = F.struct(m["y"].alias("y"), m["size"].alias("size"))
-            met = on & F.when(is_left, s["right"].isNotNull() & same_baseline(s["right"], m)).otherwise(s["left"].isNotNull() & same_baseline(s["left"], m))
-            return F.struct(
-                F.when(on & is_left, F.greatest(s["gl"], m["x1"])).otherwise(s["gl"]).alias("gl"), F.when(on & ~is_left, F.least(s["gr"], m["x0"])).otherwise(s["gr"]).alias("gr"), (s["to"] + on.cast("int")).alias("to"), on.alias("on"),
-                (s["rows"] + met.cast("int")).alias("rows"), F.when(met, none).when(on & is_left, own).otherwise(s["left"]).alias("left"), F.when(met, none).when(on & ~is_left, own).otherwise(s["right"]).alias("right"),
-            )
-
-        return F.aggregate(F.slice(lines, k, n), start, step)
-
-    starts = F.filter(F.sequence(F.lit(1), n), lambda k: (k < n) & same_baseline(line(k), line(k + 1)))
-    gaps = F.filter(F.transform(starts, lambda k: F.struct(k.alias("from"), opening(k).alias("gap"))), lambda s: s["gap"]["gr"] > s["gap"]["gl"])
-    ends = F.filter(F.transform(gaps, lambda s: F.struct(s["from"].alias("from"), walk(s["from"], s["gap"]).alias("w"))), lambda s: s["w"]["rows"] >= CELL_ROWS)
-    found = F.transform(ends, lambda s: F.struct(s["from"].alias("from"), s["w"]["to"].alias("to")))
-    empty = F.array().cast("array<struct<from:int,to:int>>")
-    return F.aggregate(found, empty, lambda acc, s: F.when((F.size(acc) == 0) | (F.element_at(acc, -1)["to"] <= s["from"]), F.concat(acc, F.array(s))).otherwise(acc))
-
-
-def with_cells(lines: DataFrame) -> DataFrame:
-    """Lines with a column, and the stretch of rows of cells in it (``stretch`` from 1, or 0),
-    the row in the stretch and the cell in the row."""
-    own = F.struct(F.lit(0).alias("nth"), (-F.col("y")).alias("down"), "seq", "x0", "x1", "y", "size")
-    # Few bytes and much work: dealt to as many tasks as there are, where Spark would join small parts to one.
-    many = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = lines.select("doc_id", "page", "col", own.alias("own")).repartition(many, "doc_id", "page", "col")
-    cols = dealt.groupBy("doc_id", "page", "col").agg(F.sort_array(F.collect_list("own")).alias("lines"))
-    kind = "array<struct<y:double,x0:double,x1:double,size:double,seq:int>>"
-    lean = cols.select("doc_id", "page", "col", F.transform("lines", lambda m: F.struct(m["y"].alias("y"), m["x0"].alias("x0"), m["x1"].alias("x1"), m["size"].alias("size"), m["seq"].alias("seq"))).cast(kind).alias("lines"))
-    found = cut(lean.select("doc_id", "page", "col", "lines", stretches(F.col("lines")).alias("found")).where(F.size("found") > 0))
-    each = found.select("doc_id", "page", "col", "lines", F.posexplode("found").alias("k", "s"))
-    marked = each.select("doc_id", "page", "col", (F.col("k") + 1).alias("stretch"), F.posexplode(F.slice("lines", F.col("s.from"), F.col("s.to") - F.col("s.from"))).alias("at", "m")).select("doc_id", "page", "col", "stretch", "at", "m.*")
-    # A row opens at the first of the lines on one baseline.
-    w = Window.partitionBy("doc_id", "page", "col", "stretch").orderBy("at")
-    on = lambda f: F.coalesce(F.abs(f("y").over(w) - F.col("y")) <= BASELINE * F.greatest(f("size").over(w), F.col("size")), F.lit(False))
-    opens = (F.col("at") > 0) & ~on(F.lag) & on(F.lead)
-    marked = marked.withColumn("row", F.sum(opens.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    cells = column_islands(marked.withColumnRenamed("col", "column"), ["doc_id", "page", "column", "stretch", "row"]).withColumnRenamed("col", "cell")
-    cells = cells.select("doc_id", "page", "seq", "stretch", "row", "cell")
-    out = lines.join(cells.hint("merge"), ["doc_id", "page", "seq"], "left")
-    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("stretch", "row", "cell")})
-
-
-def grouped(lines: DataFrame) -> DataFrame:
+    runs = runs.where(~is_white(F.col("text"))).select("doc_id", "page", "seq", "text", "x0", "y0", "x1", "y1", "size")
+    own = marked(runs).drop("y1")
+
+    def run(batches):
+        for rows, number in whole_pages(batches):
+            made = lines_in(number, numbers(rows), whole_text(rows))
+            who = rows.select(["doc_id", "page", "seq"]).take(pa.array(made.pop("first")))
+            for name, values in made.items():
+                who = who.append_column(name, pa.array(values))
+            yield from who.to_batches()
+
+    ids = [runs.schema[c] for c in ("doc_id", "page", "seq")]
+    return (own if dealt else dealt_by_page(own)).mapInArrow(run, StructType([*ids, *fields(text=TEXT, x0=REAL, x1=REAL, y=REAL, size=REAL, runs=COUNT, first_word=REAL)]))
+
+
+# Columns, running lines, rows of cells: a page's lines as lists, a line by its place in them.
+
+
+class Page:
+    def __init__(self, seq: list, x0: list, x1: list, y: list, size: list, first_word: list):
+        self.seq, self.x0, self.x1, self.y, self.size, self.first_word = seq, x0, x1, y, size, first_word
+
+    def islands(self, own) -> list[list[int]]:
+        """Clusters of overlapping horizontal extents, left to right."""
+        x0, x1, seq, out, reach = self.x0, self.x1, self.seq, [], None
+        for k in sorted(own, key=lambda k: (x0[k], x1[k], seq[k])):
+            if reach is None or x0[k] >= reach:
+                out.append([])
+            out[-1].append(k)
+            reach = x1[k] if reach is None or x1[k] > reach else reach
+        return out
+
+    def columns(self) -> list[tuple[list[int], bool]]:
+        """Columns in reading order, and which are running: a page whose columns but one, the
+        body with most lines, are all headers or footers has these before and after it. A
+        header or footer has at most two lines, is narrower than the body, and is an em or more
+        above its first line or below its last. All or nothing."""
+        cols, y, seq, size = self.islands(range(len(self.seq))), self.y, self.seq, self.size
+        most = max(map(len, cols))
+        if len(cols) < 2 or sum(len(c) == most for c in cols) > 1:
+            return [(c, False) for c in cols]
+        body = next(c for c in cols if len(c) == most)
+        wide = lambda c: max(self.x1[k] for k in c) - min(self.x0[k] for k in c)
+        by = lambda k: (y[k], seq[k], size[k])
+        top, low, measure, heads_, feet = max(body, key=by), min(body, key=by), wide(body), [], []
+        for c in cols:
+            if c is body:
+                continue
+            em = max(size[k] for k in c)
+            if len(c) > RUNNING_LINES or not wide(c) < measure:
+                return [(c, False) for c in cols]
+            if max(y[k] for k in c) <= y[low] - max(em, size[low]):
+                feet.append(c)
+            elif min(y[k] for k in c) >= y[top] + max(em, size[top]):
+                heads_.append(c)
+            else:
+                return [(c, False) for c in cols]
+        return [*((c, True) for c in heads_), (body, False), *((c, True) for c in feet)]
+
+    def level(self, a: int, b: int) -> bool:
+        return abs(self.y[a] - self.y[b]) <= BASELINE * max(self.size[a], self.size[b])
+
+    def stretch(self, own: list[int], at: int) -> int:
+        """Where a stretch of rows of cells that begins at a column's line ends, ``at`` if none
+        does. One begins where two lines stand on one baseline with a gap between them, and
+        goes on to the first line drawn across the gap, which every line left or right of it
+        narrows; three rows make one."""
+        x0, x1, a, gl, gr = self.x0, self.x1, own[at], 0.0, -1.0
+        for k in range(at + 1, len(own)):
+            m = own[k]
+            if not self.level(a, m):
+                break
+            first, second = (x1[m], x0[a]) if x0[m] < x0[a] else (x1[a], x0[m])
+            if second > first:
+                gl, gr = first, second
+        if not gr > gl:
+            return at
+        end, rows, left, right = at, 0, None, None
+        for k in range(at, len(own)):
+            m = own[k]
+            if x0[m] < gl and max(gl, x1[m]) < gr:
+                gl = max(gl, x1[m])
+                met = right is not None and self.level(right, m)
+                left = m
+            elif x0[m] >= gl:
+                gr = min(gr, x0[m])
+                met = left is not None and self.level(left, m)
+                right = m
+            else:
+                break
+            end += 1
+            if met:
+                rows, left, right = rows + 1, None, None
+        return end if rows >= CELL_ROWS else at
+
+    def rows(self, own: list[int]) -> list[list[int]]:
+        """A stretch's rows: one opens at the first of the lines on one baseline."""
+        out = [[own[0]]]
+        for k in range(1, len(own)):
+            if not self.level(own[k - 1], own[k]) and k + 1 < len(own) and self.level(own[k], own[k + 1]):
+                out.append([])
+            out[-1].append(own[k])
+        return out
+
+    def grouped(self) -> tuple[list, ...]:
+        """col, running, stretch, row, cell, place and para of each line: see ``grouped``."""
+        y, seq, size, x0, x1, first_word = self.y, self.seq, self.size, self.x0, self.x1, self.first_word
+        n = len(seq)
+        col, is_running, stretch, row, cell, place, para = [0] * n, [False] * n, [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
+        down = lambda k: (-y[k], seq[k])
+        nth = many = 0
+        for c, (own, running) in enumerate(self.columns()):
+            own = sorted(own, key=down)
+            steps = sorted(y[a] - y[b] for a, b in zip(own, own[1:]))
+            half = len(steps) // 2
+            typical = 0.0 if not steps else steps[half] if len(steps) % 2 or steps[half - 1] == steps[half] else 0.5 * steps[half - 1] + 0.5 * steps[half]
+            right, heights, at, edges = max(x1[k] for k in own), [y[k] for k in own], 0, {}
+            for k in own:
+                col[k], is_running[k] = c, running
+            while at + 1 < len(own):
+                end = self.stretch(own, at) if self.level(own[at], own[at + 1]) else at
+                if end == at:
+                    at += 1
+                    continue
+                s = len(edges) + 1
+                part, of = own[at:end], {}
+                for r, line in enumerate(self.rows(part)):
+                    cells = self.islands(line)
+                    for i, members in enumerate(cells):
+                        of[r, i] = min(x0[k] for k in cells[i + 1]) if i + 1 < len(cells) else right
+                        for k in members:
+                            stretch[k], row[k], cell[k] = s, r, i
+                edges[s] = of
+                heights[at:end] = [y[part[0]]] * len(part)
+                at = end
+            top = dict(zip(own, heights))
+            last, past = None, 0
+            # A paragraph around a stretch ends at it: some stretch's first line lies between the two.
+            was_past = 0
+            before = {}
+            for k in sorted(own, key=lambda k: (-top[k], stretch[k], row[k], cell[k], -y[k], seq[k])):
+                s = stretch[k]
+                if s > past:
+                    past = s
+                key = (s, row[k], cell[k])
+                last, was_past = before.get(key, (None, 0))
+                if last is None:
+                    breaks = True
+                else:
+                    em = max(size[last], size[k])
+                    edge = edges[s][row[k], cell[k]] if s else right
+                    breaks = (
+                        abs(size[last] - size[k]) > 0.1 * em or len(steps) >= 2 and y[last] - y[k] > 1.25 * typical or x0[k] > x0[last] + 0.5 * em
+                        or edge - x1[last] > first_word[k] + 0.5 * em or not s and was_past != past
+                    )
+                before[key] = k, past
+                nth, many = nth + 1, many + breaks
+                place[k], para[k] = nth, many
+        return col, is_running, stretch, row, cell, place, para
+
+
+LAYOUT = ("col", "running", "stretch", "row", "cell", "place", "para")
+PLACES = fields(col=NUMBER, running=FLAG, stretch=NUMBER, row=NUMBER, cell=NUMBER, place=NUMBER, para=NUMBER)
+
+
+def pages_of(number: np.ndarray, columns: list[list]):
+    """Each page's slice (from, to) and its ``Page``; ``columns`` are those that a page takes."""
+    edges = [*np.flatnonzero(np.diff(number, prepend=-1)).tolist(), len(number)]
+    for a, b in zip(edges, edges[1:]):
+        yield a, b, Page(*(c[a:b] for c in columns))
+
+
+def grouped(lines: DataFrame, dealt: bool = False) -> DataFrame:
     """Lines with ``place`` in reading order and ``para``, numbered through the page: columns from
     the left (headers first, footers last), in them downwards; a stretch of rows of cells
     stands where its first line does and is read row by row, cell by cell. A line begins a
     paragraph when its size changes by over a tenth, it steps down more than 1.25 of the
     column's usual step (of two or more), it starts over half an em further right, or
     the line before stopped where its first word would have fitted: short of the column's
-    right edge, or in a cell of where the next cell begins."""
-    lines = cut(with_cells(cut(with_running(cut(lines)))))
-    down = Window.partitionBy("doc_id", "page", "col").orderBy(F.desc("y"), "seq")
-    steps = lines.withColumn("_step", F.lag("y").over(down) - F.col("y")).groupBy("doc_id", "page", "col").agg(F.max("x1").alias("right"), F.coalesce(F.percentile("_step", 0.5), F.lit(0.0)).alias("typical"), F.count("_step").alias("steps"))
-    firsts = lines.where("stretch > 0").groupBy("doc_id", "page", "col", "stretch").agg(F.max(F.struct("y", -F.col("seq")))["y"].alias("head"), F.min("y").alias("foot"))
-    cells = lines.where("stretch > 0").groupBy("doc_id", "page", "col", "stretch", "row", "cell").agg(F.min("x0").alias("from"))
-    beside = F.lead("from").over(Window.partitionBy("doc_id", "page", "col", "stretch", "row").orderBy("cell"))
-    cells = cells.select("doc_id", "page", "col", "stretch", "row", "cell", beside.alias("edge"))
-    both = lines.join(steps.hint("merge"), ["doc_id", "page", "col"]).join(firsts.hint("merge"), ["doc_id", "page", "col", "stretch"], "left").join(cells.hint("merge"), ["doc_id", "page", "col", "stretch", "row", "cell"], "left")
-    both = both.withColumn("_top", F.coalesce("head", "y")).withColumn("edge", F.coalesce("edge", "right"))
-    order = ["col", F.desc("_top"), "stretch", "row", "cell", F.desc("y"), "seq"]
-    w = Window.partitionBy("doc_id", "page").orderBy(*order)
-    inside = Window.partitionBy("doc_id", "page", "col", "stretch", "row", "cell").orderBy(F.desc("y"), "seq")
-    lag = lambda c: F.lag(c).over(inside)
-    em = F.greatest(lag("size"), F.col("size"))
-    # A paragraph around a stretch ends at it: some stretch's first line lies between the two.
-    marks = F.max(F.when(F.col("stretch") > 0, F.col("stretch"))).over(Window.partitionBy("doc_id", "page", "col").orderBy(F.desc("_top"), "stretch").rowsBetween(Window.unboundedPreceding, 0))
-    both = both.withColumn("_past", F.coalesce(marks, F.lit(0)))
-    breaks = (
-        lag("seq").isNull() | (F.abs(lag("size") - F.col("size")) > 0.1 * em) | ((F.col("steps") >= 2) & (lag("y") - F.col("y") > 1.25 * F.col("typical"))) | (F.col("x0") > lag("x0") + 0.5 * em)
-        | (F.col("edge") - lag("x1") > F.col("first_word") + 0.5 * em) | ((F.col("stretch") == 0) & (lag("_past") != F.col("_past")))
-    )
-    out = both.withColumn("_breaks", breaks.cast("int")).withColumn("place", F.row_number().over(w)).withColumn("para", F.sum("_breaks").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    return out.select("doc_id", "page", "seq", "text", "x0", "x1", "y", "size", "col", "running", "stretch", "row", "cell", "place", "para")
+    right edge, or in a cell of where the next cell begins. ``dealt`` as of ``lines_of``."""
+    names = ["doc_id", "page", "seq", "text", "x0", "x1", "y", "size"]
+
+    def run(batches):
+        for rows, number in whole_pages(batches):
+            out = [[] for _ in LAYOUT]
+            for _, _, page in pages_of(number, [rows.column(c).to_pylist() for c in ("seq", "x0", "x1", "y", "size", "first_word")]):
+                for all_, own in zip(out, page.grouped()):
+                    all_ += own
+            whole = rows.select(names)
+            for name, values in zip(LAYOUT, out):
+                whole = whole.append_column(name, pa.array(values, pa.bool_() if name == "running" else pa.int32()))
+            yield from whole.to_batches()
+
+    own = lines.select(*names, "first_word")
+    return (own if dealt else dealt_by_page(own)).mapInArrow(run, StructType([*(lines.schema[c] for c in names), *PLACES]))
 
 
 # Tables.
 
+#: What a page gives: its lines, the cells of its tables, its grids.
+PARTS = [
+    *fields(part=TEXT, seq=NUMBER, text=TEXT, x0=REAL, x1=REAL, y=REAL, size=REAL), *PLACES,
+    *fields(grid=NUMBER, xs=ArrayType(REAL), ys=ArrayType(REAL), filled=COUNT, reason=TEXT, before=NUMBER, lines=COUNT, paras=NUMBER),
+]
+
+
+class Grid:
+    """A grid of a page and the runs in it: ``at`` (its row), frame, reason, and of each run the row and column."""
+
+    def __init__(self, at: int, grid: int, xs: list, ys: list):
+        self.at, self.grid, self.xs, self.ys = at, grid, np.array(xs, float), np.array(ys, float)
+        self.x0, self.x1, self.y0, self.y1 = xs[0], xs[-1], ys[-1], ys[0]
+        self.slots, self.before = (len(xs) - 1) * (len(ys) - 1), None
+
+    def overlaps(self, other: Grid) -> bool:
+        return self.x0 < other.x1 and other.x0 < self.x1 and self.y0 < other.y1 and other.y0 < self.y1
+
+    def takes(self, runs: np.ndarray, mx: np.ndarray, my: np.ndarray, turned: np.ndarray) -> None:
+        self.runs = runs
+        # Edges of the frame divide nothing.
+        self.row = sum(((my <= y).astype(np.int64) for y in self.ys[1:-1]), np.zeros(len(runs), np.int64))
+        self.col = sum(((mx >= x).astype(np.int64) for x in self.xs[1:-1]), np.zeros(len(runs), np.int64))
+        self.filled = len(np.unique(self.row * len(self.xs) + self.col))
+        self.turned = bool(turned.any())
+
+
+def placed_in_grids(grids: list[Grid], runs: np.ndarray, mx: np.ndarray, my: np.ndarray, turned: np.ndarray) -> None:
+    """Gives each of a page's runs to the grid whose frame holds the middle of its box, of several the first from the
+    top and the left, and says of each grid why it is no table."""
+    free = np.ones(len(runs), bool)
+    for g in sorted(grids, key=lambda g: (-g.y1, g.x0, g.grid)):
+        own = np.flatnonzero(free & (mx >= g.x0) & (mx <= g.x1) & (my >= g.y0) & (my <= g.y1))
+        free[own] = False
+        g.takes(runs[own], mx[own], my[own], turned[own])
+    frames = np.array([(g.x0, g.x1, g.y0, g.y1) for g in grids])
+    for k, g in enumerate(grids):
+        meets = (frames[:, 0] < g.x1) & (g.x0 < frames[:, 1]) & (frames[:, 2] < g.y1) & (g.y0 < frames[:, 3])
+        meets[k] = False
+        g.reason = "" if TABLE_FILL * g.filled < g.slots else "nested" if meets.any() else "turned" if g.turned else None
+
+
+def cut_at_tables(page: Page, para: list[int], place: list[int], is_running: list[bool], kept: list[Grid]) -> None:
+    """Ends paragraphs at tables that stand in them, and tells each table (``before``) how many are read before it."""
+    order = sorted(range(len(para)), key=place.__getitem__)
+    x0, x1, y = page.x0, page.x1, page.y
+    was, more, paras, last = [para[k] for k in order], 0, [], None
+    for k, p in zip(order, was):
+        if last is not None and last[1] == p:
+            b = last[0]
+            left, right = min(x0[b], x0[k]), max(x1[b], x1[k])
+            more += any(y[b] >= g.y1 and y[k] < g.y0 and left < g.x1 and right > g.x0 for g in kept)
+        last = k, p
+        para[k] = p + more
+        if not paras or paras[-1][0] != para[k]:
+            paras.append([para[k], x0[k], x1[k], y[k], is_running[k]])
+        else:
+            paras[-1][1:3] = min(paras[-1][1], x0[k]), max(paras[-1][2], x1[k])
+    for g in kept:
+        g.before = len(paras)
+        for number, left, right, top, running in paras:
+            shares = running or left < g.x1 and right > g.x0
+            if top < g.y1 if shares else left >= g.x1:
+                g.before = number - 1
+                break
+
+
+def laid_out(rows: pa.Table, number: np.ndarray) -> tuple[pa.Table, dict[str, pa.Array]]:
+    """What the pages of a batch give, whose it is and its columns: see ``page_parts``."""
+    is_grid = np.asarray(rows.column("grid").is_valid())
+    runs, at_grids = np.flatnonzero(~is_grid), np.flatnonzero(is_grid)
+    own = rows.take(pa.array(runs))
+    of, text, page = numbers(own), whole_text(own), number[runs]
+    flag = lambda c, unknown: np.asarray(pc.fill_null(own.column(c), unknown), dtype=bool)
+    turned, artifact, y1 = flag("turned", False), flag("artifact", True), np.asarray(own.column("y1"), dtype=float)
+    mx, my = (of["x0"] + of["x1"]) / 2, (of["y0"] + y1) / 2
+    grids: dict[int, list[Grid]] = {}
+    held = rows.select(["grid", "xs", "ys"]).take(pa.array(at_grids))
+    for at, p, grid, xs, ys in zip(at_grids.tolist(), number[at_grids].tolist(), *(held.column(c).to_pylist() for c in ("grid", "xs", "ys"))):
+        grids.setdefault(p, []).append(Grid(at, grid, xs, ys))
+    # Cells are grouped apart from each other: each is a page of its own meanwhile.
+    cell, cells = np.full(len(runs), -1), []
+    for p, members in grids.items():
+        a, b = np.searchsorted(page, p), np.searchsorted(page, p, "right")
+        placed_in_grids(members, np.arange(a, b), mx[a:b], my[a:b], turned[a:b])
+        for g in members:
+            if g.reason is None:
+                slots, nth = np.unique(g.row * len(g.xs) + g.col, return_inverse=True)
+                cell[g.runs] = len(cells) + nth
+                cells += [(g, *divmod(int(s), len(g.xs))) for s in slots]
+    part = lambda which: ({c: v[which] for c, v in of.items()}, text.take(pa.array(which)))
+    inside = np.flatnonzero(cell >= 0)
+    inside = inside[np.argsort(cell[inside], kind="stable")]
+    said = [[] for _ in cells]
+    if len(inside):
+        made = lines_in(cell[inside], *part(inside))
+        seq = of["seq"][inside[made["first"]]]
+        for c, *line in zip(cell[inside[made["first"]]].tolist(), (-made["y"]).tolist(), seq.tolist(), made["text"].to_pylist()):
+            said[c].append(line)
+    rest = np.flatnonzero((cell < 0) & ~artifact)
+    out, who, sums, made = [[] for _ in LAYOUT], np.zeros(0, np.int64), {}, None
+    if len(rest):
+        made = lines_in(np.unique(page[rest], return_inverse=True)[1], *part(rest))
+        who = rest[made["first"]]
+        columns = [of["seq"][who].tolist(), *(made[c].tolist() for c in ("x0", "x1", "y", "size", "first_word"))]
+        where = page[who]
+        for a, _, lines in pages_of(np.unique(where, return_inverse=True)[1], columns):
+            own_layout, p = lines.grouped(), int(where[a])
+            kept = [g for g in grids.get(p, ()) if g.reason is None]
+            if kept:
+                cut_at_tables(lines, own_layout[6], own_layout[5], own_layout[1], kept)
+            sums[p] = len(lines.seq), max(own_layout[6])
+            for all_, values in zip(out, own_layout):
+                all_ += values
+    for p, members in grids.items():
+        for g in members:
+            g.page = p
+            if g.reason is None and g.before is None:
+                g.before = 0
+    flat = [g for members in grids.values() for g in members]
+    first = inside[np.searchsorted(cell[inside], np.arange(len(cells)))]
+    at = np.concatenate([runs[who], runs[first], np.array([g.at for g in flat], np.int64)])
+    sizes = len(who), len(cells), len(flat)
+    nulls = lambda n, kind: pa.nulls(n, kind)
+
+    def column(kind, lines=None, of_cells=None, of_grids=None):
+        parts = [nulls(n, kind) if v is None else pa.array(v, kind) if not isinstance(v, (pa.Array, pa.ChunkedArray)) else v.cast(kind) for n, v in zip(sizes, (lines, of_cells, of_grids))]
+        return pa.concat_arrays([c for p in parts for c in (p.chunks if isinstance(p, pa.ChunkedArray) else [p])])
+
+    line = (lambda c: made[c]) if made else (lambda c: None)
+    integer, real, string, edges = pa.int32(), pa.float64(), pa.string(), pa.list_(pa.float64())
+    found = {
+        "part": column(string, ["line"] * sizes[0], ["cell"] * sizes[1], ["grid"] * sizes[2]), "seq": column(integer, of["seq"][who]),
+        "text": column(string, line("text"), ["\n".join(t for _, _, t in sorted(own)) for own in said]), **{c: column(real, line(c)) for c in ("x0", "x1", "y", "size")},
+        "col": column(integer, out[0], [c for _, _, c in cells]), "running": column(pa.bool_(), out[1]), "stretch": column(integer, out[2]), "row": column(integer, out[3], [r for _, r, _ in cells]),
+        **{c: column(integer, out[k]) for k, c in enumerate(LAYOUT) if k > 3}, "grid": column(integer, None, [g.grid for g, _, _ in cells], [g.grid for g in flat]),
+        "xs": column(edges, None, None, [g.xs for g in flat]), "ys": column(edges, None, None, [g.ys for g in flat]), "filled": column(pa.int64(), None, None, [g.filled for g in flat]),
+        "reason": column(string, None, None, [g.reason for g in flat]), "before": column(integer, None, None, [g.before for g in flat]),
+        "lines": column(pa.int64(), None, None, [sums.get(g.page, (None,))[0] for g in flat]), "paras": column(integer, None, None, [sums.get(g.page, (None, None))[1] for g in flat]),
+    }
+    return rows.select(["doc_id", "page"]).take(pa.array(at)), found
+
+
+def page_parts(runs: DataFrame, grids: DataFrame | None = None) -> DataFrame:
+    """The layout of pages with ruled grids, a row for each line (``part`` is ``line``), each cell of
+    a table that holds text (``cell``) and each grid (``grid``).
+
+    A grid (doc_id, page, grid, xs rising, ys falling) is a table when a quarter of its cells hold text, no other grid overlaps it and
+    none of its text is turned (``reason`` says why not; too few says nothing). A table's
+    text goes to its cells, cell by cell in lines, and is taken out of the paragraphs; what
+    is left is grouped as a page without a table is, and a paragraph ends at a table that
+    stands in it. ``before`` is how many paragraphs are read before the table; ``lines`` and ``paras`` are how many its page has.
+
+    Without ``grids`` the rows of ``runs`` hold both (a grid has no text, a run no ``grid``), and a page's come one after the other in one task."""
+    dealt = grids is None
+    names = ["doc_id", "page", "seq", "text", "x0", "y0", "x1", "y1", "size"]
+    flags = [F.col(c) if c in runs.columns else F.lit(False).alias(c) for c in ("turned", "artifact")]
+    if dealt:
+        both = runs.select(*names, *flags, "grid", "xs", "ys")
+    else:
+        both = runs.select(*names, *flags).unionByName(grids.select("doc_id", "page", "grid", "xs", "ys"), allowMissingColumns=True)
+    both = marked(both.where(F.col("grid").isNotNull() | ~is_white(F.col("text"))))
+
+    def run(batches):
+        for rows, number in whole_pages(batches):
+            who, found = laid_out(rows, number)
+            for name, values in found.items():
+                who = who.append_column(name, values)
+            yield from who.to_batches()
 
-def placed_in_grids(runs: DataFrame, grids: DataFrame) -> DataFrame:
-    """Runs with the grid (doc_id, page, grid, xs rising, ys falling) whose frame holds the
-    middle of their box, of several the first from the top and the left, and with its
-    row and column there."""
-    g = grids.withColumns({"gx0": F.col("xs")[0], "gx1": F.element_at("xs", -1), "gy0": F.element_at("ys", -1), "gy1": F.col("ys")[0]})
-    r = runs.withColumns({"mx": (F.col("x0") + F.col("x1")) / 2, "my": (F.col("y0") + F.col("y1")) / 2})
-    holds = F.col("a.mx").between(F.col("b.gx0"), F.col("b.gx1")) & F.col("a.my").between(F.col("b.gy0"), F.col("b.gy1"))
-    both = near(r.select("doc_id", "page", "seq", "mx", "my"), g.select("doc_id", "page", "grid", "xs", "ys", "gx0", "gx1", "gy0", "gy1"), (F.col("mx"), F.col("my"), F.col("mx"), F.col("my")), (F.col("gx0"), F.col("gy0"), F.col("gx1"), F.col("gy1")), holds)
-    first = both.groupBy("doc_id", "page", F.col("a.seq").alias("seq")).agg(F.min(F.struct((-F.col("b.gy1")).alias("top"), F.col("b.gx0").alias("left"), F.col("b.grid").alias("grid"), F.col("b.xs").alias("xs"), F.col("b.ys").alias("ys"), F.col("a.mx").alias("mx"), F.col("a.my").alias("my"))).alias("m"))
-    inner = lambda edges: F.slice(edges, F.lit(2), F.greatest(F.size(edges) - 2, F.lit(0)))
-    col = F.size(F.filter(inner(F.col("m.xs")), lambda x: x <= F.col("m.mx")))
-    row = F.size(F.filter(inner(F.col("m.ys")), lambda y: y >= F.col("m.my")))
-    return runs.join(first.select("doc_id", "page", "seq", "m.grid", row.alias("row"), col.alias("col")).hint("merge"), ["doc_id", "page", "seq"], "left")
+    return (both if dealt else dealt_by_page(both)).mapInArrow(run, StructType([runs.schema["doc_id"], runs.schema["page"], *PARTS]))
 
 
-def nested(grids: DataFrame) -> DataFrame:
-    """doc_id, page, grid: grids whose frame overlaps another's."""
-    g = grids.select("doc_id", "page", "grid", F.col("xs")[0].alias("x0"), F.element_at("xs", -1).alias("x1"), F.element_at("ys", -1).alias("y0"), F.col("ys")[0].alias("y1"))
-    c = lambda n: F.col(n)
-    meets = (c("a.grid") != c("b.grid")) & (c("a.x0") < c("b.x1")) & (c("b.x0") < c("a.x1")) & (c("a.y0") < c("b.y1")) & (c("b.y0") < c("a.y1"))
-    box = (c("x0"), c("y0"), c("x1"), c("y1"))
-    return near(g, g, box, box, meets).select("doc_id", "page", F.col("a.grid").alias("grid")).distinct()
+def lines_among(parts: DataFrame) -> DataFrame:
+    return parts.where("part = 'line'").select("doc_id", "page", "seq", "text", "x0", "x1", "y", "size", *LAYOUT)
 
 
-def tables_in_layout(runs: DataFrame, grids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The layout of pages with ruled grids: (lines in paragraphs, cells, grids).
+def cells_among(parts: DataFrame) -> DataFrame:
+    return parts.where("part = 'cell'").select("doc_id", "page", "grid", "row", "col", "text")
 
-    A grid is a table when a quarter of its cells hold text, no other grid overlaps it and
-    none of its text is turned (``reason`` says why not; too few says nothing). A table's
-    text goes to its cells, cell by cell in lines, and is taken out of the paragraphs; what
-    is left is grouped as a page without a table is, and a paragraph ends at a table that
-    stands in it. ``before`` is how many paragraphs are read before the table."""
-    grids = cut(grids)
-    own = cut(placed_in_grids(runs.where(~F.col("text").rlike(f"^[{SPACE}]*$")), grids))
-    turned = F.max(F.col("turned").cast("int")) if "turned" in runs.columns else F.lit(0)
-    filled = own.where("grid IS NOT NULL").groupBy("doc_id", "page", "grid").agg(F.countDistinct("row", "col").alias("filled"), turned.alias("is_turned"))
-    g = grids.join(filled, ["doc_id", "page", "grid"], "left").join(nested(grids).withColumn("is_nested", F.lit(True)), ["doc_id", "page", "grid"], "left")
-    slots = (F.size("xs") - 1) * (F.size("ys") - 1)
-    few = TABLE_FILL * F.coalesce("filled", F.lit(0)) < slots
-    reason = F.when(few, "").when(F.col("is_nested"), "nested").when(F.col("is_turned") > 0, "turned")
-    judged = cut(g.select("doc_id", "page", "grid", "xs", "ys", F.coalesce("filled", F.lit(0)).alias("filled"), reason.alias("reason")))
-    kept = judged.where("reason IS NULL").select("doc_id", "page", "grid")
-    inside = own.join(kept, ["doc_id", "page", "grid"], "left_semi")
-    rest = own.join(inside.select("doc_id", "page", "seq").hint("merge"), ["doc_id", "page", "seq"], "left_anti")
-    # Cells are grouped apart from each other: each is a page of its own meanwhile.
-    cell = F.struct("doc_id", "page", "grid", "row", "col")
-    cells = lines_of(inside.select(cell.alias("doc_id"), F.lit(0).alias("page"), "seq", "text", "x0", "y0", "x1", "y1", "size"))
-    cells = cells.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("y")).alias("down"), "seq", "text"))).alias("lines"))
-    cells = cells.select("doc_id.*", F.array_join(F.transform("lines", lambda m: m["text"]), "\n").alias("text"))
-    layout = cut(grouped(lines_of(rest.drop("grid", "row", "col"))))
-    # Where a table parts two lines of a paragraph.
-    frames = judged.where("reason IS NULL").select("doc_id", "page", "grid", F.col("xs")[0].alias("gx0"), F.element_at("xs", -1).alias("gx1"), F.element_at("ys", -1).alias("gy0"), F.col("ys")[0].alias("gy1"))
-    w = Window.partitionBy("doc_id", "page", "para").orderBy("place")
-    steps = layout.select("doc_id", "page", "place", F.col("y").alias("low"), F.lag("y").over(w).alias("high"), F.least(F.lag("x0").over(w), F.col("x0")).alias("x0"), F.greatest(F.lag("x1").over(w), F.col("x1")).alias("x1")).where("high IS NOT NULL")
-    stands = (F.col("a.high") >= F.col("b.gy1")) & (F.col("a.low") < F.col("b.gy0")) & (F.col("a.x0") < F.col("b.gx1")) & (F.col("a.x1") > F.col("b.gx0"))
-    split = near(steps, frames, (F.col("x0"), F.col("low"), F.col("x1"), F.col("high")), (F.col("gx0"), F.col("gy0"), F.col("gx1"), F.col("gy1")), stands).select("doc_id", "page", F.col("a.place").alias("place"), F.lit(1).alias("_split")).distinct()
-    whole = layout.join(split.hint("merge"), ["doc_id", "page", "place"], "left")
-    along = Window.partitionBy("doc_id", "page").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    whole = cut(whole.withColumn("para", (F.col("para") + F.coalesce(F.sum("_split").over(along), F.lit(0))).cast("int")).drop("_split"))
-    paras = whole.groupBy("doc_id", "page", "para").agg(F.min("x0").alias("px0"), F.max("x1").alias("px1"), F.min_by("y", "place").alias("py"), F.first("running").alias("running"))
-    shares = F.col("running") | ((F.col("px0") < F.col("gx1")) & (F.col("px1") > F.col("gx0")))
-    after = (shares & (F.col("py") < F.col("gy1"))) | (~shares & (F.col("px0") >= F.col("gx1")))
-    many = paras.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("many"))
-    first = frames.join(paras.hint("merge"), ["doc_id", "page"]).where(after).groupBy("doc_id", "page", "grid").agg(F.min("para").alias("next"))
-    put = frames.select("doc_id", "page", "grid").join(first, ["doc_id", "page", "grid"], "left").join(many, ["doc_id", "page"], "left")
-    put = put.select("doc_id", "page", "grid", (F.coalesce(F.col("next") - 1, F.col("many"), F.lit(0))).cast("int").alias("before"))
-    return whole, cells, judged.join(put, ["doc_id", "page", "grid"], "left")
+
+def grids_among(parts: DataFrame) -> DataFrame:
+    return parts.where("part = 'grid'").select("doc_id", "page", "grid", "xs", "ys", "filled", "reason", "before")
+
+
+def tables_in_layout(runs: DataFrame, grids: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines in paragraphs, cells, grids) of ``page_parts``."""
+    parts = cut(page_parts(runs, grids))
+    return lines_among(parts), cells_among(parts), grids_among(parts)

@@ -381,3 +381,48 @@ def test_pages_of_nothing(spark):
     assert G.grouped(G.lines_of(none)).collect() == []
     grids = spark.createDataFrame([], "doc_id long, page int, grid int, xs array<double>, ys array<double>")
     assert [df.collect() for df in G.tables_in_layout(none, grids)] == [[], [], []]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_run_lines_deals_documents_once(spark):
+    """Words are never dealt: one exchange, of documents, below all that makes and joins them, and no cut."""
+    plan = plan_of(Q.QUERIES["run_lines"](spark, FOLDER))
+    assert plan.count("Exchange") == 1 and "Window" not in plan and "Sort" not in plan and "/rounds/" not in plan
+    below = plan[plan.index("Exchange") :]
+    assert "MapInArrow" not in below and "documents.parquet" in below
+
+
+def test_pages_that_batches_cut(spark):
+    """Lines are the same wherever Arrow's batches end, dealt before or here."""
+    runs = frame(spark, scattered(3, 40))
+    want = sorted(map(tuple, G.lines_of(runs).collect()))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        dealt = runs.coalesce(1).sortWithinPartitions("doc_id", "page")
+        assert sorted(map(tuple, G.lines_of(runs).collect())) == sorted(map(tuple, G.lines_of(dealt, dealt=True).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_words_of_pages(spark):
+    """Words, what stands before them, and where a page's first word is, of texts cut over many batches."""
+    import pyarrow as pa
+
+    texts = ["one two\tthree", "", None, " ".join(f"w{k}" for k in range(3000))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    limit, Q.WORDS_AT_ONCE = Q.WORDS_AT_ONCE, 100
+    try:
+        got = [tuple(r.values()) for b in Q.words_of([batch]) for r in b.to_pylist()]
+    finally:
+        Q.WORDS_AT_ONCE = limit
+    want = []
+    for doc, text in enumerate(texts):
+        off, before = 0, None
+        for seq, word in enumerate((text or "").split()):
+            want.append((doc, seq, word, off, before))
+            off, before = off + len(word) + 1, off
+    assert got == want
