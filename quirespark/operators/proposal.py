@@ -10,17 +10,15 @@ from pyspark.sql import functions as F
 from quirespark.functions.text import SPACE, list_marker, round_half
 from quirespark.operators.grouping import tables_in_layout
 from quirespark.operators.layout import HEADING_LINES, HEADING_SCALE, body_size
-from quirespark.operators.rounds import cut
 
 
-def proposed(runs: DataFrame, grids: DataFrame) -> DataFrame:
+def proposed(runs: DataFrame, grids: DataFrame | None = None) -> DataFrame:
     """Elements (doc_id, id from 0 in reading order, parent, role, page, text, marker, x0, y0, x1,
     y1). Roles: ``H1`` to ``H6``, ``LI``, ``P``, and ``Table``, ``TR``, ``TD`` of the grids that are
     tables. A heading has no list marker, at most three lines, and a size of 1.15 times the
     document's or more; levels go by falling size. A table stands where its paragraphs
-    before end; its rows and cells follow it at once, empty cells too."""
+    before end; its rows and cells follow it at once, empty cells too. Without ``grids``: see ``page_parts``."""
     lines, cells, judged = tables_in_layout(runs, grids)
-    lines = cut(lines)
     own = F.sort_array(F.collect_list(F.struct("place", "text")))
     paras = lines.groupBy("doc_id", "page", "para").agg(
         F.array_join(F.transform(own, lambda m: m["text"]), " ").alias("text"), F.count(F.lit(1)).alias("lines"), F.max(round_half(F.col("size"))).alias("half"),
