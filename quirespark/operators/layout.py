@@ -169,30 +169,30 @@ def column_fold(runs: DataFrame, fold, schema: str) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
-def whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Batches cut at pages, with the number of each row's page; rows come page by page."""
+def whole_pages(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...] = ("doc_id", "page")) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Batches cut at pages (or other ``keys``), with the number of each row's page; rows come page by page."""
     waits = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        number = page_numbers(batch)
+        number = page_numbers(batch, keys)
         last = int(np.searchsorted(number, number[-1]))
-        if waits and (last or page_numbers(pa.Table.from_batches([waits[-1].slice(waits[-1].num_rows - 1), batch.slice(0, 1)]))[-1]):
+        if waits and (last or page_numbers(pa.Table.from_batches([waits[-1].slice(waits[-1].num_rows - 1), batch.slice(0, 1)]), keys)[-1]):
             whole = pa.Table.from_batches([*waits, batch.slice(0, last)])
-            yield whole, page_numbers(whole)
+            yield whole, page_numbers(whole, keys)
             waits = []
         elif last:
             whole = pa.Table.from_batches([batch.slice(0, last)])
-            yield whole, page_numbers(whole)
+            yield whole, page_numbers(whole, keys)
         waits.append(batch.slice(last))
     if waits:
         whole = pa.Table.from_batches(waits)
-        yield whole, page_numbers(whole)
+        yield whole, page_numbers(whole, keys)
 
 
-def page_numbers(rows) -> np.ndarray:
+def page_numbers(rows, keys: tuple[str, ...] = ("doc_id", "page")) -> np.ndarray:
     fresh = np.zeros(max(rows.num_rows - 1, 0), bool)
-    keys = [rows.column(c) for c in ("doc_id", "page")]
+    keys = [rows.column(c) for c in keys]
     while keys:
         key = keys.pop()
         key = key.combine_chunks() if isinstance(key, pa.ChunkedArray) else key

@@ -80,3 +80,22 @@ def test_template_spans(spark):
 
 def test_templates_of_nothing(spark):
     assert compare(spark, [], []) == ([], {})
+
+
+def test_templates_deal_documents_once(spark):
+    """Spans are never dealt: one exchange, of documents, and no sort, window or join."""
+    for name in ("template_spans", "template_outcomes"):
+        plan = Q.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and not any(w in plan for w in ("Sort", "Window", "Join", "Aggregate")), name
+        assert "Generate" not in plan[plan.index("Exchange") :]
+
+
+def test_documents_that_batches_cut(spark):
+    """Documents are whole wherever Arrow's batches end, and a refusal at the end takes what went before."""
+    spans = [(d, p, s, t) for d in range(12) for p in range(3) for s, t in enumerate(["a {", "{k", "}", "} b", None, "", "{{k}}{{=k}}", "{{no}}" if d % 3 == 0 and p == 2 else "{{ k }}"])]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        compare(spark, spans[::-1], [(d, "k", f"v{d}") for d in range(12)])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
