@@ -426,3 +426,23 @@ def test_words_of_pages(spark):
             want.append((doc, seq, word, off, before))
             off, before = off + len(word) + 1, off
     assert got == want
+
+
+def test_layouts_deal_documents_once(spark):
+    """What is made of lines and grids needs no exchange of its own, and no cut."""
+    for name in ("run_grouping", "table_cells", "tables_in_layout"):
+        plan = plan_of(Q.QUERIES[name](spark, FOLDER))
+        assert plan.count("Exchange") == 1 and not any(w in plan for w in ("Sort", "Window", "Join", "Aggregate", "/rounds/")), name
+        assert "MapInArrow" not in plan[plan.index("Exchange") :], name
+
+
+def test_grids_that_come_with_their_pages(spark):
+    """The layout is the same with grids among the runs of dealt pages as with grids of their own."""
+    runs, r = [x | {"turned": False} for x in scattered(8, 30)], random.Random(2)
+    grids = [(1, p, g, sorted(map(float, r.sample(range(50, 460, 30), 3))), sorted(map(float, r.sample(range(530, 715, 9), 3)), reverse=True)) for p in range(32) for g in range(r.randrange(3))]
+    own, frames = frame(spark, runs), spark.createDataFrame(grids, "doc_id long, page int, grid int, xs array<double>, ys array<double>")
+    both = own.unionByName(frames, allowMissingColumns=True).repartition("doc_id", "page").sortWithinPartitions("doc_id", "page")
+    key = lambda r: tuple((x is None, x) for x in r)
+    for a, b in zip(G.tables_in_layout(own, frames), G.tables_in_layout(both)):
+        want = sorted(map(tuple, a.collect()), key=key)
+        assert want == sorted(map(tuple, b.collect()), key=key) and want

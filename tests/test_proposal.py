@@ -83,3 +83,12 @@ def test_a_page_with_a_table(spark):
     found = R.proposed(frame(spark, runs), frames).collect()
     compare(spark, runs, grids, found)
     assert [(r.role, r.parent, r.text) for r in sorted(found, key=lambda r: r.id)] == [("H1", None, "Title"), ("P", None, "text before the table that is quite long"), ("Table", None, ""), ("TR", 2, ""), ("TD", 3, "a"), ("TD", 3, "b c"), ("TR", 2, ""), ("TD", 6, "d"), ("TD", 6, ""), ("LI", None, "an item of a list")]
+
+
+def test_a_proposal_cuts_its_layout_once(spark, monkeypatch):
+    from quirespark.operators import grouping as G
+
+    cuts, cut = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df: cuts.append(df) or cut(df))
+    Q.QUERIES["structure_proposal"](spark, FOLDER)
+    assert len(cuts) == 1 and "part" in cuts[0].columns
